@@ -7,12 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, mixing, shard
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes over all documents."""
+    return shard.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text, there and back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,8 +30,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {
+        "op3_pareto_mix": op3_pareto_mix,
+        "op8_sampled_splitters": op8_sampled_splitters,
+        "op9_byte_bpe": op9_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_pareto_mix": mixing.SQL}
