@@ -3,9 +3,11 @@
 A source's target divided by its size is the expected number of copies of each
 of its documents. The whole part is taken for certain; the rest is the
 probability of one more copy. Documents are ranked by random odds divided by
-these inclusion odds, and a prefix of that order whose words come nearest to
-what is left of the target gets the extra copy: a sample of fixed size, in
-words, with unequal probabilities over the corpus. Random numbers are hashes of
+these inclusion odds, and the longest prefix of that order whose words fit what
+is left of the target gets the extra copy: a sample of fixed size, in words,
+with unequal probabilities over the corpus. One more document of each source,
+the one whose size comes nearest to the words still missing, closes the gap
+that a long document at the end of the prefix would leave. Random numbers are hashes of
 ids, so reruns agree. Only DataFrame functions are used.
 """
 
@@ -88,19 +90,37 @@ def plan(docs: DataFrame, cycle: int, most: int, id_col: str, source_col: str, t
         .select("source", "cell", (F.col("upto") - F.col("words")).alias("before"))
     )
     order = Window.partitionBy("source").orderBy("odds", "id", "size")
-    prefix = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
+    upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     cuts = (
         _null_safe(ranked, _small(cells, n_sources), ["source", "cell"])
-        .withColumn("middle", prefix)
-        .groupBy("source", "before", "cell")
-        .agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.struct("odds", "id"))).alias("last"))
-        .withColumnRenamed("cell", "cut_cell")
-    )
-    info = _null_safe(goals, cuts, ["source"], "left").select(
-        "source", "source_size", "target", "whole", "share", "rest", "cut_cell",
-        F.col("last.odds").alias("cut_odds"), F.col("last.id").alias("cut_id"), (F.col("last").isNotNull()).alias("has_cut"),
+        .withColumn("upto", upto)
+        .groupBy("source", "before", "rest", F.col("cell").alias("cut_cell"))
+        .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "odds", "id"))).alias("last"))
+        .select(
+            "source", "cut_cell", F.col("last.odds").alias("cut_odds"), F.col("last.id").alias("cut_id"),
+            F.col("last").isNotNull().alias("has_cut"),
+            (F.col("rest") - F.coalesce(F.col("last.upto"), F.col("before"))).alias("missing"),
+        )
+    )
+    info = cut(_null_safe(goals, cuts, ["source"], "left"), "mix-cuts")
+    miss = F.abs(F.col("size") - F.col("missing"))
+    gaps = (
+        ranked_by_odds(sizes, info, n_sources).where(F.col("cut_cell").isNotNull() & ~_in_prefix() & (miss < F.col("missing")))
+        .groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "odds", "id")).alias("gap"))
+        .select("source", F.col("gap.odds").alias("gap_odds"), F.col("gap.id").alias("gap_id"))
     )
-    return sizes, cut(info, "mix-cuts")
+    return sizes, cut(_null_safe(info, gaps, ["source"], "left"), "mix-gaps")
+
+
+def _in_prefix() -> Column:
+    """Whether a ranked document gets the extra copy by its place in the order.
+
+    A source whose words all fit has no cut and takes every extra copy.
+    """
+    same = (F.col("odds") == F.col("cut_odds")) & F.coalesce(F.col("id") <= F.col("cut_id"), F.col("id").isNull())
+    upto = F.col("has_cut") & ((F.col("odds") < F.col("cut_odds")) | same)
+    before = F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))
+    return (F.col("share") > 0) & (before | ((F.col("cell") == F.col("cut_cell")) & upto))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -121,16 +141,10 @@ def ranked_by_odds(sizes: DataFrame, goals: DataFrame, n_sources: int) -> DataFr
 
 
 def with_copies(sizes: DataFrame, info: DataFrame) -> DataFrame:
-    """Add ``copies``: the whole ones, and one more up to the cut of the source's order.
-
-    A source whose words all fit has no cut and, where a share is left, takes
-    every extra copy.
-    """
-    ranked = ranked_by_odds(sizes, info, info.count())
-    cell = F.coalesce(F.col("cut_cell"), F.lit(CELLS))
-    upto = F.col("has_cut") & ((F.col("odds") < F.col("cut_odds")) | ((F.col("odds") == F.col("cut_odds")) & (F.coalesce(F.col("id") <= F.col("cut_id"), F.col("id").isNull()))))
-    extra = F.when(F.col("share") > 0, (F.col("cell") < cell) | ((F.col("cell") == cell) & upto)).otherwise(False)
-    return ranked.withColumn("copies", F.col("whole").cast("int") + extra.cast("int"))
+    """Add ``copies``: the whole ones, and one more for the prefix and for the closing document."""
+    closing = F.coalesce((F.col("odds") == F.col("gap_odds")) & F.col("id").eqNullSafe(F.col("gap_id")), F.lit(False))
+    extra = F.coalesce(_in_prefix(), F.lit(False)) | closing
+    return ranked_by_odds(sizes, info, info.count()).withColumn("copies", F.col("whole").cast("int") + extra.cast("int"))
 
 
 def taken(docs: DataFrame, cycle: int = 3, most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -190,12 +204,22 @@ shares AS (
          target - FLOOR(expected) * source_size::DOUBLE AS rest
   FROM parts),
 ranked AS (
-  SELECT d.doc_id, COALESCE(d.n, 0) AS size, s.source_size, s.target, s.whole, s.share, s.rest,
-         SUM(COALESCE(d.n, 0)) OVER (PARTITION BY d.source ORDER BY
-           CASE WHEN s.share > 0 THEN (d.u / (1.0::DOUBLE - d.u)) / (s.share / (1.0::DOUBLE - s.share)) END, d.doc_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN share > 0 AND upto::DOUBLE - size::DOUBLE / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM ranked
+  SELECT d.doc_id, d.source, COALESCE(d.n, 0) AS size, s.source_size, s.target, s.whole, s.share, s.rest,
+         (d.u / (1.0::DOUBLE - d.u)) / (CASE WHEN s.share > 0 THEN s.share END / (1.0::DOUBLE - s.share)) AS odds
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+summed AS (
+  SELECT *, (SUM(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS upto
+  FROM ranked),
+gap AS (
+  SELECT source, MAX(rest) - COALESCE(MAX(CASE WHEN upto <= rest THEN upto END), 0.0::DOUBLE) AS missing
+  FROM summed WHERE share > 0 GROUP BY source),
+closing AS (
+  SELECT source, odds, doc_id FROM (
+    SELECT s.source, s.odds, s.doc_id, ROW_NUMBER() OVER (PARTITION BY s.source ORDER BY ABS(s.size::DOUBLE - g.missing), s.odds, s.doc_id) AS k
+    FROM summed s JOIN gap g ON s.source IS NOT DISTINCT FROM g.source
+    WHERE s.share > 0 AND s.upto > s.rest AND ABS(s.size::DOUBLE - g.missing) < g.missing)
+  WHERE k = 1)
+SELECT s.doc_id, s.size, s.source_size, s.target,
+       (s.size * (s.whole + CASE WHEN s.share > 0 AND (s.upto <= s.rest OR c.doc_id IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed s LEFT JOIN closing c ON s.source IS NOT DISTINCT FROM c.source AND s.odds = c.odds AND s.doc_id = c.doc_id
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, shard
+from tidemark.llm import bpe, mixing, shard, simhash
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, by 3-word shingles, 2 bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
+
+
 def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes over all documents."""
     return shard.assign(table(spark, sf_dir, "documents"))
@@ -32,6 +37,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_pareto_mix": op3_pareto_mix,
+        "op4_simhash_tiles": op4_simhash_tiles,
         "op8_sampled_splitters": op8_sampled_splitters,
         "op9_byte_bpe": op9_byte_bpe,
     }
