@@ -64,7 +64,7 @@ def test_words_come_near_targets_and_reruns_agree(spark):
     for r in got:
         assert r.taken <= 3 * r.size
         by.setdefault(source[r.doc_id], [r.target, 0])[1] += r.taken
-    assert all(abs(t - w) <= 0.01 * t + 3 for t, w in by.values())
+    assert all(abs(t - w) <= 0.02 * t + 3 for t, w in by.values())
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.taken(docs.repartition(5)).collect()), key=str)
 
 
