@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, shard, simhash
+from tidemark.llm import bpe, langid, mixing, shard, simhash
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,15 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
 
 
+def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, dictionaries).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes over all documents."""
     return shard.assign(table(spark, sf_dir, "documents"))
@@ -38,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_tiles": op4_simhash_tiles,
+        "op7_zstd_language": op7_zstd_language,
         "op8_sampled_splitters": op8_sampled_splitters,
         "op9_byte_bpe": op9_byte_bpe,
     }
