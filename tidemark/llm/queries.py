@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, shard, simhash
+from tidemark.llm import bpe, fertility, langid, mixing, shard, simhash
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of tokeniser fertility for all documents."""
+    ranks, pieces = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    return fertility.judge(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, pieces)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_pareto_mix": op3_pareto_mix,
@@ -51,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op7_zstd_language": op7_zstd_language,
         "op8_sampled_splitters": op8_sampled_splitters,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_fertility": op10_fertility,
     }
 
 
