@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fertility, langid, mixing, shard, simhash
+from tidemark.llm import bpe, fertility, langid, mixing, quality, shard, simhash
+from tidemark.llm.common import remainder
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of three quarters of the ids."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    field = quality.learn(docs, labels.where(~held_out))
+    return quality.score(docs, field).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -52,6 +63,7 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_crf_quality": op1_crf_quality,
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_tiles": op4_simhash_tiles,
         "op7_zstd_language": op7_zstd_language,
