@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fertility, langid, mixing, quality, shard, simhash
+from tidemark.llm import bpe, fertility, langid, mixing, quality, shard, simhash, topk
 from tidemark.llm.common import remainder
 from tidemark.session import table
 
@@ -35,6 +35,11 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
 
 
+def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector among all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
 def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of the ids."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_crf_quality": op1_crf_quality,
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_tiles": op4_simhash_tiles,
+        "op6_va_file": op6_va_file,
         "op7_zstd_language": op7_zstd_language,
         "op8_sampled_splitters": op8_sampled_splitters,
         "op9_byte_bpe": op9_byte_bpe,
@@ -74,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.SQL}
+    return {"op3_pareto_mix": mixing.SQL, "op6_va_file": topk.SQL}
