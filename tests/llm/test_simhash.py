@@ -59,15 +59,40 @@ def test_equals_brute_force(spark):
     assert [r.text for r in kept if r.doc_id is None] == ["alone at last"]
 
 
-def test_many_close_prints_are_one_component(spark):
+def test_forest_joins_what_all_close_pairs_join():
     bits = [0] + [1 << k for k in range(64)] + [1 << k | 1 << m for k in range(64) for m in range(k)]
     a = np.array(bits, np.uint64)
-    links = simhash.forest(a, a, 2)
-    assert len(links) < 4 * len(bits)
-    root = list(range(len(bits)))
-    for i, j in links:
-        root = [root[i] if x == root[j] else x for x in root]
-    assert len(set(root)) == 1
+    links = simhash.forest(a, a, 2, same=True)
+    assert len(links) == len(bits) - 1
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 12, n).astype(np.uint64) | np.uint64(k << 40) for n, k in ((90, 1), (70, 2)))
+    for radius in (2, 4, 6):
+        groups = []
+        for pairs in ([(i, j) for _, i, j in simhash.forest(a, b, 6) if (int(a[i]) ^ int(b[j])).bit_count() <= radius], [(i, j) for i in range(90) for j in range(70) if (int(a[i]) ^ int(b[j])).bit_count() <= radius]):
+            root = list(range(160))
+            for i, j in pairs:
+                x, y = root[i], root[90 + j]
+                root = [y if r == x else r for r in root]
+            groups.append({frozenset(k for k in range(160) if root[k] == r) for r in root})
+        assert groups[0] == groups[1]
+
+
+def test_similar_texts_of_five_words(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("thaneriou") for _ in range(rng.randint(2, 7)))
+    rows, near = [], 0
+    for i in range(150):
+        text = [word() for _ in range(rng.choice([40, 120, 400]))]
+        rows.append((2 * i, " ".join(text)))
+        if i % 3 == 0:
+            text[rng.randrange(len(text))] = word()
+            near += simhash.resemblance(rows[-1][1], " ".join(text), 5) >= 0.8
+            rows.append((2 * i + 1, " ".join(text)))
+    rows += [(1000, rows[0][1]), (1001, rows[0][1].upper())]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = {r.doc_id for r in simhash.deduplicate(docs, radius=12, words=5, similarity=0.8).collect()}
+    assert {2 * i for i in range(150)} <= kept and not kept & {1000, 1001}
+    assert len(rows) - 2 - len(kept) >= 0.9 * near
 
 
 def test_components_of_a_long_chain(spark):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fertility, langid, mixing, quality, shard, simhash, topk
+from tidemark.llm import bpe, fertility, langid, mixing, quality, secrets, shard, simhash, topk
 from tidemark.llm.common import remainder
 from tidemark.session import table
 
@@ -25,6 +25,12 @@ def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents with the verdict of the forest."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model)
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -69,6 +75,7 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_crf_quality": op1_crf_quality,
+        "op2_secret_forest": op2_secret_forest,
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_tiles": op4_simhash_tiles,
         "op6_va_file": op6_va_file,

@@ -6,7 +6,8 @@ tiles by the population counts of the fingerprint's four quarters; two
 fingerprints that differ in at most ``radius`` bits have quarter counts that
 differ by at most ``radius`` in sum, so all other pairs of tiles are skipped.
 The rest are compared in full with numpy: exclusive or, then bit counts. A pair
-of tiles reports a spanning forest of its links, never all pairs of a group.
+of tiles reports a minimum spanning forest of its links, never all pairs of a
+group. Links can be held against the similarity of the texts themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tidemark.session import cut
 SEED = 42
 #: Shingles hashed at once, and the fingerprints of a tile.
 CHUNK, TILE = 50_000, 2048
-QUARTERS, QUARTER_BITS = 4, 16
+QUARTERS = 4
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -58,26 +59,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(id_col, text_col), step, f"id {kind}, fp long")
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (positions in a, in b) that join what all close pairs of two tiles join."""
-    label, out = np.arange(len(b)), []
+def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> list[tuple[int, int, int]]:
+    """Minimum spanning forest of the close pairs of two tiles: (bits apart, position in a, in b).
+
+    Whatever pairs of at most some number of bits join, its links of at most as
+    many bits join too; forests of parts of a graph hold the forest of the
+    whole. ``same`` says that the tiles are one.
+    """
+    offset = 0 if same else len(a)
+    kept: list[tuple[int, int, int]] = []
     for at in range(0, len(a), 256):
         apart = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
-        close = (apart <= radius) & (apart > 0)
-        for i in np.flatnonzero(close.any(axis=1)):
-            at_b = np.flatnonzero(close[i])
-            roots, first = np.unique(label[at_b], return_index=True)
-            out += [(at + int(i), int(j)) for j in at_b[first]]
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
-    return out
-
-
-def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
+        i, j = np.nonzero(apart <= radius)
+        bits = apart[i, j]
+        i = i + at
+        if same:
+            i, j, bits = i[i < j], j[i < j], bits[i < j]
+        if not len(i):
+            continue
+        root = list(range(offset + len(b)))
+        links, kept = sorted([*kept, *zip(bits.tolist(), i.tolist(), (j + offset).tolist())]), []
+        for link in links:
+            u, v = link[1], link[2]
+            while root[u] != u:
+                root[u] = root[root[u]]
+                u = root[u]
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            if u != v:
+                root[u] = v
+                kept.append(link)
+    return [(d, i, j - offset) for d, i, j in kept]
+
+
+def tile_links(classes: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
     """Links (u, v) between the fingerprints of all pairs of tiles that can hold any."""
-    steps = [d for d in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius and d >= (0,) * QUARTERS]
+    bits = 64 // blocks
+    mask = (1 << bits) - 1
+    blocked = [F.shiftrightunsigned("fp", bits * k).bitwiseAND(mask) if blocks > 1 else F.col("fp") for k in range(blocks)]
+    counted = classes.select("fp", F.array(*[F.bit_count(x) for x in blocked]).alias("counts"))
+    # The counts take (bits + 1) ** blocks values at most, whatever the input: a proven bound for both broadcasts.
+    sizes = counted.groupBy("counts").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    tiles = cut(
+        counted.join(F.broadcast(sizes), "counts")
+        .groupBy("counts", F.pmod(F.hash("fp"), F.col("parts")).alias("part"))
+        .agg(F.collect_list("fp").alias("fps")),
+        "simhash-tiles",
+    )
+    steps = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
     ways = F.array(*[F.array(*[F.lit(x) for x in d]) for d in steps])
-    # The counts of four quarters of 16 bits take 17 ** 4 values: a proven bound for the broadcast.
     known = tiles.groupBy("counts").agg(F.max("part").alias("parts"))
     known = known.select(F.col("counts").alias("to"), F.sequence(F.lit(0), F.col("parts")).alias("to_parts"))
     left = (
@@ -86,44 +117,64 @@ def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
         .join(F.broadcast(known), "to")
         .select("counts", "part", "a", "to", F.explode("to_parts").alias("to_part"))
         .where((F.col("counts") != F.col("to")) | (F.col("part") <= F.col("to_part")))
+        .withColumn("same", (F.col("counts") == F.col("to")) & (F.col("part") == F.col("to_part")))
     )
     right = tiles.select(F.col("counts").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("b"))
 
     def step(t: pa.Table) -> pa.Table:
         us, vs = [], []
-        for a, b in zip(t.column(0), t.column(1)):
+        for a, b, same in zip(t.column(0), t.column(1), t.column(2).to_pylist()):
             a, b = a.values.to_numpy(), b.values.to_numpy()
-            for i, j in forest(a.view(np.uint64), b.view(np.uint64), radius):
+            for _, i, j in forest(a.view(np.uint64), b.view(np.uint64), radius, same):
                 us.append(int(a[i]))
                 vs.append(int(b[j]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return map_arrow(left.join(right, ["to", "to_part"]).select("a", "b"), step, "u long, v long")
+    return map_arrow(left.join(right, ["to", "to_part"]).select("a", "b", "same"), step, "u long, v long")
+
+
+def resemblance(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the texts' sets of word shingles."""
+
+    def shingles(text):
+        parts = text.encode().lower().split()
+        return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
 
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
 
-def _classes(docs: DataFrame, radius: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+
+def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The links whose classes' texts resemble each other enough. A class shows the text of its smallest id."""
+    named = links.select("u").union(links.select("v")).distinct().join(classes, F.col("u") == F.col("fp")).select("fp", "least")
+    texts = cut(
+        docs.select(F.col(id_col).alias("least"), F.coalesce(text_col, F.lit("")).alias("text")).join(named, "least").dropDuplicates(["fp"]).select("fp", "text"),
+        "simhash-texts",
+    )
+
+    def step(t: pa.Table) -> pa.Table:
+        near = [resemblance(a, b, words) >= similarity for a, b in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
+        return t.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    u, v = texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), texts.select(F.col("fp").alias("v"), F.col("text").alias("b"))
+    return map_arrow(links.join(u, "u").join(v, "v").select("u", "v", "a", "b"), step, "u long, v long")
+
+
+def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The fingerprinted rows (id, fp), and each class with its component's root and smallest id."""
     rows = cut(fingerprints(docs, id_col, text_col, words), "simhash-rows")
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    quarter = (1 << QUARTER_BITS) - 1
-    counted = classes.select(
-        "fp",
-        F.array(*[F.bit_count(F.shiftrightunsigned("fp", QUARTER_BITS * k).bitwiseAND(quarter)) for k in range(QUARTERS)]).alias("counts"),
-    )
-    sizes = counted.groupBy("counts").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    tiles = cut(
-        counted.join(F.broadcast(sizes), "counts")  # 17 ** 4 rows at most
-        .groupBy("counts", F.pmod(F.hash("fp"), F.col("parts")).alias("part"))
-        .agg(F.collect_list("fp").alias("fps")),
-        "simhash-tiles",
-    )
-    roots = components(tile_links(tiles, radius)).withColumnRenamed("u", "fp")
+    # Quarters prune best at a small radius; at a large one few but larger tiles are sent about.
+    links = tile_links(classes, radius, *((QUARTERS, TILE) if radius <= QUARTERS else (1, 4 * TILE)))
+    if similarity is not None:
+        links = verified(cut(links.distinct(), "simhash-links"), classes, docs, words, similarity, id_col, text_col)
+    roots = components(links).withColumnRenamed("u", "fp")
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, cut(linked.select("fp", "root").join(ids, "root"), "simhash-components")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The fingerprint and the component of every document.
 
     Returns id_col, fingerprint (16 hex digits) and component_id, the smallest
@@ -134,20 +185,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: st
     any id gets a null component_id. Other columns are left out. An empty
     table gives no rows.
     """
-    rows, classes = _classes(docs, radius, words, id_col, text_col)
+    rows, classes = _classes(docs, radius, words, similarity, id_col, text_col)
     return rows.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
     Of rows that repeat an id one stays. Where a component has no id at all,
     one of its rows stays.
     """
     names = docs.columns
-    rows, classes = _classes(docs, radius, words, id_col, text_col)
+    rows, classes = _classes(docs, radius, words, similarity, id_col, text_col)
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("kept__id")).distinct()
     out = docs.join(kept, F.col(id_col) == F.col("kept__id"), "left_semi")
     if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
