@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fertility, langid, mixing, quality, secrets, shard, simhash, topk
+from tidemark.llm import bpe, chat, fertility, langid, mixing, quality, secrets, shard, simhash, topk
 from tidemark.llm.common import remainder
 from tidemark.session import table
 
@@ -41,6 +41,11 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from the perspective of each participant, with masks."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_forest": op2_secret_forest,
         "op3_pareto_mix": op3_pareto_mix,
         "op4_simhash_tiles": op4_simhash_tiles,
+        "op5_perspectives": op5_perspectives,
         "op6_va_file": op6_va_file,
         "op7_zstd_language": op7_zstd_language,
         "op8_sampled_splitters": op8_sampled_splitters,
@@ -87,4 +93,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.SQL, "op6_va_file": topk.SQL}
+    return {"op3_pareto_mix": mixing.SQL, "op5_perspectives": chat.SQL, "op6_va_file": topk.SQL}
