@@ -31,21 +31,24 @@ def eligible(assets: DataFrame) -> DataFrame:
     return assets.where(F.col("status").isin("ready", "metadataPartial"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of distinct keys whose fuzzy similarity is at least ``least``; left is a query set."""
-    a = left.select(F.col("key").alias("a")).where("key <> ''").distinct()
-    b = right.select(F.col("key").alias("b")).where("key <> ''").distinct()
-    few = a.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if few:
-        pairs = b.join(F.broadcast(a), F.lit(True))
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) of distinct keys of one kind whose similarity reaches the kind's ``least``.
+
+    left: kind, key, least, a query set; right: kind, key. The query side is
+    broadcast while it is small, which is checked, and dealt in blocks beyond.
+    """
+    a = left.select("kind", F.col("key").alias("a"), "least").where("key <> ''").distinct()
+    b = right.select("kind", F.col("key").alias("b")).where("key <> ''").distinct()
+    if a.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        pairs = b.join(F.broadcast(a), "kind")
     else:
         dealt = a.withColumn("block", F.pmod(F.hash("a"), F.lit(BLOCKS)))
-        pairs = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, "block")
+        pairs = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, ["kind", "block"])
     # A cheap bound first: edits are at least the difference of lengths.
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    shared = F.size(F.array_intersect(T.tokens(F.col("a")), T.tokens(F.col("b")))) > 0
-    pairs = pairs.where(shared | (short / long >= least))
-    return pairs.withColumn("sim", T.fuzzy(F.col("a"), F.col("b"))).where(F.col("sim") >= least).select("a", "b", "sim")
+    shared = F.arrays_overlap(F.split("a", " "), F.split("b", " "))
+    pairs = pairs.where(shared | (short / long >= F.col("least")))
+    return pairs.withColumn("sim", T.fuzzy(F.col("a"), F.col("b"))).where(F.col("sim") >= F.col("least")).select("kind", "a", "b", "sim")
 
 
 def score(queries: DataFrame, assets: DataFrame) -> DataFrame:
@@ -57,33 +60,19 @@ def score(queries: DataFrame, assets: DataFrame) -> DataFrame:
     (their confidence is 0). Null texts match nothing; a null duration adds 0.
     """
     q, a = with_keys(queries), with_keys(assets)
-    key = lambda df, c: df.select(F.col(c).alias("key"))
-    each = lambda df: df.select(F.explode("artist_keys").alias("key"))
-    titles = similar(key(q, "title_key"), key(a, "title_key"), FUZZY)
-    artists = similar(each(q), each(a), FUZZY)
-    albums = similar(key(q, "album_key"), key(a, "album_key"), FUZZY)
-    stems = similar(key(q, "title_key"), key(a, "file_key"), FILE)
-
-    def linked(pairs: DataFrame, name: str, q_key: str, a_key: str) -> DataFrame:
-        return (
-            q.select("query_id", F.col(q_key).alias("a")).join(pairs, "a").join(a.select("asset_id", F.col(a_key).alias("b")), "b")
-            .select("query_id", "asset_id", F.lit(name).alias("kind"), "sim")
-        )
-
-    def linked_artists() -> DataFrame:
-        left = q.select("query_id", F.explode("artist_keys").alias("a"))
-        right = a.select("asset_id", F.explode("artist_keys").alias("b"))
-        return (
-            left.join(artists, "a").join(right, "b").groupBy("query_id", "asset_id").agg(F.max("sim").alias("sim"))
-            .select("query_id", "asset_id", F.lit("artist").alias("kind"), "sim")
-        )
-
+    one = lambda kind, key, least=FUZZY: F.array(F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(least).alias("least")))
+    artists = F.transform("artist_keys", lambda x: F.struct(F.lit("artist").alias("kind"), x.alias("key"), F.lit(FUZZY).alias("least")))
+    named_keys = lambda df, id_, file: df.select(id_, F.inline(F.concat(one("title", "title_key"), one("album", "album_key"), one("file", file, FILE), artists)))
+    asked, offered = named_keys(q, "query_id", "title_key"), named_keys(a, "asset_id", "file_key")
+    linked = (
+        asked.select("query_id", "kind", F.col("key").alias("a")).join(similar(asked, offered), ["kind", "a"])
+        .join(offered.select("asset_id", "kind", F.col("key").alias("b")), ["kind", "b"]).select("query_id", "asset_id", "kind", "sim")
+    )
     isrc = (
         q.where("isrc_key <> ''").select("query_id", "isrc_key").join(a.where("isrc_key <> ''").select("asset_id", "isrc_key"), "isrc_key")
         .select("query_id", "asset_id", F.lit("isrc").alias("kind"), F.lit(1.0).alias("sim"))
     )
-    facts = linked(titles, "title", "title_key", "title_key").unionByName(linked_artists()).unionByName(linked(albums, "album", "album_key", "album_key"))
-    facts = facts.unionByName(linked(stems, "file", "title_key", "file_key")).unionByName(isrc)
+    facts = linked.unionByName(isrc)
     best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("sim"))).alias(kind)
     pairs = facts.groupBy("query_id", "asset_id").agg(*[best(k) for k in ("isrc", "title", "artist", "album", "file")])
     pairs = (

@@ -81,8 +81,8 @@ def resolver_history(spark, sf_dir):
 SELECT a.key AS a, b.key AS b, round(sim, 6) AS sim FROM (SELECT x.key AS xa, y.key AS yb, {_fuzzy("x.key", "y.key")} AS sim FROM n x CROSS JOIN n y) s
 JOIN n a ON a.key = xa JOIN n b ON b.key = yb WHERE sim >= 0.6e0""")
 def similar_names(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("key")).distinct()
-    return R.similar(names, names, 0.6).withColumn("sim", F.round("sim", 6))
+    names = table(spark, sf_dir, "part").select(F.lit("name").alias("kind"), F.col("p_name").alias("key"), F.lit(0.6).alias("least")).distinct()
+    return R.similar(names, names).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("WITH " + A + """ SELECT n_nationkey AS directory_id, COUNT(asset_id) AS discovered, COUNT(*) FILTER (status IN ('ready', 'metadataPartial')) AS indexed,
