@@ -95,6 +95,41 @@ def test_similar_texts_of_five_words(spark):
     assert len(rows) - 2 - len(kept) >= 0.9 * near
 
 
+def families(seed, n):
+    """Texts in families of copies, each with some words of the first or of another copy changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("thaneriou") for _ in range(rng.randint(2, 7)))
+    texts = []
+    for _ in range(n):
+        family = [[word() for _ in range(rng.choice([80, 150, 400]))]]
+        for _ in range(7):
+            copy = list(rng.choice(family))
+            for at in rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.015, 0.03))):
+                copy[at] = word()
+            family.append(copy)
+        texts += [" ".join(x) for x in family]
+    return texts
+
+
+def similar_groups(texts):
+    """The smallest position each text reaches by pairs of a similarity of 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def test_verified_links_lose_none_to_the_forest(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 3)
+    texts = families(3, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(docs, radius=32, words=5, similarity=0.8).collect()
+    assert [r.component_id for r in sorted(got)] == similar_groups(texts)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {(r.u, r.root) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}

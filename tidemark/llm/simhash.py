@@ -7,11 +7,13 @@ fingerprints that differ in at most ``radius`` bits have quarter counts that
 differ by at most ``radius`` in sum, so all other pairs of tiles are skipped.
 The rest are compared in full with numpy: exclusive or, then bit counts. A pair
 of tiles reports a minimum spanning forest of its links, never all pairs of a
-group. Links can be held against the similarity of the texts themselves.
+group. A component of such links can be held against the similarity of the
+texts themselves: all its pairs are compared, and the true links alone count.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, product
 
 import numpy as np
@@ -28,6 +30,8 @@ SEED = 42
 #: Shingles hashed at once, and the fingerprints of a tile.
 CHUNK, TILE = 50_000, 2048
 QUARTERS = 4
+#: Texts, and shingles, of a part of a component whose texts are compared.
+PART, PART_SHINGLES = 512, 65_536
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -49,14 +53,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every row."""
+    """``id``, ``fp``, the fingerprint as a signed 64-bit integer, and ``sample``, a hash of the text, of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(t: pa.Table) -> pa.Table:
         found = np.array([fingerprint(x, words) for x in t.column(1).to_pylist()], np.uint64)
-        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64))})
+        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64)), "sample": t.column(2)})
 
-    return map_arrow(docs.select(id_col, text_col), step, f"id {kind}, fp long")
+    sample = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sample")
+    return map_arrow(docs.select(id_col, text_col, sample), step, f"id {kind}, fp long, sample long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> list[tuple[int, int, int]]:
@@ -144,31 +149,108 @@ def resemblance(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The links whose classes' texts resemble each other enough. A class shows the text of its smallest id."""
-    named = links.select("u").union(links.select("v")).distinct().join(classes, F.col("u") == F.col("fp")).select("fp", "least")
-    texts = cut(
-        docs.select(F.col(id_col).alias("least"), F.coalesce(text_col, F.lit("")).alias("text")).join(named, "least").dropDuplicates(["fp"]).select("fp", "text"),
-        "simhash-texts",
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The distinct XXH64 values of the text's word shingles, in order."""
+    parts = text.encode().lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], np.uint64))
+
+
+def alike(a: pa.ListScalar, b: pa.ListScalar, similarity: float, same: bool) -> list[tuple[int, int]]:
+    """Spanning forest (position in a, in b) of all pairs whose sets of hashes have this Jaccard similarity.
+
+    Every pair is compared: the values of ``b`` that are in each set of ``a`` are counted.
+    """
+    a, b = a.values, b.values
+    from_a, from_b = a.offsets.to_numpy(), b.offsets.to_numpy()
+    x, y = (v.values.to_numpy()[at[0] : at[-1]] for v, at in ((a, from_a), (b, from_b)))
+    from_a, from_b = from_a - from_a[0], from_b - from_b[0]
+    _, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = code[: len(x)], code[len(x) :]
+    size_a, size_b = np.diff(from_a), np.diff(from_b)
+    mark = np.zeros(len(code), np.int32)
+    offset = 0 if same else len(size_a)
+    label = np.arange(offset + len(size_b))
+    kept = []
+    for i in range(len(size_a)):
+        own = x[from_a[i] : from_a[i + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[y], from_b[:-1])
+        mark[own] = 0
+        near = np.nonzero(shared / (size_a[i] + size_b - shared) >= similarity)[0]
+        kept += [(i, j) for j in merge(label, i, near + offset, offset)]
+    return kept
+
+
+def merge(label: np.ndarray, i: int, near: np.ndarray, offset: int) -> list[int]:
+    """Join node i with its near nodes in ``label``; the positions of those that were apart from it."""
+    joined = []
+    for j in near[label[near] != label[i]].tolist():
+        if label[j] != label[i]:
+            label[label == label[j]] = label[i]
+            joined.append(j - offset)
+    return joined
+
+
+def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """Links (u, v) between classes whose texts resemble each other enough.
+
+    All pairs of a component of candidate links (fp, root) are compared, so no
+    link is missed for another that joined the same classes and failed. A
+    component is cut into parts of bounded size. Of two parts only those are
+    met whose numbers of shingles allow the similarity, and each meeting
+    reports a spanning forest of its true links, never all pairs.
+    """
+    named = roots.join(classes, "fp").select("fp", "root", "sample")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("sample")).join(named, "sample").dropDuplicates(["fp"]).select("fp", "root", "text")
+
+    def shingle(t: pa.Table) -> pa.Table:
+        sets = [shingle_hashes(x, words) for x in t.column(2).to_pylist()]
+        hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+        return pa.table({"fp": t.column(0), "root": t.column(1), "size": pa.array([len(x) for x in sets], pa.int32()), "hashes": hashes})
+
+    # One band apart at most: sizes further apart than the similarity cannot reach it. The margin is for rounding.
+    width = -math.log(similarity) * (1 + 1e-9) if similarity < 1 else 1e-12
+    sets = cut(map_arrow(texts, shingle, "fp long, root long, size int, hashes array<long>").withColumn("band", F.floor(F.log("size") / width)), "simhash-texts")
+    sizes = sets.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    parts = cut(
+        sets.join(sizes, ["root", "band"])
+        .groupBy("root", "band", F.pmod(F.hash("fp"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("fp", "hashes")).alias("all"))
+        .select("root", "band", "part", F.col("all.fp").alias("fps"), F.col("all.hashes").alias("sets")),
+        "simhash-parts",
     )
+    known = sizes.select("root", F.col("band").alias("to"), F.sequence(F.lit(0), F.col("parts") - 1).alias("to_parts"))
+    left = (
+        parts.select("root", "band", "part", F.col("fps").alias("u"), F.col("sets").alias("a"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("to"))
+        .join(known, ["root", "to"])
+        .select("root", "band", "part", "u", "a", "to", F.explode("to_parts").alias("to_part"))
+        .where((F.col("band") != F.col("to")) | (F.col("part") <= F.col("to_part")))
+        .withColumn("same", (F.col("band") == F.col("to")) & (F.col("part") == F.col("to_part")))
+        .where(~F.col("same") | (F.size("u") > 1))
+    )
+    right = parts.select("root", F.col("band").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("v"), F.col("sets").alias("b"))
 
     def step(t: pa.Table) -> pa.Table:
-        near = [resemblance(a, b, words) >= similarity for a, b in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-        return t.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+        us, vs = [], []
+        for u, v, a, b, same in zip(*t.columns[:4], t.column(4).to_pylist()):
+            for i, j in alike(a, b, similarity, same):
+                us.append(u[i].as_py())
+                vs.append(v[j].as_py())
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    u, v = texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), texts.select(F.col("fp").alias("v"), F.col("text").alias("b"))
-    return map_arrow(links.join(u, "u").join(v, "v").select("u", "v", "a", "b"), step, "u long, v long")
+    return map_arrow(left.join(right, ["root", "to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
 
 
 def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The fingerprinted rows (id, fp), and each class with its component's root and smallest id."""
     rows = cut(fingerprints(docs, id_col, text_col, words), "simhash-rows")
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("sample").alias("sample")), "simhash-classes")
     # Quarters prune best at a small radius; at a large one few but larger tiles are sent about.
     links = tile_links(classes, radius, *((QUARTERS, TILE) if radius <= QUARTERS else (1, 4 * TILE)))
-    if similarity is not None:
-        links = verified(cut(links.distinct(), "simhash-links"), classes, docs, words, similarity, id_col, text_col)
     roots = components(links).withColumnRenamed("u", "fp")
+    if similarity is not None:
+        roots = components(verified(roots, classes, docs, words, similarity, text_col)).withColumnRenamed("u", "fp")
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, cut(linked.select("fp", "root").join(ids, "root"), "simhash-components")
@@ -205,7 +287,7 @@ def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: fl
         out = out.dropDuplicates([id_col])
     if not rows.where("id is null").isEmpty():
         nameless = docs.where(F.col(id_col).isNull()).withColumn("row__id", F.xxhash64(text_col).cast("string"))
-        prints = fingerprints(nameless, "row__id", text_col, words).distinct()
+        prints = fingerprints(nameless, "row__id", text_col, words).select("id", "fp").distinct()
         one = prints.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min("id").alias("one__id"))
         out = out.unionByName(
             nameless.join(one, F.col("row__id") == F.col("one__id"), "left_semi").dropDuplicates(["row__id"]).select(*[F.col(f"`{c}`") for c in names])
