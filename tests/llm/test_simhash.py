@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 
@@ -130,6 +131,25 @@ def test_verified_links_lose_none_to_the_forest(spark, monkeypatch):
     assert [r.component_id for r in sorted(got)] == similar_groups(texts)
 
 
+def test_pipeline_stage_finds_every_similar_pair(spark):
+    texts = families(8, 60)
+    words = [w for t in texts[:40] for w in t.split()]
+    rng = random.Random(2)
+    for n in [6, 8, 9, 12, 13, 20] * 20:  # a word more or less at an end, a part said twice
+        at = rng.randrange(len(words) - 40)
+        texts += [" ".join(words[at : at + n]), " ".join(words[at : at + n + 1]), " ".join(words[at : at + n] + words[at : at + 4])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_deduplicated(spark, docs, "").collect())
+    assert kept == sorted(set(similar_groups(texts)))
+
+
+def test_rows_without_id_are_verified_too(spark):
+    text = families(4, 1)[0]
+    other = text + " more"
+    docs = spark.createDataFrame([(None, text), (None, other), (1, "x " + text)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicate(docs, radius=76, words=5, similarity=0.8, seeds=4).collect()] == [1]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {(r.u, r.root) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}

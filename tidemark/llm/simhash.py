@@ -9,6 +9,9 @@ The rest are compared in full with numpy: exclusive or, then bit counts. A pair
 of tiles reports a minimum spanning forest of its links, never all pairs of a
 group. A component of such links can be held against the similarity of the
 texts themselves: all its pairs are compared, and the true links alone count.
+For that, fingerprints are made of the set of shingles, may have several times
+64 bits, and their tiles go by the number of shingles, as sets whose sizes are
+too far apart cannot reach the similarity.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
@@ -53,15 +56,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id``, ``fp``, the fingerprint as a signed 64-bit integer, and ``sample``, a hash of the text, of every row."""
+    """``id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(t: pa.Table) -> pa.Table:
         found = np.array([fingerprint(x, words) for x in t.column(1).to_pylist()], np.uint64)
-        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64)), "sample": t.column(2)})
+        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64))})
 
-    sample = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sample")
-    return map_arrow(docs.select(id_col, text_col, sample), step, f"id {kind}, fp long, sample long")
+    return map_arrow(docs.select(id_col, text_col), step, f"id {kind}, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> list[tuple[int, int, int]]:
@@ -191,6 +193,92 @@ def merge(label: np.ndarray, i: int, near: np.ndarray, offset: int) -> list[int]
     return joined
 
 
+def wide_print(hashes: np.ndarray, seeds: int) -> np.ndarray:
+    """``seeds`` words of 64 bits, each the majority of the hashes mixed anew with a seed of its own."""
+    out = np.empty(seeds, np.uint64)
+    for k in range(seeds):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            x = hashes[at : at + CHUNK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            x = x ^ x >> np.uint64(31)
+            counts += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def wide_prints(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``fp``, a digest of the set of shingles, ``sample``, a hash of the text, ``size``, the number of distinct shingles, and ``bits`` of every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def step(t: pa.Table) -> pa.Table:
+        sets = [shingle_hashes(x, words) for x in t.column(1).to_pylist()]
+        digests = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
+        bits = pa.array([wide_print(x, seeds).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        size = pa.array([len(x) for x in sets], pa.int32())
+        return pa.table({"id": t.column(0), "fp": pa.array(digests.view(np.int64)), "sample": t.column(2), "size": size, "bits": bits})
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return map_arrow(docs.select(id_col, text, F.xxhash64(text).alias("sample")), step, f"id {kind}, fp long, sample long, size int, bits array<long>")
+
+
+def band(similarity: float) -> Column:
+    """Sets whose sizes are further apart than the similarity lie two bands apart or more. The margin is for rounding."""
+    width = -math.log(similarity) * (1 + 1e-9) if similarity < 1 else 1e-12
+    return F.floor(F.log("size") / width)
+
+
+def close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+    """Spanning forest (position in a, in b) of all pairs of wide prints, words by texts, that differ in at most ``radius`` bits."""
+    offset = 0 if same else a.shape[1]
+    label = np.arange(offset + b.shape[1])
+    kept = []
+    for at in range(0, a.shape[1], 64):
+        apart = np.zeros((min(64, a.shape[1] - at), b.shape[1]), np.uint16)
+        for x, y in zip(a, b):
+            apart += np.bitwise_count(x[at : at + 64, None] ^ y[None, :])
+        hit = apart <= radius
+        for i in np.nonzero(hit.any(axis=1))[0].tolist():
+            kept += [(at + i, j) for j in merge(label, at + i, np.nonzero(hit[i])[0] + offset, offset)]
+    return kept
+
+
+def wide_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Candidate links (u, v): all pairs of tiles whose sizes allow the similarity are compared in full."""
+    banded = classes.select("fp", "bits", band(similarity).alias("band"))
+    # One row for each step of the size by the similarity: a proven bound for both broadcasts.
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / (2 * TILE)).cast("int").alias("parts"))
+    tiles = cut(
+        banded.join(F.broadcast(sizes), "band")
+        .groupBy("band", F.pmod(F.hash("fp"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("fp", "bits")).alias("all"))
+        .select("band", "part", F.col("all.fp").alias("fps"), F.flatten("all.bits").alias("bits")),
+        "simhash-tiles",
+    )
+    known = sizes.select(F.col("band").alias("to"), F.sequence(F.lit(0), F.col("parts") - 1).alias("to_parts"))
+    left = (
+        tiles.select("band", "part", F.col("fps").alias("u"), F.col("bits").alias("a"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("to"))
+        .join(F.broadcast(known), "to")
+        .select("band", "part", "u", "a", "to", F.explode("to_parts").alias("to_part"))
+        .where((F.col("band") != F.col("to")) | (F.col("part") <= F.col("to_part")))
+        .withColumn("same", (F.col("band") == F.col("to")) & (F.col("part") == F.col("to_part")))
+    )
+    right = tiles.select(F.col("band").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("v"), F.col("bits").alias("b"))
+
+    def step(t: pa.Table) -> pa.Table:
+        us, vs = [], []
+        for u, v, a, b, same in zip(*t.columns[:4], t.column(4).to_pylist()):
+            u, v = u.values.to_numpy(), v.values.to_numpy()
+            a, b = (np.ascontiguousarray(x.values.to_numpy().view(np.uint64).reshape(len(n), -1).T) for x, n in ((a, u), (b, v)))
+            for i, j in close(a, b, radius, same):
+                us.append(int(u[i]))
+                vs.append(int(v[j]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return map_arrow(left.join(right, ["to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
+
+
 def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """Links (u, v) between classes whose texts resemble each other enough.
 
@@ -209,9 +297,7 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
         return pa.table({"fp": t.column(0), "root": t.column(1), "size": pa.array([len(x) for x in sets], pa.int32()), "hashes": hashes})
 
-    # One band apart at most: sizes further apart than the similarity cannot reach it. The margin is for rounding.
-    width = -math.log(similarity) * (1 + 1e-9) if similarity < 1 else 1e-12
-    sets = cut(map_arrow(texts, shingle, "fp long, root long, size int, hashes array<long>").withColumn("band", F.floor(F.log("size") / width)), "simhash-texts")
+    sets = cut(map_arrow(texts, shingle, "fp long, root long, size int, hashes array<long>").withColumn("band", band(similarity)), "simhash-texts")
     sizes = sets.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
     parts = cut(
         sets.join(sizes, ["root", "band"])
@@ -242,21 +328,25 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return map_arrow(left.join(right, ["root", "to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
 
 
-def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, seeds: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The fingerprinted rows (id, fp), and each class with its component's root and smallest id."""
-    rows = cut(fingerprints(docs, id_col, text_col, words), "simhash-rows")
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("sample").alias("sample")), "simhash-classes")
-    # Quarters prune best at a small radius; at a large one few but larger tiles are sent about.
-    links = tile_links(classes, radius, *((QUARTERS, TILE) if radius <= QUARTERS else (1, 4 * TILE)))
-    roots = components(links).withColumnRenamed("u", "fp")
-    if similarity is not None:
+    if similarity is None:
+        rows = cut(fingerprints(docs, id_col, text_col, words), "simhash-rows")
+        classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+        # Quarters prune best at a small radius; at a large one few but larger tiles are sent about.
+        links = tile_links(classes, radius, *((QUARTERS, TILE) if radius <= QUARTERS else (1, 4 * TILE)))
+        roots = components(links).withColumnRenamed("u", "fp")
+    else:
+        rows = cut(wide_prints(docs, words, seeds, id_col, text_col), "simhash-rows")
+        classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("sample").alias("sample"), F.first("size").alias("size"), F.first("bits").alias("bits")), "simhash-classes")
+        roots = components(wide_links(classes, radius, similarity)).withColumnRenamed("u", "fp")
         roots = components(verified(roots, classes, docs, words, similarity, text_col)).withColumnRenamed("u", "fp")
     linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, cut(linked.select("fp", "root").join(ids, "root"), "simhash-components")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1) -> DataFrame:
     """The fingerprint and the component of every document.
 
     Returns id_col, fingerprint (16 hex digits) and component_id, the smallest
@@ -266,28 +356,33 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, similarity
     Repeated rows are kept. Rows without an id take part; a component without
     any id gets a null component_id. Other columns are left out. An empty
     table gives no rows.
+
+    With ``similarity``, sets of shingles count: fingerprint is a digest of the
+    text's set, ``radius`` counts over ``seeds`` times 64 bits made from it,
+    and of the pairs so near those of that Jaccard similarity are the links.
     """
-    rows, classes = _classes(docs, radius, words, similarity, id_col, text_col)
+    rows, classes = _classes(docs, radius, words, similarity, seeds, id_col, text_col)
     return rows.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
     Of rows that repeat an id one stays. Where a component has no id at all,
     one of its rows stays.
     """
     names = docs.columns
-    rows, classes = _classes(docs, radius, words, similarity, id_col, text_col)
+    rows, classes = _classes(docs, radius, words, similarity, seeds, id_col, text_col)
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("kept__id")).distinct()
     out = docs.join(kept, F.col(id_col) == F.col("kept__id"), "left_semi")
     if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     if not rows.where("id is null").isEmpty():
         nameless = docs.where(F.col(id_col).isNull()).withColumn("row__id", F.xxhash64(text_col).cast("string"))
-        prints = fingerprints(nameless, "row__id", text_col, words).select("id", "fp").distinct()
+        prints = fingerprints(nameless, "row__id", text_col, words) if similarity is None else wide_prints(nameless, words, seeds, "row__id", text_col)
+        prints = prints.select("id", "fp").distinct()
         one = prints.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min("id").alias("one__id"))
         out = out.unionByName(
             nameless.join(one, F.col("row__id") == F.col("one__id"), "left_semi").dropDuplicates(["row__id"]).select(*[F.col(f"`{c}`") for c in names])
