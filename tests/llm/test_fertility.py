@@ -68,3 +68,28 @@ def test_verdicts(spark):
     kept = {r.doc_id for r in got if r.kept}
     assert len(kept & set(range(300))) >= 297 and not kept & {1000, 1001, 1002, 2000, 2001, 2002, 2003}
     assert fertility.judge(docs.drop("lang").limit(0), RANKS, public_tokenizers.PATTERN, PIECES).count() == 0
+
+
+#: Syllables of four invented languages, and a writer of texts with common and rare words.
+TONGUES = {"en": "tha ing ou ndre er st", "de": "sch ung ei über ver keit", "es": "ción que ñe mente os lla", "fr": "eau ê tion ère oi aux"}
+
+
+def write(rng, lang, n, mark=lambda: ""):
+    syllables = TONGUES[lang].split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([1, 1, 2, 3, 4])))
+    return " ".join(word() + mark() for _ in range(n))
+
+
+def test_junk_is_rejected_in_every_language(spark):
+    rng = random.Random(7)
+    rows = []
+    for lang in TONGUES:
+        rows += [(len(rows) + k, write(rng, lang, int(2 ** rng.uniform(6.5, 11))), lang) for k in range(300)]
+        rows += [(100_000 + len(rows) + k, write(rng, lang, int(2 ** rng.uniform(10, 11)), lambda: rng.choice(["###", "$$$", "%%%", "&&&", "***"])), lang) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.judge(docs, RANKS, public_tokenizers.PATTERN, PIECES).collect()}
+    for lang in TONGUES:
+        own = [got[d] for d, _, x in rows if x == lang and not got[d].base_failed]
+        junk, clean = [[r.kept for r in own if (r.doc_id >= 100_000) == y] for y in (True, False)]
+        assert len(junk) >= 8 and sum(junk) == 0, (lang, junk)
+        assert len(clean) > 250 and sum(clean) >= 0.98 * len(clean), (lang, sum(clean), len(clean))

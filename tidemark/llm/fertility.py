@@ -3,11 +3,11 @@
 Two public vocabularies measure every whole text: a byte-level one gives the
 characters per token and the entropy of the tokens, one with byte fallback the
 share of tokens that are bare bytes. Each language, or script where no language
-is known, has rejection bands for the measures: fences beyond the quartiles of
-all its texts, so that an alphabet the vocabularies know badly is judged among
-its own. As the measures drift with length, bands hold for a doubling of the
-number of tokens. Texts also carry base counts of words, symbols, repeated
-lines and repeated word windows.
+is known, has rejection bands for the measures, so that an alphabet the
+vocabularies know badly is judged among its own. As the measures drift with
+length, each is fitted against the logarithm of the number of tokens over all
+texts, its spread too, and the bands are fences on the residuals. Texts also
+carry base counts of words, symbols, repeated lines and repeated word windows.
 """
 
 from __future__ import annotations
@@ -30,12 +30,17 @@ SYMBOLS = "#*$%&|<>"
 WHITE = b" \t\n\v\f\r"
 #: Scripts with bands of their own; a text belongs to the one with most of its letters.
 SCRIPTS = ["Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai"]
-#: Fences lie so many quartile ranges outside the quartiles; measures of a few tokens scatter and are not judged.
-FENCE, MIN_TOKENS = 3.0, 50
-#: Texts from which a length class has bands of its own; smaller ones use those of all lengths.
-MIN_BAND_TEXTS = 100
-#: Narrowest fences: a corpus of one mould must not reject its next text.
-LEAST_RANGE = {"chars_per_token": 0.1, "fallback_share": 0.004, "entropy": 0.02}
+#: Measures of a few tokens scatter and are not judged.
+MIN_TOKENS = 50
+#: Fences in spreads below and above the fitted line. High entropy for the length is what rich texts have, low fallback what plain ones have.
+FENCES = {"chars_per_token": (3.5, 6.0), "fallback_share": (None, 6.0), "entropy": (3.5, None)}
+#: Junk is low in both of these at once: a fence on their sum, in spreads of that sum.
+BOTH, BOTH_FENCE = ("chars_per_token", "entropy"), 2.75
+#: Times the line is fitted, and the spreads beyond which a text is left out of the next fit.
+FITS, TRIM = 3, 3.0
+#: Least spreads, as a corpus of one mould must not reject its next text, and the spreads that count as PRIOR texts more where texts are few.
+LEAST_SPREAD = {"chars_per_token": 0.01, "fallback_share": 0.002, "entropy": 0.005}
+PRIOR_SPREAD, PRIOR = {"chars_per_token": 0.1, "fallback_share": 0.002, "entropy": 0.04}, 20
 #: Characters encoded at once; pieces are cut at white space, which no token crosses at its end.
 CHUNK = 200_000
 
@@ -130,7 +135,7 @@ MEASURES = ["chars_per_token", "fallback_share", "entropy"]
 
 
 def measure(docs: DataFrame, rank_path: str, pattern: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """id_col, the base counts, script, n_tokens, the three measures and the band of every whole text."""
+    """id_col, the base counts, script, n_tokens, the three measures and the family of every whole text."""
     rank_file, piece_model = load_ranks(rank_path), load_ranks(piece_path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -146,33 +151,56 @@ def measure(docs: DataFrame, rank_path: str, pattern: str, piece_path: str, id_c
             columns["script"] = pa.array([r["script"] for r in rows], pa.string())
             langs = t.column(2).to_pylist()
             columns["family"] = pa.array([a or r["script"] for a, r in zip(langs, rows)], pa.string())
-            columns["length_class"] = pa.array([r["n_tokens"].bit_length() for r in rows], pa.int32())
             for c in MEASURES:
                 columns[c] = pa.array([r[c] for r in rows], pa.float64())
             return pa.table(columns)
 
         return step
 
-    schema = f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in [*COUNTS, 'n_tokens'])}, script string, family string, length_class int, {', '.join(f'{c} double' for c in MEASURES)}"
+    schema = f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in [*COUNTS, 'n_tokens'])}, script string, family string, {', '.join(f'{c} double' for c in MEASURES)}"
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
     return map_arrow(docs.select(id_col, text_col, lang.cast("string").alias("known__lang")), per_task(make), schema)
 
 
+def spreads_off(c: str) -> Column:
+    """How many spreads a measure lies off the line of its family."""
+    width = F.greatest(F.col(f"{c}_wide") + F.col(f"{c}_wider") * F.col("x"), F.lit(LEAST_SPREAD[c]))
+    width = (F.col(f"{c}_texts") * width + PRIOR * PRIOR_SPREAD[c]) / (F.col(f"{c}_texts") + PRIOR)
+    return (F.col(c) - F.col(f"{c}_at") - F.col(f"{c}_slope") * F.col("x")) / width
+
+
+def line(y: Column, x: Column, at: str, slope: str, scale: float = 1.0) -> list[Column]:
+    """Offset and slope of the least-squares line, flat where lengths do not differ; rounded, so that the order of sums does not count."""
+    flat = F.regr_slope(y, x).isNull()
+    return [
+        F.round(scale * F.when(flat, F.avg(y)).otherwise(F.regr_intercept(y, x)), 10).alias(at),
+        F.round(scale * F.coalesce(F.regr_slope(y, x), F.lit(0.0)), 10).alias(slope),
+    ]
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Low and high fences of each measure by family and length class.
+    """Line and spread of each measure against x, the logarithm of the tokens, by family.
 
-    Rows: languages and scripts times the doublings of the longest text.
+    One rule at every size: a fit over all texts, repeated without those far
+    off the last one. The first leaves out what is far off the median, as a few
+    odd texts of odd lengths would draw the line to themselves.
     """
-    judged = measured.where(F.col("n_tokens") >= MIN_TOKENS)
-    fences = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in MEASURES]
-    own = judged.groupBy("family", "length_class").agg(F.count("*").alias("texts"), *fences)
-    every = judged.groupBy("family").agg(*fences)
-    out = []
-    for c in MEASURES:
-        mark = F.when(F.col("texts") >= MIN_BAND_TEXTS, F.col(f"own.{c}")).otherwise(F.col(f"every.{c}"))
-        wide = FENCE * F.greatest(mark[1] - mark[0], F.lit(LEAST_RANGE[c]))
-        out += [(mark[0] - wide).alias(f"{c}_low"), (mark[1] + wide).alias(f"{c}_high")]
-    return own.alias("own").join(every.alias("every"), "family").select("family", "length_class", *out)
+    judged = measured.where(F.col("n_tokens") >= MIN_TOKENS).select("family", F.log2("n_tokens").alias("x"), *MEASURES)
+    marks = judged.groupBy("family").agg(*[F.count(c).alias(f"{c}_texts") for c in MEASURES], *[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES])
+    flat = [x for c in MEASURES for x in (F.col(c)[1].alias(f"{c}_at"), ((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"{c}_wide"), F.lit(0.0).alias(f"{c}_slope"), F.lit(0.0).alias(f"{c}_wider"))]
+    fits = cut(marks.select("family", *[f"{c}_texts" for c in MEASURES], *flat), "fertility-fits")
+    for _ in range(FITS):
+        rows = judged.join(fits, "family").select("family", "x", *[F.when(F.abs(spreads_off(c)) <= TRIM, F.col(c)).alias(c) for c in MEASURES])
+        lines = rows.groupBy("family").agg(*[x for c in MEASURES for x in [*line(F.col(c), F.col("x"), f"{c}_at", f"{c}_slope"), F.count(c).alias(f"{c}_texts")]])
+        lines = cut(lines, "fertility-lines")
+        off = {c: F.col(c) - F.col(f"{c}_at") - F.col(f"{c}_slope") * F.col("x") for c in MEASURES}
+        # the mean distance of normal scatter, times 1.2533, is its spread
+        wide = [x for c in MEASURES for x in line(F.abs(off[c]), F.col("x"), f"{c}_wide", f"{c}_wider", 1.2533)]
+        # measures that move together have a wider sum
+        together = F.corr(*[off[c] for c in BOTH])
+        together = F.when(F.isnan(together), 0.0).otherwise(F.greatest(F.coalesce(together, F.lit(0.0)), F.lit(0.0)))
+        fits = cut(lines.join(rows.join(lines, "family").groupBy("family").agg(*wide, F.round(together, 10).alias("together")), "family"), "fertility-fits")
+    return fits
 
 
 def base_failed() -> Column:
@@ -191,12 +219,12 @@ def judge(docs: DataFrame, rank_path: str, pattern: str, piece_path: str, id_col
     out; an empty table gives no rows. The bands are counted over all texts.
     """
     measured = cut(measure(docs, rank_path, pattern, piece_path, id_col, text_col, lang_col), "fertility")
-    inside = F.lit(True)
-    for c in MEASURES:
-        inside = inside & F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
+    inside = sum(spreads_off(c) for c in BOTH) >= -BOTH_FENCE * F.sqrt(2 * (1 + F.col("together")))
+    for c, (low, high) in FENCES.items():
+        inside = inside & (spreads_off(c) >= -low if low else F.lit(True)) & (spreads_off(c) <= high if high else F.lit(True))
     passed = (F.col("n_tokens") < MIN_TOKENS) | F.coalesce(inside, F.lit(True))
     return (
-        measured.join(bands(measured), ["family", "length_class"], "left")
+        measured.withColumn("x", F.log2("n_tokens")).join(bands(measured), "family", "left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & passed)
         .select(id_col, *COUNTS, "base_failed", "kept", "script", "n_tokens", *MEASURES)
