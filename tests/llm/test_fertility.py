@@ -93,3 +93,12 @@ def test_junk_is_rejected_in_every_language(spark):
         junk, clean = [[r.kept for r in own if (r.doc_id >= 100_000) == y] for y in (True, False)]
         assert len(junk) >= 8 and sum(junk) == 0, (lang, junk)
         assert len(clean) > 250 and sum(clean) >= 0.98 * len(clean), (lang, sum(clean), len(clean))
+
+
+def test_one_rule_at_every_length_and_size(spark):
+    rng = random.Random(8)
+    rows = [(k, write(rng, "de", rng.randint(150, 350)), "de") for k in range(250)] + [(1000 + k, write(rng, "de", n), "de") for k, n in enumerate([3000, 9000, 20_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [{r.doc_id: r.kept for r in fertility.judge(x, RANKS, public_tokenizers.PATTERN, PIECES).collect()} for x in (docs, docs.where("doc_id % 3 = 0 or doc_id >= 1000"))]
+    for few in kept:
+        assert few[1000] and few[1001] and few[1002] and sum(few.values()) >= 0.97 * len(few)
