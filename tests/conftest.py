@@ -9,9 +9,10 @@ sys.path.insert(0, str(ROOT))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidemark.session import session
+    from tidemark.session import drop_cuts, session
 
     s = session("4", "tests")
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.shuffle.partitions", "4")
-    return s
+    yield s
+    drop_cuts(s)

@@ -29,25 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """This application's folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a local folder is set for the session.
+    A cluster names its place in ``spark.checkpoint.dir``. That setting cannot
+    change in a running session; where it is unset, as in tests, the folder
+    lies in the warehouse, which driver and executors share too.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps start from the files: nothing before is computed twice and a
-    lost executor costs only its running tasks.
+    lost executor costs only its running tasks. The files stay until
+    ``drop_cuts``, as results are read late.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove all tables that ``cut`` wrote for this application; call it when results are written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
