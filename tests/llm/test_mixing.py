@@ -6,11 +6,28 @@ import pytest
 from tidemark.llm import mixing
 
 
-def uniform(doc_id, text):
-    name = str(doc_id) if doc_id is not None else "null:" + (text or "")
+def text_key(text):
+    return None if text is None else int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def uniform(doc_id, text, k):
+    name = ":".join("null" if x is None else str(x) for x in (doc_id, text_key(text), k))
     return (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+def due(words, target, most=3.0):
+    """Copies of each class: raise the level until the words reach the target, full classes stay full."""
+    full, classes = set(), sorted(words, reverse=True)
+    while True:
+        free = [c for c in classes if c not in full]
+        slope = sum(words[c] * c for c in free)
+        level = (target - most * sum(words[c] for c in full)) / slope if slope else float("inf")
+        over = [c for c in free if level * c > most + 1e-12]
+        if not over:
+            return {c: most if c in full else level * c for c in classes}
+        full.add(over[0])
+
+
 def brute(rows):
     """Target by source with the excess shared again and again; copies by a plain walk of the order."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -30,19 +47,25 @@ def brute(rows):
     target = {s: capped.get(s, level * weight[s]) for s in names}
     out = []
     for s in names:
-        own = [(d, t, size(t)) for d, t, x in rows if x == s]
-        whole, share = divmod(target[s] / total[s], 1) if total[s] else (0, 0)
-        rest, extra = target[s] - whole * total[s], set()
-        if share > 1e-12:
-            order = sorted(own, key=lambda r: (uniform(r[0], r[1]) / (1 - uniform(r[0], r[1])), str(r[0])))
-            done = 0
-            while order and done + order[0][2] <= rest + 1e-9:
-                done += order[0][2]
-                extra.add(order.pop(0)[:1])
-            gap = min(order, key=lambda r: abs(r[2] - (rest - done)), default=None)
-            if gap and abs(gap[2] - (rest - done)) < rest - done:
-                extra.add(gap[:1])
-        out += [(d, n, total[s], round(target[s], 6), int(n * (whole + ((d,) in extra)))) for d, _, n in own]
+        seen, own, words = {}, [], {}
+        for d, t, x in rows:
+            if x == s:
+                k = seen[d, t] = seen.get((d, t), -1) + 1
+                own.append((d, t, size(t), len(f"{size(t):b}"), k))
+                words[own[-1][3]] = words.get(own[-1][3], 0) + size(t)
+        copies = due(words, target[s]) if total[s] else dict.fromkeys(words, 0.0)
+        share = {c: x - int(x) for c, x in copies.items()}
+        rest, extra = target[s] - sum(int(copies[c]) * w for c, w in words.items()), set()
+        odds = lambda r: (u := uniform(r[0], r[1], r[4])) / (1 - u) / (share[r[3]] / (1 - share[r[3]]))
+        order = sorted((r for r in own if share[r[3]] > 1e-12), key=odds)
+        done = 0
+        while order and done + order[0][2] <= rest + 1e-9:
+            done += order[0][2]
+            extra.add(order.pop(0))
+        gap = min(order, key=lambda r: abs(r[2] - (rest - done)), default=None)
+        if gap and abs(gap[2] - (rest - done)) < rest - done:
+            extra.add(gap)
+        out += [(r[0], r[2], total[s], round(target[s], 6), r[2] * (int(copies[r[3]]) + (r in extra))) for r in own]
     return sorted(out, key=str)
 
 
@@ -50,9 +73,10 @@ def corpus(n=400):
     return [(i, "w " * (i * 7919 % 53 + (900 if i % 97 == 0 else 0)), None if i % 11 == 0 else ["é", "b", "B", "src10", "src9", "z"][0 if i % 3 == 0 else i % 6]) for i in range(n)]
 
 
-@pytest.mark.parametrize("rows", [corpus(), corpus(30), [(1, None, "a"), (2, "", None)], [(None, "a b", "s"), (7, "a b c d", "t")]])
+@pytest.mark.parametrize("rows", [corpus(), corpus(30), [(1, None, "a"), (2, "", None)], [(None, "a b", "s"), (7, "a b c d", "t")], corpus(40) + corpus(200) * 2 + [(7, "x y z", "b")] * 90])
 def test_equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "doc_id long, text string, source string, size int, target double")
+    docs = docs.repartition(3)
     got = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.taken(docs).collect()), key=str)
     assert got == brute(rows)
 
@@ -70,13 +94,28 @@ def test_words_come_near_targets_and_reruns_agree(spark):
 
 def test_mixed_rows_repeat_whole_documents(spark):
     docs = spark.createDataFrame([(*r, 5) for r in corpus(300)], "doc_id long, text string, source string, copies int")
-    copies = {}
+    copies: dict[int, int] = {}
     for r in mixing.mix(docs).collect():
         assert r.copies == 5
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert all(copies.get(r.doc_id, 0) * r.size == r.taken for r in mixing.taken(docs).collect())
 
 
+def test_an_id_that_repeats_is_drawn_row_by_row(spark):
+    rows = [(7, f"w{i % 5} " * 10, "a") for i in range(600)] + [(i + 10, "v " * 10, "b") for i in range(300)] + [(i + 1000, "v " * 20, "c") for i in range(200)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    target = {r.target for r in got if r.doc_id == 7}.pop()
+    assert len(got) == len(rows) and abs(sum(r.taken for r in got if r.doc_id == 7) - target) <= 10
+
+
+def test_mix_tells_equal_rows_apart(spark):
+    rows = [(7, "w w w", "a", i) for i in range(50)] + [(i + 10, "v " * 3, "b", i) for i in range(90)] + [(None, None, None, 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int").repartition(3)
+    took = sum(r.taken for r in mixing.taken(docs).collect())
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and sum(len((r.text or "").split()) for r in mixed.collect()) == took
+
+
 def test_repeated_and_empty(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.taken(spark.createDataFrame([], schema)).count() == 0

@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 
+#: A node with more than this share of all links is a hub; there are fewer than 1 / HUB of them, or 2 / HUB ends.
+HUB = 1 / 1000
+
+
 def _least(links: DataFrame) -> DataFrame:
-    """Each u's smallest neighbour or itself; sums up before the shuffle, so hubs are no hot spot."""
-    return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    """Each u's smallest neighbour or itself and its number of links; sums up before the shuffle."""
+    return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+
+
+def _met(links: DataFrame, n_links: int) -> DataFrame:
+    """Each link (u, v) with m, the smallest neighbour of u among these links.
+
+    Hubs are few by their share of all links, a proven bound: they are
+    broadcast and their links stay where they are. The rest is joined.
+    """
+    least = _least(links)
+    hubs = least.where(F.col("n") > F.lit(2 * HUB * n_links)).select("u", "m")
+    marked = links.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("m is null").drop("m").join(least.where(F.col("n") <= F.lit(2 * HUB * n_links)).select("u", "m"), "u")
+    return marked.where("m is not null").unionByName(rest)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest of its neighbourhood."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(both, 2 * n_links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    tied = down.join(_least(down), "u")
+    tied = _met(down, n_links)
     return tied.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
 
 
@@ -33,13 +50,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the shared folder; nothing but a count and a checksum reaches the driver.
     """
     now = cut(links.select("u", "v").where("u <> v").distinct(), "links")
-    seen = None
+    seen, n_links = None, now.count()
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now).where("u <> v")).where("u <> v").distinct(), "stars")
+        now = cut(_small_star(_large_star(now, n_links).where("u <> v"), n_links).where("u <> v").distinct(), "stars")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFF))).first()
         if state == seen:
             break
-        seen = state
+        seen, n_links = state, state[0]
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return now.select("u", F.col("v").alias("root")).union(now.select("v", "v").distinct())

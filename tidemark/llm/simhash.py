@@ -55,15 +55,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * counts > len(spans), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every row, and the long columns ``keep``."""
+    kind, keep = docs.schema[id_col].dataType.simpleString(), keep or []
 
     def step(t: pa.Table) -> pa.Table:
         found = np.array([fingerprint(x, words) for x in t.column(1).to_pylist()], np.uint64)
-        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64))})
+        return pa.table({"id": t.column(0), "fp": pa.array(found.view(np.int64)), **{c: t.column(2 + i) for i, c in enumerate(keep)}})
 
-    return map_arrow(docs.select(id_col, text_col), step, f"id {kind}, fp long")
+    return map_arrow(docs.select(id_col, text_col, *keep), step, ", ".join([f"id {kind}, fp long", *(f"{c} long" for c in keep)]))
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> list[tuple[int, int, int]]:
@@ -208,19 +208,20 @@ def wide_print(hashes: np.ndarray, seeds: int) -> np.ndarray:
     return out
 
 
-def wide_prints(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``fp``, a digest of the set of shingles, ``sample``, a hash of the text, ``size``, the number of distinct shingles, and ``bits`` of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def wide_prints(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """``id``, ``fp``, a digest of the set of shingles, ``sample``, a hash of the text, ``size``, the number of distinct shingles, and ``bits`` of every row, and the long columns ``keep``."""
+    kind, keep = docs.schema[id_col].dataType.simpleString(), keep or []
 
     def step(t: pa.Table) -> pa.Table:
         sets = [shingle_hashes(x, words) for x in t.column(1).to_pylist()]
         digests = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
         bits = pa.array([wide_print(x, seeds).view(np.int64) for x in sets], pa.list_(pa.int64()))
         size = pa.array([len(x) for x in sets], pa.int32())
-        return pa.table({"id": t.column(0), "fp": pa.array(digests.view(np.int64)), "sample": t.column(2), "size": size, "bits": bits})
+        return pa.table({"id": t.column(0), "fp": pa.array(digests.view(np.int64)), "sample": t.column(2), "size": size, "bits": bits, **{c: t.column(3 + i) for i, c in enumerate(keep)}})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return map_arrow(docs.select(id_col, text, F.xxhash64(text).alias("sample")), step, f"id {kind}, fp long, sample long, size int, bits array<long>")
+    schema = ", ".join([f"id {kind}, fp long, sample long, size int, bits array<long>", *(f"{c} long" for c in keep)])
+    return map_arrow(docs.select(id_col, text, F.xxhash64(text).alias("sample"), *keep), step, schema)
 
 
 def band(similarity: float) -> Column:
@@ -328,16 +329,16 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return map_arrow(left.join(right, ["root", "to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
 
 
-def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, seeds: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The fingerprinted rows (id, fp), and each class with its component's root and smallest id."""
+def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, seeds: int, id_col: str, text_col: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows (id, fp and the columns ``keep``), and each class with its component's root and smallest id."""
     if similarity is None:
-        rows = cut(fingerprints(docs, id_col, text_col, words), "simhash-rows")
+        rows = cut(fingerprints(docs, id_col, text_col, words, keep), "simhash-rows")
         classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
         # Quarters prune best at a small radius; at a large one few but larger tiles are sent about.
         links = tile_links(classes, radius, *((QUARTERS, TILE) if radius <= QUARTERS else (1, 4 * TILE)))
         roots = components(links).withColumnRenamed("u", "fp")
     else:
-        rows = cut(wide_prints(docs, words, seeds, id_col, text_col), "simhash-rows")
+        rows = cut(wide_prints(docs, words, seeds, id_col, text_col, keep), "simhash-rows")
         classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("sample").alias("sample"), F.first("size").alias("size"), F.first("bits").alias("bits")), "simhash-classes")
         roots = components(wide_links(classes, radius, similarity)).withColumnRenamed("u", "fp")
         roots = components(verified(roots, classes, docs, words, similarity, text_col)).withColumnRenamed("u", "fp")
@@ -368,23 +369,26 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, similarity
 
 
 def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", seeds: int = 1) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
-
-    Of rows that repeat an id one stays. Where a component has no id at all,
-    one of its rows stays.
+    """One row of each component, with all its columns.
+
+    The row with the smallest id stays; ids may repeat, so of several rows with
+    that id one of the smallest fingerprint stays, and of rows equal in both,
+    copies of one text by fingerprint, the one with the smallest hash of text
+    and other columns. Rows without an id are components' rows like any other
+    and stay only where no row has an id. Null, empty and white texts are
+    alike. An empty table gives no rows.
     """
     names = docs.columns
-    rows, classes = _classes(docs, radius, words, similarity, seeds, id_col, text_col)
-    kept = classes.where("component_id is not null").select(F.col("component_id").alias("kept__id")).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col("kept__id"), "left_semi")
-    if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    if not rows.where("id is null").isEmpty():
-        nameless = docs.where(F.col(id_col).isNull()).withColumn("row__id", F.xxhash64(text_col).cast("string"))
-        prints = fingerprints(nameless, "row__id", text_col, words) if similarity is None else wide_prints(nameless, words, seeds, "row__id", text_col)
-        prints = prints.select("id", "fp").distinct()
-        one = prints.join(classes.where("component_id is null"), "fp").groupBy("root").agg(F.min("id").alias("one__id"))
-        out = out.unionByName(
-            nameless.join(one, F.col("row__id") == F.col("one__id"), "left_semi").dropDuplicates(["row__id"]).select(*[F.col(f"`{c}`") for c in names])
-        )
-    return out
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    whole = F.xxhash64(*[x for c in names for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
+    marked = docs.withColumns({"row__text": F.xxhash64(text), "row__whole": whole})
+    keys = marked.select(F.col(f"`{id_col}`").alias("id"), F.col("row__text").alias("text"), F.col("row__whole").alias("whole"), text.alias("t"))
+    rows, classes = _classes(keys, radius, words, similarity, seeds, "id", "t", ["text", "whole"])
+    # of each class first, so that no component's rows meet in one task
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "fp", "text", "whole"))
+    best = rows.groupBy("fp").agg(first.alias("first")).join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    best = cut(best.select(F.col("first.text").alias("row__text"), F.col("first.whole").alias("row__whole")), "simhash-kept")
+    kept = marked.join(best, ["row__text", "row__whole"], "left_semi")
+    if not rows.groupBy("text", "whole").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["row__text", "row__whole"])  # rows equal in all columns share both hashes
+    return kept.select(*[F.col(f"`{c}`") for c in names])
