@@ -45,10 +45,23 @@ def test_measures():
     assert meter("\n\n the cat\n")["fallback_share"] == 0 and meter("ꙮꙮꙮ")["fallback_share"] > 0.5
     assert meter("")["n_tokens"] == 0 and meter("漢字 漢字 ab")["script"] == "Han" and meter("12 3")["script"] == "Other"
     long = "word and " * 60_000
-    assert "".join(fertility.chunks(long)) == long
     assert meter(long)["n_tokens"] == len(meter.bytes_level.encode_ordinary(long))
 
 
+def test_quartiles_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], rng.gauss(3, 0.5), rng.random() / 50, rng.random()) for i in range(501)] + [("c", 2.0, 0.0, 1.0)]
+    got = fertility.quartiles(spark.createDataFrame(rows, "family string, chars_per_token double, fallback_share double, entropy double").repartition(3)).collect()
+    assert len(got) == 3
+    for r in got:
+        for k, c in enumerate(fertility.MEASURES, 1):
+            own = sorted(x[k] for x in rows if x[0] == r.family)
+            assert r[f"{c}_texts"] == len(own)
+            for name, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75)):
+                want = own[-int(-q * len(own) // 1) - 1]
+                assert abs(r[f"{c}_{name}"] - want) <= fertility.TOPS[c] / fertility.BINS
+
+
 def test_verdicts(spark):
     rng = random.Random(1)
     syllables = ["tha", "ing", "ou", "ndre", "er", "st"]

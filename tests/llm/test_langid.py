@@ -49,6 +49,21 @@ def test_choice_is_the_smallest_of_whole_texts(spark, table_dir):
     assert classify("xyz")[2] is False or classify("xyz")[1] > 0
 
 
+def test_every_language_is_learned_from_whole_texts(spark):
+    rows = [(i, "common header of all texts " * 40 + f"{chr(945 + i)}{chr(960 + i)} " * 2000, f"l{i:03}") for i in range(120)]
+    found = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(found) == 120
+    classify = langid.Classifier({k: found[k] for k in ("l000", "l005", "l020")})
+    assert classify(f"{chr(950)}{chr(965)} " * 30)[0] == "l005"
+
+
+def test_carried_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "abc def", 5, "x")], "doc_id long, text string, accepted int, score string")
+    told = langid.identify(docs, {"aa": b"abc def"}, keep=docs.columns, names=("l", "s", "a"))
+    assert told.columns == ["doc_id", "text", "accepted", "score", "l", "s", "a"] and told.first().accepted == 5
+    assert langid.identify(docs, {"aa": b"abc def"}, keep=docs.columns).columns == ["doc_id", "text", "lang_pred", "score", "accepted"]
+
+
 def test_nothing_to_learn_or_label(spark):
     docs = spark.createDataFrame([(1, "abc", None), (1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.learn(docs) == {}

@@ -20,6 +20,14 @@ def brute_marginals(field, rows):
     return good / total
 
 
+def test_spans_reach_from_the_first_line_to_the_last():
+    assert quality.spans(np.zeros((0, 2))) == [] and len(quality.spans(np.arange(64)[:, None])) == 1
+    rows = np.arange(5000)[:, None]
+    found = quality.spans(rows)
+    assert len(found) == quality.SPANS and all(len(x) == quality.SPAN_LINES for x in found)
+    assert found[0][0, 0] == 0 and found[-1][-1, 0] == 4999
+
+
 def line(rng, good):
     words = ["".join(rng.choice(["tha", "ing", "ou", "er"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 20))]
     return " ".join(words).capitalize() + "." if good else rng.choice(["!! ".join(words).upper() + "!!", " | ".join(words), "$$$ ".join(words)])
@@ -59,7 +67,7 @@ def test_held_out_ranking(spark, tmp_path):
 
 def test_bad_block_inside_a_good_document(spark):
     rng = random.Random(3)
-    field = quality.fit([(quality.features(t)[0], y) for _, t, y in corpus()])
+    field = quality.fit([(x, y, 1.0) for _, t, y in corpus() for x in quality.spans(quality.features(t)[0])])
     text = "\n".join([line(rng, True) for _ in range(12)] + [line(rng, False) for _ in range(12)])
     p = [r.good for r in quality.line_labels(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).orderBy("line").collect()]
     assert len(p) == 24 and np.mean(p[:10]) > 0.7 > 0.3 > np.mean(p[-10:])

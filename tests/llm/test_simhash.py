@@ -56,7 +56,7 @@ def test_equals_brute_force(spark):
     want = brute(rows, 2)
     assert sorted(map(tuple, got.collect()), key=str) == want
     kept = simhash.deduplicate(docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for _, _, c in want if c is not None})
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(c for c in dict.fromkeys((c for _, _, c in want)) if c is not None)
     assert [r.text for r in kept if r.doc_id is None] == ["alone at last"]
 
 
@@ -150,6 +150,23 @@ def test_rows_without_id_are_verified_too(spark):
     assert [r.doc_id for r in simhash.deduplicate(docs, radius=76, words=5, similarity=0.8, seeds=4).collect()] == [1]
 
 
+def test_a_repeated_id_loses_no_other_text(spark):
+    one, two, three = families(4, 3)[::8]
+    docs = spark.createDataFrame([(1, one, "a"), (1, two, "b"), (2, three, None), (2, three, None), (None, three, "c"), (None, two + " end", None)], "doc_id long, text string, note string")
+    got = simhash.deduplicate(docs, radius=76, words=5, similarity=0.8, seeds=4)
+    assert got.columns == docs.columns
+    assert sorted(got.collect(), key=str) == sorted([(1, one, "a"), (1, two, "b"), (2, three, None)], key=str)
+
+
+def test_components_of_a_hub(spark):
+    rng = random.Random(1)
+    links = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(2990, 4000)] + [(9000 + i, 9001 + i) for i in range(0, 40, 2)]
+    rng.shuffle(links)
+    got = {r.u: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(4)).collect()}
+    assert len(got) == 3000 + 1000 + 1 + 40 and all(r == 0 for u, r in got.items() if u < 9000)
+    assert all(got[9000 + i] == got[9001 + i] == 9000 + i for i in range(0, 40, 2))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {(r.u, r.root) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}

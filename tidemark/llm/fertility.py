@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import load_ranks
@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 WHITE = b" \t\n\v\f\r"
 #: Scripts with bands of their own; a text belongs to the one with most of its letters.
 SCRIPTS = ["Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai"]
-#: Measures of a few tokens scatter and are not judged.
+#: Texts of fewer tokens are left out of the fits. Their verdict does not depend on it: a text of 50 words has 50 tokens, with fewer words it fails the base rules.
 MIN_TOKENS = 50
 #: Fences in spreads below and above the fitted line. High entropy for the length is what rich texts have, low fallback what plain ones have.
 FENCES = {"chars_per_token": (3.5, 6.0), "fallback_share": (None, 6.0), "entropy": (3.5, None)}
@@ -41,8 +41,8 @@ FITS, TRIM = 3, 3.0
 #: Least spreads, as a corpus of one mould must not reject its next text, and the spreads that count as PRIOR texts more where texts are few.
 LEAST_SPREAD = {"chars_per_token": 0.01, "fallback_share": 0.002, "entropy": 0.005}
 PRIOR_SPREAD, PRIOR = {"chars_per_token": 0.1, "fallback_share": 0.002, "entropy": 0.04}, 20
-#: Characters encoded at once; pieces are cut at white space, which no token crosses at its end.
-CHUNK = 200_000
+#: Bins of a measure, equally wide from 0 to TOPS, whose counts give the first quartiles.
+BINS, TOPS = 8192, {"chars_per_token": 16.0, "fallback_share": 1.0, "entropy": 1.0}
 
 LETTERS = regex.compile("|".join(rf"(\p{{{s}}}+)" for s in SCRIPTS))
 LATIN = regex.compile(r"\p{Latin}")
@@ -93,17 +93,6 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def chunks(text: str) -> list[str]:
-    """The whole text in parts of bounded length, cut before white space where there is any."""
-    out, at = [], 0
-    while len(text) - at > CHUNK:
-        end = text.rfind(" ", at + CHUNK // 2, at + CHUNK)
-        end = end if end > at else at + CHUNK
-        out.append(text[at:end])
-        at = end
-    return [*out, text[at:]]
-
-
 class Meter:
     """Measures texts with both vocabularies."""
 
@@ -115,9 +104,8 @@ class Meter:
         self.bare = np.array([self.pieces.is_byte(i) and i not in white for i in range(self.pieces.get_piece_size())])
 
     def __call__(self, text: str) -> dict:
-        parts = chunks(text)
-        ids = np.concatenate([np.array(self.bytes_level.encode_ordinary(x), np.int64) for x in parts])
-        pieces = np.concatenate([np.array(self.pieces.encode(x, num_threads=1), np.int64) for x in parts])
+        ids = np.array(self.bytes_level.encode_ordinary(text), np.int64)
+        pieces = np.array(self.pieces.encode(text, num_threads=1), np.int64)
         n = len(ids)
         p = np.bincount(ids)[np.unique(ids)] / n if n else np.array([])
         return {
@@ -178,6 +166,20 @@ def line(y: Column, x: Column, at: str, slope: str, scale: float = 1.0) -> list[
     ]
 
 
+def quartiles(judged: DataFrame) -> DataFrame:
+    """Texts and quartiles of each measure by family, to the width of a bin: counts of bins, the same in any order of rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.least(F.lit(BINS - 1), F.floor(F.col(c) * F.lit(BINS / TOPS[c]))).cast("int").alias("bin")) for c in MEASURES])).alias("x")
+    counts = judged.select("family", each).select("family", "x.*").groupBy("family", "measure", "bin").count()
+    # a family and measure has at most BINS rows here
+    upto = F.sum("count").over(Window.partitionBy("family", "measure").orderBy("bin"))
+    texts = F.sum("count").over(Window.partitionBy("family", "measure"))
+    placed = counts.select("family", "measure", "bin", upto.alias("upto"), texts.alias("texts"))
+    at = lambda c, q: F.min(F.when((F.col("measure") == c) & (F.col("upto") >= q * F.col("texts")), (F.col("bin") + 0.5) * F.lit(TOPS[c] / BINS)))
+    return placed.groupBy("family").agg(
+        *[x for c in MEASURES for x in (F.max(F.when(F.col("measure") == c, F.col("texts"))).alias(f"{c}_texts"), at(c, 0.25).alias(f"{c}_low"), at(c, 0.5).alias(f"{c}_mid"), at(c, 0.75).alias(f"{c}_high"))]
+    )
+
+
 def bands(measured: DataFrame) -> DataFrame:
     """Line and spread of each measure against x, the logarithm of the tokens, by family.
 
@@ -186,9 +188,8 @@ def bands(measured: DataFrame) -> DataFrame:
     odd texts of odd lengths would draw the line to themselves.
     """
     judged = measured.where(F.col("n_tokens") >= MIN_TOKENS).select("family", F.log2("n_tokens").alias("x"), *MEASURES)
-    marks = judged.groupBy("family").agg(*[F.count(c).alias(f"{c}_texts") for c in MEASURES], *[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES])
-    flat = [x for c in MEASURES for x in (F.col(c)[1].alias(f"{c}_at"), ((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"{c}_wide"), F.lit(0.0).alias(f"{c}_slope"), F.lit(0.0).alias(f"{c}_wider"))]
-    fits = cut(marks.select("family", *[f"{c}_texts" for c in MEASURES], *flat), "fertility-fits")
+    flat = [x for c in MEASURES for x in (F.col(f"{c}_mid").alias(f"{c}_at"), ((F.col(f"{c}_high") - F.col(f"{c}_low")) / 1.349).alias(f"{c}_wide"), F.lit(0.0).alias(f"{c}_slope"), F.lit(0.0).alias(f"{c}_wider"))]
+    fits = cut(quartiles(judged).select("family", *[f"{c}_texts" for c in MEASURES], *flat), "fertility-fits")
     for _ in range(FITS):
         rows = judged.join(fits, "family").select("family", "x", *[F.when(F.abs(spreads_off(c)) <= TRIM, F.col(c)).alias(c) for c in MEASURES])
         lines = rows.groupBy("family").agg(*[x for c in MEASURES for x in [*line(F.col(c), F.col("x"), f"{c}_at", f"{c}_slope"), F.count(c).alias(f"{c}_texts")]])
@@ -213,8 +214,8 @@ def judge(docs: DataFrame, rank_path: str, pattern: str, piece_path: str, id_col
 
     Returns id_col, the five base counts, base_failed, kept, and then script,
     n_tokens and the measures. Null texts count as empty: no words, so the base
-    rules fail them and they are not kept. Texts of fewer than MIN_TOKENS
-    tokens pass the bands. Without a language, or without that column, a text's
+    rules fail them and they are not kept. Texts of any length are encoded
+    whole. Without a language, or without that column, a text's
     script is its group. Repeated rows are kept each. Other columns are left
     out; an empty table gives no rows. The bands are counted over all texts.
     """
@@ -222,7 +223,7 @@ def judge(docs: DataFrame, rank_path: str, pattern: str, piece_path: str, id_col
     inside = sum(spreads_off(c) for c in BOTH) >= -BOTH_FENCE * F.sqrt(2 * (1 + F.col("together")))
     for c, (low, high) in FENCES.items():
         inside = inside & (spreads_off(c) >= -low if low else F.lit(True)) & (spreads_off(c) <= high if high else F.lit(True))
-    passed = (F.col("n_tokens") < MIN_TOKENS) | F.coalesce(inside, F.lit(True))
+    passed = F.coalesce(inside, F.lit(True))
     return (
         measured.withColumn("x", F.log2("n_tokens")).join(bands(measured), "family", "left")
         .withColumn("base_failed", base_failed())

@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, per_task, remainder
 
-#: Documents sampled for each language (expected), and bytes of a dictionary.
-SAMPLE_DOCS, DICTIONARY_BYTES = 256, 96 * 1024
-#: Characters sampled from one document at most, and languages learned at most.
-SAMPLE_CHARS, LANGUAGES = 4096, 100
+#: Documents sampled for each language (expected), and characters drawn from all of them for its dictionary.
+SAMPLE_DOCS, DICTIONARY_CHARS = 256, 96 * 1024
 #: Bytes of a text that are compressed at once. Short blocks lean on the dictionary.
 BLOCK = 4096
 #: Bytes by which the best must beat the runner-up to be accepted, and the share of the runner-up's bytes.
@@ -33,35 +31,34 @@ LETTER = regex.compile(r"\p{L}")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language, from a bounded sample of labelled rows.
-
-    About SAMPLE_DOCS rows of each language are drawn by a hash of their id,
-    and of each at most SAMPLE_CHARS characters: bounded parameters of the fit.
-    Rows without text or language are not learned from. Of more than LANGUAGES
-    languages the most frequent are learned.
+    """A dictionary for each language that has a text with a letter, from a bounded sample of labelled rows.
+
+    About SAMPLE_DOCS rows of each language are drawn by a hash of their id and
+    text, and of each a span of equal length that starts anywhere in the text,
+    so that dictionaries hold some DICTIONARY_CHARS characters: bounded
+    parameters of the fit. Rows without text or language are not learned from;
+    rows without id, repeated rows and empty texts are drawn like any other.
+    What the driver holds grows with the number of languages alone.
     """
     known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    figures = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["count"])])
+    mark = F.xxhash64("id", "text")
+    chars = F.ceil(F.lit(DICTIONARY_CHARS) / F.least(F.col("rows"), F.lit(SAMPLE_DOCS))).cast("int")
+    start = F.pmod(F.xxhash64("text", "id"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int")
     rows = (
-        known.where(drawn < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-        .select("lang", "id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        known.withColumn("rows", F.try_element_at(figures, F.col("lang")))
+        .where(F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(SAMPLE_DOCS) / F.col("rows"))
+        .select("lang", "id", F.substring("text", start + 1, chars).alias("text"))
         .collect()
     )
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.id or "", r.text)):
         texts.setdefault(r.lang, []).append(r.text)
-    return {lang: _dictionary(own) for lang, own in texts.items() if any(map(LETTER.search, own))}
-
-
-def _dictionary(texts: list[str]) -> bytes:
-    """An equal part of each text until the dictionary is full."""
-    each = max(256, DICTIONARY_BYTES // len(texts))
-    return b"\n".join(t.lower().encode()[:each] for t in texts)[:DICTIONARY_BYTES]
+    return {lang: "\n".join(own).lower().encode() for lang, own in texts.items() if any(map(LETTER.search, own))}
 
 
 class Classifier:
@@ -89,17 +86,18 @@ class Classifier:
         return lang, 1 - math.exp(-share / SURE), second - best >= MIN_BYTES and share >= MIN_SHARE
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The language of every whole text.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """The language of every whole text, however long, in blocks of BLOCK bytes.
 
     Returns id_col, lang_pred, score (0 to 1) and accepted (false where the
     margin is narrow). Null and empty texts, and texts without a letter, get
     ``und`` with score 0, not accepted; so do all texts if no language was
     learned. Equal sizes go to the language first in code point order, not
-    accepted. Repeated rows are kept. ``keep`` names columns to carry along;
-    others are left out. Nothing is shuffled; an empty table gives no rows.
+    accepted. Repeated rows are kept. ``keep`` names columns to carry along
+    instead of id_col, others are left out; ``names`` are those of the three
+    new columns, and a carried column of the same name gives way. Nothing is shuffled; an empty table gives no rows.
     """
-    carried = [id_col] if keep is None else keep
+    carried = [c for c in ([id_col] if keep is None else keep) if c not in names]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def make():
@@ -116,7 +114,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("t"))
     schema = ", ".join([*(f"c{i} {fields[c]}" for i, c in enumerate(carried)), "lang_pred string, score double, accepted boolean"])
     out = map_arrow(source, per_task(make), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "lang_pred", "score", "accepted")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *[F.col(a).alias(b) for a, b in zip(("lang_pred", "score", "accepted"), names)])
 
 
 def held_out(doc_id, of: int = 3, left: int = 1):

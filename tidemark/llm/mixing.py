@@ -251,11 +251,11 @@ steps AS (
          g.target - 3.0::DOUBLE * COALESCE(SUM(words) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS left_,
          (SUM(words * digits) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS slope
   FROM classes c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
-tried AS (SELECT *, CASE WHEN slope > 0 THEN left_ / slope END AS at FROM steps),
+tried AS (SELECT *, CASE WHEN slope > 0 THEN left_ / slope END AS own FROM steps),
 best AS (
-  SELECT source, max(digits) AS from_, arg_max(at, digits) AS at FROM tried WHERE at <= 3.0::DOUBLE / digits::DOUBLE GROUP BY source),
+  SELECT source, max(digits) AS from_, arg_max(own, digits) AS own FROM tried WHERE own <= 3.0::DOUBLE / digits::DOUBLE GROUP BY source),
 due AS (
-  SELECT t.*, CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE WHEN t.digits <= b.from_ THEN LEAST(3.0::DOUBLE, b.at * t.digits::DOUBLE) ELSE 3.0::DOUBLE END AS expected
+  SELECT t.*, CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE WHEN t.digits <= b.from_ THEN LEAST(3.0::DOUBLE, b.own * t.digits::DOUBLE) ELSE 3.0::DOUBLE END AS expected
   FROM tried t LEFT JOIN best b ON t.source IS NOT DISTINCT FROM b.source),
 shares AS (
   SELECT *, FLOOR(expected)::BIGINT AS whole, expected - FLOOR(expected) AS share,

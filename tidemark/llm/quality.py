@@ -4,8 +4,9 @@ Every line with a word is a node, good or bad. Its potential comes from shape
 features of the line and of both neighbours, the edges tie neighbouring labels.
 Forward-backward gives each line's marginal probability of being good; the mean
 of the marginals, weighted by line length, is the document's quality. The field
-is fitted on a bounded sample of labelled documents whose lines carry their
-document's label.
+is fitted on a bounded sample of labelled documents. Labels are known for
+whole documents only, so every line carries its document's: the edges learn how
+strongly neighbouring lines agree, not where quality changes within a text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
 
-#: Labelled documents sampled for each class (expected) and lines learned from one of them at most.
-SAMPLE_DOCS, SAMPLE_LINES = 1000, 64
+#: Labelled documents sampled for each class (expected), lines of a span that is learned from, and spans of a document, evenly spaced over the whole.
+SAMPLE_DOCS, SPAN_LINES, SPANS = 1000, 64, 8
 #: Steps and step size of the fit, and its penalty on squared weights.
 STEPS, RATE, PENALTY = 150, 0.08, 1e-3
 
@@ -50,14 +51,23 @@ def line_features(line: bytes, seen: set[bytes]) -> list[float]:
     return out
 
 
-def features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each line with a word, and the lines' lengths in bytes."""
-    lines = [x for x in (text or "").encode().split(b"\n") if x.strip()][:most]
+    lines = [x for x in (text or "").encode().split(b"\n") if x.strip()]
     seen: set[bytes] = set()
     rows = np.array([line_features(x, seen) for x in lines], np.float32).reshape(-1, FEATURES)
     return rows, np.array([len(x) for x in lines], np.float64)
 
 
+def spans(rows: np.ndarray) -> list[np.ndarray]:
+    """The whole of a short text's rows; of a long one spans from its first line to its last."""
+    n = len(rows)
+    count = min(SPANS, -(-n // SPAN_LINES))
+    if count <= 1:
+        return [rows] if n else []
+    return [rows[at : at + SPAN_LINES] for at in (round(k * (n - SPAN_LINES) / (count - 1)) for k in range(count))]
+
+
 def with_neighbours(rows: np.ndarray) -> np.ndarray:
     """Each line's features beside those of the lines before and after; zeros at the ends."""
     zero = np.zeros((1, rows.shape[1]), rows.dtype)
@@ -106,26 +116,26 @@ class Field:
         return min(1.0, float(np.dot(self.marginals(rows), lengths) / lengths.sum()))
 
 
-def fit(docs: list[tuple[np.ndarray, int]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Field:
-    """Maximise the conditional likelihood of the lines' labels by Adam over all documents at once."""
-    docs = [(x, y) for x, y in docs if len(x)]
+def fit(docs: list[tuple[np.ndarray, int, float]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Field:
+    """Maximise the conditional likelihood of the lines' labels by Adam over all chains (rows, label, weight) at once."""
+    docs = [d for d in docs if len(d[0])]
     if not docs:
         return Field(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(3 * FEATURES), 0.0, np.zeros((2, 2)))
-    every = np.vstack([x for x, _ in docs]).astype(np.float64)
+    every = np.vstack([x for x, *_ in docs]).astype(np.float64)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-    n, most = len(docs), max(len(x) for x, _ in docs)
+    n, most = len(docs), max(len(x) for x, *_ in docs)
     width = 3 * FEATURES
     x = np.zeros((n, most, width), np.float32)
     live = np.zeros((n, most), bool)
-    y = np.array([label for _, label in docs])
-    for i, (rows, _) in enumerate(docs):
+    y = np.array([label for _, label, _ in docs])
+    for i, (rows, *_) in enumerate(docs):
         x[i, : len(rows)] = with_neighbours((rows - mean) / scale)
         live[i, : len(rows)] = True
     w, b, edges = np.zeros(width), 0.0, np.zeros((2, 2))
     slope, curve = np.zeros(width + 5), np.zeros(width + 5)
     gold = np.where(live, y[:, None], 0)
     pairs = live[:, 1:]
-    weight = 1.0 / live.sum(axis=1)  # documents count alike
+    weight = np.array([w for *_, w in docs]) / live.sum(axis=1)  # documents count alike
     for step in range(1, steps + 1):
         odds = np.where(live, x @ w.astype(np.float32) + b, 0.0)
         unary = np.stack([-odds / 2, odds / 2], axis=2)
@@ -158,9 +168,12 @@ def fit(docs: list[tuple[np.ndarray, int]], steps: int = STEPS, rate: float = RA
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit a field on a bounded sample of labelled documents.
 
-    About SAMPLE_DOCS labelled ids of each class are drawn by a hash; of a text
-    the first SAMPLE_LINES lines are learned from. Ids labelled twice count once,
-    with the smaller label. Null ids, texts and labels are not learned from.
+    About SAMPLE_DOCS labelled ids of each class are drawn by a hash; a text of
+    more than SPAN_LINES lines is learned from in up to SPANS spans of that many
+    lines, spread evenly over the whole. Ids labelled twice count once, with the
+    smaller label, and of rows that repeat an id the smallest text. Null ids,
+    texts and labels are not learned from; without any, all texts score 0.5 or,
+    if they have no word, 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("label__id")).agg(F.min(label_col).cast("int").alias("label__y"))
@@ -168,22 +181,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = F.pmod(F.xxhash64(F.col("label__id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("label__y") == 1, SAMPLE_DOCS / sizes.get(1, 1)).otherwise(SAMPLE_DOCS / sizes.get(0, 1))
     sample = known.where(drawn < share)  # 2 * SAMPLE_DOCS rows are expected: a bounded broadcast
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("label__id"))
+    texts = docs.select(F.col(id_col).alias("text__id"), F.col(text_col).alias("text__text")).where("text__text is not null")
+    texts = texts.join(F.broadcast(sample), F.col("text__id") == F.col("label__id"))
+    texts = texts.groupBy("label__id", "label__y").agg(F.min("text__text").alias("text"))
 
     def step(t: pa.Table) -> pa.Table:
-        found = [features(x, SAMPLE_LINES)[0].tobytes() for x in t.column(2).to_pylist()]
-        return pa.table({"id": t.column(0), "y": t.column(1), "x": pa.array(found, pa.binary())})
+        found = [[x.tobytes() for x in spans(features(x)[0])] for x in t.column(2).to_pylist()]
+        return pa.table({"id": t.column(0), "y": t.column(1), "x": pa.array(found, pa.list_(pa.binary()))})
 
-    shaped = map_arrow(rows.select(F.col("label__id").cast("string"), "label__y", text_col), step, "id string, y int, x binary").collect()
-    shaped.sort(key=lambda r: (r.id, bytes(r.x)))
-    return fit([(np.frombuffer(bytes(r.x), np.float32).reshape(-1, FEATURES), r.y) for r in shaped])
+    shaped = map_arrow(texts.select(F.col("label__id").cast("string"), "label__y", "text"), step, "id string, y int, x array<binary>").collect()
+    chains = [(np.frombuffer(bytes(x), np.float32).reshape(-1, FEATURES), r.y, 1 / len(r.x)) for r in sorted(shaped, key=lambda r: r.id) for x in r.x]
+    return fit(chains)
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score, 0 to 1, of every whole text.
 
     Null and empty texts, and texts without a word, score 0. Lines without a
-    word are no nodes. Repeated rows are kept. Other columns are left out; an
+    word are no nodes. A text of any length is one chain, held by one task.
+    Repeated rows are kept. Other columns are left out; an
     empty table gives no rows. Nothing is shuffled.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -195,7 +211,11 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def line_labels(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each line with a word: id_col, line (from 0, among such lines), good, its marginal."""
+    """A row for each line with a word: id_col, line (from 0, among such lines), good, its marginal.
+
+    Null and empty texts give no rows, repeated rows theirs each. Other columns
+    are left out; an empty table gives no rows.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(t: pa.Table) -> pa.Table:

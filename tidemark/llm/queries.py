@@ -27,8 +27,8 @@ def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret candidates of all documents with the verdict of the forest."""
-    model = secrets.train(secrets.labelled_findings(spark))
-    return secrets.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

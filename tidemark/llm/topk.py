@@ -132,14 +132,14 @@ def top_k(
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)}).drop_columns(["group"])
 
-    asked = map_arrow(packed.select("block", "dim", "ids", "exact"), to_queries, "dim int, query long, vector binary, block int, place int")
+    asked = map_arrow(packed.select("block", "dim", "ids", "exact"), to_queries, "dim int, query long, vector binary, block int, place int", rows=1)
     groups = max(1, -(-blocks // every))
     asked = cut(
         asked.groupBy("dim", F.pmod(F.hash("block", "place"), F.lit(groups)).alias("group"))
         .agg(F.collect_list(F.struct("query", "vector", "block", "place")).alias("asked")),
         "topk-queries",
     )  # about BLOCK queries in a row
-    pairs = min(4096, 4 * blocks * groups)
+    pairs = min(200_000, 4 * blocks * groups)  # a task holds one pair at a time, however many it gets
     left = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(pairs, "dim", "block", "group")
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(pairs, "dim", "block", "group")
 
@@ -157,7 +157,7 @@ def top_k(
         return pa.table({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()})
 
     columns = ["ids", "exact", "cells", "low", "width", "dim", "block", "asked"]
-    found = map_arrow(left.join(right, ["dim", "block", "group"]).select(*columns), search, "block_q long, place_q long, query long, vec long, score long")
+    found = map_arrow(left.join(right, ["dim", "block", "group"]).select(*columns), search, "block_q long, place_q long, query long, vec long, score long", rows=1)
     best = Window.partitionBy("query", "block_q", "place_q").orderBy(F.desc("score"), "vec")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
