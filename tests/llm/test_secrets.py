@@ -17,7 +17,7 @@ CASES = [
     ("TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"!!", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), ("access_key: wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzz9", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzz9"),
     (f"commit {HEX} fixed it", None), ("see src/main/java/module12/file of it", None), ("id 3f2504e0-4f89-41d3-9a0c-0305e82c3301 seen", None),
     ("call 4111111111111111 today", None), ("sha256: " + HEX + HEX[:24], None), ("write to john.smith@mail12.example.com soon", None),
-    ("at 192.168.100.123:8080 there", None), ("class garden_water_number_12 here", None), ("the token: somewhere of this house", None),
+    ("at 192.168.100.123/24 there", None), ("class garden_water_number_12 here", None), ("the token: somewhere of this house", None),
     ("password=changeme1234", None), ("someOtherPeopleThing is a name", None), ("version water-garden-v12.31 runs", None), ("md5 9e107d9d372bb6826bd81d3542a419d6", None),
 ]
 
