@@ -68,12 +68,19 @@ def _n_words(key: Column) -> Column:
 
 
 def token_score(a: Column, b: Column) -> Column:
-    """Best of Jaccard, and of containment: 0.86 for one word, 0.94 for more."""
+    """Best of Jaccard, of the share of the smaller word set that is shared, times 0.92, and
+    of words that stand together in a longer key: 0.86 for one word, 0.94 for more."""
     x, y = tokens(a), tokens(b)
     shared, every = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     short = F.least(_n_words(a), _n_words(b))
     inside = F.when(contiguous(a, b) == 1, F.when(short == 1, F.lit(0.86)).otherwise(F.lit(0.94))).otherwise(F.lit(0.0))
-    return F.greatest(F.coalesce(F.try_divide(shared, every), F.lit(0.0)), inside)
+    share = lambda of: F.coalesce(F.try_divide(shared, of), F.lit(0.0))
+    return F.greatest(share(every), share(F.least(F.size(x), F.size(y))) * 0.92, inside)
+
+
+def holds(long: Column, short: Column) -> Column:
+    """Whether the words of a key that is not empty stand together in ``long``."""
+    return (short != "") & _contains(long, short)
 
 
 def fuzzy(a: Column, b: Column) -> Column:

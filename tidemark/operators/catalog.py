@@ -23,9 +23,12 @@ def library_status(assets: DataFrame, directories: DataFrame) -> DataFrame:
     return directories.join(counts, "directory_id", "left").fillna(0, names).select("directory_id", *names, "last_scan_us")
 
 
-def mark_missing(assets: DataFrame, seen: DataFrame) -> DataFrame:
-    """Assets of scanned directories whose path was not seen become missing; others stay as they are."""
-    scanned = seen.select("directory_id").distinct().withColumn("scanned", F.lit(True))
+def mark_missing(assets: DataFrame, seen: DataFrame, directories: DataFrame) -> DataFrame:
+    """Assets of the scanned ``directories`` whose path was not seen become missing; others stay as they are.
+
+    A scanned directory may have nothing left in it: all its assets are missing.
+    """
+    scanned = directories.select("directory_id").distinct().withColumn("scanned", F.lit(True))
     found = seen.select("directory_id", "path").distinct().withColumn("found", F.lit(True))
     gone = F.col("scanned").isNotNull() & F.col("found").isNull()
     return (
@@ -50,7 +53,7 @@ def moved(assets: DataFrame, files: DataFrame) -> DataFrame:
     order_old = Window.partitionBy(*same).orderBy(F.desc("last_seen_us"), "asset_id")
     ranked_new = new.select(*same, "path").withColumn("k", F.row_number().over(order_new))
     ranked_old = lost.withColumn("k", F.row_number().over(order_old))
-    return ranked_new.join(ranked_old, [*same, "k"]).select("path", "asset_id", "old_path")
+    return ranked_new.join(ranked_old, [*same, "k"]).select("directory_id", "path", "asset_id", "old_path")
 
 
 def same_path(assets: DataFrame, files: DataFrame) -> DataFrame:
@@ -101,7 +104,8 @@ def resolve_reference(rows: DataFrame, key: str, dimension: DataFrame, dimension
 
 def file_status(files: DataFrame) -> DataFrame:
     """Status of scanned files: unsupported, unreadable, metadataPartial or ready."""
-    partial = F.col("title").isNull() | (F.coalesce(F.size("artists"), F.lit(0)) == 0)
+    nobody = F.coalesce(F.size("artists"), F.lit(0)) == 0 if "artists" in files.columns else F.coalesce(F.trim("artist"), F.lit("")) == ""
+    partial = F.col("title").isNull() | nobody
     return files.withColumn(
         "status",
         F.when(~F.col("supported"), "unsupported").when(~F.col("readable"), "unreadable").when(partial, "metadataPartial").otherwise("ready"),
@@ -114,23 +118,42 @@ def identity_fallback(new: DataFrame, prior: DataFrame, key: str, fields: list[s
     return new.join(p, key, "left").withColumns({f: F.coalesce(f, f"p_{f}") for f in fields}).select(*new.columns)
 
 
-def rescan(assets: DataFrame, files: DataFrame) -> DataFrame:
-    """One batch of all directories: unchanged, moved, new and missing files give the next catalog.
+def rescan(assets: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
+    """One batch over the scanned ``directories``: unchanged, moved, new and missing files give the next catalog.
 
-    ``files`` are what the scan found (asset columns without asset_id and
-    status). New files get an id from a hash of directory and path.
+    ``files`` are what the scan found: asset columns without asset_id and
+    status, with supported and readable. An unchanged file keeps its asset's
+    row and status; others get the status of what could be read. New files get
+    an id from a hash of directory and path.
     """
-    names = assets.columns
-    continued = moved(assets, files).select("path", F.col("asset_id").alias("moved_id"))
-    known = assets.select("directory_id", "path", F.col("asset_id").alias("own_id"))
-    fresh = F.abs(F.xxhash64("directory_id", "path"))
-    now = (
-        files.join(known, ["directory_id", "path"], "left").join(continued, "path", "left")
-        .withColumn("asset_id", F.coalesce("own_id", "moved_id", fresh)).withColumn("status", F.lit("ready")).select(*names)
+    names, here = assets.columns, ["directory_id", "path"]
+    same = same_path(assets.where(F.col("status") != MISSING), files)
+    rest = files.join(same.select(*here), here, "left_anti")
+    continued = moved(assets, files).select(*here, F.col("asset_id").alias("moved_id"))
+    known = assets.select(*here, F.col("asset_id").alias("own_id"))
+    fresh = F.abs(F.xxhash64(*here))
+    read = (
+        file_status(rest.join(known, here, "left").join(continued, here, "left"))
+        .withColumn("asset_id", F.coalesce("own_id", "moved_id", fresh)).select(*names)
     )
-    rest = assets.join(now.select("asset_id"), "asset_id", "left_anti").join(files.select("directory_id").distinct().withColumn("scanned", F.lit(True)), "directory_id", "left")
-    rest = rest.withColumn("status", F.when(F.col("scanned"), F.lit(MISSING)).otherwise(F.col("status"))).select(*names)
-    return now.unionByName(rest)
+    now = same.select(*names).unionByName(read)
+    return now.unionByName(mark_missing(assets.join(now.select("asset_id"), "asset_id", "left_anti"), files, directories).select(*names))
+
+
+def scanned_at(directories: DataFrame, scans: DataFrame) -> DataFrame:
+    """Directories with the time of their last scan moved on by ``scans`` (directory_id, at_us); it never goes back."""
+    last = scans.groupBy("directory_id").agg(F.max("at_us").alias("at_us"))
+    columns = directories.columns
+    return directories.join(last, "directory_id", "left").withColumn("last_scan_us", F.greatest("last_scan_us", "at_us")).select(*columns)
+
+
+def at_path(assets: DataFrame, paths: DataFrame, statuses: tuple[str, ...] = ("ready", "metadataPartial")) -> DataFrame:
+    """For each asked path (path) the asset to show: one that can be played before others, then the one seen last, then the smallest id."""
+    playable = F.when(F.col("status").isin(*statuses), 0).otherwise(1)
+    order = F.struct(playable, -F.col("last_seen_us"), F.col("asset_id"))
+    rows = assets.join(paths.select("path").distinct(), "path")
+    row = F.struct(*[c for c in assets.columns if c != "path"])
+    return rows.groupBy("path").agg(F.min_by(row, order).alias("x")).select("path", "x.*")
 
 
 def migrate(table: DataFrame, renames: dict[str, str], added: dict[str, object]) -> DataFrame:

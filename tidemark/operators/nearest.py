@@ -123,13 +123,19 @@ def refinement_grid(coarse: DataFrame, radius: int, step: int) -> DataFrame:
     return coarse.withColumn("coarse_us", F.col("offset_us")).withColumn("offset_us", F.explode(F.transform(moves, lambda m: F.col("coarse_us") + m)))
 
 
-def best_offset(evaluated: DataFrame) -> DataFrame:
-    """The winner of each key: evidence, score, comparable pairs, small time error, small offset."""
+def best_offset(evaluated: DataFrame, coarse: DataFrame) -> DataFrame:
+    """The winner around each coarse offset (key, coarse_us, offset_us): evidence, score, comparable pairs, small time error, nearness to the coarse offset, small offset.
+
+    ``coarse`` comes from ``refinement_grid``; an offset that several coarse
+    ones share was evaluated once and competes in each.
+    """
     order = F.struct(
         F.col("sufficient"), F.col("combined"), F.col("comparable"), -F.coalesce("mean_error_us", F.lit(float("inf"))),
-        -F.abs("offset_us"), -F.col("offset_us"),
+        -F.abs(F.col("offset_us") - F.col("coarse_us")), -F.col("offset_us"),
     )
-    return evaluated.groupBy("key").agg(F.max_by(F.struct(*[c for c in evaluated.columns if c != "key"]), order).alias("x")).select("key", "x.*")
+    names = [c for c in evaluated.columns if c != "key"]
+    rows = coarse.select("key", "coarse_us", "offset_us").join(evaluated, ["key", "offset_us"])
+    return rows.groupBy("key", "coarse_us").agg(F.max_by(F.struct(*names), order).alias("x")).select("key", "coarse_us", "x.*")
 
 
 def top_with_ties(scored: DataFrame, key: str, score: str, k: int, margin: float) -> DataFrame:

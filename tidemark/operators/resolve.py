@@ -14,8 +14,11 @@ from tidemark.functions.numbers import clamp, duration_term
 
 #: Query rows for which the query side is broadcast; beyond, it is dealt in blocks.
 BROADCAST_QUERIES, BLOCKS = 10_000, 64
-# Thresholds of similarity and decision.
+# Thresholds of similarity and decision, and of the distance of durations in ms.
 FUZZY, FILE, ACCEPT, CONFIRM, CLOSE = 0.82, 0.86, 0.90, 0.70, 0.03
+WEAK_MS = 8000
+#: Distances below this add to the confidence, so such a pair counts with no other evidence.
+REACH_MS = 9692
 
 
 def with_keys(tracks: DataFrame) -> DataFrame:
@@ -48,16 +51,37 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     shared = F.arrays_overlap(F.split("a", " "), F.split("b", " "))
     pairs = pairs.where(shared | (short / long >= F.col("least")))
-    return pairs.withColumn("sim", T.fuzzy(F.col("a"), F.col("b"))).where(F.col("sim") >= F.col("least")).select("kind", "a", "b", "sim")
+    whole = F.when((F.col("kind") == "file") & T.holds(F.col("b"), F.col("a")), F.lit(1.0)).otherwise(F.lit(0.0))
+    pairs = pairs.withColumn("sim", F.greatest(T.fuzzy(F.col("a"), F.col("b")), whole))
+    return pairs.where(F.col("sim") >= F.col("least")).select("kind", "a", "b", "sim")
 
 
-def score(queries: DataFrame, assets: DataFrame) -> DataFrame:
-    """confidence and evidence of every pair of a query and an asset with any evidence.
+def near_durations(q: DataFrame, a: DataFrame, k: int | None) -> DataFrame:
+    """Pairs (query_id, asset_id) whose durations are close enough to count by themselves.
+
+    An equi join on steps of REACH_MS. With ``k`` only each query's k closest
+    stay: whatever else speaks for a pair only raises it, so a pair that is not
+    among these by duration alone is not among the k best either.
+    """
+    step = F.floor(F.col("duration_ms") / REACH_MS)
+    asked = q.select("query_id", F.col("duration_ms").alias("q_ms"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    offered = a.select("asset_id", "path", F.col("duration_ms").alias("a_ms"), step.alias("step"))
+    pairs = asked.join(offered, "step").withColumn("term", F.round(duration_term(F.abs(F.col("q_ms") - F.col("a_ms"))), 6)).where("term > 0")
+    if k is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("term"), "path", "asset_id")
+        pairs = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    return pairs.select("query_id", "asset_id")
+
+
+def score(queries: DataFrame, assets: DataFrame, k: int | None = None) -> DataFrame:
+    """confidence and evidence of every pair of a query and an asset with any evidence or a confidence above 0.
 
     queries: query_id, title, artist, album, isrc, duration_ms; assets the same
     with asset_id and file_name. ISRC equality is a floor of 0.98; further terms
-    add to it; the sum is clamped to 0..1. Pairs without evidence are left out
-    (their confidence is 0). Null texts match nothing; a null duration adds 0.
+    add to it; the sum is clamped to 0..1. Equal keys count more than similar
+    ones. A file name weighs most where the asset has no title and the
+    durations are near. Null texts match nothing; a null duration adds 0. With
+    ``k``, pairs that only durations speak for are cut to the k best.
     """
     q, a = with_keys(queries), with_keys(assets)
     one = lambda kind, key, least=FUZZY: F.array(F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(least).alias("least")))
@@ -66,27 +90,30 @@ def score(queries: DataFrame, assets: DataFrame) -> DataFrame:
     asked, offered = named_keys(q, "query_id", "title_key"), named_keys(a, "asset_id", "file_key")
     linked = (
         asked.select("query_id", "kind", F.col("key").alias("a")).join(similar(asked, offered), ["kind", "a"])
-        .join(offered.select("asset_id", "kind", F.col("key").alias("b")), ["kind", "b"]).select("query_id", "asset_id", "kind", "sim")
+        .join(offered.select("asset_id", "kind", F.col("key").alias("b")), ["kind", "b"])
+        .select("query_id", "asset_id", "kind", "sim", (F.col("a") == F.col("b")).alias("same"))
     )
-    isrc = (
-        q.where("isrc_key <> ''").select("query_id", "isrc_key").join(a.where("isrc_key <> ''").select("asset_id", "isrc_key"), "isrc_key")
-        .select("query_id", "asset_id", F.lit("isrc").alias("kind"), F.lit(1.0).alias("sim"))
-    )
-    facts = linked.unionByName(isrc)
-    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("sim"))).alias(kind)
-    pairs = facts.groupBy("query_id", "asset_id").agg(*[best(k) for k in ("isrc", "title", "artist", "album", "file")])
+    fact = lambda pairs, kind: pairs.select("query_id", "asset_id", F.lit(kind).alias("kind"), F.lit(1.0).alias("sim"), F.lit(True).alias("same"))
+    isrc = q.where("isrc_key <> ''").select("query_id", "isrc_key").join(a.where("isrc_key <> ''").select("asset_id", "isrc_key"), "isrc_key")
+    facts = linked.unionByName(fact(isrc, "isrc")).unionByName(fact(near_durations(q, a, k), "near"))
+    best = lambda kind: [F.max(F.when(F.col("kind") == kind, F.col(c))).alias(n) for c, n in (("sim", kind), ("same", f"{kind}_same"))]
+    pairs = facts.groupBy("query_id", "asset_id").agg(*[x for kind in ("isrc", "title", "artist", "album", "file") for x in best(kind)])
     pairs = (
         pairs.join(q.select("query_id", F.col("duration_ms").alias("q_ms"), F.col("provider")), "query_id")
-        .join(a.select("asset_id", F.col("duration_ms").alias("a_ms"), "path"), "asset_id")
+        .join(a.select("asset_id", F.col("duration_ms").alias("a_ms"), "path", (F.col("title_key") == "").alias("untitled")), "asset_id")
         .withColumn("distance_ms", F.abs(F.col("q_ms") - F.col("a_ms")))
     )
-    exact = lambda kind, full, part: F.when(F.col(kind) == 1, full).when(F.col(kind) >= FUZZY, F.col(kind) * part).otherwise(0.0)
+    exact = lambda kind, full, part: F.when(F.col(f"{kind}_same"), full).when(F.col(kind) >= FUZZY, F.col(kind) * part).otherwise(0.0)
     terms = exact("title", 0.38, 0.28) + exact("artist", 0.34, 0.24) + exact("album", 0.12, 0.09)
-    terms = terms + F.when(F.col("title").isNull() & (F.col("file") >= FILE), F.lit(0.62) * F.col("file")).when(F.col("file") >= FILE, F.lit(0.08)).otherwise(0.0)
-    confidence = clamp(F.when(F.col("isrc").isNotNull(), F.lit(0.98)).otherwise(0.0) + terms + duration_term(F.col("distance_ms")), 0.0, 1.0)
-    named = lambda kind: F.when(F.col(kind).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.round(kind, 6).alias("score")))
+    near = F.coalesce(F.col("distance_ms") <= WEAK_MS, F.lit(False))
+    file = F.when(F.col("untitled") & near, F.lit(0.62)).otherwise(F.lit(0.08)) * F.col("file")
+    base = F.when(F.col("isrc").isNotNull(), F.lit(0.98)).otherwise(0.0)
+    confidence = clamp(base + terms + duration_term(F.col("distance_ms")) + F.coalesce(file, F.lit(0.0)), 0.0, 1.0)
+    kind_of = lambda kind: F.concat(F.lit(kind), F.when(F.col(f"{kind}_same"), "_equal").otherwise("_similar"))
+    named = lambda kind: F.when(F.col(kind).isNotNull(), F.struct(kind_of(kind).alias("kind"), F.round(kind, 6).alias("score")))
+    timed = F.when(near, F.struct(F.lit("duration").alias("kind"), F.col("distance_ms").cast("double").alias("score")))
     return pairs.withColumn("confidence", F.round(confidence, 6)).withColumn(
-        "evidence", F.array_compact(F.array(*[named(k) for k in ("isrc", "title", "artist", "album", "file")]))
+        "evidence", F.array_compact(F.array(*[named(k) for k in ("isrc", "title", "artist", "album", "file")], timed))
     )
 
 
@@ -103,26 +130,22 @@ def decide(scored: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, assets: DataFrame, k: int | None = None) -> DataFrame:
     """Ranked results of each query, with the two policies over all its results.
 
-    Ambiguity: another accepted result within 0.03 of the best accepted one
-    turns all of these into ``confirm``. Manual: if a manual query has only
-    rejected results, its best one with a positive confidence is ``confirm``.
-    ``k`` cuts the report after the policies.
+    Ambiguity: if the first result is accepted, and another accepted one lies
+    within 0.03 of it, all of these become ``confirm``. Manual: if a manual
+    query has only rejected results, its best one with a positive confidence is
+    ``confirm``. ``k`` cuts the report after the policies.
     """
-    decided = decide(score(queries, eligible(assets)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "path", "asset_id"))
+    decided = decide(score(queries, eligible(assets), k)).withColumn("rank", rank)
     facts = decided.groupBy("query_id").agg(
-        F.max(F.when(F.col("decision") == "accept", F.col("confidence"))).alias("best_accepted"),
+        F.max(F.when((F.col("rank") == 1) & (F.col("decision") == "accept"), F.col("confidence"))).alias("first_accepted"),
         F.bool_and(F.col("decision") == "reject").alias("all_rejected"), F.max("confidence").alias("best"),
     )
-    near = (
-        decided.join(facts, "query_id").where((F.col("decision") == "accept") & (F.col("best_accepted") - F.col("confidence") <= CLOSE))
-        .groupBy("query_id").agg(F.count("*").alias("near"))
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "path", "asset_id"))
-    ambiguous = (F.col("decision") == "accept") & (F.coalesce("near", F.lit(0)) > 1) & (F.col("best_accepted") - F.col("confidence") <= CLOSE)
+    close = (F.col("decision") == "accept") & (F.round(F.col("first_accepted") - F.col("confidence"), 6) <= CLOSE)
+    near = decided.join(facts, "query_id").where(close).groupBy("query_id").agg(F.count("*").alias("near"))
+    ambiguous = F.coalesce(close & (F.col("near") > 1), F.lit(False))
     manual = (F.col("provider") == "manual") & F.col("all_rejected") & (F.col("best") > 0) & (F.col("rank") == 1)
-    ranked = decided.withColumn("rank", rank)
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
+    ranked = decided if k is None else decided.where(F.col("rank") <= k)
     return (
         ranked.join(facts, "query_id").join(near, "query_id", "left")
         .withColumn("decision", F.when(ambiguous | F.coalesce(manual, F.lit(False)), "confirm").otherwise(F.col("decision")))

@@ -123,12 +123,18 @@ def _frames(spark, sf_dir, odd: int):
 
 
 DENSE = N.Dense(min_frames=4, min_duration=3_600_000_000, min_coverage=0.3, tolerance=TOLERANCE, agree=0.7)
-OFFSETS = (-600_000_000, 0, 600_000_000)
+OFFSETS = (-600_000_000, 0, -1_200_000_000, 600_000_000)
+
+
+def _grid(query_frames):
+    """Offsets a step of 600 s around one of -600 s and one of 0."""
+    coarse = query_frames.select("key").distinct().withColumn("offset_us", F.explode(F.array(*[F.lit(x).cast("long") for x in OFFSETS[:2]])))
+    return N.refinement_grid(coarse, TOLERANCE, TOLERANCE)
 
 
 def _evaluated(spark, sf_dir):
     query_frames = _frames(spark, sf_dir, 1)
-    offsets = query_frames.select("key").distinct().withColumn("offset_us", F.explode(F.array(*[F.lit(x).cast("long") for x in OFFSETS])))
+    offsets = _grid(query_frames).select("key", "offset_us").distinct()
     return N.evaluate_offsets(query_frames, _frames(spark, sf_dir, 0), offsets, DENSE)
 
 
@@ -187,11 +193,13 @@ def dense_offsets(spark, sf_dir):
     return _rounded(_evaluated(spark, sf_dir))
 
 
-@query(DENSE_SQL + """ SELECT key, offset_us, matched, sufficient, combined FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY key
-ORDER BY sufficient DESC, combined DESC, comparable DESC, COALESCE(mean_error_us, 'inf'::DOUBLE), abs(offset_us), offset_us) = 1""")
+@query(DENSE_SQL + """, c AS (SELECT d.*, u.coarse_us FROM d JOIN (SELECT unnest([-600000000::BIGINT, 0::BIGINT]) AS coarse_us) u ON abs(offset_us - coarse_us) <= 600000000)
+SELECT key, coarse_us, offset_us, matched, sufficient, combined FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY key, coarse_us
+ORDER BY sufficient DESC, combined DESC, comparable DESC, COALESCE(mean_error_us, 'inf'::DOUBLE), abs(offset_us - coarse_us), offset_us) = 1""")
 def dense_best(spark, sf_dir):
-    best = N.best_offset(_rounded(_evaluated(spark, sf_dir)))
-    return best.select("key", "offset_us", "matched", "sufficient", "combined")
+    """The best refined offset around each coarse one."""
+    best = N.best_offset(_rounded(_evaluated(spark, sf_dir)), _grid(_frames(spark, sf_dir, 1)))
+    return best.select("key", "coarse_us", "offset_us", "matched", "sufficient", "combined")
 
 
 @query("""WITH x AS (SELECT p_partkey, p_brand, p_retailprice, RANK() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS rank,

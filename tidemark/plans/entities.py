@@ -29,7 +29,8 @@ def _fuzzy(a: str, b: str) -> str:
     inside = f"(contains(' ' || {a} || ' ', ' ' || {b} || ' ') OR contains(' ' || {b} || ' ', ' ' || {a} || ' '))"
     short = f"least(len(string_split({a}, ' ')), len(string_split({b}, ' ')))"
     edits = f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1)::DOUBLE"
-    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0e0 WHEN {a} = {b} THEN 1.0e0 ELSE greatest({jaccard}, CASE WHEN {inside} THEN CASE WHEN {short} = 1 THEN 0.86e0 ELSE 0.94e0 END ELSE 0.0e0 END, {edits}) END"
+    covered = f"0.92e0 * ({shared} / least(len({x}), len({y}))::DOUBLE)"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0e0 WHEN {a} = {b} THEN 1.0e0 ELSE greatest({jaccard}, {covered}, CASE WHEN {inside} THEN CASE WHEN {short} = 1 THEN 0.86e0 ELSE 0.94e0 END ELSE 0.0e0 END, {edits}) END"
 
 
 def _key(c: str) -> str:
@@ -48,21 +49,23 @@ ak AS (SELECT asset_id, path, {_key("title")} AS xt, {_key("artist")} AS xa, {_k
          replace({_key("isrc")}, ' ', '') AS xi, duration_ms AS a_ms FROM a WHERE status IN ('ready', 'metadataPartial')),
 fuzz AS (SELECT x, y, {_fuzzy("x", "y")} AS sim FROM (SELECT DISTINCT qt AS x FROM tk UNION SELECT DISTINCT qa FROM tk UNION SELECT DISTINCT ql FROM tk) CROSS JOIN
          (SELECT DISTINCT xt AS y FROM ak UNION SELECT DISTINCT xa FROM ak UNION SELECT DISTINCT xl FROM ak UNION SELECT DISTINCT xf FROM ak)),
-s AS (SELECT query_id, asset_id, path, provider, abs(q_ms - a_ms) AS d, qi <> '' AND qi = xi AS isrc,
+s AS (SELECT query_id, asset_id, path, provider, abs(q_ms - a_ms) AS d, qi <> '' AND qi = xi AS isrc, xt = '' AS untitled,
+       qt <> '' AND qt = xt AS title1, qa <> '' AND qa = xa AS artist1, ql <> '' AND ql = xl AS album1,
        CASE WHEN f1.sim >= 0.82e0 THEN f1.sim END AS title, CASE WHEN f2.sim >= 0.82e0 THEN f2.sim END AS artist,
-       CASE WHEN f3.sim >= 0.82e0 THEN f3.sim END AS album, CASE WHEN f4.sim >= 0.86e0 THEN f4.sim END AS file
+       CASE WHEN f3.sim >= 0.82e0 THEN f3.sim END AS album,
+       CASE WHEN qt <> '' AND contains(' ' || xf || ' ', ' ' || qt || ' ') THEN 1.0e0 WHEN f4.sim >= 0.86e0 THEN f4.sim END AS file
   FROM tk CROSS JOIN ak JOIN fuzz f1 ON f1.x = qt AND f1.y = xt JOIN fuzz f2 ON f2.x = qa AND f2.y = xa JOIN fuzz f3 ON f3.x = ql AND f3.y = xl JOIN fuzz f4 ON f4.x = qt AND f4.y = xf),
 c AS (SELECT *, round(greatest(0.0e0, least(1.0e0, CASE WHEN isrc THEN 0.98e0 ELSE 0.0e0 END
-       + ((CASE WHEN title = 1 THEN 0.38e0 WHEN title >= 0.82e0 THEN title * 0.28e0 ELSE 0.0e0 END + CASE WHEN artist = 1 THEN 0.34e0 WHEN artist >= 0.82e0 THEN artist * 0.24e0 ELSE 0.0e0 END
-       + CASE WHEN album = 1 THEN 0.12e0 WHEN album >= 0.82e0 THEN album * 0.09e0 ELSE 0.0e0 END)
-       + CASE WHEN title IS NULL AND file >= 0.86e0 THEN 0.62e0 * file WHEN file >= 0.86e0 THEN 0.08e0 ELSE 0.0e0 END) + {_KNOTS})), 6) AS confidence
-  FROM s WHERE isrc OR title IS NOT NULL OR artist IS NOT NULL OR album IS NOT NULL OR file IS NOT NULL),
+       + ((CASE WHEN title1 THEN 0.38e0 WHEN title >= 0.82e0 THEN title * 0.28e0 ELSE 0.0e0 END + CASE WHEN artist1 THEN 0.34e0 WHEN artist >= 0.82e0 THEN artist * 0.24e0 ELSE 0.0e0 END)
+       + CASE WHEN album1 THEN 0.12e0 WHEN album >= 0.82e0 THEN album * 0.09e0 ELSE 0.0e0 END) + {_KNOTS}
+       + COALESCE(CASE WHEN untitled AND d <= 8000 THEN 0.62e0 ELSE 0.08e0 END * file, 0.0e0))), 6) AS confidence
+  FROM s WHERE isrc OR title IS NOT NULL OR artist IS NOT NULL OR album IS NOT NULL OR file IS NOT NULL OR round({_KNOTS}, 6) > 0),
 z AS (SELECT *, CASE WHEN d BETWEEN 2001 AND 8000 AND confidence >= 0.70e0 THEN 'confirm' WHEN confidence >= 0.90e0 THEN 'accept' WHEN confidence >= 0.70e0 THEN 'confirm' ELSE 'reject' END AS decision,
        ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY confidence DESC, path, asset_id) AS rank FROM c),
-f AS (SELECT query_id, MAX(confidence) FILTER (decision = 'accept') AS best_accepted, bool_and(decision = 'reject') AS all_rejected, MAX(confidence) AS best FROM z GROUP BY query_id),
-n AS (SELECT z.query_id, COUNT(*) AS near FROM z JOIN f USING (query_id) WHERE decision = 'accept' AND best_accepted - confidence <= 0.03e0 GROUP BY z.query_id),
+f AS (SELECT query_id, MAX(confidence) FILTER (decision = 'accept' AND rank = 1) AS first_accepted, bool_and(decision = 'reject') AS all_rejected, MAX(confidence) AS best FROM z GROUP BY query_id),
+n AS (SELECT z.query_id, COUNT(*) AS near FROM z JOIN f USING (query_id) WHERE decision = 'accept' AND round(first_accepted - confidence, 6) <= 0.03e0 GROUP BY z.query_id),
 out AS (SELECT z.query_id, z.rank::INTEGER AS rank, asset_id, path, confidence,
-       CASE WHEN decision = 'accept' AND COALESCE(near, 0) > 1 AND best_accepted - confidence <= 0.03e0 THEN 'confirm'
+       CASE WHEN decision = 'accept' AND COALESCE(near, 0) > 1 AND round(first_accepted - confidence, 6) <= 0.03e0 THEN 'confirm'
             WHEN provider = 'manual' AND all_rejected AND best > 0 AND z.rank = 1 THEN 'confirm' ELSE decision END AS decision
   FROM z JOIN f USING (query_id) LEFT JOIN n USING (query_id) WHERE z.rank <= 5)"""
 
@@ -77,12 +80,12 @@ def resolver_history(spark, sf_dir):
     return R.history(R.resolve(_tracks(spark, sf_dir), assets(spark, sf_dir), 5))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name AS key FROM part)
-SELECT a.key AS a, b.key AS b, round(sim, 6) AS sim FROM (SELECT x.key AS xa, y.key AS yb, {_fuzzy("x.key", "y.key")} AS sim FROM n x CROSS JOIN n y) s
-JOIN n a ON a.key = xa JOIN n b ON b.key = yb WHERE sim >= 0.6e0""")
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS key FROM part), q AS (SELECT DISTINCT p_name AS key FROM part WHERE p_partkey % 100 = 0)
+SELECT a, b, round(sim, 6) AS sim FROM (SELECT x.key AS a, y.key AS b, {_fuzzy("x.key", "y.key")} AS sim FROM q x CROSS JOIN n y) s WHERE sim >= 0.6e0""")
 def similar_names(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lit("name").alias("kind"), F.col("p_name").alias("key"), F.lit(0.6).alias("least")).distinct()
-    return R.similar(names, names).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Names like those of the parts whose key is divisible by 100."""
+    p = table(spark, sf_dir, "part").select(F.lit("name").alias("kind"), F.col("p_name").alias("key"), F.lit(0.6).alias("least"), "p_partkey")
+    return R.similar(p.where("p_partkey % 100 = 0"), p).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("WITH " + A + """ SELECT n_nationkey AS directory_id, COUNT(asset_id) AS discovered, COUNT(*) FILTER (status IN ('ready', 'metadataPartial')) AS indexed,
@@ -93,29 +96,31 @@ def library_status(spark, sf_dir):
     return C.library_status(assets(spark, sf_dir), folders)
 
 
-_SEEN = "seen AS (SELECT directory_id, path FROM a WHERE directory_id < 15 AND size_bytes % 4 <> 0)"
+_SEEN = "seen AS (SELECT directory_id, path FROM a WHERE directory_id BETWEEN 1 AND 14 AND size_bytes % 4 <> 0)"
 
 
 @query("WITH " + A + ", " + _SEEN + """ SELECT asset_id, path, CASE WHEN directory_id < 15 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.directory_id = a.directory_id AND s.path = a.path)
 THEN 'missingFile' ELSE status END AS status FROM a""")
 def missing_assets(spark, sf_dir):
-    """Directories 0 to 14 are scanned; files of a size divisible by 4 are gone."""
+    """Directories 0 to 14 are scanned; files of a size divisible by 4 and all of directory 0 are gone."""
     a = assets(spark, sf_dir)
-    return C.mark_missing(a, a.where("directory_id < 15 and size_bytes % 4 <> 0").select("directory_id", "path")).select("asset_id", "path", "status")
+    scanned = table(spark, sf_dir, "nation").where("n_nationkey < 15").select(F.col("n_nationkey").alias("directory_id"))
+    return C.mark_missing(a, a.where("directory_id between 1 and 14 and size_bytes % 4 <> 0").select("directory_id", "path"), scanned).select("asset_id", "path", "status")
 
 
 def _files(a):
-    """What a scan finds: every third file has moved."""
+    """What a scan of directories 0 to 21 finds: every third file has moved, some cannot be read, directories 20 and 21 are empty."""
     path = F.when(F.col("asset_id") % 3 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
-    return a.withColumn("path", path).drop("asset_id", "status")
+    return a.withColumns({"path": path, "title": F.when(F.col("asset_id") % 5 != 0, F.col("title")), "supported": F.col("asset_id") % 7 != 0, "readable": F.col("asset_id") % 11 != 0}).where("directory_id < 20").drop("asset_id", "status")
 
 
-_MOVED = """files AS (SELECT * EXCLUDE (asset_id, status, path), CASE WHEN asset_id % 3 = 0 THEN 'moved/' || path ELSE path END AS path FROM a),
+_MOVED = """files AS (SELECT * EXCLUDE (asset_id, status, path, title), CASE WHEN asset_id % 3 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN asset_id % 5 <> 0 THEN title END AS title,
+  asset_id % 7 <> 0 AS supported, asset_id % 11 <> 0 AS readable FROM a WHERE directory_id < 20),
 new AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY directory_id, sha256, size_bytes, duration_ms ORDER BY path) AS k FROM files f
   WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.directory_id = f.directory_id AND a.path = f.path)),
 lost AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY directory_id, sha256, size_bytes, duration_ms ORDER BY last_seen_us DESC, asset_id) AS k FROM a
   WHERE NOT EXISTS (SELECT 1 FROM files f WHERE a.directory_id = f.directory_id AND a.path = f.path)),
-m AS (SELECT new.path, lost.asset_id, lost.path AS old_path FROM new JOIN lost USING (directory_id, sha256, size_bytes, duration_ms, k))"""
+m AS (SELECT directory_id, new.path, lost.asset_id, lost.path AS old_path FROM new JOIN lost USING (directory_id, sha256, size_bytes, duration_ms, k))"""
 
 
 @query("WITH " + A + ", " + _MOVED + " SELECT * FROM m")
@@ -124,12 +129,33 @@ def moved_assets(spark, sf_dir):
     return C.moved(a, _files(a))
 
 
-@query("WITH " + A + ", " + _MOVED + """, now AS (SELECT f.path, f.directory_id, COALESCE(a.asset_id, m.asset_id) AS asset_id FROM files f LEFT JOIN a ON a.directory_id = f.directory_id AND a.path = f.path LEFT JOIN m ON m.path = f.path)
-SELECT path, directory_id, 'ready' AS status FROM now UNION ALL
-SELECT path, directory_id, 'missingFile' FROM a WHERE asset_id NOT IN (SELECT asset_id FROM now WHERE asset_id IS NOT NULL)""")
+@query("WITH " + A + ", " + _MOVED + """, same AS (SELECT a.* FROM a JOIN files f USING (directory_id, path, sha256, size_bytes, duration_ms) WHERE status <> 'missingFile'),
+now AS (SELECT f.path, f.directory_id, COALESCE(a.asset_id, m.asset_id) AS asset_id,
+  CASE WHEN s.asset_id IS NOT NULL THEN s.status WHEN NOT supported THEN 'unsupported' WHEN NOT readable THEN 'unreadable' WHEN f.title IS NULL THEN 'metadataPartial' ELSE 'ready' END AS status
+  FROM files f LEFT JOIN a ON a.directory_id = f.directory_id AND a.path = f.path LEFT JOIN m ON m.directory_id = f.directory_id AND m.path = f.path
+  LEFT JOIN same s ON s.directory_id = f.directory_id AND s.path = f.path)
+SELECT path, directory_id, status FROM now UNION ALL
+SELECT path, directory_id, CASE WHEN directory_id < 22 THEN 'missingFile' ELSE status END FROM a WHERE asset_id NOT IN (SELECT asset_id FROM now WHERE asset_id IS NOT NULL)""")
 def rescan_catalog(spark, sf_dir):
     a = assets(spark, sf_dir)
-    return C.rescan(a, _files(a)).select("path", "directory_id", "status")
+    scanned = table(spark, sf_dir, "nation").where("n_nationkey < 22").select(F.col("n_nationkey").alias("directory_id"))
+    return C.rescan(a, _files(a), scanned).select("path", "directory_id", "status")
+
+
+@query("WITH " + A + """ SELECT path, asset_id, status FROM (SELECT split_part(path, '/', 1) AS path, asset_id, status, last_seen_us FROM a)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY path ORDER BY CASE WHEN status IN ('ready', 'metadataPartial') THEN 0 ELSE 1 END, last_seen_us DESC, asset_id) = 1""")
+def assets_at_path(spark, sf_dir):
+    """The asset to show of each first folder."""
+    a = assets(spark, sf_dir).withColumn("path", F.split("path", "/")[0])
+    return C.at_path(a, a).select("path", "asset_id", "status")
+
+
+@query("""SELECT n_nationkey AS directory_id, greatest(n_nationkey * 1000000, s.at_us) AS last_scan_us
+FROM nation LEFT JOIN (SELECT c_nationkey, MAX(c_custkey * 1000) AS at_us FROM customer WHERE c_nationkey < 9 GROUP BY c_nationkey) s ON n_nationkey = c_nationkey""")
+def scan_times(spark, sf_dir):
+    folders = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("directory_id"), (F.col("n_nationkey") * 1_000_000).cast("long").alias("last_scan_us"))
+    scans = table(spark, sf_dir, "customer").where("c_nationkey < 9").select(F.col("c_nationkey").alias("directory_id"), (F.col("c_custkey") * 1000).alias("at_us"))
+    return C.scanned_at(folders, scans)
 
 
 @query("WITH " + A + """, u AS (SELECT asset_id + 1 AS asset_id, directory_id, path FROM a WHERE asset_id % 9 = 0)
