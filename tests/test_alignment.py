@@ -3,8 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import nearest, spectra, voting
-from tidemark.operators.tracker import Tracker
+from tidemark.operators import nearest, spectra, tracker, voting
 
 
 def test_cluster_of_votes(spark):
@@ -110,13 +109,77 @@ def test_hop_windows_and_landmarks(spark):
     assert framed.count() == 4 and all(1 <= r.delta <= 5 for r in spectra.landmarks(framed, "key").collect())
 
 
-def test_tracker_confirms_and_coasts():
-    tracker = Tracker()
-    best = None
+def walk(steps):
+    """The tracker as a plain walk over one track after the other."""
+    tracks, now, out = [], None, []
+    for at, found in steps:
+        found = [m for m in found if np.isfinite(m[0]) and np.isfinite(m[1]) and m[1] > 0][:8]
+        for t in tracks:
+            t["at"] += t["v"] * max(0, at - (at if now is None else now)) / 1000
+        now, left = at, list(found)
+        safe = lambda t: t["sure"] and t["odds"] >= 1.2 and t["lost"] <= 2
+        for t in sorted(tracks, key=lambda t: -t["odds"]):
+            gate = 80 if t["sure"] or t["odds"] >= 2.8 else 120
+            near = sorted((m for m in left if abs(m[0] - t["at"]) <= gate), key=lambda m: (abs(m[0] - t["at"]), -m[1]))
+            t["odds"] -= 0.75
+            if not near:
+                t |= {"hits": 0, "lost": t["lost"] + 1, "v": 0.0, "step": None}
+                continue
+            left.remove(near[0])
+            step, passed = near[0][0] - t["at"], at - t["seen"]
+            v = 0.75 * t["v"] + 0.25 * min(250, max(-250, step / (passed / 1000))) if passed >= 250 else t["v"] / 2
+            t |= {"v": v, "at": t["at"] + 0.65 * step, "odds": t["odds"] + 2.2 * near[0][1] - min(0.5, abs(step) / 240), "step": step, "seen": at, "hits": t["hits"] + 1, "lost": 0}
+        tracks += [{"at": o, "odds": 0.6 + 1.2 * c, "seen": at, "v": 0.0, "hits": 1, "lost": 0, "step": None, "sure": False} for o, c in left]
+        rank = lambda t: (not safe(t), -t["odds"], -t["hits"], t["at"])
+        tracks = sorted((t for t in tracks if safe(t) or (t["odds"] > -2.5 and t["lost"] <= 4)), key=rank)[:8]
+        by_odds = sorted(tracks, key=lambda t: (-t["odds"], -t["hits"], t["at"]))
+        best = by_odds[0] if by_odds else None
+        ok = best and best["hits"] >= 2 and best["odds"] >= 2.8 and best["lost"] == 0 and best["step"] is not None and abs(best["step"]) <= 80
+        ok = ok and (len(by_odds) < 2 or best["odds"] - by_odds[1]["odds"] >= 1) and not any(safe(t) and abs(t["at"] - best["at"]) > 80 for t in tracks)
+        if ok:
+            best["sure"] = True
+            tracks = sorted(tracks, key=rank)[:8]
+        out.append((at, *((best["at"], best["odds"], best["hits"]) if ok else (None,) * 3), len(tracks)))
+    return out
+
+
+def test_tracker_equals_a_plain_walk(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for key in ("a", "b", "c"):
+        base, at = [1000.0, 1600.0, 4000.0], 0.0
+        for k in range(150):
+            at += float(draw.choice([100, 300, 1000])) if k != 70 else -500.0
+            for b in base:
+                if draw.random() < 0.8:
+                    rows.append((key, at, b + 0.02 * at * (b > 3000) + float(draw.normal(0, 25)), float(draw.random())))
+    rows += [("a", 50.0, float("nan"), 0.5), ("b", 60.0, 900.0, -1.0)]
+    got = tracker.track(spark.createDataFrame(rows, "key string, at_ms double, offset_ms double, confidence double")).collect()
+    for key in ("a", "b", "c"):
+        steps = {}
+        for _, at, offset, c in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], -r[3], r[2])):
+            steps.setdefault(at, []).append((offset, c))
+        own = sorted((r.at_ms, r.offset_ms, r.log_odds, r.hits, r.tracks) for r in got if r.key == key)
+        want = walk(sorted(steps.items()))
+        assert len(own) == len(want) and any(r[1] is not None for r in own)
+        for x, y in zip(own, want):
+            assert x[3:] == y[3:] and all((p is None) == (q is None) and (p is None or abs(p - q) < 1e-9) for p, q in zip(x, y))
+
+
+def test_confirmation_is_never_withdrawn_and_time_going_back_moves_nothing():
+    table, now = tracker.EMPTY, None
     for k in range(6):
-        best = tracker.update([(4000 + k, 0.9), (9000 - 500 * k, 0.3)], 500.0 * k)
-    assert best is not None and abs(best.offset - 4005) < 20
-    assert tracker.update([], 3000.0) is None and any(t.confirmed for t in tracker.tracks)
-    for k in range(8):
-        tracker.update([], 3500.0 + 500 * k)
-    assert not tracker.tracks
+        table, best = tracker.advance(table, now, np.array([[4000.0 + k, 0.9]]), 500.0 * k)
+        now = 500.0 * k
+    assert best >= 0 and abs(table[best, tracker.OFFSET] - 4005) < 20
+    table[0, tracker.SPEED] = 100.0
+    back, _ = tracker.advance(table, now, np.zeros((0, 2)), now - 1000)
+    assert back[0, tracker.OFFSET] == table[0, tracker.OFFSET]
+    for k in range(40):
+        table, best = tracker.advance(table, now, np.array([[4040.0, 0.5], [9000.0, 1.0]]), now + 300)
+        now += 300
+    assert (table[:, tracker.SURE] > 0).any()
+    for k in range(12):
+        table, _ = tracker.advance(table, now, np.zeros((0, 2)), now + 500)
+        now += 500
+    assert not len(table)

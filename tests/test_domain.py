@@ -19,6 +19,9 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+lit = F.lit
+
+
 def test_text_keys(spark):
     lit = F.lit
     assert one(spark, text.search_key(lit("  Été--Fool's  Día 20 "))) == "ete fool s dia 20"
@@ -99,11 +102,40 @@ def test_judgement_engine():
     e.add(2, 4, 1100, None, False)
     assert e.press(2, 1100) == [(3, 5, None), (4, 0, 0)]
     e.add(3, 5, 1000, 2000, True)
-    assert e.press(3, 1000) == [] and e.release(3, 1500) == [(5, 5, 0)]
+    assert e.press(3, 1000) == [] and e.release(3, 1500) == [(5, 5, None)]
     e.add(0, 6, 3000, None, False)
     assert e.advance(3200) == [] and e.advance(3201) == [(6, 5, None)]
 
 
+def test_judgement_on_show():
+    state, shown = judge.show(None, [0, 10, 20, 130, 140, 900], [3, 2, 3, 0, 4, 0], 100, 500)
+    assert shown == [True, False, True, True, True, True] and state == (0, 900)
+
+
+def test_resolver_rules(spark):
+    key = lambda a, b: one(spark, text.token_score(lit(a), lit(b)))
+    assert abs(key("blue moon river song", "moon river extra blue nights song") - 0.92) < 1e-12
+    assert key("moon", "blue moon river") == 0.92 and key("a b", "b c") == 0.46
+    assets = spark.createDataFrame(
+        [(1, "Ring Blue", "X", None, "", 100_000, "f1.mp3", "a"), (2, None, "Other", None, "", 101_500, "01 my blue ring live.mp3", "b"), (3, None, "Other", None, "", 160_000, "01 my blue ring live.mp3", "c"), (4, "Zzz", "Q", None, "", 100_100, "q.mp3", "d"), (5, "Zzz", "Q", None, "", 300_000, "q.mp3", "e")],
+        "asset_id int, title string, artist string, album string, isrc string, duration_ms long, file_name string, path string",
+    ).withColumn("status", F.lit("ready"))
+    track = spark.createDataFrame([(9, "Blue Ring", "X", None, None, 100_000, "live")], "query_id int, title string, artist string, album string, isrc string, duration_ms long, provider string")
+    got = {r.asset_id: r for r in resolve.resolve(track, assets).collect()}
+    assert set(got) == {1, 2, 3, 4}  # 5 has nothing in common
+    assert abs(got[1].confidence - (0.28 + 0.34 + 0.24)) < 1e-6  # words in another order are similar, not equal
+    assert abs(got[2].confidence - (0.62 + 0.24 + (1500 - 250) * -0.08 / 1750)) < 1e-6  # no title, near in time: the file name weighs most
+    assert abs(got[3].confidence - 0.0) < 1e-6 and [e.kind for e in got[3].evidence] == ["file_similar"]
+    assert abs(got[4].confidence - 0.24) < 1e-6 and [e.kind for e in got[4].evidence] == ["duration"]
+
+
+def test_emptied_folder_is_missing(spark):
+    assets = spark.createDataFrame([(1, 1, "a", "ready"), (2, 2, "b", "ready"), (3, 3, "c", "ready")], "asset_id int, directory_id int, path string, status string")
+    seen = spark.createDataFrame([(1, "a")], "directory_id int, path string")
+    folders = spark.createDataFrame([(1,), (2,)], "directory_id int")
+    assert {r.asset_id: r.status for r in catalog.mark_missing(assets, seen, folders).collect()} == {1: "ready", 2: "missingFile", 3: "ready"}
+
+
 def test_judged_session_resolves_each_object_once():
     draw = np.random.default_rng(1)
     kinds = ["tap", "holdStart", "holdEnd", "press", "release"]

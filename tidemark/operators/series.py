@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 
 def along(key: str, *order: str):
     return Window.partitionBy(key).orderBy(*order)
@@ -107,7 +109,7 @@ def growing_durations(first: float, cadence: float, most: float) -> list[float]:
 def _recursive(rows: DataFrame, key: str, order: list[str], columns: dict[str, str], step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Apply a recursion to each key's ordered rows; a key is one source's stream, a bounded group."""
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} {k}" for c, k in columns.items())])
-    return rows.groupBy(key).applyInPandas(lambda p: step(p.sort_values(order, kind="stable")), schema)
+    return spread(rows, key).groupBy(key).applyInPandas(lambda p: step(p.sort_values(order, kind="stable")), schema)
 
 
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, rate: float) -> DataFrame:

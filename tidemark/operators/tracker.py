@@ -1,107 +1,131 @@
-"""A tracker of offset hypotheses: predict, associate, hit or miss, spawn, prune, confirm."""
+"""A tracker of offset hypotheses as one step over a small table.
 
-from __future__ import annotations
+A row of the table is a track, a column one of its figures. A step takes the
+table, the measurements of one time and that time, and gives the next table:
+all tracks drift, the surest choose first among the measurements near them,
+what was chosen and what was not changes whole columns at once, and what nobody
+chose starts a track. The table never has more than MOST rows.
+"""
 
-from dataclasses import dataclass, field
-from math import isfinite
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.session import spread
+
 # Fixed values of the tracker, in ms and log odds.
 GATE_NEW, GATE_KNOWN, KNOWN, MOST = 120.0, 80.0, 2.8, 8
 MISS_COST, DROP, MISSES, COAST, COAST_MISSES, LEAD = 0.75, -2.5, 4, 1.2, 2, 1.0
+SETTLE_MS, FASTEST, FOLLOW, GAIN, START, START_GAIN = 250.0, 250.0, 0.65, 2.2, 0.6, 1.2
+
+#: Columns of the table; ``step`` is how far the last hit lay off (NaN after a miss), ``known`` whether the track was ever confirmed.
+OFFSET, ODDS, SEEN, SPEED, HITS, LOST, STEP, SURE = range(8)
+EMPTY = np.zeros((0, 8))
+
+
+def usable(offsets: np.ndarray, confidences: np.ndarray) -> np.ndarray:
+    """Measurements (offset, confidence) of one time that count, at most MOST, in the order given."""
+    found = np.column_stack([offsets, confidences]).astype(float)
+    return found[np.isfinite(found).all(axis=1) & (found[:, 1] > 0)][:MOST]
+
+
+def coasting(t: np.ndarray) -> np.ndarray:
+    """Confirmed tracks that a few misses do not remove."""
+    return (t[:, SURE] > 0) & (t[:, ODDS] >= COAST) & (t[:, LOST] <= COAST_MISSES)
+
+
+def owners(t: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The measurement of each track, or -1: the nearest within its gate, of equally near ones the more confident."""
+    out, free = np.full(len(t), -1), set(range(len(found)))
+    if not len(t) or not free:
+        return out
+    gap = np.abs(found[None, :, 0] - t[:, None, OFFSET]).tolist()
+    gate = np.where((t[:, SURE] > 0) | (t[:, ODDS] >= KNOWN), GATE_KNOWN, GATE_NEW).tolist()
+    doubt = (-found[:, 1]).tolist()
+    for i in np.argsort(-t[:, ODDS], kind="stable").tolist():
+        near = min(((gap[i][j], doubt[j], j) for j in free if gap[i][j] <= gate[i]), default=None)
+        if near:
+            out[i] = near[2]
+            free.remove(near[2])
+    return out
+
+
+def kept(t: np.ndarray) -> np.ndarray:
+    """Tracks that stay, coasting ones first, then by odds, hits and small offset."""
+    safe = coasting(t)
+    t = t[safe | ((t[:, ODDS] > DROP) & (t[:, LOST] <= MISSES))]
+    return t[np.lexsort((t[:, OFFSET], -t[:, HITS], -t[:, ODDS], ~coasting(t)))][:MOST]
+
+
+def confirmed(t: np.ndarray) -> int:
+    """The row that is sure now, or -1: it leads clearly, was hit twice and close by, and no coasting track contradicts it."""
+    if not len(t):
+        return -1
+    order = np.lexsort((t[:, OFFSET], -t[:, HITS], -t[:, ODDS]))
+    best = order[0]
+    lead = t[best, ODDS] - t[order[1], ODDS] if len(t) > 1 else np.inf
+    sure = t[best, HITS] >= 2 and t[best, ODDS] >= KNOWN and t[best, LOST] == 0 and abs(t[best, STEP]) <= GATE_KNOWN
+    against = coasting(t) & (np.abs(t[:, OFFSET] - t[best, OFFSET]) > GATE_KNOWN)
+    return int(best) if sure and lead >= LEAD and not against.any() else -1
+
+
+def advance(t: np.ndarray, now: float | None, found: np.ndarray, at: float) -> tuple[np.ndarray, int]:
+    """The table after the measurements at ``at``, and the row confirmed now, or -1. Time that goes back moves nothing."""
+    t = t.copy()
+    t[:, OFFSET] += t[:, SPEED] * max(0.0, at - (at if now is None else now)) / 1000
+    chosen = owners(t, found)
+    hit, miss = chosen >= 0, chosen < 0
+    step = found[chosen[hit], 0] - t[hit, OFFSET]
+    passed = at - t[hit, SEEN]
+    pace = np.clip(step / np.where(passed >= SETTLE_MS, passed / 1000, 1.0), -FASTEST, FASTEST)
+    t[hit, SPEED] = np.where(passed >= SETTLE_MS, 0.75 * t[hit, SPEED] + 0.25 * pace, 0.5 * t[hit, SPEED])
+    t[hit, OFFSET] += FOLLOW * step
+    t[hit, ODDS] += GAIN * found[chosen[hit], 1] - np.minimum(0.5, np.abs(step) / GATE_NEW * 0.5)
+    t[:, ODDS] -= MISS_COST
+    t[hit, STEP], t[hit, SEEN], t[hit, LOST] = step, at, 0
+    t[hit, HITS] += 1
+    t[miss, LOST] += 1
+    t[np.ix_(miss, [HITS, SPEED])], t[miss, STEP] = 0, np.nan
+    new = np.delete(found, chosen[hit], axis=0)
+    born = np.zeros((len(new), 8))
+    born[:, OFFSET], born[:, ODDS], born[:, SEEN], born[:, HITS], born[:, STEP] = new[:, 0], START + START_GAIN * new[:, 1], at, 1, np.nan
+    t = kept(np.vstack([t, born]))
+    best = confirmed(t)
+    if best < 0:
+        return t, -1
+    t[best, SURE] = 1
+    row = t[best].copy()
+    t = kept(t)
+    return t, int(np.flatnonzero((t[:, OFFSET] == row[OFFSET]) & (t[:, ODDS] == row[ODDS]))[0])
 
 
-@dataclass
-class Track:
-    offset: float
-    log_odds: float
-    updated: float
-    velocity: float = 0.0  # a second
-    hits: int = 1
-    misses: int = 0
-    innovation: float | None = None
-    confirmed: bool = False
-
-    @property
-    def protected(self) -> bool:
-        return self.confirmed and self.log_odds >= COAST and self.misses <= COAST_MISSES
-
-    def rank(self) -> tuple:
-        return (not self.protected, -self.log_odds, -self.hits, self.offset)
-
-
-@dataclass
-class Tracker:
-    tracks: list[Track] = field(default_factory=list)
-    now: float | None = None
-
-    def update(self, found: list[tuple[float, float]], at: float) -> Track | None:
-        """Take the measurements (offset, confidence) of one time; the confirmed track, if any."""
-        found = [(o, c) for o, c in found if isfinite(o) and isfinite(c) and c > 0][:MOST]
-        if self.now is not None:
-            for t in self.tracks:
-                t.offset += t.velocity * (at - self.now) / 1000
-        self.now = at
-        free = set(range(len(found)))
-        for t in sorted(self.tracks, key=lambda t: -t.log_odds):
-            gate = GATE_KNOWN if t.confirmed or t.log_odds >= KNOWN else GATE_NEW
-            near = [(abs(found[i][0] - t.offset), -found[i][1], i) for i in free if abs(found[i][0] - t.offset) <= gate]
-            if near:
-                i = min(near)[2]
-                free.discard(i)
-                self._hit(t, *found[i], at)
-            else:
-                t.log_odds -= MISS_COST
-                t.hits, t.misses, t.velocity, t.innovation = 0, t.misses + 1, 0.0, None
-        self.tracks += [Track(found[i][0], 0.6 + 1.2 * found[i][1], at) for i in sorted(free)]
-        self._prune()
-        return self._confirm()
-
-    @staticmethod
-    def _hit(t: Track, offset: float, confidence: float, at: float) -> None:
-        step, passed = offset - t.offset, at - t.updated
-        if passed >= 250:
-            t.velocity = 0.75 * t.velocity + 0.25 * max(-250.0, min(250.0, step / (passed / 1000)))
-        else:
-            t.velocity *= 0.5
-        t.offset += 0.65 * step
-        t.log_odds += -MISS_COST + 2.2 * confidence - min(0.5, abs(step) / 120 * 0.5)
-        t.innovation, t.updated, t.hits, t.misses = step, at, t.hits + 1, 0
-
-    def _prune(self) -> None:
-        alive = [t for t in self.tracks if t.protected or (t.log_odds > DROP and t.misses <= MISSES)]
-        self.tracks = sorted(alive, key=Track.rank)[:MOST]
-
-    def _confirm(self) -> Track | None:
-        ranked = sorted(self.tracks, key=lambda t: (-t.log_odds, -t.hits, t.offset))
-        if not ranked:
-            return None
-        best, second = ranked[0], ranked[1] if len(ranked) > 1 else None
-        sure = best.hits >= 2 and best.log_odds >= KNOWN and best.misses == 0 and best.innovation is not None and abs(best.innovation) <= GATE_KNOWN
-        clear = second is None or best.log_odds - second.log_odds >= LEAD
-        blocked = any(t is not best and t.protected and abs(t.offset - best.offset) > GATE_KNOWN for t in self.tracks)
-        if not (sure and clear) or blocked:
-            return None
-        for t in self.tracks:
-            t.confirmed = t is best
-        self._prune()
-        return best
+TRACKED = "key string, at_ms double, offset_ms double, log_odds double, hits int, tracks int"
 
 
-TRACKED = "key string, at_ms double, offset_ms double, log_odds double, hits int, tracks int"
+def follow(state: tuple[np.ndarray, float | None], key: str, rows: pd.DataFrame) -> tuple[tuple[np.ndarray, float | None], list[tuple]]:
+    """Step over a key's rows (at_ms, offset_ms, confidence), a time at once: the next state and a row for each time."""
+    times, confidences, offsets = (rows[c].to_numpy(float) for c in ("at_ms", "confidence", "offset_ms"))
+    order = np.lexsort((offsets, -confidences, times))
+    times, confidences, offsets = times[order], confidences[order], offsets[order]
+    edges = np.flatnonzero(np.diff(times, prepend=np.nan, append=np.nan) != 0) if len(times) else []
+    table, now = state
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        at = float(times[a])
+        table, best = advance(table, now, usable(offsets[a:b], confidences[a:b]), at)
+        now = at
+        figures = (float(table[best, OFFSET]), float(table[best, ODDS]), int(table[best, HITS])) if best >= 0 else (None, None, None)
+        out.append((key, at, *figures, len(table)))
+    return (table, now), out
 
 
 def track(measurements: DataFrame) -> DataFrame:
     """The tracker over each key's measurements (key, at_ms, offset_ms, confidence), one row for each time."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        for at, rows in p.sort_values(["at_ms", "confidence", "offset_ms"], ascending=[True, False, True]).groupby("at_ms", sort=True):
-            best = tracker.update(list(zip(rows["offset_ms"].astype(float), rows["confidence"].astype(float))), float(at))
-            state = (best.offset, best.log_odds, best.hits) if best else (None, None, None)
-            out.append((str(p["key"].iloc[0]), float(at), *state, len(tracker.tracks)))
+        _, out = follow((EMPTY, None), str(p["key"].iloc[0]), p)
         return pd.DataFrame(out, columns=["key", "at_ms", "offset_ms", "log_odds", "hits", "tracks"]).astype({"hits": "Int32"})
 
-    return measurements.groupBy("key").applyInPandas(run, TRACKED)
+    return spread(measurements, "key").groupBy("key").applyInPandas(run, TRACKED)

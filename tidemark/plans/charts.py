@@ -104,10 +104,16 @@ def running_combo(spark, sf_dir):
     return judge.with_combo(judged(spark, sf_dir), "user_id", ["t_us", "event_id"]).select("user_id", "event_id", "tier", "combo")
 
 
-@query("WITH " + J + """, s AS (SELECT *, COALESCE(tier >= lag(tier) OVER w OR t_us - lag(t_us) OVER w >= 3600000000, TRUE) AS shown FROM j
-WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)) SELECT user_id, event_id, tier, shown FROM s""")
+_PROTECT, _VISIBLE = 40_000_000_000, 160_000_000_000
+
+
+@query("WITH RECURSIVE " + J + f""", n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS i FROM j),
+f AS (SELECT user_id, event_id, i, tier, TRUE AS shown, tier AS on_tier, t_us AS since FROM n WHERE i = 1 UNION ALL
+SELECT user_id, event_id, i, tier, shown, CASE WHEN shown THEN tier ELSE on_tier END, CASE WHEN shown THEN t_us ELSE since END
+FROM (SELECT n.*, f.on_tier, f.since, n.t_us >= f.since + {_VISIBLE} OR n.tier >= f.on_tier OR n.t_us >= f.since + {_PROTECT} AS shown FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1))
+SELECT user_id, event_id, tier, shown FROM f""")
 def feedback_shown(spark, sf_dir):
-    return judge.feedback(judged(spark, sf_dir), "user_id", ["t_us", "event_id"], 3_600_000_000).select("user_id", "event_id", "tier", "shown")
+    return judge.feedback(judged(spark, sf_dir), "user_id", ["t_us", "event_id"], _PROTECT, _VISIBLE).select("user_id", "event_id", "tier", "shown")
 
 
 @query("WITH " + E + """, i AS (SELECT event_id, user_id, k % 4 AS lane, t_us, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'press' ELSE 'release' END AS phase FROM e),

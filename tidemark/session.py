@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by key over all shuffle partitions.
+
+    For steps that are slow for each byte: Spark would join their small
+    partitions, and a few tasks would do all the work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder that driver and executors share.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.judge import JUDGED, Engine
-from tidemark.operators.tracker import TRACKED, Tracker
+from tidemark.operators.tracker import EMPTY, TRACKED, follow
 
 Step = Callable[[object, tuple, pd.DataFrame], tuple[object, list[tuple]]]
 
@@ -113,13 +113,8 @@ def judge(rows: DataFrame, table: str = "B") -> DataFrame:
     return stateful(rows, "session_id", judge_step(table), JUDGED)
 
 
-def track_step(tracker, key, rows):
-    tracker, out = tracker or Tracker(), []
-    for at, found in rows.sort_values(["at_ms", "confidence", "offset_ms"], ascending=[True, False, True]).groupby("at_ms", sort=True):
-        best = tracker.update(list(zip(found["offset_ms"].astype(float), found["confidence"].astype(float))), float(at))
-        state = (best.offset, best.log_odds, best.hits) if best else (None, None, None)
-        out.append((str(key[0]), float(at), *state, len(tracker.tracks)))
-    return tracker, out
+def track_step(state, key, rows):
+    return follow(state or (EMPTY, None), str(key[0]), rows)
 
 
 def track(measurements: DataFrame) -> DataFrame:
