@@ -299,10 +299,12 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         return pa.table({"fp": t.column(0), "root": t.column(1), "size": pa.array([len(x) for x in sets], pa.int32()), "hashes": hashes})
 
     sets = cut(map_arrow(texts, shingle, "fp long, root long, size int, hashes array<long>").withColumn("band", band(similarity)), "simhash-texts")
-    sizes = sets.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    sizes = cut(sets.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int").alias("parts")), "simhash-sizes")
+    # few are larger than a part: written, so that Spark sees whether they are small enough to be broadcast
+    large = cut(sizes.where("parts > 1"), "simhash-large")
     parts = cut(
-        sets.join(sizes, ["root", "band"])
-        .groupBy("root", "band", F.pmod(F.hash("fp"), F.col("parts")).alias("part"))
+        sets.join(large, ["root", "band"], "left")
+        .groupBy("root", "band", F.pmod(F.hash("fp"), F.coalesce("parts", F.lit(1))).alias("part"))
         .agg(F.collect_list(F.struct("fp", "hashes")).alias("all"))
         .select("root", "band", "part", F.col("all.fp").alias("fps"), F.col("all.hashes").alias("sets")),
         "simhash-parts",
