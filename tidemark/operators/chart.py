@@ -145,6 +145,31 @@ def ready_window(objects: DataFrame, key: str, time: str, order: list[str], mini
     return bounds.select(key, F.when(ok, F.col("start")).alias("start"), F.when(ok, F.col("last_closed")).alias("end"))
 
 
+def start_gate(objects: DataFrame, key: str, time: str, order: list[str], now: Column, buffered_ms: int = 5000, lead_ms: int = 1000) -> DataFrame:
+    """Whether rendering may start: the window from ``lead_ms`` after ``now`` on, and ``ready`` once it is long enough."""
+    window = ready_window(objects, key, time, order, now + lead_ms)
+    return window.withColumn("ready", F.coalesce(F.col("end") - F.col("start") >= buffered_ms, F.lit(False)))
+
+
+def accepted(objects: DataFrame, time: str, least: Column | None = None, most: Column | None = None, rendered_to: Column | None = None) -> DataFrame:
+    """Objects that may still be taken: finite times from 0 on, within the bounds, and after what was rendered, where these are known.
+
+    The same filter prunes what was taken before, when a bound changes.
+    """
+    at = F.col(time).cast("double")
+    ok = F.coalesce((at >= 0) & (at < float("inf")) & ~F.isnan(at), F.lit(False))
+    for bound, inside in ((least, lambda b: at >= b), (most, lambda b: at <= b), (rendered_to, lambda b: at > b)):
+        if bound is not None:
+            ok = ok & F.coalesce(inside(bound), F.lit(True))
+    return objects.where(ok)
+
+
+def ended(marks: DataFrame, key: str, complete_to: str) -> DataFrame:
+    """When each stream ends: the earliest declared time; times that are not finite or below 0 declare nothing."""
+    at = F.col(complete_to).cast("double")
+    return marks.where((at >= 0) & (at < float("inf")) & ~F.isnan(at)).groupBy(key).agg(F.min(complete_to).alias("end_ms"))
+
+
 def page(rows: DataFrame, key: str, order: list[str], after: int, limit: int, bound: Column) -> DataFrame:
     """Rows after a cursor up to ``bound``, ``limit`` at most for each key.
 

@@ -157,11 +157,26 @@ def chart_parse(spark, sf_dir):
     return parsed.groupBy(F.split("chart_id", "/")[0].alias("chart_id"), "lane", "kind", "time_ms").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + O + """, w AS (SELECT user_id, event_id, time_ms, time_ms - 86400000 AS low FROM o)
-SELECT user_id, COUNT(*) AS objects, SUM(seen)::BIGINT AS seen FROM (
-SELECT user_id, event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY time_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS seen FROM w) GROUP BY user_id""")
+@query("WITH " + O + """, v AS (SELECT *, time_ms + 40000000 AS until, CASE WHEN event_id % 2 = 0 THEN time_ms + 90000000 END AS resolved_at FROM o)
+SELECT event_id FROM v WHERE (time_ms <= 1704499200000 AND CASE WHEN kind = 'tap' THEN time_ms ELSE until END >= 1704412800000)
+OR COALESCE(resolved_at + 300 >= 1704412800000 AND resolved_at <= 1704499200000, FALSE)""")
 def visible_objects(spark, sf_dir):
-    """How many objects of the day before are visible at each object."""
-    w = Window.partitionBy("user_id").orderBy("time_ms").rangeBetween(-86_400_000, 0)
-    rows = objects(spark, sf_dir).withColumn("n", F.count("*").over(w))
-    return rows.groupBy("user_id").agg(F.count("*").alias("objects"), F.sum("n").alias("seen"))
+    """Objects to draw on 5 January 2024; those that are no tap last 40 000 s, half are resolved 90 000 s after their start."""
+    rows = objects(spark, sf_dir).withColumns({"until": F.when(F.col("kind") != "tap", F.col("time_ms") + 40_000_000), "resolved_at": F.when(F.col("event_id") % 2 == 0, F.col("time_ms") + 90_000_000)})
+    return chart.visible(rows, "time_ms", "until", F.lit(1704412800000), F.lit(1704499200000)).select("event_id")
+
+
+@query(_ready(True).replace("SELECT user_id, CASE WHEN last_closed", "SELECT user_id, COALESCE(last_closed - start >= 5000, FALSE) AS ready, CASE WHEN last_closed"))
+def start_gate(spark, sf_dir):
+    """Whether five seconds are buffered from 5 January 2024 on."""
+    return chart.start_gate(objects(spark, sf_dir), "user_id", "time_ms", ORDER, F.lit(1704412799000))
+
+
+@query("WITH " + O + """, b AS (SELECT user_id, MIN(time_ms) FILTER (kind = 'holdEnd') AS end_ms FROM o WHERE event_id % 3 = 0 GROUP BY user_id)
+SELECT o.user_id, event_id FROM o LEFT JOIN b USING (user_id) WHERE time_ms >= 1704067200000 + user_id * 1000000 AND time_ms <= COALESCE(end_ms + 864000000, 9e18::DOUBLE)""")
+def accepted_objects(spark, sf_dir):
+    """Objects from a bound of their user on, to ten days after the end that user's stream declares."""
+    rows = objects(spark, sf_dir)
+    ends = chart.ended(rows.where("event_id % 3 = 0 and kind = 'holdEnd'"), "user_id", "time_ms")
+    bounded = rows.join(ends, "user_id", "left")
+    return chart.accepted(bounded, "time_ms", F.lit(1704067200000) + F.col("user_id") * 1_000_000, F.col("end_ms") + 864_000_000).select("user_id", "event_id")
