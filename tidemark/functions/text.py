@@ -104,6 +104,27 @@ def first_integer(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
 
 
+def key_bindings(stored: Column, n: int = 4) -> Column:
+    """Keys stored with tabs between: trimmed, in lower case; null unless they are ``n`` different ones."""
+    keys = F.transform(F.split(stored, "\t"), lambda k: F.lower(F.trim(k)))
+    ok = (F.size(keys) == n) & (F.size(F.array_distinct(keys)) == n) & ~F.array_contains(keys, "")
+    return F.when(ok, keys)
+
+
+def clip_id(name: Column, at: Column) -> Column:
+    """Slug of a name and the second of a time stamp: ``name-yyyyMMdd-HHmmss``; a name without letters or digits is ``clip``."""
+    return F.concat_ws("-", F.coalesce(blank_to_null(slug(name, 40)), F.lit("clip")), F.date_format(at, "yyyyMMdd-HHmmss"))
+
+
+def tag(tags: Column, identifiers: list[str], word: str) -> Column:
+    """Value of the first identifier that has one that is not blank, else of the first tag whose name holds ``word``; tags: array of (id, name, value)."""
+    filled = F.filter(tags, lambda t: blank_to_null(t["value"]).isNotNull())
+    first = lambda test: F.get(F.filter(filled, test), 0)["value"]
+    by_id = [first(lambda t: t["id"] == F.lit(i)) for i in identifiers]  # noqa: B023  (called at once)
+    by_name = first(lambda t: F.contains(F.lower(t["name"]), F.lit(word)))
+    return F.trim(F.coalesce(*by_id, by_name))
+
+
 @F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes, as 16 hex digits; null stays null."""

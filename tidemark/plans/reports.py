@@ -97,3 +97,33 @@ SELECT event_id, greatest(0, CASE WHEN (ms - 1000) / 500.0e0 - floor((ms - 1000)
 def nearest_beat(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", (F.floor(F.col("t_us") / 1000) % 600_000).alias("ms"))
     return P.nearest_beat(rows, "ms", 500.0, 1000.0).select("event_id", "beat")
+
+
+_KEYS = "p_brand || chr(9) || ' ' || upper(p_name) || chr(9) || CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) WHEN p_partkey % 3 = 1 THEN '' ELSE p_type END || chr(9) || p_partkey"
+
+
+@query(f"""WITH k AS (SELECT p_partkey, list_transform(string_split({_KEYS}, chr(9)), lambda x: lower(trim(x))) AS k FROM part)
+SELECT p_partkey, CASE WHEN len(k) = 4 AND len(list_distinct(k)) = 4 AND NOT list_contains(k, '') THEN array_to_string(k, '|') END AS keys FROM k""")
+def key_bindings(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(T.key_bindings(F.expr(_KEYS)), "|").alias("keys"))
+
+
+@query("""SELECT event_id, trim(left(trim(regexp_replace(lower(event_type || ' of user ' || user_id || '!'), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-') || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS clip_id,
+epoch_us(ts) // 1000000 AS seconds FROM events""")
+def clip_ids(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name, at = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"), F.lit("!")), F.col("ts").cast("timestamp")
+    return e.select("event_id", T.clip_id(name, at).alias("clip_id"), F.unix_seconds(at).alias("seconds"))
+
+
+@query("""SELECT p_partkey, trim(CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 AND p_size % 2 = 0 THEN ' ' || p_brand || ' ' WHEN p_size % 5 > 0 THEN p_type END) AS title FROM part""")
+def tag_titles(spark, sf_dir):
+    """Titles of tag lists: by two identifiers in order, else by a name that holds ``title``."""
+    row = lambda id_, name, value: F.struct(F.lit(id_).alias("id"), F.lit(name).alias("name"), value.alias("value"))
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    tags = F.array(
+        row("x/9", "Song Title", F.when(F.col("p_size") % 5 > 0, F.col("p_type"))), row("b/2", "other", F.when((key % 3 == 1) & (F.col("p_size") % 2 == 0), F.concat(F.lit(" "), "p_brand", F.lit(" ")))),
+        row("a/1", "other", F.when(key % 3 == 0, F.col("p_name")).otherwise(F.lit("  "))),
+    )
+    return p.select("p_partkey", T.tag(tags, ["a/1", "b/2"], "title").alias("title"))

@@ -136,3 +136,26 @@ def noise_floor_series(spark, sf_dir):
 def cadence_samples(spark, sf_dir):
     """Each user's events, at least a day apart, and the last."""
     return S.cadence(events(spark, sf_dir).select("user_id", "event_id", "t_us"), "user_id", "t_us", 86_400_000_000)
+
+
+@query("WITH " + E + """, n AS (SELECT user_id, event_id, k, COALESCE(SUM(k) OVER (PARTITION BY user_id ORDER BY t_us DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM e)
+SELECT user_id, event_id, least(k, 300 - later)::BIGINT AS k FROM n WHERE later < 300""")
+def trimmed_cache(spark, sf_dir):
+    """The newest events of every user that hold 300 of k."""
+    return S.trim_oldest(events(spark, sf_dir), "user_id", ORDER, "k", 300).select("user_id", "event_id", F.col("k").cast("long").alias("k"))
+
+
+@query("WITH " + E + " SELECT event_id FROM (SELECT event_id, t_us, MAX(t_us) OVER (PARTITION BY user_id) AS newest FROM e) WHERE t_us >= newest - 86400000000")
+def retained_frames(spark, sf_dir):
+    """Events of every user's last day."""
+    return S.expire(events(spark, sf_dir), "user_id", "t_us", 86_400_000_000).select("event_id")
+
+
+@query("WITH " + E + """, p AS (SELECT i.event_type, i.t_us AS input, b.t_us AS beat, i.t_us - b.t_us AS off FROM (SELECT DISTINCT event_type, t_us FROM e WHERE event_id % 2 = 1) i
+  JOIN (SELECT DISTINCT event_type, t_us FROM e WHERE event_id % 2 = 0) b ON i.event_type = b.event_type AND abs(i.t_us - b.t_us) <= 120000000),
+n AS (SELECT * FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type, input ORDER BY abs(off), beat) = 1)
+SELECT event_type, beat, input, off FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type, beat ORDER BY input) = 1""")
+def calibration_offsets(spark, sf_dir):
+    """Odd events as inputs against even ones of their type as beats, two minutes apart at most."""
+    e = events(spark, sf_dir).select("event_type", "event_id", F.col("t_us").alias("time"))
+    return S.calibration(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "event_type", 120_000_000)
