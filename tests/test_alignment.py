@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.operators import nearest, spectra, tracker, voting
+from tidemark.operators import lock, nearest, spectra, tracker, voting
 
 
 def test_cluster_of_votes(spark):
@@ -63,17 +64,16 @@ def noisy(x):
     return np.maximum(0, (band % 4) * 0.3 + x * (0.5 + (band % 5) * 0.2) + 0.15 * np.sin(i * (band + 17) * 0.123))
 
 
-def replay(reference, query, step=25):
-    engine, out = spectra.Aligner(spectra.Matcher(reference, 0.0, 20.0)), []
-    for end in range(step, len(query) + 1, step):
-        a = max(0, end - 251)
-        out.append(engine.step(query[a:end], a * 20.0))
-    return out
+def replay(reference, query, energy=0.0):
+    matcher = spectra.Matcher(reference, 0.0, 20.0) if reference is not None else None
+    times = np.arange(len(query)) * 20.0
+    out = lock.fold(lock.Held(), times, query, np.full(len(query), energy), matcher, 20.0, 5000.0, 500.0)[1]
+    return [dict(zip(("end_ms", "state", "phase", "reason", "offset_ms", "confidence"), x)) for x in out]
 
 
 def test_aligner_locks_noisy_query():
     out = replay(signal(2000), noisy(signal(800, shift=200)))
-    assert out[-1]["state"] == "locked" and abs(out[-1]["offset_ms"] - 4000) <= 8
+    assert out[-1]["state"] == "locked" and out[-1]["phase"] == "final" and abs(out[-1]["offset_ms"] - 4000) <= 8
 
 
 def test_aligner_never_locks_on_what_is_not_there():
@@ -84,8 +84,86 @@ def test_aligner_never_locks_on_what_is_not_there():
 
 
 def test_aligner_silence_and_no_reference():
-    assert spectra.Aligner(spectra.Matcher(signal(500), 0.0, 20.0)).step(signal(200), 0.0, energy_db=-120)["state"] == "lost"
-    assert spectra.Aligner(None).step(signal(200), 0.0)["state"] == "failed"
+    # silence is "lost" only where something had been confirmed
+    assert {x["state"] for x in replay(signal(500), signal(200), energy=-120.0)} == {"listening"}
+    assert {x["state"] for x in replay(None, signal(200))} == {"failed"}
+
+
+PLACE = lock.Sighting(1000.0, 0.5, 0.2, 0.3, 0.3, 0.3)
+
+
+def advanced(held, end, sight=None, near=None, length=5000.0, **facts):
+    return lock.advance(held, lock.Heard(end - length, end, 20.0, **facts), lambda: sight, lambda low, high: near)
+
+
+def test_lock_coasts_is_lost_and_locked_for_good():
+    held, shown = advanced(lock.Held(), 5000.0, PLACE)
+    assert shown[:4] == ("locking", "provisional", "weak_peak", 1000.0) and shown[4] == 0.5
+    assert advanced(held, 5050.0)[1] == shown  # a window 50 ms later shows the same again
+    held, shown = advanced(held, 6000.0, PLACE)
+    assert shown[:4] == ("locked", "final", None, 1000.0)
+    # a look 40 ms away draws the track by 1 - exp(-500 / 300)
+    held, shown = advanced(held, 6500.0, None, PLACE._replace(offset_ms=1040.0))
+    assert shown[2] is None and abs(shown[3] - (1000 + 40 * (1 - np.exp(-500 / 300)))) < 1e-9
+    coasting, shown = advanced(held, 7250.0)
+    assert shown[:3] == ("locked", "final", "weak_peak") and abs(shown[4] - 0.5 * (1 - 750 / 1500)) < 1e-9
+    lost, shown = advanced(coasting, 8600.0)
+    assert shown == ("relocking", "final", "weak_peak", None, 0.0)
+    assert advanced(lost, 9200.0, PLACE._replace(margin=0.05))[1][2] == "ambiguous"
+    assert advanced(held, 7000.0, energy=-90.0)[1] == ("lost", "final", "silent", None, 0.0)
+    # found again by strong short windows: the depth once reached stays
+    again, _ = advanced(lost, 9200.0, PLACE, length=3000.0)
+    assert advanced(again, 10200.0, PLACE, length=3000.0)[1][:2] == ("locked", "final")
+
+
+def test_lock_confirms_early_on_strong_sightings_only():
+    for sight, state in ((PLACE, "confirmed"), (PLACE._replace(score=0.44), "locking")):
+        held, _ = advanced(lock.Held(), 3000.0, sight, length=3000.0)
+        assert advanced(held, 4000.0, sight, length=3000.0)[1][0] == state
+    held, _ = advanced(lock.Held(), 5000.0, PLACE)
+    assert advanced(held, 6000.0, PLACE._replace(offset_ms=1081.0))[1][0] == "locking"  # another guess begins
+    assert advanced(held, 4000.0)[0].guess is None  # time went back
+
+
+def rows_of(key, frames, start=0.0):
+    return [(key, start + 20.0 * i, [float(x) for x in f]) for i, f in enumerate(frames)]
+
+
+def test_align_in_chunks_equals_the_fold_and_any_stream(spark):
+    from tidemark.streaming.stateful import align_step
+
+    reference, live = signal(2400), noisy(signal(1800, shift=200))
+    live = np.delete(live, slice(900, 980), axis=0)
+    times = np.delete(np.arange(1800) * 20.0, slice(900, 980))
+    plain = lock.fold(lock.Held(), times, live, np.zeros(len(live)), spectra.Matcher(reference, 0.0, 20.0), 20.0, 5000.0, 500.0)[1]
+    query = [("a", float(t), [float(x) for x in f]) for t, f in zip(times, live)] + rows_of("alone", live[:30]) + [("a", None, [1.0]), ("a", 5.0, None)]
+    schema = "key string, t_ms double, bands array<double>"
+    found = lock.align(spark.createDataFrame(query, schema), spark.createDataFrame(rows_of("a", reference) + rows_of("unheard", reference[:30]), schema), 20.0)
+    got = {(r.key, r.end_ms): tuple(r)[2:] for r in found.collect()}
+    assert {k[0] for k in got} == {"a", "alone"} and {v[0] for k, v in got.items() if k[0] == "alone"} == {"failed"}
+    of_a = {k[1]: v for k, v in got.items() if k[0] == "a"}
+    assert len(plain) == len(of_a) > 60
+    for end, *shown in plain:
+        assert of_a[end][:3] == tuple(shown[:3])
+        assert np.allclose([x or 0 for x in of_a[end][3:]], [x or 0 for x in shown[3:]], atol=1e-6)
+    assert {"locked", "listening"} <= {v[0] for v in of_a.values()}
+    times_of = lock.lock_times(found).where("key = 'a'").first()
+    assert times_of.provisional_ms == min(k for k, v in of_a.items() if v[1] != "none") <= times_of.confirmed_ms <= times_of.final_ms
+
+    frames = pd.DataFrame({"kind": "frame", "t_ms": times, "bands": list(live), "energy_dbfs": 0.0})
+    targets = pd.DataFrame({"kind": "reference", "t_ms": np.arange(2400) * 20.0, "bands": list(reference), "energy_dbfs": 0.0})
+    step, state, streamed = align_step(20.0, 5000.0, 500.0), None, []
+    for part in (targets, frames[:7], frames[7:450], frames[450:451], frames[451:]):
+        state, out = step(state, ("a",), part)
+        streamed += [x[1:] for x in out]
+    assert streamed == plain
+
+
+def test_align_of_nothing(spark):
+    schema = "key string, t_ms double, bands array<double>"
+    none = spark.createDataFrame([], schema)
+    assert lock.align(none, none, 20.0).count() == 0
+    assert lock.align(none, spark.createDataFrame(rows_of("a", signal(30)), schema), 20.0).count() == 0
 
 
 def test_correlations_by_transform_equal_direct_ones():

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import nearest as N
-from tidemark.operators import spectra, tracker, voting
+from tidemark.operators import lock, spectra, tracker, voting
 from tidemark.plans.adapters import E, L, events, landmarks
 from tidemark.plans.registry import query
-from tidemark.session import table
+from tidemark.session import spread, table
 
 BIN, REACH = 1_200_000_000, 21_600_000_000  # 20 minutes, 6 hours
 
@@ -211,16 +211,16 @@ def topk_with_margin(spark, sf_dir):
 
 @query()
 def spectral_alignment(spark, sf_dir):
-    """Every customer segment's synthetic recording against its reference, entered 4 s in."""
-    seeds = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("seed"))
+    """Every supplier's synthetic recording (97 kinds of signal) against its reference, entered 4 s in, and how far each got."""
+    seeds = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), (F.col("s_suppkey") % 97).alias("seed"))
 
     def signal(frames: int, shift: int):
         t = F.col("i") + shift
         band = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda b: spectra.synthetic_band(F.col("seed"), t, b))
-        rows = seeds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
-        return rows.select(F.col("c_mktsegment").alias("key"), (F.col("i") * 20.0).alias("t_ms"), band.alias("bands"))
+        rows = spread(seeds, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
+        return rows.select("key", (F.col("i") * 20.0).alias("t_ms"), band.alias("bands"))
 
-    found = spectra.align(signal(600, 200), signal(2000, 0), 20.0)
+    found = lock.align(signal(400, 200), signal(1000, 0), 20.0)
     return found.withColumns({c: F.round(c, 3) for c in ("offset_ms", "confidence")})
 
 

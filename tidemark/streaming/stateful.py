@@ -10,11 +10,13 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import lock
 from tidemark.operators.judge import JUDGED, Engine
 from tidemark.operators.tracker import EMPTY, TRACKED, follow
 
@@ -122,6 +124,53 @@ def track(measurements: DataFrame) -> DataFrame:
     return stateful(measurements, "key", track_step, TRACKED)
 
 
+def align_step(hop_ms: float, window_ms: float, cadence_ms: float) -> Step:
+    """The fold of ``lock.align`` over live frames.
+
+    Rows of kind ``reference`` must come before the frames that they serve, or
+    with them. State holds the reference, the frames of the last window and
+    what ``lock.advance`` carries, as arrays and plain tuples.
+    """
+
+    def step(state, key, rows):
+        reference, tail, held = state or (None, None, None)
+        held = lock.Held(*held) if held else lock.Held()
+        if held.guess:
+            held = held._replace(guess=lock.Position(*held.guess))
+        if held.track:
+            held = held._replace(track=lock.Position(*held.track))
+        rows = rows[rows["t_ms"].notna() & rows["bands"].notna()].sort_values("t_ms", kind="stable")
+
+        def arrays(part):
+            return part["t_ms"].to_numpy(float), np.array(part["bands"].tolist(), float), part["energy_dbfs"].astype(float).fillna(-200.0).to_numpy()
+
+        def joined(old, new):
+            return new if old is None else tuple(np.concatenate(x) for x in zip(old, new))
+
+        targets, frames = rows[rows["kind"] == "reference"], rows[rows["kind"] != "reference"]
+        if len(targets):
+            reference = joined(reference, arrays(targets)[:2])
+        if not len(frames):
+            return (reference, tail, tuple(held)), []
+        matcher = None
+        if reference is not None:
+            order = np.argsort(reference[0], kind="stable")
+            matcher = lock.Matcher(reference[1][order], float(reference[0][order[0]]), hop_ms)
+        begin = 0 if tail is None else len(tail[0])
+        times, bands, energy = joined(tail, arrays(frames))
+        held, out = lock.fold(held, times, bands, energy, matcher, hop_ms, window_ms, cadence_ms, begin)
+        recent = times >= times[-1] - window_ms - hop_ms
+        plain = tuple(tuple(x) if isinstance(x, tuple) else x for x in held)
+        return (reference, (times[recent], bands[recent], energy[recent]), plain), [(str(key[0]), *x) for x in out]
+
+    return step
+
+
+def align(rows: DataFrame, hop_ms: float, window_ms: float = 5000.0, cadence_ms: float = 500.0) -> DataFrame:
+    """Live alignment of rows (key, kind, t_ms, bands, energy_dbfs): kind is ``reference`` or ``frame``."""
+    return stateful(rows, "key", align_step(hop_ms, window_ms, cadence_ms), lock.ALIGNED)
+
+
 def throttle_step(least_ms: float) -> Step:
     """Let a row through when ``least_ms`` have passed, or time moved backwards or is undefined."""
 
