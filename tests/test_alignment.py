@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.operators import lock, nearest, spectra, tracker, voting
+from tidemark.operators import landmark_lock, lock, nearest, spectra, tracker, voting
 
 
 def test_cluster_of_votes(spark):
@@ -261,3 +261,73 @@ def test_confirmation_is_never_withdrawn_and_time_going_back_moves_nothing():
         table, _ = tracker.advance(table, now, np.zeros((0, 2)), now + 500)
         now += 500
     assert not len(table)
+
+
+def place(offset, stage="passed", reason="none", confidence=0.9):
+    return {"offset_ms": offset, "stage": stage, "reason": reason, "confidence": confidence, "provisional": 0.5, "final": 0.6}
+
+
+def shown_by(windows):
+    c, out = landmark_lock.Carried(), []
+    for k, (ready, long, found) in enumerate(windows):
+        c, shown = landmark_lock.advance(c, 500.0 * k, ready, long, found)
+        out.append(shown)
+    return c, out
+
+
+def test_landmarks_confirm_and_lock():
+    short, long = ("none", False, [place(1000.0)]), ("none", True, [place(1000.0)])
+    c, out = shown_by([short] * 6)
+    # log odds grow by 1.68 + 1.23 a hit: the second hit is beyond 2.8
+    assert [x[:4] for x in out[:2]] == [("locking", "provisional", "timing", None), ("confirmed", "confirmed", "tracking", None)]
+    assert out[0][4:] == (1000.0, 0.5) and out[-1][:3] == ("confirmed", "confirmed", "tracking")
+    c, out = shown_by([long] * 3)
+    assert [x[:4] for x in out] == [("locking", "provisional", "robust", "unstable"), ("locked", "final", "robust", None), ("locked", "final", "tracking", None)]
+    assert abs(out[1][5] - 0.7) < 1e-9 and out[0][4:] == (1000.0, 0.5)
+    assert abs(landmark_lock.standing(c.table).worth - (0.65 / (1 + np.exp(-c.table[0, tracker.ODDS])) + 0.35)) < 1e-9
+
+
+def test_landmarks_coast_drift_and_wait():
+    long, gone = ("none", True, [place(1000.0)]), ("none", True, [])
+    weak, doubt = ("none", True, [place(1000.0, "timing", "weak_peak")]), ("none", True, [place(1000.0, "final", "ambiguous")])
+    _, out = shown_by([long] * 3 + [gone, weak, doubt, ("insufficient_energy", True, []), ("too_short", True, []), ("no_reference", True, [])])
+    assert [x[:4] for x in out[3:6]] == [("locked", "final", "tracking", r) for r in ("insufficient_landmarks", "weak_peak", "ambiguous")]
+    assert all(x[4] == 1000.0 for x in out[3:6])
+    assert [x[0] for x in out[6:]] == ["lost", "relocking", "failed"] and {x[4:] for x in out[6:]} == {(None, 0.0)}
+    # misses beyond what coasting bears: the position is no longer shown
+    _, out = shown_by([long] * 2 + [gone] * 6)
+    assert out[2][0] == "locked" and out[-1][:3] == ("relocking", "final", "relock") and out[-1][4] is None
+    assert shown_by([gone])[1][0][:4] == ("locking", "none", "coarse", "insufficient_landmarks")
+    assert shown_by([("insufficient_energy", True, [])])[1][0][0] == "listening"
+
+
+def test_landmarks_search_near_the_followed_track():
+    long = ("none", True, [place(1000.0)])
+    both = ("none", True, [place(1800.0), place(1010.0, confidence=0.7)])
+    c, out = shown_by([long] * 3 + [both])
+    assert out[-1][:2] == ("locked", "final") and abs(out[-1][4] - 1006.5) < 1e-9 and len(c.table) == 1
+    # before a lock the far candidate leads and is tracked too
+    c, out = shown_by([both])
+    assert len(c.table) == 2 and out[0][4] == 1800.0
+
+
+def test_landmark_windows_in_batch_and_stream(spark):
+    from tidemark.streaming.stateful import landmark_align_step
+
+    draw = random.Random(3)
+    stages = [("passed", "none")] * 5 + [("timing", "weak_peak"), ("final", "ambiguous"), ("coarse", "ambiguous")]
+    rows = []
+    for k in range(60):
+        found = [place(1000.0 + draw.randrange(-30, 30) + 900 * (k > 40), *draw.choice(stages)) for _ in range(draw.randrange(3))]
+        rows.append(("a", 500.0 * k, "none" if k % 9 else "insufficient_energy", k % 2 == 0, found))
+    schema = "key string, at_ms double, ready string, long boolean, candidates array<struct<offset_ms double, stage string, reason string, confidence double, provisional double, final double>>"
+    odd = [("b", 0.0, None, None, None), (None, 0.0, "none", True, []), ("b", None, "none", True, [])]
+    got = [tuple(r) for r in landmark_lock.align(spark.createDataFrame([*rows, *odd], schema)).orderBy("key", "at_ms").collect()]
+    pdf = pd.DataFrame(rows, columns=["key", "at_ms", "ready", "long", "candidates"])
+    state, streamed = None, []
+    for part in (pdf[:1], pdf[1:30], pdf[30:]):
+        state, out = landmark_align_step(state, ("a",), part)
+        streamed += out
+    assert got[:-1] == streamed and len({x[2] for x in streamed}) > 3
+    assert got[-1] == ("b", 0.0, "locking", "none", "coarse", "insufficient_landmarks", None, 0.0)
+    assert landmark_lock.align(spark.createDataFrame([], schema)).count() == 0

@@ -20,9 +20,9 @@ GATE_NEW, GATE_KNOWN, KNOWN, MOST = 120.0, 80.0, 2.8, 8
 MISS_COST, DROP, MISSES, COAST, COAST_MISSES, LEAD = 0.75, -2.5, 4, 1.2, 2, 1.0
 SETTLE_MS, FASTEST, FOLLOW, GAIN, START, START_GAIN = 250.0, 250.0, 0.65, 2.2, 0.6, 1.2
 
-#: Columns of the table; ``step`` is how far the last hit lay off (NaN after a miss), ``known`` whether the track was ever confirmed.
-OFFSET, ODDS, SEEN, SPEED, HITS, LOST, STEP, SURE = range(8)
-EMPTY = np.zeros((0, 8))
+#: Columns of the table; ``step`` is how far the last hit lay off (NaN after a miss), ``known`` whether the track was ever confirmed, ``ours`` whether an alignment follows it.
+OFFSET, ODDS, SEEN, SPEED, HITS, LOST, STEP, SURE, OURS = range(9)
+EMPTY = np.zeros((0, 9))
 
 
 def usable(offsets: np.ndarray, confidences: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def advance(t: np.ndarray, now: float | None, found: np.ndarray, at: float) -> t
     t[miss, LOST] += 1
     t[np.ix_(miss, [HITS, SPEED])], t[miss, STEP] = 0, np.nan
     new = np.delete(found, chosen[hit], axis=0)
-    born = np.zeros((len(new), 8))
+    born = np.zeros((len(new), EMPTY.shape[1]))
     born[:, OFFSET], born[:, ODDS], born[:, SEEN], born[:, HITS], born[:, STEP] = new[:, 0], START + START_GAIN * new[:, 1], at, 1, np.nan
     t = kept(np.vstack([t, born]))
     best = confirmed(t)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import gates as G
+from tidemark.operators import landmark_lock
 from tidemark.plans.adapters import E, events
 from tidemark.plans.registry import query
 
@@ -129,3 +130,26 @@ def clock_projection(spark, sf_dir):
     key = F.col("o_orderkey")
     shown = G.projected(F.col("o_custkey"), key % 700, key % 5000, key % 9000 - 3000, F.lit(4000))
     return table(spark, sf_dir, "orders").select("o_orderkey", *[c.cast("long").alias(n) for n, c in shown.items()])
+
+
+@query()
+def landmark_alignment(spark, sf_dir):
+    """The alignment by landmark candidates: a window for every hour of a user, its events as candidates."""
+    hour = F.floor(F.col("t_us") / 3_600_000_000)
+    when = events(spark, sf_dir).select("event_id", hour.alias("hour"))
+    x = _candidates(spark, sf_dir).join(when, "event_id").withColumn("long", F.col("hour") % 3 > 0)
+    none = F.lit("none")
+    coarse = F.when(F.col("hashes") == 0, "insufficient_landmarks").otherwise(none)
+    # scores leave no gate shut for good, so that all states occur
+    strong = {"combined": F.lit(0.7) + F.col("coverage") / 4, "landmark": F.lit(0.3), "agreement": F.lit(4), "pcen": F.col("pcen") / 4 + 0.7, "cens": F.col("cens") / 4 + 0.7, "votes": F.lit(12), "sufficient": F.lit(True), "coarse_ms": F.col("offset_ms")}
+    x = x.withColumn("offset_ms", (F.col("user_id") % 50 * 100 + F.col("event_id") % 3 * 15).cast("double")).withColumns(strong)
+    steady = G.final_confidence().alias("final")
+    candidate = F.struct(
+        (-F.col("combined")).alias("rank"), F.col("event_id"), F.col("offset_ms"), landmark_lock.gated(coarse, G.timing_reason(), G.final_reason(), F.col("long")).alias("gate"),
+        G.measurement_confidence().alias("confidence"), G.provisional_confidence().alias("provisional"), steady,
+    )
+    windows = x.withColumn("stability_ms", F.lit(180.0)).groupBy(F.col("user_id").cast("string").alias("key"), "hour").agg(F.first("long").alias("long"), F.array_sort(F.collect_list(candidate)).alias("all"))
+    flat = F.transform("all", lambda c: F.struct(c["offset_ms"].alias("offset_ms"), c["gate"]["stage"].alias("stage"), c["gate"]["reason"].alias("reason"), c["confidence"].alias("confidence"), c["provisional"].alias("provisional"), c["final"].alias("final")))
+    ready = F.when(F.col("hour") % 11 == 0, "insufficient_energy").otherwise(none)
+    found = landmark_lock.align(windows.select("key", (F.col("hour") * 500.0).alias("at_ms"), ready.alias("ready"), "long", flat.alias("candidates")))
+    return found.withColumns({c: F.round(c, 6) for c in ("offset_ms", "confidence")})

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import lock
+from tidemark.operators import landmark_lock, lock
 from tidemark.operators.judge import JUDGED, Engine
 from tidemark.operators.tracker import EMPTY, TRACKED, follow
 
@@ -171,6 +171,16 @@ def align(rows: DataFrame, hop_ms: float, window_ms: float = 5000.0, cadence_ms:
     return stateful(rows, "key", align_step(hop_ms, window_ms, cadence_ms), lock.ALIGNED)
 
 
+def landmark_align_step(state, key, rows):
+    now, out = landmark_lock.follow(state, str(key[0]), rows)
+    return tuple(now), out
+
+
+def landmark_align(windows: DataFrame) -> DataFrame:
+    """The alignment by landmark candidates over live windows (key, at_ms, ready, long, candidates)."""
+    return stateful(windows, "key", landmark_align_step, landmark_lock.SHOWN)
+
+
 def throttle_step(least_ms: float) -> Step:
     """Let a row through when ``least_ms`` have passed, or time moved backwards or is undefined."""
 
