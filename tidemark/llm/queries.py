@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, fertility, langid, mixing, quality, secrets, shard, simhash, topk
+from tidemark.llm import bpe, chat, crosstok, dialogue, fertility, langid, lines, mixing, quality, secrets, shard, simhash, topk
 from tidemark.llm.common import remainder
 from tidemark.session import table
 
@@ -77,6 +77,23 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, pieces)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten code points and more that stand in two documents, dropped from all but the first."""
+    left = lines.deduplicate_lines(table(spark, sf_dir, "documents"), min_docs=2, min_chars=10)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, and their cheapest repair."""
+    return dialogue.repaired(dialogue.damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in two vocabularies, aligned through distinct segments."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstok.align(table(spark, sf_dir, "documents"), *paths)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_crf_quality": op1_crf_quality,
@@ -89,8 +106,11 @@ def queries() -> dict[str, Query]:
         "op8_sampled_splitters": op8_sampled_splitters,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_fertility": op10_fertility,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_segment_alignment": op13_segment_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.SQL, "op5_perspectives": chat.SQL, "op6_va_file": topk.SQL}
+    return {"op3_pareto_mix": mixing.SQL, "op5_perspectives": chat.SQL, "op6_va_file": topk.SQL, "op11_line_dedup": lines.SQL, "op12_turn_repair": dialogue.SQL}
