@@ -48,16 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps start from the files: nothing before is computed twice and a
     lost executor costs only its running tasks. The files stay until
-    ``drop_cuts``, as results are read late.
+    ``drop_cuts``, as results are read late. ``codec`` is the Parquet
+    compression, Spark's own setting if None.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
