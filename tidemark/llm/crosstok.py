@@ -14,10 +14,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +33,7 @@ from tidemark.session import cut
 #: White space before which a text may be cut, if the vocabularies allow it.
 WHITE = " \n\t\x0b\x0c\r"
 #: Characters of a block of documents; a longer document is a block of its own. Segments tokenised at once.
-BLOCK_CHARS, STEP_ROWS = 4_000_000, 4096
+BLOCK_CHARS, STEP_ROWS = 8_000_000, 4096
 #: Protobuf: an appended message overrides the model's own setting; here add_dummy_prefix of the normalizer is off.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 
@@ -53,8 +56,8 @@ class Pair:
         entries = json.loads(first)["model"]["vocab"]
         special = {t.content for t in self.a.get_added_tokens_decoder().values() if t.special}
         self.a_bytes = {i: bytes(alphabet[c] for c in token) for token, i in entries.items() if token not in special}
-        self.a_len = {i: len(x) for i, x in self.a_bytes.items()}
         self.b_bytes = {i: self._piece(i) for i in range(self.b.get_piece_size())}
+        self.a_len, self.b_len = (byte_lengths(x) for x in (self.a_bytes, self.b_bytes))
         self.white = cut_points(self.a_bytes.values(), self.b_bytes.values())
         self.segments = cutter(self.white)
 
@@ -62,25 +65,112 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def tokenised(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
+    def tokenised(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         first = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        return list(zip([e.ids for e in first], self.b.encode(segments, num_threads=1)))
+        return [e.ids for e in first], self.b.encode(segments, num_threads=1)
 
-    def aligned(self, segment: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of ids between the offsets where both end a token; None where the bytes are not the segment's."""
+    def faithful(self, segment: str, a: list[int], b: list[int]) -> bool:
         data = segment.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            return None
-        groups, at_a, at_b, i, j, from_i, from_j = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a, i = at_a + self.a_len[a[i]], i + 1
-            while at_b < at_a and j < len(b):
-                at_b, j = at_b + len(self.b_bytes[b[j]]), j + 1
-            if at_a == at_b:
-                groups.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-        return groups
+        return b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
+
+    def aligned(self, segments: list[str]) -> pa.Array:
+        """Each segment's groups in packed form (see ``packed``), null where the bytes are not the segment's."""
+        all_a, all_b = self.tokenised(segments)
+        ids_a, ids_b = list(chain.from_iterable(all_a)), list(chain.from_iterable(all_b))
+        data = "".join(segments).encode()
+        ok = None
+        if not b"".join([self.a_bytes[i] for i in ids_a]) == data == b"".join([self.b_bytes[i] for i in ids_b]):
+            ok = [self.faithful(*x) for x in zip(segments, all_a, all_b)]
+            all_a, all_b = (list(compress(x, ok)) for x in (all_a, all_b))
+            ids_a, ids_b = list(chain.from_iterable(all_a)), list(chain.from_iterable(all_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (all_a, all_b))
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        found = packed(n_a, n_b, ids_a, ids_b, np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b]))
+        if ok is None:
+            return found
+        place = np.cumsum(ok) - 1
+        return found.take(pa.array(np.where(ok, place, 0), mask=~np.array(ok)))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... (size of them) one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of values, runs of these sizes one after another."""
+    upto, ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)]), np.cumsum(sizes)
+    return (upto[ends] - upto[ends - sizes]).astype(np.int64)
+
+
+def packed(n_a: np.ndarray, n_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> pa.Array:
+    """Segments as 32-bit integers: n_groups, n_a, n_b, then sizes in a and b of each group, then the ids of a, then of b.
+
+    A group ends at each byte offset where tokens of both end; all segments do.
+    """
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    size_a, size_b = (np.bincount(np.searchsorted(common, e), minlength=len(common)) for e in (ends_a, ends_b))
+    of_group = np.searchsorted(ends_a[np.cumsum(n_a) - 1], common) if len(n_a) else common
+    n_groups = np.bincount(of_group, minlength=len(n_a))
+    size = 3 + 2 * n_groups + n_a + n_b
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), "<i4")
+    out[start], out[start + 1], out[start + 2] = n_groups, n_a, n_b
+    at = ranges(start + 3, 2 * n_groups)[::2]
+    out[at], out[at + 1] = size_a, size_b
+    out[ranges(start + 3 + 2 * n_groups, n_a)] = ids_a
+    out[ranges(start + 3 + 2 * n_groups + n_a, n_b)] = ids_b
+    offsets = pa.py_buffer(np.concatenate([np.zeros(1, np.int32), 4 * np.cumsum(size)]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(out.tobytes())])
+
+
+class Unpacked:
+    """Packed segments as flat arrays; null ones are without tokens and ``lost``."""
+
+    def __init__(self, segments: pa.Array):
+        self.lost = segments.is_null().to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(segments.drop_null().to_pylist()), "<i4").astype(np.int64)
+        size = np.zeros(len(segments), np.int64)
+        size[~self.lost] = np.asarray(pa.compute.binary_length(segments.drop_null())) // 4
+        start = (np.cumsum(size) - size)[~self.lost]
+        self.n_groups, self.n_a, self.n_b = (np.zeros(len(segments), np.int64) for _ in range(3))
+        for k, x in enumerate((self.n_groups, self.n_a, self.n_b)):
+            x[~self.lost] = data[start + k]
+        whole = np.zeros(len(segments), np.int64)
+        whole[~self.lost] = start + 3
+        at = ranges(whole, 2 * self.n_groups)[::2]
+        self.size_a, self.size_b = data[at], data[at + 1]
+        self.a = data[ranges(whole + 2 * self.n_groups, self.n_a)]
+        self.b = data[ranges(whole + 2 * self.n_groups + self.n_a, self.n_b)]
+        links = self.size_a * self.size_b
+        of_group = np.repeat(np.arange(len(segments)), self.n_groups)
+        self.n_links = np.bincount(of_group, links, len(segments)).astype(np.int64)
+
+    def links(self) -> np.ndarray:
+        """The linked pairs of ids of all segments in order, each as a times 2^32 plus b."""
+        n = self.size_a * self.size_b
+        k = ranges(np.zeros(len(n), np.int64), n)
+        first_a, first_b = (np.repeat(np.cumsum(x) - x, n) for x in (self.size_a, self.size_b))
+        wide = np.repeat(self.size_b, n)
+        return self.a[first_a + k // wide] << 32 | self.b[first_b + k % wide]
+
+    def shown(self) -> list[bytes]:
+        """``a1,a2|b1;a3|b2`` of each segment."""
+
+        def joined(items: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+            offsets = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]).astype(np.int32))
+            return pa.compute.binary_join(pa.ListArray.from_arrays(offsets, items), by)
+
+        sides = [joined(pa.array(ids).cast(pa.string()), sizes, ",") for ids, sizes in ((self.a, self.size_a), (self.b, self.size_b))]
+        return joined(pa.compute.binary_join_element_wise(*sides, "|"), self.n_groups, ";").cast(pa.binary()).to_pylist()
+
+
+def byte_lengths(tokens: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(tokens) + 1, np.int64)
+    for i, token in tokens.items():
+        out[i] = len(token)
+    return out
 
 
 def cut_points(*vocabularies) -> str:
@@ -109,8 +199,26 @@ def load(path: str) -> bytes:
         return f.read()
 
 
+class Codes(dict):
+    """Numbers segments as they are first seen."""
+
+    def __missing__(self, segment: str) -> int:
+        code = self[segment] = len(self)
+        return code
+
+
+def squeezed(codes: np.ndarray) -> bytes:
+    """Codes by place of their bytes, compressed: frequent segments have small codes."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def restored(data: bytes, n: int) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(plain.reshape(4, -1).T).view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents: block, ids, lens (segments of each document), codes (of all segments) and segs (what the codes stand for).
+    """Blocks of documents: block, ids, lens (segments of each document), codes (of all segments, squeezed) and segs (what the codes stand for).
 
     The number of a block is drawn where it is written, so it must be written
     once before it is used.
@@ -120,7 +228,7 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up, block = pair().segments, TaskContext.get().partitionId() << 33
         ids: list[pa.Array] = []
-        lens, codes, known, chars = [], [], {}, 0
+        lens, codes, known, chars = [], array("i"), Codes(), 0
 
         def closed() -> pa.RecordBatch:
             nonlocal ids, lens, codes, known, chars, block
@@ -129,10 +237,10 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
                 "block": pa.array([block], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
                 "lens": pa.array([lens], pa.list_(pa.int32())),
-                "codes": pa.ListArray.from_arrays(pa.array([0, sum(map(len, codes))], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *codes]), pa.int32())),
+                "codes": pa.array([squeezed(np.array(codes, np.int32))], pa.binary()),
                 "segs": pa.array([list(known)], pa.list_(pa.string())),
             }
-            ids, lens, codes, known, chars, block = [], [], [], {}, 0, block + 1
+            ids, lens, codes, known, chars, block = [], [], array("i"), Codes(), 0, block + 1
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
@@ -141,11 +249,8 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
                 text = texts[at].as_py()
                 ids.append(batch.column(0).slice(at, 1))
                 own = cut_up(" " + text) if text else []
-                for s in own:
-                    if s not in known:
-                        known[s] = len(known)
                 lens.append(len(own))
-                codes.append(np.array([known[s] for s in own], np.int32))
+                codes.extend(map(known.__getitem__, own))
                 chars += len(text or "") + 16
                 if chars >= BLOCK_CHARS:
                     yield closed()
@@ -153,130 +258,105 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
             yield closed()
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        run, f"block long, ids array<{kind.simpleString()}>, lens array<int>, codes array<int>, segs array<string>"
+        run, f"block long, ids array<{kind.simpleString()}>, lens array<int>, codes binary, segs array<string>"
     )
 
 
 def alignments(segments: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
-    """Tokenises and aligns the rows of ``seg``, which are distinct.
-
-    Adds n_a, n_b, n_groups, n_links, groups (as text) and the linked pairs:
-    as, bs (ids) and times. A segment whose bytes a tokeniser does not give
-    back has null groups.
-    """
+    """Tokenises and aligns the rows of ``seg``, which are distinct: seg and groups, in packed form."""
 
     def make():
         both = pair()
 
         def step(t: pa.Table) -> pa.Table:
-            segs = t.column(0).to_pylist()
-            rows = []
-            for seg, (a, b) in zip(segs, both.tokenised(segs)):
-                groups = both.aligned(seg, a, b)
-                if groups is None:
-                    rows.append((seg, 0, 0, 0, 0, None, [], [], []))
-                    continue
-                links: dict[tuple[int, int], int] = {}
-                for x, y in groups:
-                    for pair_ in ((i, j) for i in x for j in y):
-                        links[pair_] = links.get(pair_, 0) + 1
-                shown = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-                rows.append((seg, len(a), len(b), len(groups), sum(links.values()), shown, [i for i, _ in links], [j for _, j in links], list(links.values())))
-            kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64())]
-            names = ["seg", "n_a", "n_b", "n_groups", "n_links", "groups", "as", "bs", "times"]
-            return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            return pa.table({"seg": t.column(0), "groups": both.aligned(t.column(0).to_pylist())})
 
         return step
 
-    schema = "seg string, n_a long, n_b long, n_groups long, n_links long, groups string, `as` array<int>, bs array<int>, times array<long>"
-    return map_arrow(segments, per_task(make), schema, STEP_ROWS)
+    return map_arrow(segments, per_task(make), "seg string, groups binary", STEP_ROWS)
 
 
-def with_lists(tiles: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
-    """The blocks with one array for each of ``columns`` of ``known``, in the order of the block's segments."""
+def known_blocks(tiles: DataFrame, known: DataFrame) -> DataFrame:
+    """The blocks with what their codes stand for: all_codes and, in their order, all_groups."""
     asked = tiles.select("block", F.posexplode("segs").alias("code", "seg"))
-    lists = asked.join(known, "seg").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", *columns))).alias("all"))
-    return tiles.drop("segs").join(lists.select("block", *[F.col("all")[c].alias(f"all_{c}") for c in columns]), "block", "left")
+    lists = asked.join(known, "seg").groupBy("block").agg(F.collect_list(F.struct("code", "groups")).alias("all"))
+    return tiles.drop("segs").join(lists.select("block", F.col("all.code").alias("all_codes"), F.col("all.groups").alias("all_groups")), "block", "left")
+
+
+class Block:
+    """One block's documents as codes, with its segments unpacked in order of their codes."""
 
+    def __init__(self, lens: pa.Scalar, codes: pa.Scalar, all_codes: pa.Scalar, all_groups: pa.Scalar):
+        self.lens = lens.values.to_numpy().astype(np.int64)
+        self.codes = restored(codes.as_py(), int(self.lens.sum())).astype(np.int64)
+        if all_codes.is_valid:
+            order = np.argsort(all_codes.values.to_numpy())
+            self.known = Unpacked(all_groups.values.take(pa.array(order)))
+        else:
+            self.known = Unpacked(pa.array([], pa.binary()))
+        lost = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.known.lost[self.codes])])
+        self.ends = np.cumsum(self.lens)
+        self.whole = (self.lens > 0) & (lost[self.ends] == lost[self.ends - self.lens])
 
-def doc_counts(tiles: DataFrame) -> DataFrame:
-    """(a, b, docs): in how many documents ids a and b are linked. ``tiles`` has all_as, all_bs and all_groups."""
+
+def pair_counts(tiles: DataFrame) -> DataFrame:
+    """block, pair (a times 2^32 plus b) and docs: in how many documents of the block the ids are linked."""
 
     def step(t: pa.Table) -> pa.Table:
-        found = []
-        for row in range(t.num_rows):
-            lens, codes = (t.column(c)[row].values.to_numpy() for c in (0, 1))
-            if not len(codes):
-                continue
-            a, b = (t.column(c)[row].values for c in (2, 3))
-            size = np.asarray(a.value_lengths())
-            a, b = (x.flatten().to_numpy().astype(np.int64) for x in (a, b))
-            lost = t.column(4)[row].values.is_null().to_numpy(zero_copy_only=False)
-            pairs, pair = np.unique(a << 32 | b, return_inverse=True)
-            first = np.cumsum(size) - size
-            doc = np.repeat(np.arange(len(lens)), lens)
-            whole = np.ones(len(lens), bool)
-            whole[doc[lost[codes]]] = False
-            held = np.unique(doc[whole[doc]] * len(size) + codes[whole[doc]])  # each segment of a document once
-            of_doc, code = held // len(size), held % len(size)
-            n = size[code]
-            at = np.repeat(first[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            linked = np.unique(np.repeat(of_doc, n) * max(1, len(pairs)) + pair[at])
-            times = np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))
-            found.append((pairs[times > 0], times[times > 0]))
-        keys, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ([], [])))
-        return pa.table({"a": pa.array((keys >> 32).astype(np.int32)), "b": pa.array((keys & 0xFFFFFFFF).astype(np.int32)), "docs": pa.array(times)})
-
-    counted = map_arrow(tiles.select("lens", "codes", "all_as", "all_bs", "all_groups"), step, "a int, b int, docs long", 1)
-    return counted.groupBy("a", "b").agg(F.sum("docs").alias("docs"))
-
-
-def link_sums(known: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each segment with n_best, its links whose count is their a's highest, and count_sum, over its links."""
-    best = counts.groupBy("a").agg(F.max("docs").alias("best"))
-    ranked = counts.join(best, "a")
-    links = known.select("seg", F.explode(F.arrays_zip("as", "bs", "times")).alias("link")).select(
-        "seg", F.col("link.as").alias("a"), F.col("link.bs").alias("b"), F.col("link.times").alias("times")
-    )
-    # the links of a document's lost segments are counted nowhere, but may be in a segment of it
-    sums = links.join(ranked, ["a", "b"]).groupBy("seg").agg(
-        F.sum(F.when(F.col("docs") == F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")
-    )
-    return known.drop("as", "bs", "times").join(sums, "seg", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")})
+        block = Block(*[t.column(c)[0] for c in range(1, 5)])
+        pairs, pair = np.unique(block.known.links(), return_inverse=True)
+        n, n_pairs, n_segs = block.known.n_links, max(1, len(pairs)), max(1, len(block.known.lost))
+        doc = np.repeat(np.arange(len(block.lens)), block.lens)
+        held = np.unique((doc * n_segs + block.codes)[block.whole[doc]])  # each segment of a document once
+        of_doc, code = held // n_segs, held % n_segs
+        at = ranges((np.cumsum(n) - n)[code], n[code])
+        linked = np.unique(np.repeat(of_doc, n[code]) * n_pairs + pair[at]) % n_pairs
+        docs = np.bincount(linked, minlength=len(pairs))
+        found = docs > 0
+        return pa.table({"block": pa.array(np.full(int(found.sum()), t.column(0)[0].as_py())), "pair": pairs[found], "docs": docs[found]})
+
+    return map_arrow(tiles.select("block", "lens", "codes", "all_codes", "all_groups"), step, "block long, pair long, docs long", 1)
+
+
+def corpus_counts(counts: DataFrame) -> DataFrame:
+    """pair, docs over the corpus, and whether that is the highest of the pair's first id."""
+    total = counts.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32))
+    best = total.groupBy("a").agg(F.max("docs").alias("most"))
+    return total.join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
-    """Documents from the codes of their blocks."""
+    """Documents from the codes of their blocks and the counts of the blocks' pairs."""
     kind = tiles.schema["ids"].dataType.elementType
 
     def step(t: pa.Table) -> pa.Table:
-        tables = []
-        for row in range(t.num_rows):
-            lens, codes = (t.column(c)[row].values.to_numpy() for c in (1, 2))
-            ends = np.cumsum(lens)
-            if len(codes):
-                shown = t.column(3)[row].values.to_pylist()
-                lost = np.array([x is None for x in shown])
-                numbers = [t.column(4 + k)[row].values.to_numpy() for k in range(len(NUMBERS))]
-            else:
-                shown, lost, numbers = [], np.zeros(0, bool), [np.zeros(0, np.int64)] * len(NUMBERS)
-            whole = [n > 0 and not lost[codes[e - n : e]].any() for n, e in zip(lens.tolist(), ends.tolist())]
-            texts = [";".join([shown[c] for c in codes[e - n : e].tolist()]) if ok else "" for n, e, ok in zip(lens.tolist(), ends.tolist(), whole)]
-            columns = {id_col: t.column(0)[row].values}
-            for name, x in zip(NUMBERS, numbers):
-                upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(x[codes])])
-                columns[name] = pa.array(np.where(whole, upto[ends] - upto[ends - lens], 0).astype(np.int64))
-            columns["groups_sha256"] = [hashlib.sha256(x.encode()).hexdigest() if ok else "" for x, ok in zip(texts, whole)]
-            if groups:
-                columns["groups"] = texts
-            tables.append(pa.table(columns))
-        return pa.concat_tables(tables)
+        block, pairs = Block(*[t.column(c)[0] for c in range(1, 5)]), t.column(5)[0]
+        known = block.known
+        values = {c: getattr(known, c) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        if pairs.is_valid:
+            keys, docs, best = (x.to_numpy(zero_copy_only=False) for x in pairs.values.flatten())
+            order = np.argsort(keys)
+            links = known.links()
+            place = order[np.minimum(np.searchsorted(keys, links, sorter=order), len(keys) - 1)]
+            counted = keys[place] == links  # links of documents without tokens may be counted nowhere
+            n = known.n_links
+            values |= {"n_best": sums(np.where(counted & best[place], 1, 0), n), "count_sum": sums(np.where(counted, docs[place], 0), n)}
+        columns = {id_col: t.column(0)[0].values}
+        for name in NUMBERS:
+            each = values.get(name, np.zeros(len(known.lost), np.int64))
+            columns[name] = pa.array(np.where(block.whole, sums(each[block.codes], block.lens), 0))
+        shown, codes = known.shown(), block.codes.tolist()
+        texts = [b";".join([shown[c] for c in codes[e - n : e]]) if ok else b"" for n, e, ok in zip(block.lens.tolist(), block.ends.tolist(), block.whole.tolist())]
+        columns["groups_sha256"] = [hashlib.sha256(x).hexdigest() if ok else "" for x, ok in zip(texts, block.whole)]
+        if groups:
+            columns["groups"] = [x.decode() for x in texts]
+        return pa.table(columns)
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string" + ", groups string" * groups
-    return map_arrow(tiles.select("ids", "lens", "codes", *[f"all_{c}" for c in ("groups", *NUMBERS)]), step, schema, 1)
+    return map_arrow(tiles.select("ids", "lens", "codes", "all_codes", "all_groups", "pairs"), step, schema, 1)
 
 
 def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
@@ -302,9 +382,10 @@ def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc
     def pair() -> Pair:
         return Pair(first, second)
 
-    tiles = cut(blocks(docs, pair, id_col, text_col), "crosstok-blocks")
-    segments = tiles.select(F.explode("segs").alias("seg")).distinct()
-    known = cut(alignments(segments, pair), "crosstok-segments")
-    counts = cut(doc_counts(with_lists(tiles, known.select("seg", "as", "bs", "groups"), "as", "bs", "groups")), "crosstok-counts")
-    summed = cut(link_sums(known, counts), "crosstok-sums")
-    return compose(with_lists(tiles, summed, "groups", *NUMBERS), id_col, groups)
+    tiles = cut(blocks(docs, pair, id_col, text_col), "crosstok-blocks", "zstd")
+    known = alignments(tiles.select(F.explode("segs").alias("seg")).distinct(), pair)
+    tiles = cut(known_blocks(tiles, known), "crosstok-known", "zstd")
+    counts = cut(pair_counts(tiles), "crosstok-counts", "zstd")
+    asked = counts.select("block", "pair").join(corpus_counts(counts), "pair")
+    pairs = asked.groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("pairs"))
+    return compose(tiles.join(pairs, "block", "left"), id_col, groups)
