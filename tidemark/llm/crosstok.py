@@ -4,8 +4,8 @@ Texts are cut before white-space runs where neither vocabulary can merge across:
 no entry of either holds other characters followed by that white space. So both
 tokenisers end a token at every cut, and segments can be tokenised and aligned
 alone. Blocks of documents become codes into their own lists of distinct
-segments; segments are made distinct over the corpus, tokenised and aligned once
-each, and joined back to the blocks, where documents are composed from codes.
+segments; equal segments of all blocks meet, are tokenised and aligned once, and
+their alignments go back to the blocks, where documents are composed from codes.
 Texts never travel, only distinct segments do.
 """
 
@@ -15,25 +15,29 @@ import hashlib
 import json
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, compress
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import map_arrow, per_task
+from tidemark.llm.common import map_arrow
 from tidemark.session import cut
 
 #: White space before which a text may be cut, if the vocabularies allow it.
 WHITE = " \n\t\x0b\x0c\r"
-#: Characters of a block of documents; a longer document is a block of its own. Segments tokenised at once.
-BLOCK_CHARS, STEP_ROWS = 8_000_000, 4096
+#: Characters of a block of documents; a longer document is a block of its own. Answers packed at once.
+BLOCK_CHARS, FLUSH_ROWS = 24_000_000, 65_536
+#: Fixed value: the split before byte-level merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Protobuf: an appended message overrides the model's own setting; here add_dummy_prefix of the normalizer is off.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 
@@ -45,17 +49,35 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def entries_of(first: bytes) -> dict[int, bytes]:
+    """The bytes of each id of a byte-level vocabulary, special tokens left out."""
+    model, alphabet = json.loads(first), byte_alphabet()
+    special = {t["content"] for t in model["added_tokens"] if t["special"]}
+    return {i: bytes(alphabet[c] for c in token) for token, i in model["model"]["vocab"].items() if token not in special}
+
+
+def ranked(first: bytes) -> tiktoken.Encoding | None:
+    """The same vocabulary for a faster library, if that gives the same ids: ids are the ranks of the merges, and the split is the plain byte-level one."""
+    model = json.loads(first)
+    vocab, merges, before = model["model"]["vocab"], model["model"]["merges"], model["pre_tokenizer"]
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    in_order = all(vocab[token] == 256 + rank for rank, token in enumerate(joined))
+    plain = before and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    if not in_order or not plain or model["normalizer"] or any(not t["special"] for t in model["added_tokens"]):
+        return None
+    ranks = {token: i for i, token in entries_of(first).items()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pair:
     """Both tokenisers, the bytes of their tokens, and where texts may be cut."""
 
     def __init__(self, first: bytes, second: bytes):
         self.a = Tokenizer.from_buffer(first)
         self.a.encode_special_tokens = True
+        self.ranks = ranked(first)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=second + NO_PREFIX)
-        alphabet = byte_alphabet()
-        entries = json.loads(first)["model"]["vocab"]
-        special = {t.content for t in self.a.get_added_tokens_decoder().values() if t.special}
-        self.a_bytes = {i: bytes(alphabet[c] for c in token) for token, i in entries.items() if token not in special}
+        self.a_bytes = entries_of(first)
         self.b_bytes = {i: self._piece(i) for i in range(self.b.get_piece_size())}
         self.a_len, self.b_len = (byte_lengths(x) for x in (self.a_bytes, self.b_bytes))
         self.white = cut_points(self.a_bytes.values(), self.b_bytes.values())
@@ -66,8 +88,11 @@ class Pair:
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def tokenised(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        first = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        return [e.ids for e in first], self.b.encode(segments, num_threads=1)
+        if self.ranks is not None:
+            first = [self.ranks.encode_ordinary(x) for x in segments]
+        else:
+            first = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        return first, self.b.encode(segments, num_threads=1)
 
     def faithful(self, segment: str, a: list[int], b: list[int]) -> bool:
         data = segment.encode()
@@ -199,12 +224,9 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-class Codes(dict):
-    """Numbers segments as they are first seen."""
-
-    def __missing__(self, segment: str) -> int:
-        code = self[segment] = len(self)
-        return code
+def numbering() -> defaultdict:
+    """Numbers segments as they are first looked up."""
+    return defaultdict(count().__next__)
 
 
 def squeezed(codes: np.ndarray) -> bytes:
@@ -228,7 +250,7 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up, block = pair().segments, TaskContext.get().partitionId() << 33
         ids: list[pa.Array] = []
-        lens, codes, known, chars = [], array("i"), Codes(), 0
+        lens, codes, known, chars = [], array("i"), numbering(), 0
 
         def closed() -> pa.RecordBatch:
             nonlocal ids, lens, codes, known, chars, block
@@ -240,7 +262,7 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
                 "codes": pa.array([squeezed(np.array(codes, np.int32))], pa.binary()),
                 "segs": pa.array([list(known)], pa.list_(pa.string())),
             }
-            ids, lens, codes, known, chars, block = [], [], array("i"), Codes(), 0, block + 1
+            ids, lens, codes, known, chars, block = [], [], array("i"), numbering(), 0, block + 1
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
@@ -262,60 +284,131 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
     )
 
 
-def alignments(segments: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
-    """Tokenises and aligns the rows of ``seg``, which are distinct: seg and groups, in packed form."""
+class Packed:
+    """Packed segments with their codes as they travel: each part squeezed."""
 
-    def make():
-        both = pair()
+    FIELDS = ("n", "sizes", "data")
 
-        def step(t: pa.Table) -> pa.Table:
-            return pa.table({"seg": t.column(0), "groups": both.aligned(t.column(0).to_pylist())})
+    @staticmethod
+    def put(groups: pa.Array) -> dict:
+        """``groups`` may hold nulls: sizes of zero."""
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(groups), 0), np.int32) // 4
+        data = b"".join(groups.drop_null().to_pylist())
+        return {"n": len(groups), "sizes": squeezed(sizes), "data": squeezed(np.frombuffer(data, "<i4"))}
 
-        return step
+    @staticmethod
+    def get(n: int, sizes: bytes, data: bytes) -> pa.Array:
+        sizes_ = restored(sizes, n).astype(np.int64)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(4 * sizes_)]).astype(np.int32)
+        flat = restored(data, int(sizes_.sum())).tobytes()
+        lost = np.packbits(sizes_ > 0, bitorder="little").tobytes()
+        return pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(lost), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
 
-    return map_arrow(segments, per_task(make), "seg string, groups binary", STEP_ROWS)
 
+def answers(tiles: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
+    """What the codes of each block stand for: block, n, codes, sizes and data, some of a block's codes in a row.
 
-def known_blocks(tiles: DataFrame, known: DataFrame) -> DataFrame:
-    """The blocks with what their codes stand for: all_codes and, in their order, all_groups."""
-    asked = tiles.select("block", F.posexplode("segs").alias("code", "seg"))
-    lists = asked.join(known, "seg").groupBy("block").agg(F.collect_list(F.struct("code", "groups")).alias("all"))
-    return tiles.drop("segs").join(lists.select("block", F.col("all.code").alias("all_codes"), F.col("all.groups").alias("all_groups")), "block", "left")
+    All blocks that ask for a segment meet in a task, sorted, so each segment
+    is tokenised and aligned once. A block asks once for a segment, so no key
+    has more rows than there are blocks.
+    """
+    asked = tiles.select("block", F.posexplode("segs").alias("code", "seg")).repartition("seg").sortWithinPartitions("seg")
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+
+    def told(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+        of_block, code = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        order = np.lexsort((code, of_block))
+        groups = pa.concat_arrays([x[2] for x in held]).take(pa.array(order))
+        of_block, code = of_block[order], code[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(of_block)) + 1, [len(of_block)]])
+        rows = [{"block": int(of_block[a]), "codes": squeezed(code[a:b]), **Packed.put(groups[a:b])} for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, last, last_groups, held, n = None, None, None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = both or pair()
+            segs = batch.column(2)
+            fresh = np.ones(len(segs), bool)
+            fresh[0] = last is None or segs[0].as_py() != last
+            fresh[1:] = pa.compute.not_equal(segs[1:], segs[:-1]).to_numpy(zero_copy_only=False)
+            new = segs.filter(pa.array(fresh)).to_pylist()
+            known = both.aligned(new) if new else pa.array([], pa.binary())
+            if not fresh[0]:
+                known = pa.concat_arrays([last_groups, known])
+            groups = known.take(pa.array(np.cumsum(fresh) - fresh[0]))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), groups))
+            last, last_groups, n = segs[-1].as_py(), groups[-1:], n + len(segs)
+            if n >= FLUSH_ROWS:
+                yield told(held)
+                held, n = [], 0
+        if held:
+            yield told(held)
+
+    return asked.mapInArrow(run, "block long, n int, codes binary, sizes binary, data binary")
 
 
 class Block:
     """One block's documents as codes, with its segments unpacked in order of their codes."""
 
-    def __init__(self, lens: pa.Scalar, codes: pa.Scalar, all_codes: pa.Scalar, all_groups: pa.Scalar):
-        self.lens = lens.values.to_numpy().astype(np.int64)
-        self.codes = restored(codes.as_py(), int(self.lens.sum())).astype(np.int64)
-        if all_codes.is_valid:
-            order = np.argsort(all_codes.values.to_numpy())
-            self.known = Unpacked(all_groups.values.take(pa.array(order)))
-        else:
-            self.known = Unpacked(pa.array([], pa.binary()))
+    def __init__(self, lens: np.ndarray, codes: bytes, groups: pa.Array):
+        self.lens = lens.astype(np.int64)
+        self.codes = restored(codes, int(self.lens.sum())).astype(np.int64)
+        self.known = Unpacked(groups)
         lost = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.known.lost[self.codes])])
         self.ends = np.cumsum(self.lens)
         self.whole = (self.lens > 0) & (lost[self.ends] == lost[self.ends - self.lens])
 
-
-def pair_counts(tiles: DataFrame) -> DataFrame:
-    """block, pair (a times 2^32 plus b) and docs: in how many documents of the block the ids are linked."""
-
-    def step(t: pa.Table) -> pa.Table:
-        block = Block(*[t.column(c)[0] for c in range(1, 5)])
-        pairs, pair = np.unique(block.known.links(), return_inverse=True)
-        n, n_pairs, n_segs = block.known.n_links, max(1, len(pairs)), max(1, len(block.known.lost))
-        doc = np.repeat(np.arange(len(block.lens)), block.lens)
-        held = np.unique((doc * n_segs + block.codes)[block.whole[doc]])  # each segment of a document once
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of the block, and in how many of its documents each is."""
+        pairs, pair = np.unique(self.known.links(), return_inverse=True)
+        n, n_pairs, n_segs = self.known.n_links, max(1, len(pairs)), max(1, len(self.known.lost))
+        doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        held = np.unique((doc * n_segs + self.codes)[self.whole[doc]])  # each segment of a document once
         of_doc, code = held // n_segs, held % n_segs
         at = ranges((np.cumsum(n) - n)[code], n[code])
         linked = np.unique(np.repeat(of_doc, n[code]) * n_pairs + pair[at]) % n_pairs
         docs = np.bincount(linked, minlength=len(pairs))
-        found = docs > 0
-        return pa.table({"block": pa.array(np.full(int(found.sum()), t.column(0)[0].as_py())), "pair": pairs[found], "docs": docs[found]})
+        return pairs[docs > 0], docs[docs > 0]
+
+
+def answered(tiles: DataFrame, told: DataFrame) -> DataFrame:
+    """The blocks with their answers in order of codes (n, sizes, data) and with pairs and docs, the documents of the block that hold a pair."""
+    ids = tiles.schema["ids"].dataType
+    asking = tiles.select("block", F.lit(0).alias("part"), "ids", "lens", F.lit(0).alias("n"), "codes", *[F.lit(None).cast("binary").alias(c) for c in ("sizes", "data")])
+    giving = told.select("block", F.lit(1).alias("part"), F.lit(None).cast(ids).alias("ids"), F.lit(None).cast("array<int>").alias("lens"), "n", "codes", "sizes", "data")
+    rows = asking.unionByName(giving).repartition("block").sortWithinPartitions("block", "part")
+
+    def whole(head: dict, parts: list[dict]) -> pa.RecordBatch:
+        codes = np.concatenate([np.zeros(0, np.int32), *[restored(x["codes"], x["n"]) for x in parts]])
+        groups = pa.concat_arrays([pa.array([], pa.binary()), *[Packed.get(x["n"], x["sizes"], x["data"]) for x in parts]]).take(pa.array(np.argsort(codes)))
+        pairs, docs = Block(head["lens"].values.to_numpy(), head["codes"], groups).pair_counts()
+        packed_ = Packed.put(groups)
+        return pa.RecordBatch.from_pydict({
+            "block": [head["block"]], "ids": pa.ListArray.from_arrays(pa.array([0, len(head["ids"].values)], pa.int32()), head["ids"].values),
+            "lens": pa.array([head["lens"].as_py()], pa.list_(pa.int32())), "codes": pa.array([head["codes"]], pa.binary()), "n": pa.array([packed_["n"]], pa.int32()),
+            "sizes": pa.array([packed_["sizes"]], pa.binary()), "data": pa.array([packed_["data"]], pa.binary()),
+            "pairs": pa.array([pairs], pa.list_(pa.int64())), "docs": pa.array([docs], pa.list_(pa.int64())),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if batch.column(1)[row].as_py() == 0:
+                    if head is not None:
+                        yield whole(head, parts)
+                    head = {"block": batch.column(0)[row].as_py(), "ids": batch.column(2)[row], "lens": batch.column(3)[row], "codes": batch.column(5)[row].as_py()}
+                    parts = []
+                else:
+                    parts.append({"n": batch.column(4)[row].as_py(), "codes": batch.column(5)[row].as_py(), "sizes": batch.column(6)[row].as_py(), "data": batch.column(7)[row].as_py()})
+        if head is not None:
+            yield whole(head, parts)
 
-    return map_arrow(tiles.select("block", "lens", "codes", "all_codes", "all_groups"), step, "block long, pair long, docs long", 1)
+    schema = f"block long, ids {ids.simpleString()}, lens array<int>, codes binary, n int, sizes binary, data binary, pairs array<long>, docs array<long>"
+    return rows.mapInArrow(run, schema)
 
 
 def corpus_counts(counts: DataFrame) -> DataFrame:
@@ -333,7 +426,8 @@ def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
     kind = tiles.schema["ids"].dataType.elementType
 
     def step(t: pa.Table) -> pa.Table:
-        block, pairs = Block(*[t.column(c)[0] for c in range(1, 5)]), t.column(5)[0]
+        lens, codes, n, sizes, data = (t.column(c)[0] for c in range(1, 6))
+        block, pairs = Block(lens.values.to_numpy(), codes.as_py(), Packed.get(n.as_py(), sizes.as_py(), data.as_py())), t.column(6)[0]
         known = block.known
         values = {c: getattr(known, c) for c in ("n_a", "n_b", "n_groups", "n_links")}
         if pairs.is_valid:
@@ -356,7 +450,7 @@ def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
         return pa.table(columns)
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string" + ", groups string" * groups
-    return map_arrow(tiles.select("ids", "lens", "codes", "all_codes", "all_groups", "pairs"), step, schema, 1)
+    return map_arrow(tiles.select("ids", "lens", "codes", "n", "sizes", "data", "pairs"), step, schema, 1)
 
 
 def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
@@ -383,9 +477,8 @@ def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc
         return Pair(first, second)
 
     tiles = cut(blocks(docs, pair, id_col, text_col), "crosstok-blocks", "zstd")
-    known = alignments(tiles.select(F.explode("segs").alias("seg")).distinct(), pair)
-    tiles = cut(known_blocks(tiles, known), "crosstok-known", "zstd")
-    counts = cut(pair_counts(tiles), "crosstok-counts", "zstd")
-    asked = counts.select("block", "pair").join(corpus_counts(counts), "pair")
+    tiles = cut(answered(tiles, answers(tiles, pair)), "crosstok-answered", "zstd")
+    counts = tiles.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.pairs", "x.docs").withColumnRenamed("pairs", "pair")
+    asked = tiles.select("block", F.explode("pairs").alias("pair")).join(corpus_counts(counts), "pair")
     pairs = asked.groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("pairs"))
-    return compose(tiles.join(pairs, "block", "left"), id_col, groups)
+    return compose(tiles.drop("pairs", "docs").join(pairs, "block", "left"), id_col, groups)
