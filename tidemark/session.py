@@ -66,3 +66,11 @@ def drop_cuts(spark: SparkSession) -> None:
     """Remove all tables that ``cut`` wrote for this application; call it when results are written or collected."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove one table that ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
