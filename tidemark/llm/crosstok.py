@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import map_arrow
-from tidemark.session import cut
+from tidemark.session import cut, drop_cut
 
 #: White space before which a text may be cut, if the vocabularies allow it.
 WHITE = " \n\t\x0b\x0c\r"
 #: Characters of a block of documents; a longer document is a block of its own. Answers packed at once.
-BLOCK_CHARS, FLUSH_ROWS = 24_000_000, 65_536
+BLOCK_CHARS, FLUSH_ROWS = 12_000_000, 65_536
+#: Documents times pairs of a block that are marked at once.
+MARKS = 8_000_000
 #: Fixed value: the split before byte-level merges.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Protobuf: an appended message overrides the model's own setting; here add_dummy_prefix of the normalizer is off.
@@ -150,14 +152,21 @@ def packed(n_a: np.ndarray, n_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarra
     return pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(out.tobytes())])
 
 
+def flat(segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many integers each packed segment has, 0 for a null one, and all of them."""
+    if not len(segments):
+        return np.zeros(0, np.int64), np.zeros(0, "<i4")
+    _, offsets, data = segments.buffers()
+    ends = np.frombuffer(offsets, np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+    return np.diff(ends) // 4, np.frombuffer(data, "<i4")[ends[0] // 4 : ends[-1] // 4] if data else np.zeros(0, "<i4")
+
+
 class Unpacked:
     """Packed segments as flat arrays; null ones are without tokens and ``lost``."""
 
     def __init__(self, segments: pa.Array):
-        self.lost = segments.is_null().to_numpy(zero_copy_only=False)
-        data = np.frombuffer(b"".join(segments.drop_null().to_pylist()), "<i4").astype(np.int64)
-        size = np.zeros(len(segments), np.int64)
-        size[~self.lost] = np.asarray(pa.compute.binary_length(segments.drop_null())) // 4
+        size, data = flat(segments)
+        self.lost, data = size == 0, data.astype(np.int64)
         start = (np.cumsum(size) - size)[~self.lost]
         self.n_groups, self.n_a, self.n_b = (np.zeros(len(segments), np.int64) for _ in range(3))
         for k, x in enumerate((self.n_groups, self.n_a, self.n_b)):
@@ -285,35 +294,50 @@ def blocks(docs: DataFrame, pair: Callable[[], Pair], id_col: str, text_col: str
 
 
 class Packed:
-    """Packed segments with their codes as they travel: each part squeezed."""
+    """Packed segments as they travel, each kind of figure squeezed by itself: groups of each segment (0 for a null one), sizes of groups, ids."""
 
-    FIELDS = ("n", "sizes", "data")
+    FIELDS = ("n_groups", "sizes", "tokens")
 
     @staticmethod
-    def put(groups: pa.Array) -> dict:
-        """``groups`` may hold nulls: sizes of zero."""
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(groups), 0), np.int32) // 4
-        data = b"".join(groups.drop_null().to_pylist())
-        return {"n": len(groups), "sizes": squeezed(sizes), "data": squeezed(np.frombuffer(data, "<i4"))}
+    def put(segments: pa.Array) -> dict:
+        size, data = flat(segments)
+        start = (np.cumsum(size) - size)[size > 0]
+        n_groups = np.zeros(len(size), np.int64)
+        n_groups[size > 0] = groups = data[start].astype(np.int64)
+        ids = size[size > 0] - 3 - 2 * groups
+        parts = n_groups, data[ranges(start + 3, 2 * groups)], data[ranges(start + 3 + 2 * groups, ids)]
+        return {"n": len(segments), **{name: squeezed(x) for name, x in zip(Packed.FIELDS, parts)}}
 
     @staticmethod
-    def get(n: int, sizes: bytes, data: bytes) -> pa.Array:
-        sizes_ = restored(sizes, n).astype(np.int64)
-        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(4 * sizes_)]).astype(np.int32)
-        flat = restored(data, int(sizes_.sum())).tobytes()
-        lost = np.packbits(sizes_ > 0, bitorder="little").tobytes()
-        return pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(lost), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+    def get(n: int, n_groups: bytes, sizes: bytes, tokens: bytes) -> pa.Array:
+        groups = restored(n_groups, n).astype(np.int64)
+        each = restored(sizes, 2 * int(groups.sum())).astype(np.int64)
+        n_a, n_b = sums(each[::2], groups), sums(each[1::2], groups)
+        size = np.where(groups > 0, 3 + 2 * groups + n_a + n_b, 0)
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), "<i4")
+        there = groups > 0
+        out[start[there]], out[start[there] + 1], out[start[there] + 2] = groups[there], n_a[there], n_b[there]
+        out[ranges(start + 3, 2 * groups)] = each
+        out[ranges(start + 3 + 2 * groups, n_a + n_b)] = restored(tokens, int((n_a + n_b).sum()))
+        offsets = np.concatenate([np.zeros(1, np.int64), 4 * np.cumsum(size)]).astype(np.int32)
+        valid = np.packbits(there, bitorder="little").tobytes()
+        return pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+#: Columns of packed segments.
+PACKED = ", ".join(f"{c} binary" for c in Packed.FIELDS)
 
 
 def answers(tiles: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
-    """What the codes of each block stand for: block, n, codes, sizes and data, some of a block's codes in a row.
+    """What the codes of each block stand for: block, n, codes and packed segments, some of a block's codes in a row.
 
     All blocks that ask for a segment meet in a task, sorted, so each segment
     is tokenised and aligned once. A block asks once for a segment, so no key
     has more rows than there are blocks.
     """
     asked = tiles.select("block", F.posexplode("segs").alias("code", "seg")).repartition("seg").sortWithinPartitions("seg")
-    schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), *((c, pa.binary()) for c in Packed.FIELDS)])
 
     def told(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
         of_block, code = (np.concatenate([x[k] for x in held]) for k in (0, 1))
@@ -347,7 +371,7 @@ def answers(tiles: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
         if held:
             yield told(held)
 
-    return asked.mapInArrow(run, "block long, n int, codes binary, sizes binary, data binary")
+    return asked.mapInArrow(run, f"block long, n int, codes binary, {PACKED}")
 
 
 class Block:
@@ -364,32 +388,35 @@ class Block:
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """The linked pairs of the block, and in how many of its documents each is."""
         pairs, pair = np.unique(self.known.links(), return_inverse=True)
-        n, n_pairs, n_segs = self.known.n_links, max(1, len(pairs)), max(1, len(self.known.lost))
-        doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        held = np.unique((doc * n_segs + self.codes)[self.whole[doc]])  # each segment of a document once
-        of_doc, code = held // n_segs, held % n_segs
-        at = ranges((np.cumsum(n) - n)[code], n[code])
-        linked = np.unique(np.repeat(of_doc, n[code]) * n_pairs + pair[at]) % n_pairs
-        docs = np.bincount(linked, minlength=len(pairs))
+        n, docs = self.known.n_links, np.zeros(len(pairs), np.int64)
+        first, starts = np.cumsum(n) - n, self.ends - self.lens
+        step = max(1, MARKS // max(1, len(pairs)))
+        for at in range(0, len(self.lens), step):
+            whole, lens = self.whole[at : at + step], self.lens[at : at + step]
+            codes = self.codes[ranges(starts[at : at + step][whole], lens[whole])]
+            doc = np.repeat(np.repeat(np.arange(len(lens)), np.where(whole, lens, 0)), n[codes])
+            held = np.zeros((len(lens), len(pairs)), bool)
+            held[doc, pair[ranges(first[codes], n[codes])]] = True
+            docs += held.sum(axis=0)
         return pairs[docs > 0], docs[docs > 0]
 
 
 def answered(tiles: DataFrame, told: DataFrame) -> DataFrame:
-    """The blocks with their answers in order of codes (n, sizes, data) and with pairs and docs, the documents of the block that hold a pair."""
+    """The blocks with their answers in order of codes, n of them, and with pairs and docs, the documents of the block that hold a pair."""
     ids = tiles.schema["ids"].dataType
-    asking = tiles.select("block", F.lit(0).alias("part"), "ids", "lens", F.lit(0).alias("n"), "codes", *[F.lit(None).cast("binary").alias(c) for c in ("sizes", "data")])
-    giving = told.select("block", F.lit(1).alias("part"), F.lit(None).cast(ids).alias("ids"), F.lit(None).cast("array<int>").alias("lens"), "n", "codes", "sizes", "data")
+    asking = tiles.select("block", F.lit(0).alias("part"), "ids", "lens", F.lit(0).alias("n"), "codes", *[F.lit(None).cast("binary").alias(c) for c in Packed.FIELDS])
+    giving = told.select("block", F.lit(1).alias("part"), F.lit(None).cast(ids).alias("ids"), F.lit(None).cast("array<int>").alias("lens"), "n", "codes", *Packed.FIELDS)
     rows = asking.unionByName(giving).repartition("block").sortWithinPartitions("block", "part")
 
     def whole(head: dict, parts: list[dict]) -> pa.RecordBatch:
         codes = np.concatenate([np.zeros(0, np.int32), *[restored(x["codes"], x["n"]) for x in parts]])
-        groups = pa.concat_arrays([pa.array([], pa.binary()), *[Packed.get(x["n"], x["sizes"], x["data"]) for x in parts]]).take(pa.array(np.argsort(codes)))
+        groups = pa.concat_arrays([pa.array([], pa.binary()), *[Packed.get(x["n"], *[x[c] for c in Packed.FIELDS]) for x in parts]]).take(pa.array(np.argsort(codes)))
         pairs, docs = Block(head["lens"].values.to_numpy(), head["codes"], groups).pair_counts()
         packed_ = Packed.put(groups)
         return pa.RecordBatch.from_pydict({
             "block": [head["block"]], "ids": pa.ListArray.from_arrays(pa.array([0, len(head["ids"].values)], pa.int32()), head["ids"].values),
             "lens": pa.array([head["lens"].as_py()], pa.list_(pa.int32())), "codes": pa.array([head["codes"]], pa.binary()), "n": pa.array([packed_["n"]], pa.int32()),
-            "sizes": pa.array([packed_["sizes"]], pa.binary()), "data": pa.array([packed_["data"]], pa.binary()),
+            **{c: pa.array([packed_[c]], pa.binary()) for c in Packed.FIELDS},
             "pairs": pa.array([pairs], pa.list_(pa.int64())), "docs": pa.array([docs], pa.list_(pa.int64())),
         })
 
@@ -403,11 +430,11 @@ def answered(tiles: DataFrame, told: DataFrame) -> DataFrame:
                     head = {"block": batch.column(0)[row].as_py(), "ids": batch.column(2)[row], "lens": batch.column(3)[row], "codes": batch.column(5)[row].as_py()}
                     parts = []
                 else:
-                    parts.append({"n": batch.column(4)[row].as_py(), "codes": batch.column(5)[row].as_py(), "sizes": batch.column(6)[row].as_py(), "data": batch.column(7)[row].as_py()})
+                    parts.append({"n": batch.column(4)[row].as_py(), "codes": batch.column(5)[row].as_py(), **{c: batch.column(6 + k)[row].as_py() for k, c in enumerate(Packed.FIELDS)}})
         if head is not None:
             yield whole(head, parts)
 
-    schema = f"block long, ids {ids.simpleString()}, lens array<int>, codes binary, n int, sizes binary, data binary, pairs array<long>, docs array<long>"
+    schema = f"block long, ids {ids.simpleString()}, lens array<int>, codes binary, n int, {PACKED}, pairs array<long>, docs array<long>"
     return rows.mapInArrow(run, schema)
 
 
@@ -426,8 +453,8 @@ def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
     kind = tiles.schema["ids"].dataType.elementType
 
     def step(t: pa.Table) -> pa.Table:
-        lens, codes, n, sizes, data = (t.column(c)[0] for c in range(1, 6))
-        block, pairs = Block(lens.values.to_numpy(), codes.as_py(), Packed.get(n.as_py(), sizes.as_py(), data.as_py())), t.column(6)[0]
+        lens, codes, *parts, pairs = (t.column(c)[0] for c in range(1, t.num_columns))
+        block = Block(lens.values.to_numpy(), codes.as_py(), Packed.get(*[x.as_py() for x in parts]))
         known = block.known
         values = {c: getattr(known, c) for c in ("n_a", "n_b", "n_groups", "n_links")}
         if pairs.is_valid:
@@ -450,7 +477,7 @@ def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
         return pa.table(columns)
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string" + ", groups string" * groups
-    return map_arrow(tiles.select("ids", "lens", "codes", "n", "sizes", "data", "pairs"), step, schema, 1)
+    return map_arrow(tiles.select("ids", "lens", "codes", "n", *Packed.FIELDS, "pairs"), step, schema, 1)
 
 
 def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
@@ -476,8 +503,9 @@ def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc
     def pair() -> Pair:
         return Pair(first, second)
 
-    tiles = cut(blocks(docs, pair, id_col, text_col), "crosstok-blocks", "zstd")
-    tiles = cut(answered(tiles, answers(tiles, pair)), "crosstok-answered", "zstd")
+    coded = cut(blocks(docs, pair, id_col, text_col), "crosstok-blocks", "zstd")
+    tiles = cut(answered(coded, answers(coded, pair)), "crosstok-answered", "zstd")
+    drop_cut(coded)
     counts = tiles.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.pairs", "x.docs").withColumnRenamed("pairs", "pair")
     asked = tiles.select("block", F.explode("pairs").alias("pair")).join(corpus_counts(counts), "pair")
     pairs = asked.groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("pairs"))
