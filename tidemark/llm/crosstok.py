@@ -166,7 +166,7 @@ class Unpacked:
 
     def __init__(self, segments: pa.Array):
         size, data = flat(segments)
-        self.lost, data = size == 0, data.astype(np.int64)
+        self.lost = size == 0
         start = (np.cumsum(size) - size)[~self.lost]
         self.n_groups, self.n_a, self.n_b = (np.zeros(len(segments), np.int64) for _ in range(3))
         for k, x in enumerate((self.n_groups, self.n_a, self.n_b)):
@@ -174,9 +174,9 @@ class Unpacked:
         whole = np.zeros(len(segments), np.int64)
         whole[~self.lost] = start + 3
         at = ranges(whole, 2 * self.n_groups)[::2]
-        self.size_a, self.size_b = data[at], data[at + 1]
-        self.a = data[ranges(whole + 2 * self.n_groups, self.n_a)]
-        self.b = data[ranges(whole + 2 * self.n_groups + self.n_a, self.n_b)]
+        self.size_a, self.size_b = data[at].astype(np.int64), data[at + 1].astype(np.int64)
+        self.a = data[ranges(whole + 2 * self.n_groups, self.n_a)].astype(np.int64)
+        self.b = data[ranges(whole + 2 * self.n_groups + self.n_a, self.n_b)].astype(np.int64)
         links = self.size_a * self.size_b
         of_group = np.repeat(np.arange(len(segments)), self.n_groups)
         self.n_links = np.bincount(of_group, links, len(segments)).astype(np.int64)
@@ -379,7 +379,7 @@ class Block:
 
     def __init__(self, lens: np.ndarray, codes: bytes, groups: pa.Array):
         self.lens = lens.astype(np.int64)
-        self.codes = restored(codes, int(self.lens.sum())).astype(np.int64)
+        self.codes = restored(codes, int(self.lens.sum()))
         self.known = Unpacked(groups)
         lost = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.known.lost[self.codes])])
         self.ends = np.cumsum(self.lens)
@@ -469,11 +469,15 @@ def compose(tiles: DataFrame, id_col: str, groups: bool) -> DataFrame:
         for name in NUMBERS:
             each = values.get(name, np.zeros(len(known.lost), np.int64))
             columns[name] = pa.array(np.where(block.whole, sums(each[block.codes], block.lens), 0))
-        shown, codes = known.shown(), block.codes.tolist()
-        texts = [b";".join([shown[c] for c in codes[e - n : e]]) if ok else b"" for n, e, ok in zip(block.lens.tolist(), block.ends.tolist(), block.whole.tolist())]
-        columns["groups_sha256"] = [hashlib.sha256(x).hexdigest() if ok else "" for x, ok in zip(texts, block.whole)]
+        shown, digests, texts = known.shown(), [], []
+        for n, end, ok in zip(block.lens.tolist(), block.ends.tolist(), block.whole.tolist()):
+            text = b";".join([shown[c] for c in block.codes[end - n : end].tolist()]) if ok else b""
+            digests.append(hashlib.sha256(text).hexdigest() if ok else "")
+            if groups:
+                texts.append(text.decode())
+        columns["groups_sha256"] = digests
         if groups:
-            columns["groups"] = [x.decode() for x in texts]
+            columns["groups"] = texts
         return pa.table(columns)
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string" + ", groups string" * groups
