@@ -60,21 +60,28 @@ def rise(now: Column, before: Column) -> Column:
     return F.zip_with(now, before, lambda x, y: F.greatest(x - y, F.lit(0).cast("double")))
 
 
-def evaluate_offsets(query: DataFrame, reference: DataFrame, offsets: DataFrame, settings: Dense = Dense()) -> DataFrame:
-    """Scores of each (key, offset): reference time is query time plus offset.
-
-    Frames: key, frame_id, t_us, usable, weight, and the arrays onset (one
-    value), subband, pcen, chroma, cens. offsets: key, offset_us. Frames whose
-    partner is within the tolerance count as matched; of these, pairs usable on
-    both sides are comparable. Chroma is compared by its rise since the matched
-    pair before. Scores are 0 unless the evidence suffices.
+def offset_features(query: DataFrame, reference: DataFrame, offsets: DataFrame, tolerance: int) -> DataFrame:
+    """What the frames say for each (key, offset), whatever a gate makes of it.
+
+    Adds frames, usable_frames and usable_us of the query, matched, comparable,
+    coverage, mean_error_us and a score for each feature. A query may name its
+    reference in a column ``ref``; else that is its key. Frame ids are unique in
+    their key. Only ids and times meet the offsets; arrays are fetched once the
+    nearest partner is known.
     """
+    if "ref" not in query.columns:
+        query, reference = query.withColumn("ref", F.col("key")), reference.withColumnRenamed("key", "ref")
     evidence = query.groupBy("key").agg(
         F.count("*").alias("frames"), F.count_if("usable").alias("usable_frames"),
         (F.max(F.when(F.col("usable"), F.col("t_us"))) - F.min(F.when(F.col("usable"), F.col("t_us")))).alias("usable_us"),
     )
-    moved = query.join(offsets, "key").withColumn("t_us", F.col("t_us") + F.col("offset_us"))
-    pairs = nearest(moved, reference, ["key"], ["key", "offset_us", "frame_id"], "t_us", settings.tolerance)
+    moved = query.select("key", "ref", "frame_id", "t_us").join(offsets, "key").withColumn("t_us", F.col("t_us") + F.col("offset_us"))
+    met = nearest(moved, reference.select("ref", "frame_id", "t_us"), ["ref"], ["key", "offset_us", "frame_id"], "t_us", tolerance)
+    carried = ["usable", "weight", *FEATURES]
+    pairs = (
+        met.join(query.select("key", "frame_id", *carried), ["key", "frame_id"])
+        .join(reference.select("ref", F.col("frame_id").alias("r_frame_id"), *[F.col(c).alias(f"r_{c}") for c in carried]), ["ref", "r_frame_id"])
+    )
     # Pairs of one offset are those of one query window: a bounded group.
     order = Window.partitionBy("key", "offset_us").orderBy("t_us", "frame_id")
     w = F.least("weight", "r_weight")
@@ -95,28 +102,42 @@ def evaluate_offsets(query: DataFrame, reference: DataFrame, offsets: DataFrame,
         F.count("*").alias("matched"), F.count_if(F.col("usable") & F.col("r_usable")).alias("comparable"),
         F.sum("distance").alias("error_sum"), *[scores[f].alias(f) for f in FEATURES],
     )
-    enough = (
-        (F.col("usable_frames") >= settings.min_frames) & (F.coalesce("usable_us", F.lit(0)) >= settings.min_duration)
-        & (F.coalesce("comparable", F.lit(0)) >= settings.min_frames) & (F.col("coverage") >= settings.min_coverage)
-    )
-    total = sum(settings.weights)
-    combined = sum((F.col(f) * w for f, w in zip(FEATURES, settings.weights)), F.lit(0.0)) / total
-    agreement = sum((F.when(F.col(f) >= settings.agree, 1).otherwise(0) for f in FEATURES), F.lit(0))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return (
         offsets.join(evidence, "key").join(found, ["key", "offset_us"], "left")
-        .withColumn("coverage", F.coalesce("matched", F.lit(0)) / F.col("frames").cast("double"))
         .withColumn("mean_error_us", F.col("error_sum") / F.col("matched").cast("double"))
-        .withColumn("sufficient", enough)
-        .withColumns({f: F.when(F.col("sufficient"), F.coalesce(f, F.lit(0.0))).otherwise(F.lit(0.0)) for f in FEATURES})
-        .withColumn("combined", combined)
-        .withColumn("agreement", F.when(F.col("sufficient"), agreement).otherwise(F.lit(0)))
-        .select(
-            "key", "offset_us", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.coalesce("comparable", F.lit(0)).cast("long").alias("comparable"),
-            "coverage", "mean_error_us", "sufficient", *FEATURES, "combined", "agreement",
-        )
+        .withColumns({"matched": count("matched"), "comparable": count("comparable"), **{f: F.coalesce(f, F.lit(0.0)) for f in FEATURES}})
+        .withColumn("coverage", F.col("matched") / F.col("frames").cast("double"))
+        .select("key", "offset_us", "frames", "usable_frames", "usable_us", "matched", "comparable", "coverage", "mean_error_us", *FEATURES)
     )
 
 
+def judged(settings: Dense) -> dict[str, Column]:
+    """Of a row of ``offset_features``: whether the evidence suffices, the scores (0 if not), their blend and how many agree."""
+    enough = (
+        (F.col("usable_frames") >= settings.min_frames) & (F.coalesce("usable_us", F.lit(0)) >= settings.min_duration)
+        & (F.col("comparable") >= settings.min_frames) & (F.col("coverage") >= settings.min_coverage)
+    )
+    scores = {f: F.when(enough, F.col(f)).otherwise(F.lit(0.0)) for f in FEATURES}
+    combined = sum((scores[f] * w for f, w in zip(FEATURES, settings.weights)), F.lit(0.0)) / sum(settings.weights)
+    agreement = sum((F.when(scores[f] >= settings.agree, 1).otherwise(0) for f in FEATURES), F.lit(0))
+    return {"sufficient": enough, **scores, "combined": combined, "agreement": F.when(enough, agreement).otherwise(F.lit(0))}
+
+
+def evaluate_offsets(query: DataFrame, reference: DataFrame, offsets: DataFrame, settings: Dense = Dense()) -> DataFrame:
+    """Scores of each (key, offset): reference time is query time plus offset.
+
+    Frames: key, frame_id, t_us, usable, weight, and the arrays onset (one
+    value), subband, pcen, chroma, cens. offsets: key, offset_us. Frames whose
+    partner is within the tolerance count as matched; of these, pairs usable on
+    both sides are comparable. Chroma is compared by its rise since the matched
+    pair before. Scores are 0 unless the evidence suffices.
+    """
+    raw = offset_features(query, reference, offsets, settings.tolerance)
+    columns = judged(settings)
+    return raw.select("key", "offset_us", "matched", "comparable", "coverage", "mean_error_us", *[columns[n].alias(n) for n in ("sufficient", *FEATURES, "combined", "agreement")])
+
+
 def refinement_grid(coarse: DataFrame, radius: int, step: int) -> DataFrame:
     """Offsets around each coarse one: coarse - radius to coarse + radius by step."""
     moves = F.sequence(F.lit(-(radius // step) * step), F.lit((radius // step) * step), F.lit(step))

@@ -25,33 +25,46 @@ def postings(landmarks: DataFrame, span_us: int) -> DataFrame:
     )
 
 
-def posting_stats(landmarks: DataFrame) -> DataFrame:
-    """hash, postings, first and last anchor, idf."""
+def posting_stats(landmarks: DataFrame, by: list[str] = []) -> DataFrame:
+    """hash, postings, first and last anchor, idf; ``by`` are columns that tell several references apart."""
+    counts = landmarks.groupBy(*by, "hash").agg(F.count("*").alias("postings"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    if by:
+        totals = landmarks.groupBy(*by).agg(F.count("*").alias("total"))
+        return counts.join(totals, by).withColumn("idf", idf(F.col("total").cast("double"), F.col("postings"))).drop("total")
     total = landmarks.agg(F.count("*").alias("n")).scalar()
-    return (
-        landmarks.groupBy("hash")
-        .agg(F.count("*").alias("postings"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
-        .withColumn("idf", idf(total.cast("double"), F.col("postings")))
-    )
+    return counts.withColumn("idf", idf(total.cast("double"), F.col("postings")))
 
 
 def term_frequency(query: DataFrame) -> DataFrame:
     return query.groupBy("query_id", "hash").agg(F.count("*").alias("tf"))
 
 
-def weighted_query(query: DataFrame, reference: DataFrame) -> DataFrame:
+def weighted_query(query: DataFrame, reference: DataFrame, by: list[str] = []) -> DataFrame:
     """Query landmarks that the index knows, with posting count and weight.
 
     Weights are global: they do not depend on a later search range.
     """
-    stats = posting_stats(reference).select("hash", "postings", "idf")
-    weights = term_frequency(query).join(stats, "hash").select(
-        "query_id", "hash", "postings", as_milli(match_weight(F.col("idf"), F.col("tf"))).alias("weight")
+    stats = posting_stats(reference, by).select(*by, "hash", "postings", "idf")
+    counts = query.groupBy(*by, "query_id", "hash").agg(F.count("*").alias("tf")) if by else term_frequency(query)
+    weights = counts.join(stats, [*by, "hash"]).select(
+        *by, "query_id", "hash", "postings", as_milli(match_weight(F.col("idf"), F.col("tf"))).alias("weight")
     )
-    return query.join(weights, ["query_id", "hash"])
+    return query.join(weights, [*by, "query_id", "hash"])
+
+
+#: Postings of a hash from which they are dealt in parts; the query side goes to each part.
+HOT_POSTINGS = 65_536
+
+
+def _dealt(weighted: DataFrame, anchors: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
+    """All meetings of equal hashes; a frequent hash is many keys, so no task meets all its postings."""
+    parts = F.ceil(F.col("postings") / HOT_POSTINGS).cast("int")
+    hot = reference.groupBy(*on).agg(F.count("*").alias("postings")).where(F.col("postings") > HOT_POSTINGS).select(*on, parts.alias("parts"))
+    dealt = anchors.join(hot, on, "left").withColumn("salt", F.pmod(F.hash("r_us"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    return weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).join(dealt, [*on, "salt"])
 
 
-def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None) -> DataFrame:
+def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
     """Votes by query, bin and hash.
 
     With ``reach_us`` only differences within the closed range count; both sides
@@ -59,13 +72,14 @@ def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int
     meeting all of its postings. Sums are taken per hash first: the shuffle
     carries counts, not meetings.
     """
-    weighted = weighted_query(query, reference).withColumnRenamed("t_us", "q_us")
-    anchors = reference.select("hash", F.col("t_us").alias("r_us"))
+    on = [*by, "hash"]
+    weighted = weighted_query(query, reference, by).withColumnRenamed("t_us", "q_us")
+    anchors = reference.select(*on, F.col("t_us").alias("r_us"))
     if reach_us is None:
-        pairs = weighted.join(anchors, "hash")
+        pairs = _dealt(weighted, anchors, reference, on)
     else:
         near = F.explode(F.array(*[F.floor(F.col("q_us") / reach_us) + k for k in (-1, 0, 1)]))
-        pairs = weighted.withColumn("span", near).join(anchors.withColumn("span", F.floor(F.col("r_us") / reach_us)), ["hash", "span"])
+        pairs = weighted.withColumn("span", near).join(anchors.withColumn("span", F.floor(F.col("r_us") / reach_us)), [*on, "span"])
         pairs = pairs.where((F.col("r_us") - F.col("q_us")).between(-reach_us, reach_us))
     return (
         pairs.withColumn("bin", F.round((F.col("r_us") - F.col("q_us")) / F.lit(float(bin_us))).cast("long"))
@@ -78,16 +92,17 @@ def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int
     )
 
 
-def vote_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None) -> DataFrame:
+def vote_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
     """One row for each query and bin: votes, score, refined offset and evidence.
 
     query: query_id, hash, t_us; reference: hash, t_us; offset is reference
-    minus query time. Rows with a null hash or time have no part. Empty inputs
+    minus query time. With ``by``, columns of both sides, a query meets its own
+    reference only. Rows with a null hash or time have no part. Empty inputs
     give no rows.
     """
     sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
     return (
-        meetings(query, reference, bin_us, reach_us)
+        meetings(query, reference, bin_us, reach_us, by)
         .groupBy("query_id", "bin")
         .agg(
             F.sum("votes").alias("votes"), F.sum("weight").alias("weight"), F.sum("moment").alias("moment"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import landmark_hash
 from tidemark.operators import nearest as N
-from tidemark.operators import lock, spectra, tracker, voting
+from tidemark.operators import landmark_chain, landmark_lock, lock, spectra, tracker, voting
 from tidemark.plans.adapters import E, L, events, landmarks
 from tidemark.plans.registry import query
 from tidemark.session import spread, table
@@ -249,3 +250,76 @@ def landmark_pairs(spark, sf_dir):
     peaks = local_peaks(long, "frame", ["bin"], "m", 0.1, 4)
     frames = peaks.groupBy("frame").agg(F.collect_list(F.struct("bin", F.col("m").alias("magnitude"))).alias("peaks")).withColumn("source", F.lit("all"))
     return spectra.landmarks(frames, "source", "frame").drop("source")
+
+
+# A user's events on a clock 250,000 times as fast are the reference of about ten seconds; four fifths of them, some 0 to 4.9 s earlier, are the live recording.
+CHAIN = landmark_chain.Chain(
+    hop_us=1_000_000, long_us=4_000_000, most=4, radius_us=60_000, step_us=20_000, timing=N.Dense(min_frames=8, min_duration=1_000_000, min_coverage=0.5),
+    robust=N.Dense(weights=(0.30, 0.0, 0.35, 0.05, 0.30), min_frames=16, min_duration=2_500_000, min_coverage=0.6, agree=0.50),
+)
+
+
+def _recordings(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("hash", landmark_hash(F.col("k"), F.col("code"), F.floor("value") % 5 + 1))
+    part = lambda *m: F.array(*[(F.col("k") % x).cast("double") + F.col("off") for x in m])
+    frames = lambda rows: rows.select(
+        "key", F.col("event_id").alias("frame_id"), "t_us", "hash", (F.lit(-40.0) - F.col("code") * 8).alias("energy_db"), (F.col("value") >= 5).alias("usable"),
+        F.when(F.col("value") >= 5, 1.0).otherwise(0.25).alias("weight"), F.array(F.floor("value") + F.col("off")).alias("onset"), part(2, 3, 5).alias("subband"),
+        part(7, 11, 13).alias("pcen"), part(4, 6, 9, 12).alias("chroma"), part(8, 10).alias("cens"),
+    )
+    known = e.select("*", F.col("user_id").cast("string").alias("key"), F.lit(0.0).alias("off")).withColumn("t_us", F.floor(F.col("t_us") / 250_000))
+    live = known.where("event_id % 5 <> 0").withColumn("t_us", F.col("t_us") - F.col("user_id") % 50 * 100_000).withColumn("off", (F.col("event_id") % 3).cast("double"))
+    return frames(live), frames(known)
+
+
+_APART = -(-CHAIN.apart_us // CHAIN.bin_us)
+
+
+def _chain_candidates() -> str:
+    votes = L.split("q AS (")[0].rstrip().rstrip(",") + f""",
+known AS (SELECT user_id, event_id, user_id::VARCHAR AS key, hash, t_us // 250000 AS t_us FROM l),
+r AS (SELECT key, hash, t_us FROM known),
+w AS (SELECT key, hash, t_us - user_id % 50 * 100000 AS t_us FROM known WHERE event_id % 5 <> 0),
+q AS (
+  SELECT key || '@' || (n * {CHAIN.hop_us})::VARCHAR AS query_id, key, hash, t_us
+  FROM (SELECT *, unnest(generate_series(ceil(t_us / {CHAIN.hop_us}.0e0)::BIGINT, floor((t_us + {CHAIN.window_us}) / {CHAIN.hop_us}.0e0)::BIGINT)) AS n FROM w)),
+df AS (SELECT key, hash, COUNT(*) AS postings, ln(1 + MAX(n.total) / (COUNT(*) + 1)::DOUBLE) AS idf FROM r JOIN (SELECT key, COUNT(*) AS total FROM r GROUP BY key) n USING (key) GROUP BY key, hash),
+tf AS (SELECT query_id, key, hash, COUNT(*) AS tf FROM q GROUP BY ALL),
+v AS (SELECT query_id, key, hash, postings, round(greatest(0.05e0, least(3.0e0, idf / sqrt(tf::DOUBLE))) * 1000)::BIGINT AS weight FROM tf JOIN df USING (key, hash)),
+m AS (
+  SELECT query_id, hash, postings, weight, q.t_us AS q_us, r.t_us - q.t_us AS d, round((r.t_us - q.t_us) / {CHAIN.bin_us}.0e0)::BIGINT AS bin
+  FROM q JOIN v USING (query_id, key, hash) JOIN r USING (key, hash)),
+h AS (
+  SELECT query_id, bin, COUNT(*) AS votes, SUM(weight)::BIGINT / 1000.0e0 AS score,
+         bin * {CHAIN.bin_us}.0e0 + SUM(weight * (d - bin * {CHAIN.bin_us}))::BIGINT::DOUBLE / SUM(weight)::BIGINT::DOUBLE AS offset_us,
+         COUNT(DISTINCT hash) AS unique_hashes, MAX(q_us) - MIN(q_us) AS spread_us, COUNT(*) / MAX(n.landmarks)::DOUBLE AS density
+  FROM m JOIN (SELECT query_id, COUNT(*) AS landmarks FROM q GROUP BY query_id) n USING (query_id) GROUP BY query_id, bin)"""
+    parts = [votes, f"k0 AS (SELECT *, 0::BIGINT AS place FROM h QUALIFY {_BEST} = 1)"]
+    for k in range(1, CHAIN.most):
+        far = " ".join(f"AND NOT EXISTS (SELECT 1 FROM k{j} x WHERE x.query_id = h.query_id AND abs(x.bin - h.bin) < {_APART})" for j in range(k))
+        parts.append(f"k{k} AS (SELECT *, {k}::BIGINT AS place FROM h WHERE TRUE {far} QUALIFY {_BEST} = 1)")
+    every = " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(CHAIN.most))
+    return ", ".join(parts) + f""", c AS ({every}), led AS (
+  SELECT query_id, MAX(score) FILTER (place = 0) AS first, MAX(score) FILTER (place = 1) AS second, MAX(votes) FILTER (place = 0) AS votes,
+         MAX(density) FILTER (place = 0) AS density, MAX(spread_us) FILTER (place = 0) AS spread_us FROM c GROUP BY query_id)"""
+
+
+@query("WITH " + _chain_candidates() + f""" SELECT c.query_id AS "window", place, round(offset_us)::BIGINT AS coarse_us, c.votes, score AS weighted, unique_hashes AS hashes, least(1.0e0, c.density) AS landmark,
+CASE WHEN led.votes >= {CHAIN.coarse_votes} AND led.density >= {CHAIN.coarse_density}e0 AND led.spread_us >= {CHAIN.coarse_spread_us} THEN 'none' ELSE 'insufficient_landmarks' END AS coarse,
+led.votes >= {CHAIN.coarse_votes} AND led.density >= {CHAIN.coarse_density}e0 AND led.spread_us >= {CHAIN.coarse_spread_us} AND COALESCE(second > 0 AND (first / second < {CHAIN.coarse_ratio}e0 OR greatest(0, first - second) < {CHAIN.coarse_margin}e0), FALSE) AS ambiguous
+FROM c JOIN led USING (query_id)""")
+def landmark_chain_candidates(spark, sf_dir):
+    """Thinned votes of every window of every user's recording, with the coarse gate."""
+    live, known = _recordings(spark, sf_dir)
+    marks = landmark_chain.window_id(landmark_chain.windowed(live.select("key", "hash", "t_us"), CHAIN))
+    found = landmark_chain.coarse_candidates(marks, known.select("key", "hash", "t_us"), CHAIN)
+    return found.drop("key")
+
+
+@query()
+def landmark_lock_chain(spark, sf_dir):
+    """Every user's recording from postings and frames to states."""
+    live, known = _recordings(spark, sf_dir)
+    marks = lambda rows: rows.select("key", "hash", "t_us")
+    windows = landmark_chain.chain(live.drop("hash"), marks(live), known.drop("hash", "energy_db"), marks(known), CHAIN)
+    return landmark_lock.align(windows).withColumns({c: F.round(c, 6) for c in ("offset_ms", "confidence")})
