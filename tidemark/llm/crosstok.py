@@ -35,7 +35,7 @@ from tidemark.session import cut, drop_cut
 #: White space before which a text may be cut, if the vocabularies allow it.
 WHITE = " \n\t\x0b\x0c\r"
 #: Characters of a block of documents; a longer document is a block of its own. Answers packed at once.
-BLOCK_CHARS, FLUSH_ROWS = 12_000_000, 65_536
+BLOCK_CHARS, FLUSH_ROWS = 1 << 24, 65_536
 #: Documents times pairs of a block that are marked at once.
 MARKS = 8_000_000
 #: Fixed value: the split before byte-level merges.
