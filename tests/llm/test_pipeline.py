@@ -111,3 +111,15 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_columns_of_any_name_pass(spark):
+    """Names that the operators use themselves, and names with dots and spaces."""
+    names = ["row__text", "told__lang", "told__accepted", "row", "whole", "text_", "id", "fp", "lang_pred", "accepted", "my col", "a.b"]
+    base = [r[:5] for r in corpus()]
+    docs = spark.createDataFrame([(*r, *[f"{n}{k}" for n in names]) for k, r in enumerate(base)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.near_deduplicated):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) > 50 and all(r[n][: len(n)] == n and r[n][len(n) :] == r["a.b"][3:] for r in found for n in names)

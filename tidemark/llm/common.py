@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import cut
 
@@ -27,7 +28,7 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of)).cast("int")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows, partition by partition.
 
     An Arrow batch holds 64 MB by default (spark.sql.execution.arrow.maxBytesPerBatch)

@@ -15,6 +15,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.llm.common import map_arrow, per_task, remainder
 
@@ -98,8 +99,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     new columns, and a carried column of the same name gives way. Nothing is shuffled; an empty table gives no rows.
     """
     carried = [c for c in ([id_col] if keep is None else keep) if c not in names]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-
     def make():
         classify = Classifier(dictionaries)
 
@@ -112,7 +111,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         return step
 
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("t"))
-    schema = ", ".join([*(f"c{i} {fields[c]}" for i, c in enumerate(carried)), "lang_pred string, score double, accepted boolean"])
+    schema = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carried)])
+    schema = schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     out = map_arrow(source, per_task(make), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *[F.col(a).alias(b) for a, b in zip(("lang_pred", "score", "accepted"), names)])
 

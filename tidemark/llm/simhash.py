@@ -376,21 +376,22 @@ def deduplicate(docs: DataFrame, radius: int = 2, words: int = 3, similarity: fl
     The row with the smallest id stays; ids may repeat, so of several rows with
     that id one of the smallest fingerprint stays, and of rows equal in both,
     copies of one text by fingerprint, the one with the smallest hash of text
-    and other columns. Rows without an id are components' rows like any other
+    and other columns. Very long texts are compared whole. Rows without an id are components' rows like any other
     and stay only where no row has an id. Null, empty and white texts are
     alike. An empty table gives no rows.
     """
     names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     whole = F.xxhash64(*[x for c in names for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
-    marked = docs.withColumns({"row__text": F.xxhash64(text), "row__whole": whole})
-    keys = marked.select(F.col(f"`{id_col}`").alias("id"), F.col("row__text").alias("text"), F.col("row__whole").alias("whole"), text.alias("t"))
+    # the row is one column, so that no name of its own can clash
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(text).alias("text"), whole.alias("whole"))
+    keys = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"), whole.alias("whole"), text.alias("t"))
     rows, classes = _classes(keys, radius, words, similarity, seeds, "id", "t", ["text", "whole"])
     # of each class first, so that no component's rows meet in one task
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "fp", "text", "whole"))
     best = rows.groupBy("fp").agg(first.alias("first")).join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    best = cut(best.select(F.col("first.text").alias("row__text"), F.col("first.whole").alias("row__whole")), "simhash-kept")
-    kept = marked.join(best, ["row__text", "row__whole"], "left_semi")
+    best = cut(best.select("first.text", "first.whole"), "simhash-kept")
+    kept = marked.join(best, ["text", "whole"], "left_semi")
     if not rows.groupBy("text", "whole").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["row__text", "row__whole"])  # rows equal in all columns share both hashes
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+        kept = kept.dropDuplicates(["text", "whole"])  # rows equal in all columns share both hashes
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
