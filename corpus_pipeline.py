@@ -23,9 +23,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     any name are carried along. No documents give none.
     """
     dictionaries = langid.learn(docs)
-    names, own = docs.columns, ("told__lang", "told__score", "told__accepted")
-    told = langid.identify(docs, dictionaries, keep=names, names=own).where("told__accepted")
-    return told.withColumn("lang", F.col("told__lang")).select(*[F.col(f"`{c}`") for c in names])
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")  # one column, so no name can clash
+    told = langid.identify(rows, dictionaries, keep=["row"]).where("accepted")
+    return told.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
