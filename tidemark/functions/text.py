@@ -111,9 +111,23 @@ def key_bindings(stored: Column, n: int = 4) -> Column:
     return F.when(ok, keys)
 
 
-def clip_id(name: Column, at: Column) -> Column:
-    """Slug of a name and the second of a time stamp: ``name-yyyyMMdd-HHmmss``; a name without letters or digits is ``clip``."""
-    return F.concat_ws("-", F.coalesce(blank_to_null(slug(name, 40)), F.lit("clip")), F.date_format(at, "yyyyMMdd-HHmmss"))
+def _stamped(at: Column, *parts: Column) -> Column:
+    return F.concat_ws("-", *parts, F.date_format(at, "yyyyMMdd-HHmmss"))
+
+
+def _or(name: Column, other: Column | str) -> Column:
+    """A slug of any length, or something else where nothing is left of it."""
+    return F.coalesce(blank_to_null(slug(name, 1 << 20)), F.lit(other) if isinstance(other, str) else other)
+
+
+def recording_id(group: Column, take: Column, name: Column, at: Column) -> Column:
+    """``group-take-yyyyMMdd-HHmmss`` as slugs; without a group its fallback name, without a take ``take``, without both names ``ambient-sync``."""
+    return _stamped(at, _or(group, _or(name, "ambient-sync")), _or(take, "take"))
+
+
+def clip_id(prefix: str, name: Column, at: Column) -> Column:
+    """``prefix-name-yyyyMMdd-HHmmss``, the name as a slug without its extension; a name without letters or digits is ``fixture``."""
+    return _stamped(at, F.lit(prefix), _or(F.regexp_replace(name, r"[.][^.]*$", ""), "fixture"))
 
 
 def tag(tags: Column, identifiers: list[str], word: str) -> Column:

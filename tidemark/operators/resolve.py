@@ -153,6 +153,14 @@ def resolve(queries: DataFrame, assets: DataFrame, k: int | None = None) -> Data
     )
 
 
-def history(resolved: DataFrame) -> DataFrame:
-    """The row to append for each query: its best result, rejected or not."""
-    return resolved.where("rank = 1").select("query_id", "asset_id", "confidence", "decision")
+def history(resolved: DataFrame, queries: DataFrame, assets: DataFrame) -> DataFrame:
+    """The row to append for each query: its best result, rejected or not.
+
+    Every eligible asset is a candidate of every query, so a query that nothing
+    speaks for gets the first asset by path, with confidence 0, rejected. Without
+    an eligible asset there is no row.
+    """
+    best = resolved.where("rank = 1").select("query_id", "asset_id", "confidence", "decision")
+    first = eligible(assets).agg(F.min(F.struct("path", "asset_id")).alias("x"))
+    rest = queries.select("query_id").distinct().join(best, "query_id", "left_anti").withColumn("x", first.scalar())
+    return best.unionByName(rest.where("x IS NOT NULL").select("query_id", "x.asset_id", F.lit(0.0).alias("confidence"), F.lit("reject").alias("decision")))

@@ -186,18 +186,3 @@ def trim_oldest(rows: DataFrame, key: str, order: list[str], amount: str, most:
 def expire(rows: DataFrame, key: str, time: str, keep: int) -> DataFrame:
     """Rows no older than ``keep`` before the newest of their key."""
     return rows.withColumn("newest", F.max(time).over(Window.partitionBy(key))).where(F.col(time) >= F.col("newest") - keep).drop("newest")
-
-
-def calibration(inputs: DataFrame, beats: DataFrame, key: str, reach: int) -> DataFrame:
-    """Each beat's first input within ``reach`` for which it is the nearest beat: key, beat, input, off.
-
-    An input between two equally near beats goes to the earlier. A beat is
-    resolved by its first input; later ones do not count.
-    """
-    span = lambda c: F.floor(F.col(c) / reach)
-    asked = inputs.select(key, F.col("time").alias("input"), F.explode(F.array(*[span("time") + k for k in (-1, 0, 1)])).alias("span"))
-    pairs = asked.join(beats.select(key, F.col("time").alias("beat"), span("time").alias("span")).distinct(), [key, "span"])
-    pairs = pairs.withColumn("off", F.col("input") - F.col("beat")).where(F.abs("off") <= reach)
-    nearest = pairs.groupBy(key, "input").agg(F.min(F.struct(F.abs("off").alias("d"), "beat", "off")).alias("x"))
-    first = nearest.select(key, F.col("x.beat").alias("beat"), "input", F.col("x.off").alias("off"))
-    return first.groupBy(key, "beat").agg(F.min(F.struct("input", "off")).alias("x")).select(key, "beat", "x.input", "x.off")

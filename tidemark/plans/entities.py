@@ -75,9 +75,11 @@ def resolver_results(spark, sf_dir):
     return R.resolve(_tracks(spark, sf_dir), assets(spark, sf_dir), 5).drop("evidence")
 
 
-@query(RESOLVED + " SELECT query_id, asset_id, confidence, decision FROM out WHERE rank = 1")
+@query(RESOLVED + """ SELECT query_id, asset_id, confidence, decision FROM out WHERE rank = 1
+UNION ALL SELECT query_id, (SELECT asset_id FROM ak ORDER BY path, asset_id LIMIT 1), 0.0e0, 'reject' FROM t WHERE query_id NOT IN (SELECT query_id FROM out)""")
 def resolver_history(spark, sf_dir):
-    return R.history(R.resolve(_tracks(spark, sf_dir), assets(spark, sf_dir), 5))
+    tracks, catalog = _tracks(spark, sf_dir), assets(spark, sf_dir)
+    return R.history(R.resolve(tracks, catalog, 5), tracks, catalog)
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS key FROM part), q AS (SELECT DISTINCT p_name AS key FROM part WHERE p_partkey % 100 = 0)

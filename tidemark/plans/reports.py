@@ -109,12 +109,22 @@ def key_bindings(spark, sf_dir):
     return p.select("p_partkey", F.array_join(T.key_bindings(F.expr(_KEYS)), "|").alias("keys"))
 
 
-@query("""SELECT event_id, trim(left(trim(regexp_replace(lower(event_type || ' of user ' || user_id || '!'), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-') || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS clip_id,
-epoch_us(ts) // 1000000 AS seconds FROM events""")
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""SELECT event_id, COALESCE(nullif({_SLUG.format("CASE WHEN event_id % 3 > 0 THEN event_type || ' of user ' || user_id || '!' ELSE '--' END")}, ''), nullif({_SLUG.format("CASE WHEN event_id % 2 > 0 THEN 'Some Name' ELSE '' END")}, ''), 'ambient-sync')
+|| '-' || COALESCE(nullif({_SLUG.format("CASE WHEN event_id % 5 > 0 THEN 'Take ' || event_id % 5 ELSE ' ' END")}, ''), 'take') || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS recording_id,
+'clip-' || COALESCE(nullif({_SLUG.format("CASE WHEN event_id % 7 > 0 THEN event_type || '.' || user_id ELSE '???' END")}, ''), 'fixture') || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS clip_id, epoch_us(ts) // 1000000 AS seconds FROM events""")
 def clip_ids(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    name, at = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"), F.lit("!")), F.col("ts").cast("timestamp")
-    return e.select("event_id", T.clip_id(name, at).alias("clip_id"), F.unix_seconds(at).alias("seconds"))
+    """Both forms of ids of recordings, from names that may be blank."""
+    e, at, id_ = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), F.col("event_id")
+    group = F.when(id_ % 3 > 0, F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"), F.lit("!"))).otherwise(F.lit("--"))
+    take = F.when(id_ % 5 > 0, F.concat(F.lit("Take "), (id_ % 5).cast("string"))).otherwise(F.lit(" "))
+    name = F.when(id_ % 7 > 0, F.concat("event_type", F.lit("."), F.col("user_id").cast("string"), F.lit(".wav"))).otherwise(F.lit("???.wav"))
+    return e.select(
+        "event_id", T.recording_id(group, take, F.when(id_ % 2 > 0, F.lit("Some Name")).otherwise(F.lit("")), at).alias("recording_id"),
+        T.clip_id("clip", name, at).alias("clip_id"), F.unix_seconds(at).alias("seconds"),
+    )
 
 
 @query("""SELECT p_partkey, trim(CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 AND p_size % 2 = 0 THEN ' ' || p_brand || ' ' WHEN p_size % 5 > 0 THEN p_type END) AS title FROM part""")

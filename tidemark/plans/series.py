@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import cosine, l2_normalize, mean_power_db, parabola_peak
+from tidemark.operators import calibration
 from tidemark.operators import series as S
 from tidemark.plans.adapters import E, events
 from tidemark.plans.registry import query
@@ -151,11 +152,20 @@ def retained_frames(spark, sf_dir):
     return S.expire(events(spark, sf_dir), "user_id", "t_us", 86_400_000_000).select("event_id")
 
 
-@query("WITH " + E + """, p AS (SELECT i.event_type, i.t_us AS input, b.t_us AS beat, i.t_us - b.t_us AS off FROM (SELECT DISTINCT event_type, t_us FROM e WHERE event_id % 2 = 1) i
-  JOIN (SELECT DISTINCT event_type, t_us FROM e WHERE event_id % 2 = 0) b ON i.event_type = b.event_type AND abs(i.t_us - b.t_us) <= 120000000),
-n AS (SELECT * FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type, input ORDER BY abs(off), beat) = 1)
-SELECT event_type, beat, input, off FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type, beat ORDER BY input) = 1""")
+_CALIBRATED = E + """, t AS (SELECT user_id::VARCHAR AS key, event_id, (t_us // 100000000 - 17000000)::DOUBLE AS ms, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY t_us // 100000000, event_id) AS i FROM e),
+b AS (SELECT key, min(ms) AS first FROM t GROUP BY key),
+n AS (SELECT t.*, t.ms - b.first + 1000 AS raw FROM t JOIN b USING (key)),
+w AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::BIGINT[] AS taken, NULL::BIGINT AS beat, NULL::DOUBLE AS error FROM b
+  UNION ALL SELECT key, i, event_id, CASE WHEN abs(off) <= 120 THEN list_append(left_, pick) ELSE left_ END, CASE WHEN abs(off) <= 120 THEN pick END, CASE WHEN abs(off) <= 120 THEN off END
+  FROM (SELECT *, raw - (1000 + pick * 500) AS off FROM (
+    SELECT *, COALESCE(list_min(list_transform(list_filter([0, near - 1, near, near + 1], lambda x: x >= 0 AND NOT list_contains(left_, x)), lambda x: {'d': abs(raw - (1000 + x * 500)), 'b': x})).b, greatest(0, near)) AS pick
+    FROM (SELECT n.key, n.i, n.event_id, n.raw, round((n.raw - 1000) / 500.0e0)::BIGINT AS near, list_filter(w.taken, lambda x: 1000 + x * 500 >= n.raw - 620) AS left_ FROM w JOIN n ON n.key = w.key AND n.i = w.i + 1))))"""
+
+
+@query("WITH RECURSIVE " + _CALIBRATED + " SELECT event_id, beat, error AS error_ms, greatest(-500, least(500, round(-error)::INTEGER)) AS suggested_ms FROM w WHERE beat IS NOT NULL")
 def calibration_offsets(spark, sf_dir):
-    """Odd events as inputs against even ones of their type as beats, two minutes apart at most."""
-    e = events(spark, sf_dir).select("event_type", "event_id", F.col("t_us").alias("time"))
-    return S.calibration(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "event_type", 120_000_000)
+    """Every user's events as taps on a fast clock, each with the nearest beat that is still open."""
+    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), (F.floor(F.col("t_us") / 100_000_000) - 17_000_000).cast("double").alias("at"))
+    first = e.groupBy("key").agg(F.min("at").alias("first"))
+    taps = e.join(first, "key").select("key", "id", (F.col("at") - F.col("first") + 1000).alias("at_ms"), F.lit("tap").alias("kind"), F.lit(None).cast("double").alias("value"))
+    return calibration.calibrate(taps).select(F.col("id").alias("event_id"), "beat", "error_ms", "suggested_ms")
