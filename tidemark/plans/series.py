@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import cosine, l2_normalize, mean_power_db, parabola_peak
+from tidemark.functions.numbers import cosine, l2_normalize, landmark_hash, mean_power_db, parabola_peak
 from tidemark.operators import calibration
 from tidemark.operators import series as S
 from tidemark.plans.adapters import E, events
 from tidemark.plans.registry import query
 from tidemark.session import table
+from tidemark.streaming import extractor
 
 ORDER = ["t_us", "event_id"]
 W = "WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)"
@@ -169,3 +170,16 @@ def calibration_offsets(spark, sf_dir):
     first = e.groupBy("key").agg(F.min("at").alias("first"))
     taps = e.join(first, "key").select("key", "id", (F.col("at") - F.col("first") + 1000).alias("at_ms"), F.lit("tap").alias("kind"), F.lit(None).cast("double").alias("value"))
     return calibration.calibrate(taps).select(F.col("id").alias("event_id"), "beat", "error_ms", "suggested_ms")
+
+
+@query("WITH " + E + """ SELECT event_id, (k << 32) | (code << 16) | 1 AS hash, t_us / 1000.0e0 - 20 AS anchor_ms, k::INTEGER AS anchor_bin, code::INTEGER AS target_bin, 1 AS delta FROM e WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, unnest(CASE WHEN event_id % 3 = 1 THEN [k, code] ELSE []::BIGINT[] END), t_us / 1000.0e0, 0, 1, 1 FROM e WHERE event_id % 3 > 0""")
+def flattened_landmarks(spark, sf_dir):
+    """Events as frames: a third with landmarks, a third with hashes alone, a third with neither."""
+    e, k, code, third = events(spark, sf_dir), F.col("k"), F.col("code"), F.col("event_id") % 3
+    one = F.struct(
+        landmark_hash(k, code, F.lit(1)).alias("hash"), (F.col("t_us") / 1000.0 - 20).alias("anchor_ms"), k.cast("int").alias("anchor_bin"),
+        code.cast("int").alias("target_bin"), F.lit(1).alias("delta"),
+    )
+    frames = e.select("event_id", (F.col("t_us") / 1000.0).alias("recorded_ms"), F.when(third == 0, F.array(one)).alias("landmarks"), F.when(third < 2, F.array(k, code)).alias("landmark_hashes"))
+    return extractor.flat_landmarks(frames, ["event_id"])
