@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocked import follow
 from tidemark.session import spread
 
 
@@ -113,12 +114,8 @@ def _recursive(rows: DataFrame, key: str, order: list[str], columns: dict[str, s
 
 
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, rate: float) -> DataFrame:
-    """``smooth``: exponential mean, seeded by the first value."""
-
-    def step(p):
-        return p.assign(smooth=p[value].astype(float).ewm(alpha=rate, adjust=False).mean())
-
-    return _recursive(rows, key, order, {"smooth": "double"}, step)
+    """``smooth``: exponential mean, seeded by the first value; long keys run in blocks."""
+    return follow(rows, key, order, value, "smooth", rate, rate)
 
 
 # Fixed values of the per-channel energy normalisation.
@@ -127,32 +124,36 @@ PCEN_RATE, PCEN_GAIN, PCEN_BIAS, PCEN_ROOT, PCEN_FLOOR = 0.025, 0.98, 2.0, 0.5,
 
 def pcen(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``pcen``: the value over its own smoothed level, compressed."""
-
-    def step(p):
-        x = p[value].astype(float)
-        level = x.ewm(alpha=PCEN_RATE, adjust=False).mean().clip(lower=PCEN_FLOOR)
-        out = (x / level**PCEN_GAIN + PCEN_BIAS) ** PCEN_ROOT - PCEN_BIAS**PCEN_ROOT
-        return p.assign(pcen=out.clip(lower=0))
-
-    return _recursive(rows, key, order, {"pcen": "double"}, step)
+    level = F.greatest(F.lit(PCEN_FLOOR), F.col("pcen"))
+    out = F.pow(F.col(value).cast("double") / F.pow(level, F.lit(PCEN_GAIN)) + PCEN_BIAS, F.lit(PCEN_ROOT)) - PCEN_BIAS**PCEN_ROOT
+    smoothed = follow(rows, key, order, value, "pcen", PCEN_RATE, PCEN_RATE)
+    return smoothed.withColumn("pcen", F.when(F.col("pcen").isNotNull(), F.greatest(F.lit(0.0), out)))
 
 
 def noise_floor(rows: DataFrame, key: str, order: list[str], level: str, rise: float = 0.02, fall: float = 0.25) -> DataFrame:
     """``floor`` follows the level slowly up and quickly down; ``snr`` is the level above it, 0 at first."""
+    followed = follow(rows, key, order, level, "floor", rise, fall)
+    return followed.withColumn("snr", F.when(F.col("floor").isNotNull(), F.greatest(F.lit(0.0), F.col(level) - F.col("floor"))))
+
+
+CHROMA_RATE = 0.25
+
+
+def cens(rows: DataFrame, key: str, order: list[str], chroma: str) -> DataFrame:
+    """``cens``: smoothed shares of the pitch classes in whole steps, of length 1; a null vector has none.
+
+    ``order`` must tell the rows of a key apart. Classes are smoothed one by one,
+    so a recording runs in blocks and in as many series as it has classes.
+    """
+    from tidemark.functions.numbers import l2_normalize
 
-    def step(p):
-        floors, snrs, now = [], [], None
-        for x in p[level].astype(float):
-            if now is None:
-                now, snr = x, 0.0
-            else:
-                now += (rise if x > now else fall) * (x - now)
-                snr = max(0.0, x - now)
-            floors.append(now)
-            snrs.append(snr)
-        return p.assign(floor=floors, snr=snrs)
-
-    return _recursive(rows, key, order, {"floor": "double", "snr": "double"}, step)
+    names = rows.columns
+    whole = rows.select(F.struct(*names).alias("row"), F.struct(key, *order).alias("at"), F.col(chroma).alias("values"))
+    long = whole.select("row", "at", F.posexplode_outer("values").alias("class", "x")).select("row", F.struct(F.col("at")[key].alias("k"), "class").alias("k"), "at", "class", "x")
+    smooth = ewma(long, "k", ["at"], "x", CHROMA_RATE)
+    vector = F.transform(F.array_sort(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "smooth")))), lambda e: e["smooth"])
+    whole = smooth.groupBy("at").agg(F.first("row").alias("row"), vector.alias("smooth"))
+    return whole.select("row.*", F.when(F.size("smooth") > 0, l2_normalize(quantize_chroma(F.col("smooth")))).alias("cens"))
 
 
 def cadence(rows: DataFrame, key: str, time: str, step: float) -> DataFrame:
