@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
 from tidemark.operators import catalog, chart, judge, resolve, series
+from tidemark.sources import audio as audio_files
 from tidemark.sources import files
 from tidemark.streaming import stateful
 
@@ -167,7 +168,7 @@ def test_audio_and_traces(spark, tmp_path):
         w.writeframes(np.repeat((np.sin(np.arange(2400) / 20) * 20000).astype("<i2"), 2).tobytes())
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.wav").write_bytes(buffer.getvalue())
-    audio = files.read_audio(spark, str(tmp_path / "in")).collect()
+    audio = audio_files.read_audio(spark, str(tmp_path / "in")).collect()
     assert sum(len(r.samples) for r in audio) == 4800
     assert files.scan_directory(spark, str(tmp_path / "in")).first().extension == "wav"
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):

@@ -6,9 +6,12 @@ Tables are immutable DataFrames; every change is a new table from joins, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+from tidemark.sources import snapshots
+
 MISSING = "missingFile"
 
 
@@ -156,6 +159,33 @@ def at_path(assets: DataFrame, paths: DataFrame, statuses: tuple[str, ...] = ("r
     return rows.groupBy("path").agg(F.min_by(row, order).alias("x")).select("path", "x.*")
 
 
+def asset_tables(assets: DataFrame) -> dict[str, DataFrame]:
+    """The three tables of a catalog: assets, their metadata and their hashes; ``assets`` has one row for each id."""
+    told = [c for c in ("title", "artist", "artists", "album", "isrc", "duration_ms") if c in assets.columns]
+    return {"assets": assets, "metadata": assets.select("asset_id", *told), "hashes": assets.select("asset_id", "sha256", "size_bytes")}
+
+
+def store_assets(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """Upsert assets with their metadata and hashes as one version below ``root``; its number.
+
+    Of rows that repeat an id the greatest is taken, in all three tables alike.
+    Assets of another id on a path that is taken become missing. If a write
+    fails, or another writer was quicker (``Conflict``), the old version stays.
+    """
+    now = snapshots.latest(spark, root)
+    row = F.struct(*[c for c in new.columns if c != "asset_id"])
+    new = cut(new.groupBy("asset_id").agg(F.max(row).alias("x")).select("asset_id", "x.*").select(*new.columns), "assets")
+    tables = asset_tables(new)
+    held = snapshots.read(spark, root, now)
+    if held:
+        pushed = conflicts(held["assets"], new).select("asset_id", F.lit(True).alias("pushed"))
+        old = held["assets"].join(pushed, "asset_id", "left")
+        old = old.withColumn("status", F.when(F.col("pushed"), F.lit(MISSING)).otherwise(F.col("status"))).select(*held["assets"].columns)
+        held["assets"] = old
+        tables = {name: upsert(held[name], rows, "asset_id") for name, rows in tables.items()}
+    return snapshots.publish(spark, root, tables, now)
+
+
 def migrate(table: DataFrame, renames: dict[str, str], added: dict[str, object]) -> DataFrame:
     """A table under a new schema: renamed columns and new ones with a default."""
     return table.withColumnsRenamed(renames).withColumns({c: F.lit(v) for c, v in added.items()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -9,7 +11,8 @@ from tidemark.operators import catalog as C
 from tidemark.operators import resolve as R
 from tidemark.plans.adapters import A, assets
 from tidemark.plans.registry import query
-from tidemark.session import table
+from tidemark.session import shared_dir, table
+from tidemark.sources import index_cache, snapshots
 
 
 def _tracks(spark, sf_dir):
@@ -198,3 +201,43 @@ CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS number FROM part""")
 def slugs(spark, sf_dir):
     name = F.concat("p_brand", F.lit(" - "), "p_name", F.lit("/"), "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", T.slug(name, 20).alias("slug"), T.first_integer(F.col("p_brand")).alias("number"))
+
+
+@query("WITH " + A + """, n AS (SELECT asset_id + CASE WHEN asset_id % 14 = 0 THEN 100000000 ELSE 0 END AS asset_id, directory_id, path, upper(title) AS title, sha256, size_bytes + 1 AS size_bytes, duration_ms, artist FROM a WHERE asset_id % 7 = 0),
+o AS (SELECT a.asset_id, CASE WHEN asset_id % 14 = 0 AND status <> 'missingFile' THEN 'missingFile' ELSE status END AS status, path, title, artist, sha256, size_bytes FROM a WHERE asset_id NOT IN (SELECT asset_id FROM n))
+SELECT asset_id, status, path, title, artist, sha256, size_bytes FROM o UNION ALL SELECT asset_id, 'ready', path, title, artist, sha256, size_bytes FROM n""")
+def published_catalog(spark, sf_dir):
+    """The catalog as three tables of one snapshot, after a second version: every seventh asset read again, half of them under a new id."""
+    a, root, key = assets(spark, sf_dir), f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", F.col("asset_id")
+    C.store_assets(spark, root, a)
+    again = a.where(key % 7 == 0).withColumns({"asset_id": F.when(key % 14 == 0, key + 100_000_000).otherwise(key), "title": F.upper("title"), "size_bytes": F.col("size_bytes") + 1, "status": F.lit("ready")})
+    C.store_assets(spark, root, again)
+    now = snapshots.read(spark, root)
+    return now["assets"].select("asset_id", "status", "path").join(now["metadata"].select("asset_id", "title", "artist"), "asset_id").join(now["hashes"], "asset_id")
+
+
+_SOURCES = """s AS (SELECT p_partkey AS k, 'parts/' || p_partkey AS path, p_size AS size FROM part)"""
+
+
+@query("WITH " + _SOURCES + """, t AS (SELECT CASE WHEN k % 10 = 9 THEN 'gone' WHEN k % 10 = 3 AND size % 2 = 0 THEN 'failed' WHEN k % 10 = 3 THEN 'built' ELSE 'kept' END AS status, size FROM s)
+SELECT st AS status, (SELECT COUNT(*) FROM t WHERE t.status = st) AS sources, CASE st WHEN 'kept' THEN (SELECT SUM(size) FROM t WHERE t.status = 'kept') WHEN 'built' THEN (SELECT SUM(size + 1) FROM t WHERE t.status = 'built') ELSE 0 END::BIGINT AS frames
+FROM (SELECT unnest(['kept', 'built', 'failed', 'gone']) AS st)""")
+def index_cache_refresh(spark, sf_dir):
+    """A cache of one index for each part, refreshed after some have changed, some cannot be read and some are gone."""
+    root, key, size = f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}", F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part")
+
+    def sources(rows, more):
+        return rows.select(F.concat(F.lit("parts/"), key.cast("string")).alias("path"), (size + more).cast("long").alias("size_bytes"), F.timestamp_seconds(key).alias("modified"), F.sha2("p_name", 256).alias("sha256"))
+
+    def build(broken):
+        problem = F.when(broken, "not readable")
+        return lambda rows: rows.select("path", F.explode(F.sequence(F.lit(1), "size_bytes")).alias("place"), problem.alias("problem"))
+
+    index_cache.refresh(spark, root, sources(part, 0), build(F.lit(False)), 1, "hop 20")
+    changed = sources(part.where(key % 10 != 9), F.when(key % 10 == 3, 1).otherwise(0))
+    broken = F.col("path").endswith("3") & (F.col("size_bytes") % 2 == 1)
+    counts = index_cache.refresh(spark, root, changed, build(broken), 1, "hop 20")
+    frames = index_cache.index(spark, root).groupBy(F.when(F.col("path").endswith("3"), "built").otherwise("kept").alias("status")).agg(F.count("*").alias("frames"))
+    told = spark.createDataFrame([(s, int(n)) for s, n in counts.items()], "status string, sources long")
+    return told.join(F.broadcast(frames), "status", "left").select("status", "sources", F.coalesce("frames", F.lit(0)).cast("long").alias("frames"))

@@ -1,10 +1,8 @@
-"""File sources and sinks: directory scans, audio, raw arrays, charts, sidecars, traces."""
+"""File sources and sinks: directory scans, raw arrays, charts, sidecars, traces. Audio lies in ``audio``."""
 
 from __future__ import annotations
 
-import io
 import os
-import wave
 
 import numpy as np
 import pandas as pd
@@ -26,46 +24,6 @@ def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
 
 
-def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 (mean of the channels) and the rate of a PCM wave file; empty for no frames."""
-    with wave.open(io.BytesIO(content)) as w:
-        data, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
-    if width == 1:
-        x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
-    elif width in (2, 4):
-        x = np.frombuffer(data, f"<i{width}").astype(np.float64) / (1 << (8 * width - 1))
-    else:
-        raise ValueError(f"samples of {width} bytes are not read")
-    return x.reshape(-1, channels).mean(axis=1), rate
-
-
-def resample(samples: np.ndarray, rate: float, target: float) -> np.ndarray:
-    """Band-limited change of rate by the Fourier transform; same duration."""
-    if rate == target or not len(samples):
-        return samples
-    n = max(1, round(len(samples) * target / rate))
-    spectrum = np.fft.rfft(samples)
-    out = np.zeros(n // 2 + 1, complex)
-    k = min(len(out), len(spectrum))
-    out[:k] = spectrum[:k]
-    return np.fft.irfft(out, n) * n / len(samples)
-
-
-def read_audio(spark: SparkSession, root: str, target_rate: int = 48_000, span: int = 48_000) -> DataFrame:
-    """path, block, rate and samples (float array) of all wave files, in blocks of ``span`` samples."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
-
-    def run(batches):
-        for p in batches:
-            for path, content in zip(p["path"], p["content"]):
-                x, rate = decode_wave(content)
-                x = resample(x, rate, target_rate).astype(np.float32)
-                for k in range(0, max(1, len(x)), span):
-                    yield pd.DataFrame({"path": [path], "block": [k // span], "rate": [target_rate], "samples": [x[k : k + span]]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, block long, rate int, samples array<float>")
-
-
 def mix_down(samples, channels: int):
     """Mean over interleaved channels of an array column."""
     n = F.floor(F.size(samples) / channels).cast("int")
@@ -102,9 +60,10 @@ def read_sidecars(spark: SparkSession, root: str, suffix: str, audio: DataFrame)
 
     audio: path. Rows are in order of path.
     """
-    rows = spark.read.schema(SIDECAR).option("multiLine", "true").option("pathGlobFilter", f"*{suffix}").json(root)
+    rows = spark.read.schema(SIDECAR).option("multiLine", "true").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").json(root)
     folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
-    rows = rows.withColumn("path", F.col("_metadata.file_path")).withColumn("folder", folder(F.col("path")))
+    # Metadata quotes what ``binaryFile`` does not.
+    rows = rows.withColumn("path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).withColumn("folder", folder(F.col("path")))
     bare = rows.where(F.col("audioFileName").rlike(r"^[^/\\]+$") & ~F.col("audioFileName").isin(".", ".."))
     there = audio.select(folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("audioFileName"))
     return bare.join(there, ["folder", "audioFileName"], "left_semi").orderBy("path")
