@@ -125,21 +125,6 @@ def interpolate(a: Column, b: Column, at: Column) -> Column:
     return a + (b - a) * clamp(at, 0.0, 1.0)
 
 
-def progress(age: Column, start: float, end: float) -> Column:
-    return clamp((age - start) / (end - start), 0.0, 1.0)
-
-
-def fade(age_ms: Column, attack: float, hold: float, release: float) -> Column:
-    """Opacity of a popup by its age: rises, stays, falls; 0 outside."""
-    rise, fall = smooth_step(age_ms / attack), 1 - smooth_step((age_ms - attack - hold) / release)
-    return F.when((age_ms < 0) | (age_ms > attack + hold + release), F.lit(0.0)).otherwise(F.least(rise, fall))
-
-
-def decay(age_ms: Column, life_ms: float) -> Column:
-    """Brightness that falls linearly to 0 within ``life_ms``."""
-    return clamp(1 - age_ms / life_ms, 0.0, 1.0)
-
-
 def parabola_peak(left: Column, middle: Column, right: Column) -> Column:
     """Offset of the vertex from the middle, within half a step; 0 unless clearly curved down."""
     curve = left - 2 * middle + right

@@ -188,3 +188,30 @@ def lane_actions(token: Column) -> Column:
     digit = lambda lane: F.pmod(F.floor((token - 24) / F.pow(F.lit(4.0), lane)), F.lit(4)).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda lane: F.struct(lane.alias("lane"), digit(lane).alias("action")))
     return F.when(token.between(25, 279), F.filter(every, lambda x: x["action"] > 0)).otherwise(F.filter(every, lambda x: F.lit(False)))
+
+
+def all_tags(*forms: Column) -> Column:
+    """The tag lists that a file has under several forms, one after the other; a form that is absent has none."""
+    return F.flatten(F.filter(F.array(*forms), lambda x: x.isNotNull()))
+
+
+# The codes of a file's status in the index.
+STATUSES = ("ready", "missingFile", "unsupportedFormat", "unreadable", "metadataPartial", "failed")
+
+
+def index_status(code: Column, message: Column) -> Column:
+    """Struct of code and message: only failures have a message, and an unknown code is a failure that names it."""
+    text = F.when(code == "failed", F.coalesce(message, F.lit("Unknown indexing failure."))).when(
+        ~F.coalesce(code.isin(*STATUSES), F.lit(False)), F.concat(F.lit("Unknown indexing status: "), F.coalesce(code, F.lit("")))
+    )
+    return F.struct(F.when(text.isNull(), code).otherwise(F.lit("failed")).alias("code"), text.alias("message"))
+
+
+def manual_query(title: Column, artist: Column, album: Column, duration: Column, isrc: Column) -> Column:
+    """A query as typed: artists cut at ``,``, ``;`` and ``&``, a duration that is no whole number is null, the provider manual."""
+    artists = F.filter(F.transform(F.split(F.coalesce(artist, F.lit("")), "[,;&]"), lambda x: F.trim(x)), lambda x: x != "")
+    whole = F.when(F.trim(duration).rlike(r"^[+-]?\d+$"), F.trim(duration).try_cast("long"))
+    return F.struct(
+        F.trim(title).alias("title"), artists.alias("artists"), blank_to_null(album).alias("album"), whole.alias("duration_ms"),
+        blank_to_null(isrc).alias("isrc"), F.lit("manual").alias("provider"),
+    )

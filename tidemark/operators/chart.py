@@ -27,10 +27,30 @@ def parse_sections(charts: DataFrame) -> DataFrame:
 
 
 def parse_pairs(lines: DataFrame) -> DataFrame:
-    """chart_id, section, key, value of the ``key: value`` lines."""
+    """chart_id, line_no, section, key, value of the ``key: value`` lines."""
     at = F.instr("line", ":")
     pairs = lines.where((F.col("section") != "HitObjects") & (at > 0))
-    return pairs.select("chart_id", "section", F.trim(F.left("line", at - 1)).alias("key"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+    return pairs.select("chart_id", "line_no", "section", F.trim(F.left("line", at - 1)).alias("key"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+
+
+# The mode and the number of lanes that are read.
+MODE, LANES = 3, 4
+
+
+def chart_headers(charts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """chart_id, title, artist and problem of every chart (chart_id, text), by its pairs; of a repeated key the last counts.
+
+    problem: ``unsupportedMode`` unless Mode is 3, else ``unsupportedKeyCount``
+    unless CircleSize is 4. Names in Unicode come first; without a title the file
+    name's stem is taken.
+    """
+    asked = {"mode": ("General", "Mode"), "size": ("Difficulty", "CircleSize"), "title_u": ("Metadata", "TitleUnicode"), "title_a": ("Metadata", "Title"), "artist_u": ("Metadata", "ArtistUnicode"), "artist_a": ("Metadata", "Artist")}
+    last = lambda section, key: F.max_by(F.when((F.col("section") == section) & (F.col("key") == key), F.col("value")), F.when((F.col("section") == section) & (F.col("key") == key), F.col("line_no")))
+    found = charts.select("chart_id").join(pairs.groupBy("chart_id").agg(*[last(*names).alias(c) for c, names in asked.items()]), "chart_id", "left")
+    mode, size = F.col("mode").try_cast("int"), F.col("size").try_cast("double")
+    problem = F.when(F.coalesce(mode != MODE, F.lit(True)), "unsupportedMode").when(F.coalesce(F.abs(size - LANES) >= 0.0001, F.lit(True)), "unsupportedKeyCount")
+    stem = F.regexp_replace(F.element_at(F.split("chart_id", "/"), -1), r"\.[^.]*$", "")
+    return found.select("chart_id", F.coalesce("title_u", "title_a", stem).alias("title"), F.coalesce("artist_u", "artist_a").alias("artist"), problem.alias("problem"))
 
 
 def parse_objects(lines: DataFrame) -> DataFrame:
@@ -203,8 +223,3 @@ def frame_timing(rows: DataFrame, audio: str, audio_offset: int, visual_offset:
     game = F.col(audio) + audio_offset
     render = game + visual_offset
     return rows.withColumns({"gameplay_ms": game, "render_ms": render, "read_through_ms": F.greatest(game, render) + scroll + 250})
-
-
-def layout_y(rows: DataFrame, time: str, now: Column, scroll: Column, height: float, judge_y: float) -> DataFrame:
-    """Vertical place of an object: at the judge line when due, at the top one scroll time before."""
-    return rows.withColumn("y", F.lit(judge_y) - (F.col(time) - now) / scroll * F.lit(judge_y)).where(F.col("y").between(-height, 2 * height))

@@ -24,6 +24,30 @@ def percentiles(rows: DataFrame, key: str, value: str, at: list[float]) -> DataF
     return rows.groupBy(key).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(100 * p)}") for p in at])
 
 
+def timing(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Calls, their total, lower median, 95th percentile by nearest rank and maximum."""
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
+    return rows.groupBy(key).agg(F.count("*").alias("calls"), F.sum(value).alias("total"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("most"))
+
+
+def key_diff(rows: DataFrame, ours: str, golden: str, optional: tuple[str, ...], tolerance: float = 1e-5) -> DataFrame:
+    """The keys of two JSON objects that do not agree: the row's columns, key, ours, golden and verdict.
+
+    The union of the keys is compared. A key that only one side has is
+    ``missing``, unless it is optional: then it counts as null. Numbers agree
+    within ``tolerance``, all else as text; null agrees with null alone.
+    """
+    names = [c for c in rows.columns if c not in (ours, golden)]
+    table = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    both = rows.select(*names, table(ours).alias("a"), table(golden).alias("b"))
+    long = both.select(*names, "a", "b", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("key"))
+    x, y = F.try_element_at("a", F.col("key")), F.try_element_at("b", F.col("key"))
+    absent = F.map_contains_key("a", F.col("key")) != F.map_contains_key("b", F.col("key"))
+    near = F.abs(F.col("ours").try_cast("double") - F.col("golden").try_cast("double")) <= tolerance
+    verdict = F.when(F.col("absent") & ~F.col("key").isin(*optional), "missing").when(~(F.col("ours").eqNullSafe(F.col("golden")) | F.coalesce(near, F.lit(False))), "differs")
+    return long.select(*names, "key", x.alias("ours"), y.alias("golden"), absent.alias("absent")).withColumn("verdict", verdict).drop("absent").where("verdict is not null")
+
+
 def golden_diff(ours: DataFrame, golden: DataFrame, keys: list[str], fields: list[str], tolerance: float) -> DataFrame:
     """Per field: compared rows, rows on one side only, the largest difference and how many exceed the tolerance."""
     wide = lambda df, side: df.select(*keys, F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias(side))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import alignment, charts, entities, gates, recognition, reports, series  # noqa: F401  (they register their queries)
+from tidemark.plans import alignment, charts, entities, gates, presentation, recognition, reports, series  # noqa: F401  (they register their queries)
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 

@@ -74,6 +74,19 @@ def write_trace(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.mode("errorifexists").text(path)
 
 
+FEATURES = "struct<name: string, hopMS: double, timesPath: string, pcenPath: string, energyPath: string>"
+CASES = f"id string, reference {FEATURES}, query {FEATURES}, calls array<struct<startIndex: long, endIndex: long, elapsedMS: double>>, bands int, energyDBFS double"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Replay cases, one JSON object a line; a line that is none, or lacks a required field, raises."""
+    rows = spark.read.schema(CASES).option("mode", "FAILFAST").json(path)
+    whole = F.col("id").isNotNull() & F.col("calls").isNotNull()
+    for side in ("reference", "query"):
+        whole &= F.col(side)["timesPath"].isNotNull() & F.col(side)["pcenPath"].isNotNull()
+    return rows.withColumn("id", F.when(whole, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("case without a required field: "), F.coalesce("id", F.lit("?"))))))
+
+
 def stale(manifest: DataFrame, sources: DataFrame, version: int) -> DataFrame:
     """Sources whose cached index is absent or made from another version, size, time or content."""
     same = ["path", "size_bytes", "modified", "sha256", "config"]
