@@ -125,3 +125,13 @@ def test_conversion_counts(spark, tmp_path):
     # What was converted is valid for the source it names, and for no other.
     held = snapshots.read(spark, root)["manifest"].where("path = '/m/b'")
     assert index_cache.stale(held, held.drop("version", "part"), 2).count() == 0 and index_cache.stale(held, held.drop("version", "part"), 3).count() == 1
+
+
+def test_local_folders_are_refused_on_a_cluster():
+    from tidemark.session import check_shared
+
+    for folder, master in (("file:/tmp/w", "local[4]"), ("/tmp/w", "local"), ("hdfs://n/w", "yarn"), ("s3a://b/w", "spark://h:7077")):
+        check_shared(folder, master)
+    for folder, master in (("file:/tmp/w", "spark://h:7077"), ("/tmp/w", "yarn"), ("/tmp/w", "local-cluster[2,1,1024]")):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            check_shared(folder, master)

@@ -14,16 +14,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, spread
+
+
+# Up to this length a plain loop is quicker.
+SHORT = 200
 
 
 def levels(values: np.ndarray, start: float, rise: float, fall: float) -> np.ndarray:
     """Levels after each value: moved by ``rise`` of the distance to a higher value, by ``fall`` to a lower one."""
-    if rise == fall:
+    if rise == fall and len(values) > SHORT:
         seeded = np.concatenate([[start], values])
         return pd.Series(seeded).ewm(alpha=rise, adjust=False).mean().to_numpy()[1:]
-    out, now = np.empty(len(values)), start
-    for i, x in enumerate(values):
+    out, now = np.empty(len(values)), float(start)
+    for i, x in enumerate(values.tolist()):
         now += (rise if x > now else fall) * (x - now)
         out[i] = now
     return out
@@ -89,19 +93,24 @@ def follow(rows: DataFrame, key: str, order: list[str], value: str, out: str, ri
         return pd.DataFrame({"first": p["first"], "at": p["block"], "start": starts})
 
     # A block that one key crosses from is its first one, so ``first`` names the key.
-    maps = crossing.groupBy("first", "block").applyInPandas(summed, "first long, block long, seed double, before array<double>, after array<double>")
+    maps = spread(crossing, "first", "block").groupBy("first", "block").applyInPandas(summed, "first long, block long, seed double, before array<double>, after array<double>")
     starts = maps.groupBy("first").applyInPandas(composed, "first long, at long, start double").join(F.broadcast(spans), "first").select("across", "at", "start")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        values, some = p["v"].to_numpy(float), p["v"].notna().to_numpy()
+        place = p["i"].to_numpy()
+        if len(p) > 1 and not (place[1:] > place[:-1]).all():
+            p = p.take(np.argsort(place))
+        values, start = p["v"].to_numpy(float), p["start"].iat[0]
+        some = ~np.isnan(values)
         level = np.full(len(p), np.nan)
         if some.any():
-            start = p["start"].iloc[0]
-            level[some] = levels(values[some], values[some][0] if pd.isna(start) else start, rise, fall)
-        return p[[f"c{j}" for j in range(len(names))]].assign(level=pd.Series(level, index=p.index).astype(object).where(some, None))
+            known = values[some]
+            level[some] = levels(known, start if start == start and start is not None else known[0], rise, fall)
+        out = p.iloc[:, : len(names)].copy()
+        out["level"] = level  # undefined numbers come back as nulls
+        return out
 
     begun = dealt.join(F.broadcast(starts), (F.col("block") == F.col("at")) & F.col("k").eqNullSafe(F.col("across")), "left").drop("at", "across")
     schema = ", ".join([*(f"c{j} {f.dataType.simpleString()}" for j, f in enumerate(rows.schema)), "level double"])
-    done = begun.groupBy("block", "k").applyInPandas(run, schema)
+    done = spread(begun, "block", "k").groupBy("block", "k").applyInPandas(run, schema)
     return done.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(names)], F.col("level").alias(out))

@@ -61,8 +61,14 @@ def near_durations(q: DataFrame, a: DataFrame, k: int | None) -> DataFrame:
 
     An equi join on steps of REACH_MS. With ``k`` only each query's k closest
     stay: whatever else speaks for a pair only raises it, so a pair that is not
-    among these by duration alone is not among the k best either.
+    among these by duration alone is not among the k best either. Assets of one
+    duration are equally close to any query, so the first k of each duration are
+    enough: a step holds k rows for each millisecond at most, however large the
+    catalog and however often a duration repeats.
     """
+    if k is not None:
+        first = F.row_number().over(Window.partitionBy("duration_ms").orderBy("path", "asset_id"))
+        a = a.where("duration_ms is not null").withColumn("nth", first).where(F.col("nth") <= k)
     step = F.floor(F.col("duration_ms") / REACH_MS)
     asked = q.select("query_id", F.col("duration_ms").alias("q_ms"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
     offered = a.select("asset_id", "path", F.col("duration_ms").alias("a_ms"), step.alias("step"))

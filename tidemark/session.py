@@ -41,13 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     """This application's folder that driver and executors share.
 
     A cluster names its place in ``spark.checkpoint.dir``. That setting cannot
-    change in a running session; where it is unset, as in tests, the folder
-    lies in the warehouse, which driver and executors share too.
+    change in a running session; where it is unset the folder lies in the
+    warehouse. A warehouse on the driver's own disk is refused unless Spark runs
+    within one process: executors elsewhere would write to disks of their own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir")
+        check_shared(found, spark.conf.get("spark.master", ""))
     return f"{found.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def check_shared(folder: str, master: str) -> None:
+    """Raise where ``folder`` is a local path and ``master`` names a cluster."""
+    local = folder.startswith("file:") or "://" not in folder
+    if local and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {folder} is local, and the master is {master}")
+
+
 def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
