@@ -135,3 +135,19 @@ def test_local_folders_are_refused_on_a_cluster():
     for folder, master in (("file:/tmp/w", "spark://h:7077"), ("/tmp/w", "yarn"), ("/tmp/w", "local-cluster[2,1,1024]")):
         with pytest.raises(ValueError, match="checkpoint.dir"):
             check_shared(folder, master)
+
+
+def test_replay_cases(spark, tmp_path):
+    from tidemark.sources import files
+
+    side = {"name": "n", "timesPath": "t", "pcenPath": "p"}
+    case = {"id": "a", "reference": side, "query": side, "calls": [{"startIndex": 0, "endIndex": 4, "elapsedMS": 80.0}], "bands": 8}
+    (tmp_path / "good.jsonl").write_text(json.dumps(case) + "\n" + json.dumps({**case, "id": "b", "bands": None}) + "\n")
+    rows = {r.id: r for r in files.read_cases(spark, str(tmp_path / "good.jsonl")).collect()}
+    assert rows["a"].calls[0].endIndex == 4 and rows["a"].bands == 8 and rows["b"].bands is None and rows["a"].query.energyPath is None
+    (tmp_path / "lacks.jsonl").write_text(json.dumps({**case, "query": {"timesPath": "t"}}) + "\n")
+    with pytest.raises(Exception, match="without a required field: a"):
+        files.read_cases(spark, str(tmp_path / "lacks.jsonl")).collect()
+    (tmp_path / "torn.jsonl").write_text('{"id": ')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        files.read_cases(spark, str(tmp_path / "torn.jsonl")).collect()
