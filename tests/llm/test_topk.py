@@ -37,16 +37,38 @@ def test_equals_brute_force(spark, monkeypatch, rows):
     assert sorted(map(tuple, got)) == brute(rows, 7, 5)
 
 
-def test_stops_reading_when_the_kth_is_certain():
+def test_bounds_hold_and_leave_few():
     rng = np.random.default_rng(0)
-    exact = rng.integers(-20, 20, size=(4000, 16))
-    exact[17] = exact[99] = 60
-    block = topk.unpack(*topk.pack(np.arange(4000), exact).values(), 16)
-    ids, vectors, cells, low, width = block
-    q = np.full(16, 30)
-    half = (width - 1) / 2
-    bound = (low + cells * width + half) @ q + np.abs(q) @ half
-    assert (bound >= vectors @ q).all()
-    order = np.argsort(-bound, kind="stable")
-    best, read = topk.nearest(q, ids, vectors, order, bound[order], 2)
-    assert best.tolist() == [17, 99] and read <= 128
+    exact = rng.integers(-2000, 2000, size=(3000, 16))
+    exact[17] = exact[99] = 6000
+    packed = topk.pack(np.arange(3000), exact, 2)
+    low, width = topk.numbers(packed["low"]), topk.numbers(packed["width"])
+    cells = np.frombuffer(packed["cells"], np.uint8).reshape(-1, 16)
+    queries = np.array([[3000] * 16, [-5] * 16, rng.integers(-2000, 2000, 16)])
+    lower, upper = topk.bound(queries, cells, low, width)
+    scores = queries @ exact.T
+    assert (width > 1).all() and (lower <= scores).all() and (scores <= upper).all()
+    held = np.full((3, 2), -np.inf)
+    kept = []
+    for part in (slice(0, 1000), slice(1000, 2000), slice(2000, 3000)):
+        keep, held = topk.narrow(lower[:, part], upper[:, part], held)
+        kept.append(keep)
+    kept = np.concatenate(kept, axis=1)
+    for q in range(3):
+        assert kept[q, np.argsort(-scores[q], kind="stable")[:2]].all()
+    assert np.flatnonzero(kept[0])[:2].tolist() == [17, 99] and kept[0, 1000:].sum() == 0 and kept.sum() < 500
+
+
+def test_copies_beyond_k_are_no_candidates():
+    exact = np.array([[1, 2], [0, 0], [1, 2], [1, 2], [0, 0], [1, 2]])
+    assert topk.copies_within(exact, 2).tolist() == [0, 1, 2, 4]
+    assert topk.numbers(topk.pack(np.arange(6), exact, 2)["places"]).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_coarse_cells_need_a_second_reading(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "CELLS", 2)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    rows = rows_of(400, 6, 9, repeats=30)
+    got = topk.top_k(spark.createDataFrame([(i, [float(x) for x in v], 1, 2.0) for i, v in rows], SCHEMA), k=5, every=4).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 4)
