@@ -131,6 +131,18 @@ def test_verified_links_lose_none_to_the_forest(spark, monkeypatch):
     assert [r.component_id for r in sorted(got)] == similar_groups(texts)
 
 
+def test_runs_of_parts_lose_no_link(spark, monkeypatch):
+    for name, value in (("PART", 2), ("TILE", 3), ("RUN", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    rows = corpus()
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 2)
+    texts = families(6, 25)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(docs, radius=32, words=5, similarity=0.8).collect()
+    assert [r.component_id for r in sorted(got)] == similar_groups(texts)
+
+
 def test_pipeline_stage_finds_every_similar_pair(spark):
     texts = families(8, 60)
     words = [w for t in texts[:40] for w in t.split()]

@@ -35,6 +35,8 @@ CHUNK, TILE = 50_000, 2048
 QUARTERS = 4
 #: Texts, and shingles, of a part of a component whose texts are compared.
 PART, PART_SHINGLES = 512, 65_536
+#: Left parts that meet a right part in one key.
+RUN = 8
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -100,6 +102,24 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> lis
     return [(d, i, j - offset) for d, i, j in kept]
 
 
+def runs(reached: DataFrame, *keys: str) -> DataFrame:
+    """For each place ``to`` that left parts (``part``) reach, beyond one run of RUN of them: ``runs``, the numbers of all.
+
+    A right part is sent once for each run, so that however many parts meet it
+    no key has more than RUN of each kind.
+    """
+    last = F.floor(F.max("part") / RUN).cast("int")
+    return reached.groupBy(*keys, "to").agg(last.alias("last")).where("last > 0").select(*keys, "to", F.sequence(F.lit(0), "last").alias("runs"))
+
+
+def _run() -> Column:
+    return F.floor(F.col("part") / RUN).cast("int").alias("run")
+
+
+def _by_run(right: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    return right.join(known, [*keys, "to"], "left").withColumn("run", F.explode(F.coalesce("runs", F.array(F.lit(0))))).drop("runs")
+
+
 def tile_links(classes: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
     """Links (u, v) between the fingerprints of all pairs of tiles that can hold any."""
     bits = 64 // blocks
@@ -127,6 +147,8 @@ def tile_links(classes: DataFrame, radius: int, blocks: int, tile: int) -> DataF
         .withColumn("same", (F.col("counts") == F.col("to")) & (F.col("part") == F.col("to_part")))
     )
     right = tiles.select(F.col("counts").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("b"))
+    reached = tiles.select("part", F.explode(F.transform(ways, lambda way: F.zip_with("counts", way, lambda x, y: x + y))).alias("to"))
+    right = _by_run(right, F.broadcast(runs(reached)))
 
     def step(t: pa.Table) -> pa.Table:
         us, vs = [], []
@@ -137,7 +159,7 @@ def tile_links(classes: DataFrame, radius: int, blocks: int, tile: int) -> DataF
                 vs.append(int(b[j]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return map_arrow(left.join(right, ["to", "to_part"]).select("a", "b", "same"), step, "u long, v long")
+    return map_arrow(left.withColumn("run", _run()).join(right, ["to", "to_part", "run"]).select("a", "b", "same"), step, "u long, v long")
 
 
 def resemblance(a: str, b: str, words: int) -> float:
@@ -266,6 +288,8 @@ def wide_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
         .withColumn("same", (F.col("band") == F.col("to")) & (F.col("part") == F.col("to_part")))
     )
     right = tiles.select(F.col("band").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("v"), F.col("bits").alias("b"))
+    reached = tiles.select("part", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("to"))
+    right = _by_run(right, F.broadcast(runs(reached)))
 
     def step(t: pa.Table) -> pa.Table:
         us, vs = [], []
@@ -277,7 +301,7 @@ def wide_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
                 vs.append(int(v[j]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return map_arrow(left.join(right, ["to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
+    return map_arrow(left.withColumn("run", _run()).join(right, ["to", "to_part", "run"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
 
 
 def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
@@ -319,6 +343,8 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         .where(~F.col("same") | (F.size("u") > 1))
     )
     right = parts.select("root", F.col("band").alias("to"), F.col("part").alias("to_part"), F.col("fps").alias("v"), F.col("sets").alias("b"))
+    reached = large.select("root", (F.col("parts") - 1).alias("part"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("to"))
+    right = _by_run(right, runs(reached, "root"), "root")
 
     def step(t: pa.Table) -> pa.Table:
         us, vs = [], []
@@ -328,7 +354,7 @@ def verified(roots: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 vs.append(v[j].as_py())
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return map_arrow(left.join(right, ["root", "to", "to_part"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
+    return map_arrow(left.withColumn("run", _run()).join(right, ["root", "to", "to_part", "run"]).select("u", "v", "a", "b", "same"), step, "u long, v long")
 
 
 def _classes(docs: DataFrame, radius: int, words: int, similarity: float | None, seeds: int, id_col: str, text_col: str, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
