@@ -1,8 +1,9 @@
 """Nearest-in-time joins and the dense evaluation of offsets.
 
-Time is cut into buckets as wide as the tolerance; a query row looks into its
-own bucket and both neighbours, so the join is an equi join of bounded fan-out
-whatever the length of a series.
+Time is cut into buckets of a few tolerances. In a bucket rows stand in order of
+time, so the last reference row before a query row and the first one after it
+are all that can be nearest: the work grows with the rows, not with how many
+pairs lie within the tolerance.
 """
 
 from __future__ import annotations
@@ -15,22 +16,40 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import clamp
 
 
+#: Width of a bucket in tolerances; wider ones need fewer rows of their neighbours.
+WIDTH = 8
+
+
 def nearest(query: DataFrame, reference: DataFrame, on: list[str], id_cols: list[str], time: str, tolerance: int) -> DataFrame:
     """Each query row with the reference row nearest in time within ``tolerance``.
 
     On equal distance the later reference row wins, then the greater of its
     other columns. Reference columns get the prefix ``r_``. Query rows without
-    a partner are left out; a reference row may serve many.
+    a partner are left out; a reference row may serve many. Query rows of equal
+    ids are one row.
     """
     columns = [c for c in reference.columns if c not in on]
-    near = F.explode(F.array(*[F.floor(F.col(time) / tolerance) + k for k in (-1, 0, 1)]))
-    right = reference.select(*on, F.struct(F.col(time), *[F.col(c) for c in columns if c != time]).alias("r"), F.floor(F.col(time) / tolerance).alias("bucket"))
-    pairs = query.withColumn("bucket", near).join(right, [*on, "bucket"])
-    pairs = pairs.withColumn("distance", F.abs(F.col(f"r.{time}") - F.col(time))).where(F.col("distance") <= tolerance)
-    best = F.max_by("r", F.struct(-F.col("distance"), "r"))  # combines before the shuffle; nothing is sorted
-    carried = [c for c in query.columns if c not in id_cols]
-    found = pairs.groupBy(*id_cols).agg(*[F.first(c).alias(c) for c in carried], best.alias("r"), F.min("distance").alias("distance"))
-    return found.select(*query.columns, *[F.col(f"r.{c}").alias(f"r_{c}") for c in columns], "distance")
+    others = [c for c in columns if c != time]
+    known = " AND ".join(f"`{c}` IS NOT NULL" for c in [*on, time])
+    bucket = F.floor(F.col(time) / (tolerance * WIDTH)).alias("bucket")
+    right = reference.where(known).select(*on, bucket, F.struct(time, *others).alias("r"))
+    # What a bucket lends its neighbours: its last row to the next one, its first row to the one before.
+    first = F.max_by("r", F.struct((-F.col(f"r.{time}")).alias("t"), *[F.col(f"r.{c}") for c in others]))
+    edges = right.groupBy(*on, "bucket").agg(F.array(F.struct(F.lit(1).alias("to"), F.max("r").alias("r")), F.struct(F.lit(-1).alias("to"), first.alias("r"))).alias("lent"))
+    lent = edges.select(*on, "bucket", F.inline("lent")).select(*on, (F.col("bucket") + F.col("to")).alias("bucket"), "r")
+    left = query.where(known).select(*on, bucket, F.col(time).alias("at"), F.struct(*query.columns).alias("q"))
+    rows = left.unionByName(right.unionByName(lent).withColumn("at", F.col(f"r.{time}")), allowMissingColumns=True)
+    # At one time reference rows come first, the greatest of them last.
+    of, asks = Window.partitionBy(*on, "bucket"), F.col("q").isNotNull()
+    seen = lambda at: F.last("r", ignorenulls=True).over(of.orderBy(at, asks, "r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("before", seen(F.asc("at"))).withColumn("after", seen(F.desc("at"))).where(asks)
+    offer = lambda r: F.struct(F.abs(r[time] - F.col("at")).alias("distance"), r.alias("r"))
+    ahead, behind = offer(F.col("after")), offer(F.col("before"))
+    best = F.when(F.col("after").isNull(), behind).when(F.col("before").isNull() | (ahead["distance"] <= behind["distance"]), ahead).otherwise(behind)
+    found = found.where("before IS NOT NULL OR after IS NOT NULL").select("q", best.alias("x")).where(F.col("x.distance") <= tolerance)
+    order = F.struct((-F.col("x.distance")).alias("d"), F.col("x.r"))
+    merged = found.groupBy(*[F.col(f"q.{c}").alias(c) for c in id_cols]).agg(F.max_by(F.struct("q", "x"), order).alias("p"))
+    return merged.select(*[F.col(f"p.q.{c}").alias(c) for c in query.columns], *[F.col(f"p.x.r.{c}").alias(f"r_{c}") for c in columns], F.col("p.x.distance").alias("distance"))
 
 
 @dataclass(frozen=True)
