@@ -29,3 +29,18 @@ def test_nearest_meets_no_pairs(spark):
         assert {(r.k, r.id, r.t, r.r_t, r.r_id, r.distance) for r in found.collect()} == want
         assert want
 
+
+def test_offsets_meet_no_pairs(spark):
+    """Frames that all lie within the tolerance: rows of joins grow with the frames."""
+    from pyspark.sql import Row
+
+    one = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    frames = spark.range(400).select(
+        F.lit("k").alias("key"), F.col("id").alias("frame_id"), F.col("id").alias("t_us"), F.lit(True).alias("usable"), F.lit(1.0).alias("weight"),
+        one(1).alias("onset"), one(1, 2).alias("subband"), one(1, 2).alias("pcen"), F.array(F.col("id").cast("double")).alias("chroma"), one(3).alias("cens"),
+    )
+    offsets = spark.createDataFrame([Row(key="k", offset_us=0), Row(key="k", offset_us=-5)])
+    found = nearest.offset_features(frames, frames, offsets, 1000)
+    # the join that met all times of a bucket was by key and bucket; those left are by id, key and offset
+    assert "bucket#" not in " ".join(line for line in plan(found).splitlines() if "Join" in line)
+    assert {(r.offset_us, r.matched, r.mean_error_us) for r in found.collect()} == {(0, 400, 0.0), (-5, 400, 15 / 400)}
