@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import nearest
@@ -44,3 +45,28 @@ def test_offsets_meet_no_pairs(spark):
     # the join that met all times of a bucket was by key and bucket; those left are by id, key and offset
     assert "bucket#" not in " ".join(line for line in plan(found).splitlines() if "Join" in line)
     assert {(r.offset_us, r.matched, r.mean_error_us) for r in found.collect()} == {(0, 400, 0.0), (-5, 400, 15 / 400)}
+
+
+def test_profiles_resolve_as_rows_do(spark):
+    """Copies of few assets: the k best results equal those of scoring every pair, and equal rows are scored once."""
+    from tidemark.operators import resolve
+
+    dice = random.Random(11)
+    names, artists = ["red ring", "red rings", "blue bolt", "", None], ["Ann", "Ann, Bob", "Brand#1", "Brand#2", None]
+    row = lambda i: (i, dice.choice(names), dice.choice(artists), dice.choice(["x", None]), dice.choice([1000, 2500, 9000, None]), f"i-{dice.randrange(40)}" if i % 7 == 0 else None)
+    rows = [(*row(i), dice.choice(["manual", "live"])) for i in range(60)]
+    tracks = spark.createDataFrame(rows, "query_id long, title string, artist string, album string, duration_ms long, isrc string, provider string")
+    files = [(*row(i), f"p{i * 37 % 101}", dice.choice(["red ring.mp3", "z.mp3"]), dice.choice(["ready", "failed", "metadataPartial"])) for i in range(300)]
+    assets = spark.createDataFrame(files, "asset_id long, title string, artist string, album string, duration_ms long, isrc string, path string, file_name string, status string")
+    told = lambda df: sorted(map(tuple, df.select("query_id", "rank", "asset_id", "path", "confidence", "decision", F.to_json("evidence")).collect()))
+    whole = resolve.resolve(tracks, assets)
+    for k in (1, 3):
+        assert told(resolve.resolve(tracks, assets, k)) == told(whole.where(F.col("rank") <= k))
+    copies = assets.crossJoin(spark.range(20)).withColumns({"asset_id": F.col("asset_id") + 1000 * F.col("id"), "isrc": F.lit(None).cast("string")}).drop("id")
+    scored, score = [], resolve.score
+    resolve.score = lambda q, a, k=None: scored.append(a.count()) or score(q, a, k)
+    try:
+        resolve.resolve(tracks, copies, 3)
+    finally:
+        resolve.score = score
+    assert scored[0] <= 300
