@@ -70,3 +70,24 @@ def test_profiles_resolve_as_rows_do(spark):
     finally:
         resolve.score = score
     assert scored[0] <= 300
+
+
+def test_votes_by_tiles_equal_those_by_joins(spark, monkeypatch):
+    """Votes summed in tiles equal those of joined meetings, in one part and in several, in small pieces; no join meets postings."""
+    from tidemark.operators import voting
+
+    dice = random.Random(3)
+    at = lambda: dice.choice([dice.randrange(-400, 400), dice.randrange(-5000, 5000), 50])
+    query = spark.createDataFrame([(f"q{dice.randrange(12)}", dice.choice([1, 1, 2, 3, 99, None]), dice.choice([at(), at(), None])) for _ in range(300)], "query_id string, hash long, t_us long")
+    reference = spark.createDataFrame([(dice.choice([1, 1, 1, 2, 3, 4, None]), at()) for _ in range(200)] + [(5, None)], "hash long, t_us long")
+    names = ["query_id", "bin", *voting.TALLIED]
+    for reach in (None, 500):
+        want = sorted(map(tuple, voting._by_joins(query, reference, 100, reach, []).select(names).collect()), key=repr)
+        assert want
+        for most in ({}, {"TILE_POSTINGS": 60, "BLOCK": 40, "LISTED": 50, "TAKEN": 7, "MET": 30}):
+            with monkeypatch.context() as m:
+                for k, v in most.items():
+                    m.setattr(voting, k, v)
+                assert sorted(map(tuple, voting.by_tiles(query, reference, 100, reach).select(names).collect()), key=repr) == want
+    whole = plan(voting.vote_histogram(query, reference, 100))
+    assert "MapInArrow" in whole and "salt#" not in whole

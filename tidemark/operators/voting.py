@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numbers import MILLI, as_milli, idf, match_weight
+from tidemark.operators import tiles
+from tidemark.session import spread
 
 
 def postings(landmarks: DataFrame, span_us: int) -> DataFrame:
@@ -65,7 +68,7 @@ def _dealt(weighted: DataFrame, anchors: DataFrame, reference: DataFrame, on: li
 
 
 def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
-    """Votes by query, bin and hash.
+    """Votes by query, bin and hash, by joins.
 
     With ``reach_us`` only differences within the closed range count; both sides
     are then also joined on spans of time, which keeps a frequent hash from
@@ -92,24 +95,90 @@ def meetings(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int
     )
 
 
-def vote_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
-    """One row for each query and bin: votes, score, refined offset and evidence.
-
-    query: query_id, hash, t_us; reference: hash, t_us; offset is reference
-    minus query time. With ``by``, columns of both sides, a query meets its own
-    reference only. Rows with a null hash or time have no part. Empty inputs
-    give no rows.
-    """
-    sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
+def _by_joins(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None, by: list[str]) -> DataFrame:
     return (
         meetings(query, reference, bin_us, reach_us, by)
         .groupBy("query_id", "bin")
         .agg(
             F.sum("votes").alias("votes"), F.sum("weight").alias("weight"), F.sum("moment").alias("moment"),
             F.count("*").alias("unique_hashes"), F.sum(F.when(F.col("postings") > 1, F.col("votes")).otherwise(F.lit(0))).alias("common_votes"),
-            F.sum(F.col("postings") * F.col("votes")).alias("posting_sum"), (F.max("q_last") - F.min("q_first")).alias("spread_us"),
+            F.sum(F.col("postings") * F.col("votes")).alias("posting_sum"), F.min("q_first").alias("q_first"), F.max("q_last").alias("q_last"),
         )
-        .join(sizes, "query_id")
+    )
+
+
+#: Query landmarks of a block, and of a small one where there are few; postings of a tile and of a list; landmarks and meetings that a task holds at once.
+BLOCK, LEAST_BLOCK, LEAST_BLOCKS, TILE_POSTINGS, LISTED, TAKEN, MET = 1 << 18, 1 << 12, 16, 1 << 23, 1 << 20, 1 << 14, 1 << 20
+TALLIED = ("votes", "weight", "moment", "unique_hashes", "common_votes", "posting_sum", "q_first", "q_last")
+
+
+def by_tiles(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None) -> DataFrame:
+    """Sums of each query and bin: query_id, bin, landmarks and ``TALLIED``.
+
+    Queries are dealt in blocks, postings by hash; each block meets each part
+    of the postings in one tile, whose task sums up whole queries at once. What
+    is shuffled are landmarks and lists of postings, once for each block, never
+    meetings; only where postings are in several parts are sums shuffled. A
+    task holds the postings of a tile and a query's landmarks.
+    """
+    sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
+    weighted = weighted_query(query, reference).join(sizes, "query_id")
+    anchors = reference.where("hash IS NOT NULL AND t_us IS NOT NULL")
+    counts = lambda rows: rows.agg(F.count("*"), F.count_if(F.col("t_us").isNull()))
+    n, q_untimed, m, r_untimed = counts(query).crossJoin(counts(reference)).first()
+    blocks = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)), 1)
+    parts = max(-(-m // TILE_POSTINGS), 1)
+    part = F.pmod(F.xxhash64("hash"), F.lit(parts))
+    asks = weighted.where("t_us IS NOT NULL").select(
+        (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * parts + part).alias("tile"), F.lit(True).alias("asks"), "query_id", "hash",
+        *[F.col(c).cast("long").alias(c) for c in ("t_us", "weight", "postings", "landmarks")],
+    )
+    lists = anchors.groupBy("hash", F.pmod(F.xxhash64("t_us"), F.lit(-(-m // LISTED) or 1))).agg(F.collect_list("t_us").alias("times"))
+    known = lists.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), "hash", "times")
+    known = known.select((F.col("block") * parts + F.col("part")).alias("tile"), F.lit(False).alias("asks"), "hash", "times")
+    rows = spread(asks.unionByName(known, allowMissingColumns=True), "tile").sortWithinPartitions("tile", "asks", "query_id", "hash", "t_us")
+    shown = T.StructType([query.schema["query_id"], *[T.StructField(c, T.LongType()) for c in ("bin", *TALLIED, "landmarks")]])
+
+    def run(batches):
+        yield from tiles.tally(batches, bin_us, reach_us, TAKEN, MET)
+
+    found = rows.mapInArrow(run, shown)
+    if reach_us is None and (q_untimed or r_untimed):
+        found = found.unionByName(_untimed(weighted, reference))
+    if parts == 1:
+        return found
+    how = {"q_first": F.min, "q_last": F.max, "landmarks": F.max}
+    return found.groupBy("query_id", "bin").agg(*[how.get(c, F.sum)(c).alias(c) for c in (*TALLIED, "landmarks")])
+
+
+def _untimed(weighted: DataFrame, reference: DataFrame) -> DataFrame:
+    """The sums of meetings in which a time is unknown, which are in no bin."""
+    lost = reference.where("hash IS NOT NULL AND t_us IS NULL").groupBy("hash").agg(F.count("*").alias("lost"))
+    votes = F.when(F.col("t_us").isNull(), F.col("postings")).otherwise(F.coalesce("lost", F.lit(0)))
+    rows = weighted.join(lost, "hash", "left").withColumn("votes", votes).where("votes > 0")
+    of = F.col("votes") * F.col("postings")
+    return rows.groupBy("query_id").agg(
+        F.lit(None).cast("long").alias("bin"), F.sum("votes").alias("votes"), F.sum(F.col("weight") * F.col("votes")).alias("weight"), F.lit(None).cast("long").alias("moment"),
+        F.count_distinct("hash").alias("unique_hashes"), F.sum(F.when(F.col("postings") > 1, F.col("votes")).otherwise(F.lit(0))).alias("common_votes"),
+        F.sum(of).alias("posting_sum"), F.min("t_us").alias("q_first"), F.max("t_us").alias("q_last"), F.max("landmarks").alias("landmarks"),
+    )
+
+
+def vote_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
+    """One row for each query and bin: votes, score, refined offset and evidence.
+
+    query: query_id, hash, t_us; reference: hash, t_us; offset is reference
+    minus query time. With ``by``, columns of both sides, a query meets its own
+    reference only. Rows with a null hash have no part; meetings with a null
+    time are in a null bin, or out of reach. Empty inputs give no rows.
+    """
+    if by:
+        sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
+        sums = _by_joins(query, reference, bin_us, reach_us, by).join(sizes, "query_id")
+    else:
+        sums = by_tiles(query, reference, bin_us, reach_us)
+    return (
+        sums.withColumn("spread_us", F.col("q_last") - F.col("q_first"))
         .select(
             "query_id", "bin", "votes", (F.col("weight") / F.lit(float(MILLI))).alias("score"),
             (F.col("bin") * F.lit(float(bin_us)) + F.col("moment") / F.col("weight").cast("double")).alias("offset_us"),
