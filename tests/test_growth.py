@@ -42,6 +42,8 @@ def test_offsets_meet_no_pairs(spark):
     )
     offsets = spark.createDataFrame([Row(key="k", offset_us=0), Row(key="k", offset_us=-5)])
     found = nearest.offset_features(frames, frames, offsets, 1000)
+    few = nearest.offset_features(frames.limit(60), frames, offsets, 3, few=True)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, nearest.offset_features(frames.limit(60), frames, offsets, 3).collect()))
     # the join that met all times of a bucket was by key and bucket; those left are by id, key and offset
     assert "bucket#" not in " ".join(line for line in plan(found).splitlines() if "Join" in line)
     assert {(r.offset_us, r.matched, r.mean_error_us) for r in found.collect()} == {(0, 400, 0.0), (-5, 400, 15 / 400)}

@@ -108,7 +108,7 @@ def scored(candidates: DataFrame, query: DataFrame, reference: DataFrame, s: Cha
     query: frames by window (key is the window, ref the reference's key).
     """
     offsets = candidates.select(F.col("window").alias("key"), F.col("coarse_us").alias("offset_us")).distinct()
-    raw = nearest.offset_features(query, reference, offsets, s.timing.tolerance)
+    raw = nearest.offset_features(query, reference, offsets, s.timing.tolerance, few=True)
     coarse = raw.select(F.col("key").alias("window"), F.col("offset_us").alias("coarse_us"), *[_evaluation(getattr(s, g)).alias(g) for g in GATES])
     base = cut(candidates.join(coarse, ["window", "coarse_us"]), "chain-coarse")
     ranked = base
@@ -119,7 +119,7 @@ def scored(candidates: DataFrame, query: DataFrame, reference: DataFrame, s: Cha
     ranked = cut(ranked, "chain-ranked")
     wanted = ranked.where(F.col("refine_timing") | F.col("refine_robust")) if prune else ranked
     grid = nearest.refinement_grid(wanted.select(F.col("window").alias("key"), F.col("coarse_us").alias("offset_us")).distinct(), s.radius_us, s.step_us)
-    around = cut(nearest.offset_features(query, reference, grid.select("key", "offset_us").distinct(), s.timing.tolerance), "chain-grid")
+    around = cut(nearest.offset_features(query, reference, grid.select("key", "offset_us").distinct(), s.timing.tolerance, few=True), "chain-grid")
     for g in GATES:
         rows = grid.join(around, ["key", "offset_us"]).select(F.col("key").alias("window"), "coarse_us", _evaluation(getattr(s, g)).alias("x"))
         order = F.struct(

@@ -20,13 +20,13 @@ from tidemark.functions.numbers import clamp
 WIDTH = 8
 
 
-def nearest(query: DataFrame, reference: DataFrame, on: list[str], id_cols: list[str], time: str, tolerance: int) -> DataFrame:
+def nearest(query: DataFrame, reference: DataFrame, on: list[str], id_cols: list[str], time: str, tolerance: int, unique: bool = False) -> DataFrame:
     """Each query row with the reference row nearest in time within ``tolerance``.
 
     On equal distance the later reference row wins, then the greater of its
     other columns. Reference columns get the prefix ``r_``. Query rows without
     a partner are left out; a reference row may serve many. Query rows of equal
-    ids are one row.
+    ids are one row, unless they are known to be ``unique``.
     """
     columns = [c for c in reference.columns if c not in on]
     others = [c for c in columns if c != time]
@@ -47,9 +47,27 @@ def nearest(query: DataFrame, reference: DataFrame, on: list[str], id_cols: list
     ahead, behind = offer(F.col("after")), offer(F.col("before"))
     best = F.when(F.col("after").isNull(), behind).when(F.col("before").isNull() | (ahead["distance"] <= behind["distance"]), ahead).otherwise(behind)
     found = found.where("before IS NOT NULL OR after IS NOT NULL").select("q", best.alias("x")).where(F.col("x.distance") <= tolerance)
-    order = F.struct((-F.col("x.distance")).alias("d"), F.col("x.r"))
-    merged = found.groupBy(*[F.col(f"q.{c}").alias(c) for c in id_cols]).agg(F.max_by(F.struct("q", "x"), order).alias("p"))
-    return merged.select(*[F.col(f"p.q.{c}").alias(c) for c in query.columns], *[F.col(f"p.x.r.{c}").alias(f"r_{c}") for c in columns], F.col("p.x.distance").alias("distance"))
+    if not unique:
+        order = F.struct((-F.col("x.distance")).alias("d"), F.col("x.r"))
+        found = found.groupBy(*[F.col(f"q.{c}").alias(c) for c in id_cols]).agg(F.max_by(F.struct("q", "x"), order).alias("p")).select("p.*")
+    return found.select(*[F.col(f"q.{c}").alias(c) for c in query.columns], *[F.col(f"x.r.{c}").alias(f"r_{c}") for c in columns], F.col("x.distance").alias("distance"))
+
+
+def nearest_of_few(query: DataFrame, reference: DataFrame, on: list[str], id_cols: list[str], time: str, tolerance: int) -> DataFrame:
+    """``nearest`` by all pairs in buckets as wide as the tolerance, for series that have a few rows within it.
+
+    Ids and times of a query row are all that is shuffled, three times over, and
+    its pairs are few; in a crowd they are too many, so use ``nearest`` there.
+    """
+    columns = [c for c in reference.columns if c not in on]
+    near = F.explode(F.array(*[F.floor(F.col(time) / tolerance) + k for k in (-1, 0, 1)]))
+    right = reference.select(*on, F.struct(F.col(time), *[F.col(c) for c in columns if c != time]).alias("r"), F.floor(F.col(time) / tolerance).alias("bucket"))
+    pairs = query.withColumn("bucket", near).join(right, [*on, "bucket"])
+    pairs = pairs.withColumn("distance", F.abs(F.col(f"r.{time}") - F.col(time))).where(F.col("distance") <= tolerance)
+    best = F.max_by("r", F.struct(-F.col("distance"), "r"))
+    carried = [c for c in query.columns if c not in id_cols]
+    found = pairs.groupBy(*id_cols).agg(*[F.first(c).alias(c) for c in carried], best.alias("r"), F.min("distance").alias("distance"))
+    return found.select(*query.columns, *[F.col(f"r.{c}").alias(f"r_{c}") for c in columns], "distance")
 
 
 @dataclass(frozen=True)
@@ -79,14 +97,16 @@ def rise(now: Column, before: Column) -> Column:
     return F.zip_with(now, before, lambda x, y: F.greatest(x - y, F.lit(0).cast("double")))
 
 
-def offset_features(query: DataFrame, reference: DataFrame, offsets: DataFrame, tolerance: int) -> DataFrame:
+def offset_features(query: DataFrame, reference: DataFrame, offsets: DataFrame, tolerance: int, few: bool = False) -> DataFrame:
     """What the frames say for each (key, offset), whatever a gate makes of it.
 
     Adds frames, usable_frames and usable_us of the query, matched, comparable,
     coverage, mean_error_us and a score for each feature. A query may name its
     reference in a column ``ref``; else that is its key. Frame ids are unique in
-    their key. Only ids and times meet the offsets; arrays are fetched once the
-    nearest partner is known.
+    their key. Frames carry their arrays to their partners, so moved frames are
+    shuffled twice: to the times of the reference, and together by offset. With
+    ``few``, where a frame has a few within the tolerance, only ids and times
+    meet the offsets and arrays are fetched once the partner is known.
     """
     if "ref" not in query.columns:
         query, reference = query.withColumn("ref", F.col("key")), reference.withColumnRenamed("key", "ref")
@@ -94,13 +114,18 @@ def offset_features(query: DataFrame, reference: DataFrame, offsets: DataFrame,
         F.count("*").alias("frames"), F.count_if("usable").alias("usable_frames"),
         (F.max(F.when(F.col("usable"), F.col("t_us"))) - F.min(F.when(F.col("usable"), F.col("t_us")))).alias("usable_us"),
     )
-    moved = query.select("key", "ref", "frame_id", "t_us").join(offsets, "key").withColumn("t_us", F.col("t_us") + F.col("offset_us"))
-    met = nearest(moved, reference.select("ref", "frame_id", "t_us"), ["ref"], ["key", "offset_us", "frame_id"], "t_us", tolerance)
     carried = ["usable", "weight", *FEATURES]
-    pairs = (
-        met.join(query.select("key", "frame_id", *carried), ["key", "frame_id"])
-        .join(reference.select("ref", F.col("frame_id").alias("r_frame_id"), *[F.col(c).alias(f"r_{c}") for c in carried]), ["ref", "r_frame_id"])
-    )
+    carried = ["usable", "weight", *FEATURES]
+    own = [] if few else carried
+    moved = query.select("key", "ref", "frame_id", "t_us", *own).join(offsets, "key").withColumn("t_us", F.col("t_us") + F.col("offset_us"))
+    on, known = (["ref"], ["key", "offset_us", "frame_id"], "t_us", tolerance), reference.select("ref", "frame_id", "t_us", *own)
+    if few:
+        pairs = (
+            nearest_of_few(moved, known, *on).join(query.select("key", "frame_id", *carried), ["key", "frame_id"])
+            .join(reference.select("ref", F.col("frame_id").alias("r_frame_id"), *[F.col(c).alias(f"r_{c}") for c in carried]), ["ref", "r_frame_id"])
+        )
+    else:
+        pairs = nearest(moved, known, *on, unique=True).select("key", "offset_us", "t_us", "frame_id", "distance", *carried, *[f"r_{c}" for c in carried])
     # Pairs of one offset are those of one query window: a bounded group.
     order = Window.partitionBy("key", "offset_us").orderBy("t_us", "frame_id")
     w = F.least("weight", "r_weight")
