@@ -8,6 +8,7 @@ recording ever got; that is all the fold carries.
 
 from __future__ import annotations
 
+from math import exp, isnan
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import tracker as T
-from tidemark.session import spread
+from tidemark.operators.folds import folded
 
 # Reach of a tracking search in ms, and what a weak candidate's confidence counts for the tracker.
 REACH_MS, WEAK = 750.0, 0.35
@@ -47,16 +48,15 @@ def gated(coarse: Column, timing: Column, final: Column, long: Column) -> Column
     )
 
 
-def measured(candidates: list, table: np.ndarray, depth: int) -> list:
+def measured(candidates: list, table: list[list[float]], depth: int) -> list:
     """The candidates a window's search finds: all, or those within reach of the track that is followed."""
     ours = followed(table) if depth >= CONFIRMED else None
     return candidates if ours is None else [c for c in candidates if abs(c["offset_ms"] - ours[T.OFFSET]) <= REACH_MS]
 
 
-def followed(table: np.ndarray) -> np.ndarray | None:
+def followed(table: list[list[float]]) -> list[float] | None:
     """The row followed, while its odds and misses let it coast."""
-    ours = table[(table[:, T.OURS] > 0) & (table[:, T.ODDS] >= T.COAST) & (table[:, T.LOST] <= T.COAST_MISSES)]
-    return ours[0] if len(ours) else None
+    return next((r for r in table if r[T.OURS] > 0 and r[T.ODDS] >= T.COAST and r[T.LOST] <= T.COAST_MISSES), None)
 
 
 class Standing(NamedTuple):
@@ -67,16 +67,16 @@ class Standing(NamedTuple):
     worth: float = 0.0
 
 
-def standing(table: np.ndarray) -> Standing:
+def standing(table: np.ndarray | list[list[float]]) -> Standing:
     if not len(table):
         return Standing()
     best = table[0]
-    lead = best[T.ODDS] - (table[1, T.ODDS] if len(table) > 1 else 0.0)
+    lead = best[T.ODDS] - (table[1][T.ODDS] if len(table) > 1 else 0.0)
     stable = best[T.LOST] == 0 and not abs(best[T.STEP]) > T.GATE_KNOWN  # a track just born has no step and is stable
     sure = stable and best[T.HITS] >= 2 and best[T.ODDS] >= T.KNOWN and lead >= T.LEAD
     steady = STEADY if stable else COASTING if best[T.ODDS] >= T.COAST and best[T.LOST] <= T.COAST_MISSES else SHAKY
-    worth = ODDS_PART / (1 + np.exp(-best[T.ODDS])) + LEAD_PART * min(1.0, lead / (2 * T.LEAD)) + STEADY_PART * steady
-    return Standing(bool(stable), bool(sure), float(np.clip(worth, 0, 1)))
+    worth = ODDS_PART / (1 + exp(-best[T.ODDS])) + LEAD_PART * min(1.0, lead / (2 * T.LEAD)) + STEADY_PART * steady
+    return Standing(bool(stable), bool(sure), min(1.0, max(0.0, float(worth))))
 
 
 def held_back(stage: str, reason: str, depth: int) -> str:
@@ -90,37 +90,44 @@ def held_back(stage: str, reason: str, depth: int) -> str:
 
 def advance(c: Carried, at: float, ready: str, long: bool, candidates: list) -> tuple[Carried, tuple]:
     """One window: the next ``Carried`` and (state, phase, stage, reason, offset_ms, confidence)."""
+    now, shown = _stepped(c._replace(table=c.table.tolist()), at, ready, long, candidates)
+    return now._replace(table=T.array(now.table)), shown
+
+
+def _stepped(c: Carried, at: float, ready: str, long: bool, candidates: list) -> tuple[Carried, tuple]:
+    """``advance`` with the table as lists, whose rows are changed in place."""
     found = measured(candidates, c.table, c.depth) if ready == "none" else []
     lead = found[0] if found else None
     stage, reason = ("readiness", ready) if ready != "none" else ("coarse", "insufficient_landmarks") if lead is None else (lead["stage"], lead["reason"])
     share = 0.0 if stage in ("readiness", "coarse") else 1.0 if reason in ("none", "ambiguous") else WEAK
-    given = np.array([(x["offset_ms"], min(1.0, max(0.0, x["confidence"])) * share) for x in found] or np.zeros((0, 2)))
-    table, _ = T.advance(c.table, c.now, T.usable(given[:, 0], given[:, 1]), at)
+    given = T.usable([x["offset_ms"] for x in found], [min(1.0, max(0.0, x["confidence"])) * share for x in found])
+    table, _ = T.stepped(c.table, c.now, given, at)
     depth = max(c.depth, PROVISIONAL if stage in ("final", "passed") else 0)
     best, ours = standing(table), followed(table)
 
     passed = stage == "passed"
-    if passed and long and not (best.sure and best.stable and abs(lead["offset_ms"] - table[0, T.OFFSET]) <= T.GATE_KNOWN):
+    if passed and long and not (best.sure and best.stable and abs(lead["offset_ms"] - table[0][T.OFFSET]) <= T.GATE_KNOWN):
         stage, reason, passed = "final", "unstable", False
     accept = passed and (long or (best.sure and depth < FINAL and not (depth == CONFIRMED and ours is not None)))
     if accept:
         depth = max(depth, FINAL if long else CONFIRMED)
-        table[:, T.OURS] = 0
-        table[0, T.OURS], ours = 1, table[0]
+        for r in table:
+            r[T.OURS] = 0.0
+        table[0][T.OURS], ours = 1.0, table[0]
 
     name = "locked" if depth == FINAL else "confirmed"
     early, out = depth < CONFIRMED, None
     known = ours is not None and not early
     if passed and long:
-        steady = 1 - min(1.0, abs(np.nan_to_num(ours[T.STEP])) / STABLE_MS)
+        steady = 1 - min(1.0, abs(0.0 if isnan(ours[T.STEP]) else ours[T.STEP]) / STABLE_MS)
         out = ("locked", "tracking" if c.depth == FINAL else "robust", None, ours[T.OFFSET], lead["final"] + FINAL_STEADY_PART * steady)
     elif passed and known:
         out = (name, "tracking", None, ours[T.OFFSET], max(lead["provisional"], best.worth) if depth == FINAL else best.worth)
     elif passed and early:
-        out = ("locking", "timing", None, table[0, T.OFFSET] if len(table) else lead["offset_ms"], lead["provisional"])
+        out = ("locking", "timing", None, table[0][T.OFFSET] if table else lead["offset_ms"], lead["provisional"])
     elif passed:
-        followed_still = table[table[:, T.OURS] > 0]
-        at_offset = followed_still[0, T.OFFSET] if depth == FINAL and len(followed_still) else None
+        followed_still = [r for r in table if r[T.OURS] > 0]
+        at_offset = followed_still[0][T.OFFSET] if depth == FINAL and followed_still else None
         out = ("drifting" if depth == FINAL else "relocking", "tracking", "unstable", at_offset, best.worth)
     elif known and stage != "readiness":
         out = (name, "tracking", reason, ours[T.OFFSET], best.worth)
@@ -129,14 +136,22 @@ def advance(c: Carried, at: float, ready: str, long: bool, candidates: list) ->
     else:
         out = (held_back(stage, reason, depth), "relock" if stage == "coarse" and not early else stage, reason, None, 0.0)
     state, part, why, offset, confidence = out
-    return Carried(table, at, depth), (state, PHASES[depth], part, why, None if offset is None else float(offset), float(np.clip(confidence, 0, 1)))
+    return Carried(table, at, depth), (state, PHASES[depth], part, why, None if offset is None else float(offset), min(1.0, max(0.0, float(confidence))))
 
 
 def follow(state: Carried | None, key: str, rows: pd.DataFrame) -> tuple[Carried, list[tuple]]:
     """Step over a key's windows in order of time, for batch and streams."""
-    now, out = Carried(*state) if state else Carried(), []
-    for at, ready, long, candidates in rows.sort_values("at_ms", kind="stable")[["at_ms", "ready", "long", "candidates"]].itertuples(index=False):
-        now, shown = advance(now, float(at), ready, bool(long), list(candidates) if candidates is not None else [])
+    now = Carried(*state) if state else Carried()
+    ordered = rows.sort_values("at_ms", kind="stable")
+    now, out = followed_on(now._replace(table=now.table.tolist()), key, list(zip([key] * len(rows), *[ordered[c] for c in ("at_ms", "ready", "long", "candidates")])))
+    return now._replace(table=T.array(now.table)), out
+
+
+def followed_on(state: Carried | None, key: str, rows: list[tuple]) -> tuple[Carried, list[tuple]]:
+    """``follow`` over windows (key, at_ms, ready, long, candidates) in order, with the table as lists."""
+    now, out = state or Carried([]), []
+    for _, at, ready, long, candidates in rows:
+        now, shown = _stepped(now, float(at), ready, bool(long), list(candidates) if candidates is not None else [])
         out.append((key, float(at), *shown))
     return now, out
 
@@ -153,9 +168,5 @@ def align(windows: DataFrame) -> DataFrame:
     left out; of equal times the order is open, so give each window its own.
     One key's windows are in one task, as their order demands.
     """
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(follow(None, str(p["key"].iloc[0]), p)[1], columns=[c.split(" ")[0] for c in SHOWN.split(", ")])
-
-    rows = windows.where("key IS NOT NULL AND at_ms IS NOT NULL").select("key", "at_ms", F.coalesce("ready", F.lit("none")).alias("ready"), F.coalesce("long", F.lit(False)).alias("long"), "candidates")
-    return spread(rows, "key").groupBy("key").applyInPandas(run, SHOWN)
+    rows = windows.where("key IS NOT NULL AND at_ms IS NOT NULL").select("key", F.col("at_ms").cast("double").alias("at_ms"), F.coalesce("ready", F.lit("none")).alias("ready"), F.coalesce("long", F.lit(False)).alias("long"), "candidates")
+    return folded(rows, [F.asc("at_ms")], followed_on, SHOWN)
