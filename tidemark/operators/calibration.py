@@ -9,12 +9,14 @@ SAMPLES count no more.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
+from math import floor
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.session import spread
+from tidemark.operators.folds import folded
 
 # Fixed values, in ms: the first beat, the time between beats, how far an input may be off, how long a beat is remembered, and between publications.
 LEAD_IN, TICK, REACH, PUBLISH = 1000, 500, 120, 500
@@ -23,12 +25,12 @@ RETAIN = REACH + TICK
 SAMPLES, MOST = 16, 500
 
 MATCHED = "key string, id long, at_ms double, beat long, error_ms double, offset_ms int, suggested_ms int, samples int, median_ms int"
-COLUMNS = [c.split(" ")[0] for c in MATCHED.split(", ")]
 
 
 def _whole(x: float) -> int:
     """Rounded, halves away from zero."""
-    return int(np.sign(x) * np.floor(abs(x) + 0.5))
+    n = floor(abs(x) + 0.5)
+    return -n if x < 0 else n
 
 
 def _clamped(x: int) -> int:
@@ -73,13 +75,20 @@ class Calibration:
             self.offset, self.published = self.pending, raw
 
     def median(self) -> int:
-        return _clamped(_whole(float(np.median(self.suggestions)))) if self.suggestions else 0
+        last, n = sorted(self.suggestions), len(self.suggestions)
+        return _clamped(_whole((last[(n - 1) // 2] + last[n // 2]) / 2)) if n else 0
 
 
 def step(state: Calibration | None, key: str, rows: pd.DataFrame, first: float = LEAD_IN) -> tuple[Calibration, list[tuple]]:
     """The fold over a key's rows (at_ms, id, kind, value) in order of time and id, for batch and streams."""
+    ordered = rows.sort_values(["at_ms", "id"], kind="stable")
+    return stepped(state, key, list(zip([key] * len(rows), *[ordered[c] for c in ("at_ms", "id", "kind", "value")])), first)
+
+
+def stepped(state: Calibration | None, key: str, rows: list[tuple], first: float = LEAD_IN) -> tuple[Calibration, list[tuple]]:
+    """``step`` over rows (key, at_ms, id, kind, value) in order."""
     c, out = state or Calibration(), []
-    for at, id_, kind, value in rows.sort_values(["at_ms", "id"], kind="stable")[["at_ms", "id", "kind", "value"]].itertuples(index=False):
+    for _, at, id_, kind, value in rows:
         if kind == "set" and value == value and value is not None:
             c.pending = _clamped(_whole(float(value)))
         elif kind == "tap":
@@ -102,9 +111,5 @@ def calibrate(rows: DataFrame, first: float = LEAD_IN) -> DataFrame:
     whatever row comes then. Rows without key or time have no part; repeated
     rows are inputs each. A key's rows are in one task, as their order demands.
     """
-    own = rows.where("key IS NOT NULL AND at_ms IS NOT NULL").select("key", "id", "at_ms", "kind", "value")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step(None, str(p["key"].iloc[0]), p, first)[1], columns=COLUMNS)
-
-    return spread(own, "key").groupBy("key").applyInPandas(run, MATCHED)
+    own = rows.where("key IS NOT NULL AND at_ms IS NOT NULL").select("key", "at_ms", "id", "kind", "value")
+    return folded(own, [F.asc("at_ms"), F.asc_nulls_last("id")], partial(stepped, first=first), MATCHED)
