@@ -216,10 +216,8 @@ def spectral_alignment(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), (F.col("s_suppkey") % 97).alias("seed"))
 
     def signal(frames: int, shift: int):
-        t = F.col("i") + shift
-        band = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda b: spectra.synthetic_band(F.col("seed"), t, b))
         rows = spread(seeds, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
-        return rows.select("key", (F.col("i") * 20.0).alias("t_ms"), band.alias("bands"))
+        return rows.select("key", (F.col("i") * 20.0).alias("t_ms"), "seed", (F.col("i") + shift).alias("t")).mapInArrow(spectra.synthetic_bands, "key string, t_ms double, bands array<double>")
 
     found = lock.align(signal(400, 200), signal(1000, 0), 20.0)
     return found.withColumns({c: F.round(c, 3) for c in ("offset_ms", "confidence")})
