@@ -62,20 +62,19 @@ def coarse_candidates(landmarks: DataFrame, reference: DataFrame, s: Chain) -> D
     landmarks: window, key, hash, t_us; reference: key, hash, t_us.
     """
     query = landmarks.withColumnRenamed("window", "query_id")
-    bins = voting.vote_histogram(query, reference, s.bin_us, by=["key"])
+    bins = voting.keyed_histogram(query, reference, s.bin_us, by=["key"])
     apart = -(-s.apart_us // s.bin_us)
     found = voting.independent(bins, s.most, apart)
-    lead = voting.lead_over_second(found)
-    enough = (F.col("votes") >= s.coarse_votes) & (F.col("density") >= s.coarse_density) & (F.col("spread_us") >= s.coarse_spread_us)
-    rivalled = F.coalesce(F.col("second") > 0, F.lit(False)) & ((F.col("ratio") < s.coarse_ratio) | (F.col("margin") < s.coarse_margin))
-    told = lead.select("query_id", F.when(enough, "none").otherwise("insufficient_landmarks").alias("coarse"), (enough & rivalled).alias("ambiguous"))
-    keys = landmarks.select(F.col("window").alias("query_id"), "key").distinct()
-    return (
-        found.join(told, "query_id").join(keys, "query_id")
-        .select(
-            F.col("query_id").alias("window"), "key", "place", F.round("offset_us").cast("long").alias("coarse_us"), "votes", F.col("score").alias("weighted"),
-            F.col("unique_hashes").alias("hashes"), F.least(F.lit(1.0), "density").alias("landmark"), "coarse", "ambiguous",
-        )
+    # the lead over the second is told beside its window's candidates, which are together already
+    at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c))).over(Window.partitionBy("query_id"))
+    found = found.withColumns({"first": at(0, "score"), "second": at(1, "score"), **{f"first_{c}": at(0, c) for c in ("votes", "density", "spread_us")}})
+    enough = (F.col("first_votes") >= s.coarse_votes) & (F.col("first_density") >= s.coarse_density) & (F.col("first_spread_us") >= s.coarse_spread_us)
+    ratio, margin = F.coalesce(F.try_divide("first", "second"), F.col("first")), F.greatest(F.lit(0.0), F.col("first") - F.coalesce("second", F.lit(0.0)))
+    rivalled = F.coalesce(F.col("second") > 0, F.lit(False)) & ((ratio < s.coarse_ratio) | (margin < s.coarse_margin))
+    return found.select(
+        F.col("query_id").alias("window"), "key", "place", F.round("offset_us").cast("long").alias("coarse_us"), "votes", F.col("score").alias("weighted"),
+        F.col("unique_hashes").alias("hashes"), F.least(F.lit(1.0), "density").alias("landmark"), F.when(enough, "none").otherwise("insufficient_landmarks").alias("coarse"),
+        (enough & rivalled).alias("ambiguous"),
     )
 
 

@@ -172,15 +172,20 @@ def vote_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us
     reference only. Rows with a null hash have no part; meetings with a null
     time are in a null bin, or out of reach. Empty inputs give no rows.
     """
+    return keyed_histogram(query, reference, bin_us, reach_us, by).drop(*by)
+
+
+def keyed_histogram(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None = None, by: list[str] = []) -> DataFrame:
+    """``vote_histogram`` with the columns ``by`` of each query."""
     if by:
-        sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
+        sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"), *[F.min(c).alias(c) for c in by])
         sums = _by_joins(query, reference, bin_us, reach_us, by).join(sizes, "query_id")
     else:
         sums = by_tiles(query, reference, bin_us, reach_us)
     return (
         sums.withColumn("spread_us", F.col("q_last") - F.col("q_first"))
         .select(
-            "query_id", "bin", "votes", (F.col("weight") / F.lit(float(MILLI))).alias("score"),
+            "query_id", *by, "bin", "votes", (F.col("weight") / F.lit(float(MILLI))).alias("score"),
             (F.col("bin") * F.lit(float(bin_us)) + F.col("moment") / F.col("weight").cast("double")).alias("offset_us"),
             "unique_hashes", "common_votes", (F.col("posting_sum") / F.col("votes").cast("double")).alias("mean_postings"),
             "spread_us", (F.col("votes") / F.col("landmarks").cast("double")).alias("density"),
@@ -205,16 +210,17 @@ def independent(bins: DataFrame, most: int, apart: int) -> DataFrame:
     """
     enough = most * (2 * apart - 1)
     best = ranked(bins).where(F.col("rank") <= enough)
-    item = F.struct("rank", "bin")
+    # whole rows are thinned, so that the bins are made once and not joined to what is left of them
+    item = F.struct("rank", *[c for c in best.columns if c not in ("rank", "query_id")])
     kept = F.aggregate(
         F.array_sort(F.collect_list(item)),
-        F.array().cast("array<struct<rank:int,bin:bigint>>"),
+        F.array().cast(best.select(F.array(item)).schema[0].dataType.simpleString()),
         lambda acc, x: F.when(
             (F.size(acc) < most) & F.forall(acc, lambda y: F.abs(y["bin"] - x["bin"]) >= apart), F.concat(acc, F.array(x))
         ).otherwise(acc),
     )
-    chosen = best.groupBy("query_id").agg(kept.alias("kept")).select("query_id", F.posexplode("kept").alias("place", "one"))
-    return best.join(chosen.select("query_id", F.col("place").cast("long").alias("place"), F.col("one.bin").alias("bin")), ["query_id", "bin"])
+    chosen = best.groupBy("query_id").agg(kept.alias("kept")).select("query_id", F.posexplode("kept").alias("place", "one")).where("one.bin IS NOT NULL")
+    return chosen.select("query_id", *[F.col(f"one.{c}").alias(c) for c in best.columns if c != "query_id"], F.col("place").cast("long").alias("place"))
 
 
 def lead_over_second(candidates: DataFrame) -> DataFrame:
