@@ -90,7 +90,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def stale(manifest: DataFrame, sources: DataFrame, version: int) -> DataFrame:
     """Sources whose cached index is absent or made from another version, size, time or content."""
     same = ["path", "size_bytes", "modified", "sha256", "config"]
-    return sources.join(manifest.where(F.col("version") == version), same, "left_anti")
+    # by a shuffle: a manifest has a row for each source, of which small files hold many
+    return sources.join(manifest.where(F.col("version") == version).hint("merge"), same, "left_anti")
 
 
 def read_env(paths: list[str]) -> dict[str, str]:

@@ -32,7 +32,7 @@ def _held(spark: SparkSession, root: str) -> tuple[int, dict[str, DataFrame]]:
 def index(spark: SparkSession, root: str) -> DataFrame:
     """Frames of all sources in the cache, each from the build that its manifest row names."""
     tables = snapshots.read(spark, root)
-    return tables["frames"].join(tables["manifest"].select("path", "part"), ["path", "part"], "left_semi").drop("part")
+    return tables["frames"].join(tables["manifest"].select("path", "part").hint("merge"), ["path", "part"], "left_semi").drop("part")
 
 
 def refresh(spark: SparkSession, root: str, sources: DataFrame, build, version: int, config: str) -> dict[str, int]:
@@ -49,15 +49,16 @@ def refresh(spark: SparkSession, root: str, sources: DataFrame, build, version:
     old = held.get("manifest", spark.createDataFrame([], MANIFEST))
     todo = cut(stale(old, wanted, version), "stale")
     same = ["path", "size_bytes", "modified", "sha256", "config"]
-    kept = old.where(F.col("version") == version).join(wanted, same, "left_semi").select(*old.columns)
+    kept = old.where(F.col("version") == version).join(wanted.hint("merge"), same, "left_semi").select(*old.columns)
     n_kept, n_todo = kept.count(), todo.count()
-    gone = old.join(wanted.select("path"), "path", "left_anti").count()
+    gone = old.join(wanted.select("path").hint("merge"), "path", "left_anti").count()
     counts = {"kept": n_kept, "built": 0, "failed": 0, "gone": gone}
     if not n_todo and not gone:
         return counts
+    # joins by source go by a shuffle: Parquet holds many paths in few bytes, so what Spark takes for small would fill the driver
     part = uuid.uuid4().hex
     frames = cut(build(todo).withColumn("part", F.lit(part)), "frames")
-    bad = frames.where("problem is not null").select("path").distinct()
+    bad = frames.where("problem is not null").select("path").distinct().hint("merge")
     good = todo.join(bad, "path", "left_anti")
     entries = good.select(*same, F.lit(version).alias("version"), F.lit(part).alias("part"))
     fresh = frames.join(bad, "path", "left_anti").drop("problem")
@@ -101,7 +102,7 @@ def convert(spark: SparkSession, json_root: str, root: str, frame: str, overwrit
     now, held = _held(spark, root)
     found = cut(read_json(spark, json_root, frame, suffix), "json")
     old = held.get("manifest", spark.createDataFrame([], MANIFEST))
-    there = old.select("path", F.lit(True).alias("there")).distinct()
+    there = old.select("path", F.lit(True).alias("there")).distinct().hint("merge")
     rank = F.row_number().over(Window.partitionBy("path", F.col("problem").isNull()).orderBy(F.desc("file")))
     judged = found.withColumn("rank", rank).join(there, "path", "left")
     skip = (F.col("rank") > 1) | (F.lit(not overwrite) & F.col("there").isNotNull())
@@ -112,6 +113,6 @@ def convert(spark: SparkSession, json_root: str, root: str, frame: str, overwrit
         part = F.lit(uuid.uuid4().hex)
         entries = taken.select("path", "size_bytes", "modified", "sha256", "config", F.lit(JSON_VERSION).alias("version"), part.alias("part"))
         frames = taken.select("path", F.inline("frames")).withColumn("part", part)
-        rest = old.join(entries.select("path"), "path", "left_anti").select(*entries.columns)
+        rest = old.join(entries.select("path").hint("merge"), "path", "left_anti").select(*entries.columns)
         snapshots.publish(spark, root, {"manifest": rest.unionByName(entries)}, now, {"frames": frames})
     return judged.select("file", "status", "problem")
