@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def state_counts(rows: DataFrame, key: str, state: str) -> DataFrame:
     """Rows by key and state, with the share of the key's rows."""
@@ -19,15 +23,38 @@ def locked_summary(rows: DataFrame, key: str, time: str, locked: Column) -> Data
     ).withColumn("share", F.col("locked") / F.col("samples").cast("double"))
 
 
+def nearest_ranks(rows: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
+    """Nearest-rank percentiles of each key in long form: key, ``share`` and ``found``; null values do not count.
+
+    Equal values are counted first; these counts are dealt by range over all
+    partitions, sums by partition tell which one holds a rank, and only its rows
+    are put in order. So a key with many values is many tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    dealt = cut(counts.repartitionByRange(parts, "k", "v").withColumn("part", F.spark_partition_id()), "ranks")
+    whole = Window.partitionBy("k")
+    sums = dealt.groupBy("k", "part").agg(F.sum("n").alias("own"))
+    sums = sums.select("k", "part", F.sum("own").over(whole).alias("total"), F.sum("own").over(whole.orderBy("part")).alias("upto"), "own")
+    share = F.explode(F.array(*[F.lit(Decimal(str(p))).cast("decimal(18,9)") for p in at]))
+    sought = sums.withColumn("share", share).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("total"))))
+    sought = sought.where((F.col("rank") > F.col("upto") - F.col("own")) & (F.col("rank") <= F.col("upto"))).select(F.col("k").alias("own_k"), F.col("part").alias("own_part"), "share", "rank", (F.col("upto") - F.col("own")).alias("before"))
+    near = dealt.join(sought.hint("merge"), F.col("k").eqNullSafe(F.col("own_k")) & (F.col("part") == F.col("own_part")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("k", "part", "share").orderBy("v"))
+    return near.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(F.col("k").alias(key), F.col("share").cast("double").alias("share")).agg(F.min("v").alias("found"))
+
+
 def percentiles(rows: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
-    """Nearest-rank percentiles: the smallest value with at least that share at or below it."""
-    return rows.groupBy(key).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(100 * p)}") for p in at])
+    """Nearest-rank percentiles: the smallest value with at least that share at or below it; null for a key without values."""
+    found = nearest_ranks(rows, key, value, at).unionByName(rows.select(key).distinct().select(key, F.lit(-1.0).alias("share"), F.lit(None).cast(rows.schema[value].dataType).alias("found")))
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("share") == p, F.col("found"))).alias(f"p{round(100 * p)}") for p in at])
 
 
 def timing(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Calls, their total, lower median, 95th percentile by nearest rank and maximum."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    return rows.groupBy(key).agg(F.count("*").alias("calls"), F.sum(value).alias("total"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("most"))
+    sums = rows.groupBy(key).agg(F.count("*").alias("calls"), F.sum(value).alias("total"), F.max(value).alias("most"))
+    found = nearest_ranks(rows, key, value, [0.5, 0.95]).groupBy(F.col(key).alias("of")).agg(*[F.max(F.when(F.col("share") == p, F.col("found"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))])
+    return sums.join(found, F.col(key).eqNullSafe(F.col("of")), "left").select(key, "calls", "total", "p50", "p95", "most")
 
 
 def key_diff(rows: DataFrame, ours: str, golden: str, optional: tuple[str, ...], tolerance: float = 1e-5) -> DataFrame:
