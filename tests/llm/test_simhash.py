@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
+from tidemark.llm import components as stars
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 
@@ -184,6 +185,20 @@ def test_components_of_a_long_chain(spark):
     assert {(r.u, r.root) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    """Each names the written links a few times: large plans fill the driver's memory."""
+    scans, write = [], stars.cut
+
+    def counted(df, name):
+        scans.append(len([x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x]))
+        return write(df, name)
+
+    monkeypatch.setattr(stars, "cut", counted)
+    links = spark.createDataFrame([(0, i) for i in range(1, 50)] + [(i + 1, i) for i in range(60, 70)], "u long, v long")
+    assert {(r.u, r.root) for r in components(links).collect()} == {(i, 0) for i in range(50)} | {(i, 60) for i in range(60, 71)}
+    assert len(scans) > 2 and max(scans) <= 8
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.deduplicate(docs).count() == 0

@@ -32,7 +32,7 @@ def _met(links: DataFrame, n_links: int) -> DataFrame:
 
 def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
     return _met(both, 2 * n_links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -46,15 +46,19 @@ def _small_star(links: DataFrame, n_links: int) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``u`` and ``root`` for every node of the links (u, v), roots included.
 
-    Root is the smallest node that can be reached. Each round is written to
-    the shared folder; only counts reach the driver. It is done when every
-    node has one link, or, as a root, none but those to it.
+    Root is the smallest node that can be reached. Each step of a round is
+    written to the shared folder: a plan of both would name the links some
+    fifty times, and such plans fill the driver. Only counts reach the driver.
+    It is done when every node has one link, or, as a root, none but those to
+    it.
     """
     now = cut(links.select("u", "v").where("u <> v").distinct(), "links")
     n_links = now.count()
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now, n_links).where("u <> v"), n_links).where("u <> v").distinct(), "stars")
-        ends = now.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("v", F.lit(0), F.lit(1)))
+        large = cut(_large_star(now, n_links).where("u <> v"), "large-stars")
+        now = cut(_small_star(large, n_links).where("u <> v").distinct(), "stars")
+        down, up = F.struct("u", F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+        ends = now.select(F.explode(F.array(down, up)).alias("x")).select("x.*")
         nodes = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
         open_, n_links = nodes.agg(F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))), F.coalesce(F.sum("down"), F.lit(0))).first()
         if not open_:
