@@ -7,6 +7,11 @@ densely. Only the candidates that lead then, or come close to the lead, are
 refined on a grid of offsets; the others keep their coarse evaluation. Scores
 do not depend on a gate's settings, so the first and the last gate share one
 evaluation. Reasons and confidences are columns; the tracker's fold comes last.
+
+Windows overlap and are searched at many offsets, so what is dealt are
+recordings: landmarks are shuffled once, by recording, and put into windows
+behind the shuffle; frames are shuffled by blocks of windows, beside the pieces
+of the reference that the block's candidates reach (``dense``).
 """
 
 from __future__ import annotations
@@ -16,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import MILLI, as_milli, idf, match_weight
+from tidemark.operators import dense, landmark_lock, nearest, voting
 from tidemark.operators import gates as G
-from tidemark.operators import landmark_lock, nearest, voting
-from tidemark.session import cut
+from tidemark.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -63,8 +69,48 @@ def coarse_candidates(landmarks: DataFrame, reference: DataFrame, s: Chain) -> D
     """
     query = landmarks.withColumnRenamed("window", "query_id")
     bins = voting.keyed_histogram(query, reference, s.bin_us, by=["key"])
-    apart = -(-s.apart_us // s.bin_us)
-    found = voting.independent(bins, s.most, apart)
+    return _told_coarse(voting.independent(bins, s.most, -(-s.apart_us // s.bin_us)), s)
+
+
+def marks_of_windows(marks: DataFrame, s: Chain) -> DataFrame:
+    """window and how many ``landmarks`` (key, t_us) it has."""
+    return window_id(windowed(spread(marks.select("key", "t_us"), "key"), s).groupBy("key", "end_us").agg(F.count("*").alias("landmarks"))).select("window", "landmarks")
+
+
+def recorded_candidates(marks: DataFrame, reference: DataFrame, sizes: DataFrame, s: Chain) -> DataFrame:
+    """``coarse_candidates`` of landmarks that are not yet in windows: (key, hash, t_us), all known.
+
+    Both sides are shuffled once, by recording; there all times of a hash meet
+    in one row, and every sum by window is one of a recording. sizes: ``marks_of_windows``.
+    """
+    side = lambda rows, asks: rows.select("key", "hash", "t_us", F.lit(asks).alias("asks"))
+    rows = spread(side(marks, True).unionByName(side(reference, False)), "key")
+    times = lambda asks, name: F.collect_list(F.when(F.col("asks") == asks, F.col("t_us"))).alias(name)
+    hashes = rows.groupBy("key", "hash").agg(times(True, "asked"), times(False, "known")).withColumn("postings", F.size("known").cast("long"))
+    hashes = hashes.withColumn("idf", idf(F.sum("postings").over(Window.partitionBy("key")).cast("double"), F.col("postings"))).where("postings > 0 AND size(asked) > 0")
+    met = hashes.select("key", "hash", "postings", "idf", "known", F.explode("asked").alias("t_us")).select("key", "hash", "postings", "idf", "t_us", F.explode("known").alias("r_us"))
+    met = windowed(met.withColumn("bin", F.round((F.col("r_us") - F.col("t_us")) / F.lit(float(s.bin_us))).cast("long")), s)
+    votes = met.groupBy("key", "end_us", "bin", "hash").agg(
+        F.count("*").alias("votes"), F.sum(F.col("r_us") - F.col("t_us") - F.col("bin") * s.bin_us).alias("beside"), F.min("t_us").alias("q_first"),
+        F.max("t_us").alias("q_last"), F.max("postings").alias("postings"), F.max("idf").alias("idf"),
+    )
+    # each of a window's landmarks of a hash meets all its postings
+    landmarks = F.sum("votes").over(Window.partitionBy("key", "end_us", "hash")) / F.col("postings")
+    votes = votes.withColumn("weight", as_milli(match_weight(F.col("idf"), landmarks)))
+    sums = votes.groupBy("key", "end_us", "bin").agg(
+        F.sum("votes").alias("votes"), F.sum(F.col("votes") * F.col("weight")).alias("weight"), F.sum(F.col("weight") * F.col("beside")).alias("moment"),
+        F.count("*").alias("unique_hashes"), F.min("q_first").alias("q_first"), F.max("q_last").alias("q_last"),
+    )
+    bins = window_id(sums).select(
+        F.col("window").alias("query_id"), "key", "bin", "votes", (F.col("weight") / F.lit(float(MILLI))).alias("score"),
+        (F.col("bin") * F.lit(float(s.bin_us)) + F.col("moment") / F.col("weight").cast("double")).alias("offset_us"), "unique_hashes",
+        (F.col("q_last") - F.col("q_first")).alias("spread_us"),
+    )
+    found = voting.independent(bins, s.most, -(-s.apart_us // s.bin_us)).join(sizes.withColumnRenamed("window", "query_id"), "query_id")
+    return _told_coarse(found.withColumn("density", F.col("votes") / F.col("landmarks").cast("double")), s)
+
+
+def _told_coarse(found: DataFrame, s: Chain) -> DataFrame:
     # the lead over the second is told beside its window's candidates, which are together already
     at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c))).over(Window.partitionBy("query_id"))
     found = found.withColumns({"first": at(0, "score"), "second": at(1, "score"), **{f"first_{c}": at(0, c) for c in ("votes", "density", "spread_us")}})
@@ -80,19 +126,8 @@ def coarse_candidates(landmarks: DataFrame, reference: DataFrame, s: Chain) -> D
 
 GATES = ("timing", "robust")
 
-
-def _ranks(of: str) -> list[Column]:
-    return [
-        F.desc(f"{of}.sufficient"), F.desc(f"{of}.combined"), F.desc(f"{of}.agreement"), F.desc("weighted"), F.desc("hashes"), F.desc("landmark"),
-        F.asc(f"{of}.offset_us"),
-    ]
-
-
-def _evaluation(settings: nearest.Dense) -> Column:
-    """A raw evaluation by one gate's settings, as a struct."""
-    judged = nearest.judged(settings)
-    names = ("offset_us", "matched", "comparable", "coverage", "mean_error_us")
-    return F.struct(*names, *[c.alias(n) for n, c in judged.items()])
+#: Windows of a block, whose frames are in one task; width of a piece of the reference in windows.
+BLOCK, PIECE = 256, 4
 
 
 def scored(candidates: DataFrame, query: DataFrame, reference: DataFrame, s: Chain, prune: bool = True) -> DataFrame:
@@ -106,28 +141,32 @@ def scored(candidates: DataFrame, query: DataFrame, reference: DataFrame, s: Cha
 
     query: frames by window (key is the window, ref the reference's key).
     """
-    offsets = candidates.select(F.col("window").alias("key"), F.col("coarse_us").alias("offset_us")).distinct()
-    raw = nearest.offset_features(query, reference, offsets, s.timing.tolerance, few=True)
-    coarse = raw.select(F.col("key").alias("window"), F.col("offset_us").alias("coarse_us"), *[_evaluation(getattr(s, g)).alias(g) for g in GATES])
-    base = cut(candidates.join(coarse, ["window", "coarse_us"]), "chain-coarse")
-    ranked = base
-    for g in GATES:
-        order = Window.partitionBy("window").orderBy(*_ranks(g))
-        first = F.first(f"{g}.combined").over(order)
-        ranked = ranked.withColumn(f"refine_{g}", (F.row_number().over(order) <= s.refined) | (first - F.col(f"{g}.combined") <= s.refined_margin))
-    ranked = cut(ranked, "chain-ranked")
-    wanted = ranked.where(F.col("refine_timing") | F.col("refine_robust")) if prune else ranked
-    grid = nearest.refinement_grid(wanted.select(F.col("window").alias("key"), F.col("coarse_us").alias("offset_us")).distinct(), s.radius_us, s.step_us)
-    around = cut(nearest.offset_features(query, reference, grid.select("key", "offset_us").distinct(), s.timing.tolerance, few=True), "chain-grid")
-    for g in GATES:
-        rows = grid.join(around, ["key", "offset_us"]).select(F.col("key").alias("window"), "coarse_us", _evaluation(getattr(s, g)).alias("x"))
-        order = F.struct(
-            F.col("x.sufficient"), F.col("x.combined"), F.col("x.comparable"), -F.coalesce("x.mean_error_us", F.lit(float("inf"))),
-            -F.abs(F.col("x.offset_us") - F.col("coarse_us")), -F.col("x.offset_us"),
-        )
-        best = rows.groupBy("window", "coarse_us").agg(F.max_by("x", order).alias("better"))
-        ranked = ranked.join(best, ["window", "coarse_us"], "left").withColumn(g, F.when(F.col(f"refine_{g}"), F.col("better")).otherwise(F.col(g))).drop("better")
-    return ranked.drop("refine_timing", "refine_robust")
+    spans = query.groupBy(F.col("key").alias("window")).agg(F.min("t_us").alias("since_us"), F.max("t_us").alias("until_us"))
+    asked = candidates.join(spans, "window").select(F.col("window").alias("unit"), F.col("key").alias("ref"), "since_us", "until_us", F.struct(*candidates.columns).alias("c"))
+    return evaluated(asked, query.withColumnRenamed("key", "unit"), reference, s, prune)
+
+
+def evaluated(asked: DataFrame, live: DataFrame, reference: DataFrame, s: Chain, prune: bool = True) -> DataFrame:
+    """Candidates with their evaluation by each gate, as ``scored`` says.
+
+    asked: ``c``, a candidate as a struct, with the closed span since_us to
+    until_us of its window's frames, the ``unit`` these are in and the key
+    ``ref`` of its reference; live: frames by ``unit``. A task holds a unit's
+    frames and what its candidates reach of the reference.
+    """
+    piece = s.window_us * PIECE
+    around = s.radius_us + s.timing.tolerance
+    at = lambda span, by: F.floor((F.col(span) + F.col("c.coarse_us") + by) / piece)
+    reached = asked.select("unit", "ref", F.explode(F.sequence(at("since_us", -around), at("until_us", around))).alias("piece")).distinct()
+    carried = ["usable", F.col("weight").cast("double").alias("weight"), *[F.col(f).cast("array<double>").alias(f) for f in nearest.FEATURES]]
+    frames = lambda rows, kind: rows.select("unit", F.lit(kind).alias("kind"), "t_us", "frame_id", *carried)
+    known = frames(reference.withColumn("piece", F.floor(F.col("t_us") / piece)).join(reached, ["ref", "piece"]), dense.REFERENCE)
+    rows = known.unionByName(frames(live, dense.LIVE)).unionByName(asked.withColumn("kind", F.lit(dense.CANDIDATE)).drop("ref"), allowMissingColumns=True)
+    rows = spread(rows, "unit").sortWithinPartitions("unit", "kind", "t_us", "frame_id").drop("frame_id")
+    kinds = ", ".join(f"{name}: {kind}" for name, kind in dense.EVALUATION.items())
+    shown = ", ".join([f"c {asked.schema['c'].dataType.simpleString()}", *[f"{g} struct<{kinds}>" for g in GATES]])
+    run = dense.task({g: getattr(s, g) for g in GATES}, s.radius_us, s.step_us, s.refined, s.refined_margin, prune)
+    return rows.mapInArrow(run, shown).select("c.*", *GATES)
 
 
 def _told(of: str) -> list[Column]:
@@ -178,13 +217,16 @@ def gated_windows(found: DataFrame, readiness: DataFrame, s: Chain) -> DataFrame
     return both.withColumn("gate", stage).select("key", (F.col("end_us") / 1000.0).alias("at_ms"), "ready", "long", shown.alias("candidates"))
 
 
-def ready_windows(frames: DataFrame, landmarks: DataFrame, reference: DataFrame, s: Chain) -> DataFrame:
-    """Every window with a frame: window, key, end_us, duration_us and ``ready``, the first thing it lacks or ``none``."""
-    counts = landmarks.groupBy("window").agg(F.count("*").alias("marks"))
-    facts = G.readiness(frames.withColumn("t_ms", F.col("t_us") / 1000.0).withColumn("no_marks", F.lit(0)), ["window", "key", "end_us"], "t_ms", "energy_db", "no_marks")
+def ready_windows(frames: DataFrame, sizes: DataFrame, reference: DataFrame, s: Chain) -> DataFrame:
+    """Every window with a frame: window, key, end_us, duration_us and ``ready``, the first thing it lacks or ``none``.
+
+    frames: key, t_us, energy_db; sizes: ``marks_of_windows``.
+    """
+    own = windowed(spread(frames.select("key", "t_us", "energy_db"), "key"), s).withColumn("t_ms", F.col("t_us") / 1000.0).withColumn("no_marks", F.lit(0))
+    facts = window_id(G.readiness(own, ["key", "end_us"], "t_ms", "energy_db", "no_marks"))
     known = reference.groupBy("key").agg((F.count("*") >= s.reference_landmarks).alias("indexed"))
     return (
-        facts.drop("landmarks").join(counts.withColumnRenamed("marks", "landmarks"), "window", "left").join(known, "key", "left")
+        facts.drop("landmarks").join(sizes, "window", "left").join(known, "key", "left")
         .withColumn("ready", F.when(F.coalesce("indexed", F.lit(False)), G.readiness_reason(s.ready_us / 1000)).otherwise("no_reference"))
         .select("window", "key", "end_us", (F.col("duration_ms") * 1000).cast("long").alias("duration_us"), "ready")
     )
@@ -196,14 +238,21 @@ def chain(frames: DataFrame, landmarks: DataFrame, reference_frames: DataFrame,
     frames: key, frame_id, t_us, energy_db, usable, weight and the feature
     arrays of ``nearest``; landmarks: key, hash, t_us; the same for the
     references, one for each key. Rows without key or time have no part. A
-    recording without a reference fails at readiness. Windows overlap, so a
-    frame is in window_us / hop_us of them; nothing else is multiplied.
+    recording without a reference fails at readiness. A frame is shuffled once
+    for each block of windows that holds it, one of the reference once for each
+    block that reaches its piece; windows and offsets multiply neither.
     """
-    own = lambda rows: window_id(windowed(rows.where("key IS NOT NULL AND t_us IS NOT NULL"), s))
-    # frames meet offsets by window several times: once written, they are read by column
-    in_windows, marks = cut(own(frames), "chain-frames"), own(landmarks.where("hash IS NOT NULL"))
-    ready = ready_windows(in_windows, marks, reference_landmarks, s)
-    candidates = coarse_candidates(marks.select("window", "key", "hash", "t_us"), reference_landmarks.where("key IS NOT NULL AND hash IS NOT NULL AND t_us IS NOT NULL"), s)
-    query = in_windows.withColumnRenamed("key", "ref").withColumnRenamed("window", "key").drop("end_us", "energy_db")
-    targets = reference_frames.where("key IS NOT NULL AND t_us IS NOT NULL").withColumnRenamed("key", "ref")
-    return gated_windows(scored(candidates, query, targets, s, prune), ready, s)
+    timed = lambda rows: rows.where("key IS NOT NULL AND t_us IS NOT NULL")
+    frames, marks = timed(frames), timed(landmarks).where("hash IS NOT NULL")
+    sizes = cut(marks_of_windows(marks, s), "chain-marks")
+    ready = ready_windows(frames, sizes, reference_landmarks, s)
+    candidates = cut(recorded_candidates(marks, timed(reference_landmarks).where("hash IS NOT NULL"), sizes, s), "chain-candidates")
+    wide = s.hop_us * BLOCK
+    unit = lambda block: F.concat_ws("@", F.col("key"), block.cast("string")).alias("unit")
+    end = F.substring_index("window", "@", -1).cast("long")
+    asked = candidates.select(unit(F.floor(end / wide)), F.col("key").alias("ref"), (end - s.window_us).alias("since_us"), end.alias("until_us"), F.struct(*candidates.columns).alias("c"))
+    first, last = F.ceil(F.col("t_us") / s.hop_us) * s.hop_us, F.floor((F.col("t_us") + s.window_us) / s.hop_us) * s.hop_us
+    blocks = F.explode(F.sequence(F.floor(first / wide), F.floor(last / wide))).alias("block")
+    live = frames.select("*", blocks).withColumn("unit", unit(F.col("block")))
+    found = cut(evaluated(asked, live, timed(reference_frames).withColumnRenamed("key", "ref"), s, prune), "chain-evaluated")
+    return gated_windows(found, ready, s)

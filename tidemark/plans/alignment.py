@@ -309,9 +309,9 @@ FROM c JOIN led USING (query_id)""")
 def landmark_chain_candidates(spark, sf_dir):
     """Thinned votes of every window of every user's recording, with the coarse gate."""
     live, known = _recordings(spark, sf_dir)
-    marks = landmark_chain.window_id(landmark_chain.windowed(live.select("key", "hash", "t_us"), CHAIN))
-    found = landmark_chain.coarse_candidates(marks, known.select("key", "hash", "t_us"), CHAIN)
-    return found.drop("key")
+    marks = lambda rows: rows.where("key IS NOT NULL AND hash IS NOT NULL AND t_us IS NOT NULL").select("key", "hash", "t_us")
+    sizes = landmark_chain.marks_of_windows(marks(live), CHAIN)
+    return landmark_chain.recorded_candidates(marks(live), marks(known), sizes, CHAIN).drop("key")
 
 
 @query()
