@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +32,55 @@ def _summed(table: list[np.ndarray], keys: int) -> list[np.ndarray]:
 
 
 def _met(q: np.ndarray, x: dict[str, np.ndarray], first: np.ndarray, n: np.ndarray, times: np.ndarray, bin_us: int) -> list[np.ndarray]:
-    """Votes of landmarks by query, bin and hash: these, votes, weight, moment, postings of all votes, first and last time."""
+    """Votes of landmarks by query, bin and hash: these, votes, weight, moment, postings of all votes, first and last time.
+
+    A landmark's postings stand in order of time, so its votes for a bin stand
+    together; only landmarks whose hash their query repeats need sorting.
+    """
     ask = np.repeat(np.arange(len(n)), n)
-    met = np.arange(len(ask)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    met = np.arange(len(ask)) - np.repeat(np.cumsum(n) - n - first, n)
     apart = times[met] - x["t_us"][ask]
     size = np.abs(apart) / float(bin_us)
     down = np.floor(size)
-    bins = (np.sign(apart) * (down + (size - down >= 0.5))).astype(np.int64)
-    w = x["weight"][ask]
-    t = x["t_us"][ask]
-    return _summed([q[ask], bins, x["hash"][ask], np.ones(len(ask), np.int64), w, w * (apart - bins * bin_us), x["postings"][ask], t, t], 3)
+    bins = np.copysign(down + (size - down >= 0.5), apart).astype(np.int64)
+    at = _edges(ask, bins)
+    if not len(at):
+        return [ask[:0]] * 9
+    votes, ask, bins = np.diff(np.append(at, len(bins))), ask[at], bins[at]
+    w, t = x["weight"][ask], x["t_us"][ask]
+    rows = [q[ask], bins, x["hash"][ask], votes, w * votes, w * (np.add.reduceat(apart, at) - votes * bins * bin_us), x["postings"][ask] * votes, t, t]
+    starts = _edges(q, x["hash"])
+    many = np.repeat(np.diff(np.append(starts, len(q))) > 1, np.diff(np.append(starts, len(q))))[ask]
+    if not many.any():
+        return rows
+    return [np.concatenate(c) for c in zip([c[~many] for c in rows], _summed([c[many] for c in rows], 3))]
+
+
+#: Cells of a table of sums for each row that it takes in; with more of them rows are sorted instead.
+SPARSE = 8
+
+
+def _by_bin(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """``_summed`` of rows (query, bin, ...) by these two: in a table of all queries and bins where it is well filled."""
+    q, bins = rows[:2]
+    low, least = q.min(), bins.min()
+    wide = int(bins.max()) - int(least) + 1
+    if (int(q.max()) - int(low) + 1) * wide > SPARSE * len(q):
+        return _summed(rows, 2)
+    cell = (q - low) * wide + (bins - least)
+    cells = np.flatnonzero(np.bincount(cell))
+    place = np.zeros(cell.max() + 1, np.int64)
+    place[cells] = np.arange(len(cells))
+    at = place[cell]
+    sums = []
+    for c in rows[2:-2]:
+        total = np.zeros(len(cells), np.int64)
+        np.add.at(total, at, c)
+        sums.append(total)
+    early, late = np.full(len(cells), np.iinfo(np.int64).max), np.full(len(cells), np.iinfo(np.int64).min)
+    np.minimum.at(early, at, rows[-2])
+    np.maximum.at(late, at, rows[-1])
+    return [cells // wide + low, cells % wide + least, *sums, early, late]
 
 
 def _sums(q: np.ndarray, x: dict[str, np.ndarray], first: np.ndarray, n: np.ndarray, times: np.ndarray, bin_us: int, most: int) -> list[np.ndarray]:
@@ -49,25 +90,58 @@ def _sums(q: np.ndarray, x: dict[str, np.ndarray], first: np.ndarray, n: np.ndar
     found = [_met(q[a:b], {c: v[a:b] for c, v in x.items()}, first[a:b], n[a:b], times, bin_us) for a, b in zip(cuts, cuts[1:])]
     q, bins, _, votes, weight, moment, postings, low, high = found[0] if len(found) == 1 else _summed([np.concatenate(c) for c in zip(*found)], 3)
     common = np.where(postings > votes, votes, 0)  # a hash with one posting adds one for each vote
-    return _summed([q, bins, votes, weight, moment, np.ones(len(q), np.int64), common, postings, low, high], 2)
-
-
-def tally(batches: Iterator[pa.RecordBatch], bin_us: int, reach_us: int | None, taken: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sums by query and bin of tiles, one after the other, each with its postings first, then landmarks by query.
+    return _by_bin([q, bins, votes, weight, moment, np.ones(len(q), np.int64), common, postings, low, high])
+
+
+class _Postings:
+    """The times of a tile's postings, which come by hash: ``held`` in memory, and in a file of the task's own where they are more."""
+
+    def __init__(self, held: int):
+        self.held, self.parts, self.count, self.file, self.runs = held, [], 0, None, []
+
+    def add(self, hashes: np.ndarray, lengths: np.ndarray, times: np.ndarray) -> None:
+        self.runs.append((hashes, lengths))
+        self.parts.append(times)
+        self.count += len(times)
+        if self.count > self.held:
+            self._write()
+
+    def _write(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        for part in self.parts:
+            self.file.write(np.ascontiguousarray(part, np.int64).data)
+        self.parts, self.count = [], 0
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in order, where the times of each begin (and the end of all), and these times in order."""
+        hashes, lengths = (np.concatenate([r[i] for r in self.runs]) for i in (0, 1))
+        if self.file is None:
+            times = np.concatenate(self.parts)
+        else:
+            self._write()
+            self.file.flush()
+            times = np.memmap(self.file, np.int64, "r+")
+        self.parts = []
+        at = _edges(hashes)
+        starts = np.append((np.cumsum(lengths) - lengths)[at], lengths.sum())
+        for a, b in zip(starts.tolist(), starts[1:].tolist()):
+            times[a:b].sort()
+        return hashes[at], starts, times
+
+
+def tally(batches: Iterator[pa.RecordBatch], bin_us: int, reach_us: int | None, taken: int, most: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Sums by query and bin of tiles, one after the other, each with its postings first, by hash, then landmarks by query and hash.
 
     Whole queries are taken together, ``taken`` landmarks or a little more; of
-    meetings about ``most`` are held at once.
+    meetings about ``most`` are held at once, of postings ``held`` in memory.
     """
-    tile, posts, hashes, times, starts, waiting = None, [], None, None, None, []
+    tile, posts, hashes, times, starts, waiting = None, None, None, None, None, []
 
     def index():
         nonlocal posts, hashes, times, starts
         if posts:
-            h, times = (np.concatenate([p[i] for p in posts]) for i in (0, 1))
-            order = np.lexsort((times, h))
-            h, times = h[order], times[order]
-            starts, posts = _edges(h), []
-            hashes, starts = h[starts], np.append(starts, len(h))
+            (hashes, starts, times), posts = posts.index(), None
 
     def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = rows["query_id"].combine_chunks()
@@ -116,12 +190,13 @@ def tally(batches: Iterator[pa.RecordBatch], bin_us: int, reach_us: int | None,
         for a, b in zip(cuts, cuts[1:]):
             if tiles[a] != tile:
                 yield from flushed(True)
-                tile, posts = tiles[a], []
+                tile, posts = tiles[a], None
             if kinds[a]:
                 index()
                 waiting.append(batch.select(["query_id", *NAMES]).slice(a, b - a))
                 yield from flushed(False)
             else:
                 lists = batch["times"].slice(a, b - a)
-                posts.append((np.repeat(batch["hash"].slice(a, b - a).to_numpy(), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()))
+                posts = posts or _Postings(held)
+                posts.add(batch["hash"].slice(a, b - a).to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy())
     yield from flushed(True)

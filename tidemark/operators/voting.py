@@ -107,48 +107,48 @@ def _by_joins(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int
     )
 
 
-#: Query landmarks of a block, and of a small one where there are few; postings of a tile and of a list; landmarks and meetings that a task holds at once.
-BLOCK, LEAST_BLOCK, LEAST_BLOCKS, TILE_POSTINGS, LISTED, TAKEN, MET = 1 << 18, 1 << 12, 16, 1 << 23, 1 << 20, 1 << 14, 1 << 20
+#: Query landmarks of a block, and of a small one where there are few; blocks for each core at most; postings of a tile that a task holds in memory and of a list;
+#: landmarks and meetings that a task holds at once.
+BLOCK, LEAST_BLOCK, LEAST_BLOCKS, CORE_BLOCKS, TILE_POSTINGS, LISTED, TAKEN, MET = 1 << 18, 1 << 12, 16, 4, 1 << 25, 1 << 20, 1 << 14, 1 << 18
 TALLIED = ("votes", "weight", "moment", "unique_hashes", "common_votes", "posting_sum", "q_first", "q_last")
 
 
 def by_tiles(query: DataFrame, reference: DataFrame, bin_us: int, reach_us: int | None) -> DataFrame:
     """Sums of each query and bin: query_id, bin, landmarks and ``TALLIED``.
 
-    Queries are dealt in blocks, postings by hash; each block meets each part
-    of the postings in one tile, whose task sums up whole queries at once. What
-    is shuffled are landmarks and lists of postings, once for each block, never
-    meetings; only where postings are in several parts are sums shuffled. A
-    task holds the postings of a tile and a query's landmarks.
+    Queries are dealt in blocks; each meets all postings in one tile, whose
+    task sums up whole queries at once. What is shuffled are landmarks and, once
+    for each block, lists of postings: never meetings, and never sums. Blocks
+    are a few for each core at most, so what is shuffled grows as the input
+    does. A task holds a query's landmarks and, up to TILE_POSTINGS, the tile's
+    postings; where they are more they lie in a file while it runs.
     """
     sizes = query.groupBy("query_id").agg(F.count("*").alias("landmarks"))
     weighted = weighted_query(query, reference).join(sizes, "query_id")
     anchors = reference.where("hash IS NOT NULL AND t_us IS NOT NULL")
     counts = lambda rows: rows.agg(F.count("*"), F.count_if(F.col("t_us").isNull()))
     n, q_untimed, m, r_untimed = counts(query).crossJoin(counts(reference)).first()
-    blocks = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)), 1)
-    parts = max(-(-m // TILE_POSTINGS), 1)
-    part = F.pmod(F.xxhash64("hash"), F.lit(parts))
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    blocks = max(min(-(-n // BLOCK), CORE_BLOCKS * cores), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)), 1)
     asks = weighted.where("t_us IS NOT NULL").select(
-        (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * parts + part).alias("tile"), F.lit(True).alias("asks"), "query_id", "hash",
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("tile"), F.lit(True).alias("asks"), "query_id", "hash",
         *[F.col(c).cast("long").alias(c) for c in ("t_us", "weight", "postings", "landmarks")],
     )
     lists = anchors.groupBy("hash", F.pmod(F.xxhash64("t_us"), F.lit(-(-m // LISTED) or 1))).agg(F.collect_list("t_us").alias("times"))
-    known = lists.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"), "hash", "times")
-    known = known.select((F.col("block") * parts + F.col("part")).alias("tile"), F.lit(False).alias("asks"), "hash", "times")
-    rows = spread(asks.unionByName(known, allowMissingColumns=True), "tile").sortWithinPartitions("tile", "asks", "query_id", "hash", "t_us")
+    known = lists.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("tile"), F.lit(False).alias("asks"), "hash", "times")
+    # a tile for each task: hashes of so few numbers would leave some tasks several, others none
+    rows = asks.unionByName(known, allowMissingColumns=True).repartitionById(blocks, F.col("tile").cast("int")).sortWithinPartitions("tile", "asks", "query_id", "hash", "t_us")
     shown = T.StructType([query.schema["query_id"], *[T.StructField(c, T.LongType()) for c in ("bin", *TALLIED, "landmarks")]])
 
+    taken, most, held = TAKEN, MET, TILE_POSTINGS
+
     def run(batches):
-        yield from tiles.tally(batches, bin_us, reach_us, TAKEN, MET)
+        yield from tiles.tally(batches, bin_us, reach_us, taken, most, held)
 
     found = rows.mapInArrow(run, shown)
     if reach_us is None and (q_untimed or r_untimed):
         found = found.unionByName(_untimed(weighted, reference))
-    if parts == 1:
-        return found
-    how = {"q_first": F.min, "q_last": F.max, "landmarks": F.max}
-    return found.groupBy("query_id", "bin").agg(*[how.get(c, F.sum)(c).alias(c) for c in (*TALLIED, "landmarks")])
+    return found
 
 
 def _untimed(weighted: DataFrame, reference: DataFrame) -> DataFrame:
